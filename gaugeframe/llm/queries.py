@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.llm.near_dedup import near_duplicate_components
 from gaugeframe.llm.piece_bpe import encode_documents
+from gaugeframe.llm.sharding import pack_shards
 
 
 def piece_model() -> str:
@@ -57,9 +58,16 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, copies together."""
+    placed = pack_shards(_table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_sharding": op5_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
