@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.llm.fingerprints import fingerprints_with_edits
 from gaugeframe.llm.near_dedup import near_duplicate_components
 from gaugeframe.llm.piece_bpe import encode_documents
 from gaugeframe.llm.sharding import pack_shards
@@ -64,10 +65,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with the likeness of each to its edit and its neighbour."""
+    return fingerprints_with_edits(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_sharding": op5_sharding,
+    "op7_fingerprints": op7_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
