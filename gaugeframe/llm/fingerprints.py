@@ -33,7 +33,7 @@ from gaugeframe.llm import _text
 from gaugeframe.sources.scratch import materialize
 
 SHINGLE = 16
-SCALE = 24
+SCALE = 16
 _LIMIT = np.uint64((1 << 64) // SCALE)
 HEAD = f"f{SCALE}:"
 #: Documents in one stretch of the id order, about.

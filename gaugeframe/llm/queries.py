@@ -11,6 +11,7 @@ from gaugeframe.llm.fingerprints import fingerprints_with_edits
 from gaugeframe.llm.near_dedup import near_duplicate_components
 from gaugeframe.llm.piece_bpe import encode_documents
 from gaugeframe.llm.sharding import pack_shards
+from gaugeframe.llm.warc import read_archives, write_archives
 
 
 def piece_model() -> str:
@@ -70,13 +71,35 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back from the archives."""
+    index = write_archives(spark, _table(spark, sf_dir, "pages"), least_bytes=0)
+    return read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages WHERE page_id IS NOT NULL),
+d AS (SELECT page_id, strlen(h)::BIGINT AS n, sha1(h) AS s FROM p),
+b AS (SELECT page_id, n, s, max(page_id) OVER (PARTITION BY s) AS keep,
+  list_reduce(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+      list_reduce(list_transform(range(0, 5), lambda j:
+        ((instr('0123456789abcdef', substr(s, 1 + ((5 * k + j) // 4)::INTEGER, 1)) - 1) >> (3 - ((5 * k + j) % 4))::INTEGER) & 1),
+        lambda acc, x: acc * 2 + x))::INTEGER, 1)), lambda acc, x: acc || x) AS digest FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to FROM b
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_sharding": op5_sharding,
     "op7_fingerprints": op7_fingerprints,
+    "op8_warc": op8_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op8_warc": OP8_SQL,
 }
