@@ -12,6 +12,7 @@ from gaugeframe.llm.fingerprints import fingerprints_with_edits
 from gaugeframe.llm.near_dedup import near_duplicate_components
 from gaugeframe.llm.piece_bpe import encode_documents
 from gaugeframe.llm.sharding import pack_shards
+from gaugeframe.llm.toxicity import fit_toxicity, score_toxicity
 from gaugeframe.llm.warc import read_archives, write_archives
 
 
@@ -128,6 +129,12 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a factorization machine fitted on the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(spark, docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_sentencepiece": op3_sentencepiece,
@@ -135,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
