@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.llm.ann import nearest_neighbours
 from gaugeframe.llm.chat import pack_conversations, read_packs
 from gaugeframe.llm.fingerprints import fingerprints_with_edits
 from gaugeframe.llm.near_dedup import near_duplicate_components
@@ -51,6 +52,12 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.id = d.
 """
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all other vectors for each vector whose id is divisible by 20."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them, for all documents."""
     coded = encode_documents(spark, _table(spark, sf_dir, "documents"), piece_model(), decode=True)
@@ -137,6 +144,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
