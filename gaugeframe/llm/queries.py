@@ -11,6 +11,7 @@ from gaugeframe.llm.ann import nearest_neighbours
 from gaugeframe.llm.chat import pack_conversations, read_packs
 from gaugeframe.llm.fingerprints import fingerprints_with_edits
 from gaugeframe.llm.near_dedup import near_duplicate_components
+from gaugeframe.llm.passages import repeated_passages
 from gaugeframe.llm.piece_bpe import encode_documents
 from gaugeframe.llm.sharding import pack_shards
 from gaugeframe.llm.toxicity import fit_toxicity, score_toxicity
@@ -69,6 +70,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of all passages that repeat across documents."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes, copies together."""
     placed = pack_shards(_table(spark, sf_dir, "documents"), shards=24)
@@ -146,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_fingerprints": op7_fingerprints,
