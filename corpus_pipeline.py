@@ -1,13 +1,69 @@
-"""The corpus pipeline: each stage reads what its predecessor kept and writes what the next one reads."""
+"""The corpus pipeline: each stage reads what its predecessor kept and writes what the next one reads.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeframe.llm.mixing import mix_documents
+from gaugeframe.llm.near_dedup import BROADCAST_ROWS, near_duplicate_components
+from gaugeframe.llm.passages import remove_passages, repeated_passages
+from gaugeframe.llm.piece_bpe import encode_documents
+from gaugeframe.llm.queries import coded_digests, piece_model
+from gaugeframe.llm.toxicity import fit_toxicity, without_toxic
+from gaugeframe.sources.scratch import broadcast_if_small, materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    machine = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return without_toxic(spark, docs.select(*COLUMNS), machine)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    found = near_duplicate_components(spark, docs, shingle_words=5, percent=80)
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
+    gone = broadcast_if_small(gone, BROADCAST_ROWS)
+    return docs.select(*COLUMNS).join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents stay in one of them; every document stays, with what is left of its text."""
+    docs = docs.select(*COLUMNS)
+    return remove_passages(docs, repeated_passages(docs))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn with the probabilities that meet the target weights of sources, languages and forms."""
+    return mix_documents(docs.select(*COLUMNS)).where("selected").select(*COLUMNS)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's token count and digests of its ids and of its decoded text."""
+    return coded_digests(encode_documents(spark, docs, piece_model(), decode=True))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mixing", mixing),
+    ("sentencepiece", sentencepiece),
+]
 
-STAGES: list = []
+#: Factorization machines, exact merges of pieces and components of sketches are not SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written to the shared folder and read back by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeframe.llm.ann import nearest_neighbours
 from gaugeframe.llm.chat import pack_conversations, read_packs
 from gaugeframe.llm.fingerprints import fingerprints_with_edits
+from gaugeframe.llm.mixing import mix_documents
 from gaugeframe.llm.near_dedup import near_duplicate_components
 from gaugeframe.llm.passages import repeated_passages
 from gaugeframe.llm.piece_bpe import encode_documents
@@ -61,7 +62,11 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them, for all documents."""
-    coded = encode_documents(spark, _table(spark, sf_dir, "documents"), piece_model(), decode=True)
+    return coded_digests(encode_documents(spark, _table(spark, sf_dir, "documents"), piece_model(), decode=True))
+
+
+def coded_digests(coded: DataFrame) -> DataFrame:
+    """doc_id, token count and digests of documents that were encoded and decoded."""
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -142,6 +147,12 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
 """
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their raked weights, calibrated probabilities and the choice."""
+    mixed = mix_documents(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "probability", "selected")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents by a factorization machine fitted on the labels that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -157,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
+    "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -206,3 +206,17 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, machine: bytes, *, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", _held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, machine: bytes, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; scored and filtered in one pass."""
+    shared = spark.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Machine.load(shared.value)
+        keep = (fitted.linear != 0) | (fitted.factors != 0).any(axis=1)
+        for batch in batches:
+            for part in _text.chunks(batch, text_col):
+                yield part.filter(pa.array(fitted.scores(*terms(part.column(text_col), keep)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
