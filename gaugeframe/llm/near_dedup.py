@@ -11,15 +11,20 @@ similarity.  The steps:
    group of exact copies costs one row from here on.
 2. Registers are cut into bands.  Classes that share a band value meet in a
    bucket.  A bucket never emits its pairs: first each class is compared with
-   one hub (the smallest id of the bucket it shares most bands with).
+   one hub (of the hubs of its buckets the one it meets most often; a bucket's
+   hub is the class that meets most others over all bands, such as the original
+   of many near copies).
 3. Candidates pass a joint likelihood estimate of the Jaccard similarity from
    the counts of larger, smaller and equal registers and the known set sizes,
    and are then confirmed on the full sets.
 4. Buckets whose classes are still in different components are compared in
-   full, tile by tile, within numpy; only pairs whose estimate passes leave a
-   tile.  So no bucket is capped and no colliding pair across components is
-   lost, while a large group of near copies (one component after step 2)
-   costs no quadratic work.
+   full, tile by tile, within numpy.  A first pass over the registers keeps the
+   classes that have a candidate across components; a second pass confirms
+   candidates on the full sets inside the tile, likeliest first, and gives out
+   the links that join components there: fewer than the tile has rows.  A pair
+   is tried only in the first band in which it collides.  So no bucket is capped
+   and no colliding pair across components is lost, while a group of near copies
+   that step 3 has joined costs no further work.
 
 With 40 bands of 6 registers a pair at similarity 0.8 meets with probability
 1 - (1 - 0.8**6)**40 > 0.99999; the estimate's cut lies six standard errors
@@ -147,40 +152,115 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: i
     return met.where(100 * common >= percent * (F.size("set") + F.size("other") - common)).select("a", "b")
 
 
-def _tile_pairs(residual: DataFrame, cut: float) -> DataFrame:
-    """Pairs across components inside each tile of a bucket; a tile holds some 2 * TILE rows whatever the bucket's size."""
-
-    def pairs_of(block: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rep, comp, half = (np.array([r[i] for r in block]) for i in (0, 1, 4))
-        sketch = np.frombuffer(b"".join(r[2] for r in block), np.uint16).reshape(len(block), -1)
-        size = np.array([r[3] for r in block], float)
-        crossing = len(set(half.tolist())) > 1
-        for i in range(len(block)):
-            j = np.flatnonzero((comp > comp[i]) & ((half != half[i]) if crossing else True))
-            if len(j):
-                x, y = sketch[i][None, :], sketch[j]
-                estimate = likelihood_jaccard((x > y).sum(1), (x < y).sum(1), (x == y).sum(1), np.full(len(j), size[i]), size[j])
-                j = j[estimate >= cut]
-                yield np.full(len(j), rep[i]), rep[j]
+def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
+    """Runs of rows of one tile (key, i, j) from batches sorted by tile."""
+    now, block = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if row[:3] != now:
+                if len(block) > 1:
+                    yield block
+                now, block = row[:3], []
+            block.append(row)
+    if len(block) > 1:
+        yield block
+
+
+def _candidates(block: list[tuple], cut: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers (x, y) of the tile's candidate pairs across components, and their estimates.
+
+    Rows are (key, i, j, rep, comp, half, band, sketch, n_shingles, ...).
+    """
+    comp, half = (np.array([r[k] for r in block]) for k in (4, 5))
+    sketch = np.frombuffer(b"".join(r[7] for r in block), np.uint16).reshape(len(block), -1)
+    size = np.array([r[8] for r in block], float)
+    band = block[0][6]
+    early = sketch[:, : band * ROWS].reshape(len(block), band, ROWS)
+    crossing = block[0][1] != block[0][2]
+    least = int(BANDS * ROWS * cut) - 1
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    for x in range(len(block) - 1):
+        y = np.flatnonzero((comp != comp[x]) & ((half != half[x]) if crossing else True))
+        y = y[y > x]
+        if len(y):
+            same = (sketch[y] == sketch[x]).sum(1)
+            y, same = y[same >= least], same[same >= least]
+        if len(y) and band:
+            first = ~(early[y] == early[x]).all(2).any(1)
+            y, same = y[first], same[first]
+        if len(y):
+            estimate = likelihood_jaccard((sketch[x] > sketch[y]).sum(1), (sketch[x] < sketch[y]).sum(1), same, np.full(len(y), size[x]), size[y])
+            ok = estimate >= cut
+            for o, v in zip(out, (np.full(len(y), x), y, estimate), strict=True):
+                o.append(v[ok])
+    return tuple(np.concatenate(o) for o in out)
+
+
+_TILE = ["key", "i", "j", "rep", "comp", "half", "band", "sketch", "n_shingles"]
+
+
+def _tiled(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(*_TILE, *more)
+
+
+def _open_rows(rows: DataFrame, cut: float) -> DataFrame:
+    """The rows of each tile that have a candidate across components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block = None, []
-        names = ["key", "i", "j", "rep", "comp", "sketch", "n_shingles", "half"]
+        for block in _blocks(batches, _TILE):
+            x, y, _ = _candidates(block, cut)
+            found = np.union1d(x, y).tolist()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([block[k][c] for k in found], pa.int32() if c == 6 else pa.int64()) for c in range(7)], _TILE[:7])
+
+    return _tiled(rows).mapInArrow(run, "key long, i long, j long, rep long, comp long, half long, band int")
 
-        def flush():
-            found = list(pairs_of(block)) if len(block) > 1 else []
+
+def _tile_links(rows: DataFrame, cut: float, percent: int) -> DataFrame:
+    """Links that join components within each tile, confirmed on the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, [*_TILE, "set"]):
+            x, y, estimate = _candidates(block, cut)
+            order = np.argsort(-estimate, kind="stable")
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            sets: dict[int, np.ndarray] = {}
+            found: list[tuple[int, int]] = []
+            for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                p, q = find(block[a][4]), find(block[b][4])
+                if p == q:
+                    continue
+                for k in (a, b):
+                    if k not in sets:
+                        sets[k] = np.frombuffer(block[k][9], np.uint64)
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                    root[max(p, q)] = min(p, q)
+                    found.append((block[a][3], block[b][3]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    return _tiled(rows, "set").mapInArrow(run, "a long, b long")
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
+    """rep and set (sorted 64-bit shingle hashes, packed) of the documents whose ids are in the written table ``ids``."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if row[:3] != now:
-                    yield from flush()
-                    now, block = row[:3], []
-                block.append(row[3:])
-        yield from flush()
+            for part in _text.chunks(batch, "text"):
+                values, bounds = _text.shingle_sets(part.column("text"), shingle_words)
+                packed = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(packed, pa.binary())], ["rep", "set"])
 
-    return residual.mapInArrow(run, "a long, b long")
+    small = broadcast_if_small(ids, BROADCAST_ROWS)
+    return docs.join(small, docs["doc_id"] == small["rep"]).select("rep", "text").mapInArrow(sets, "rep long, set binary")
 
 
 def near_duplicate_components(
@@ -193,33 +273,36 @@ def near_duplicate_components(
     classes = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("s"))
     classes = materialize(classes.select("k1", "k2", F.col("s.doc_id").alias("rep"), "s.n_shingles", "s.sketch"), "classes")
 
-    key = lambda i: F.xxhash64(F.lit(i), F.substring("sketch", 2 * ROWS * i + 1, 2 * ROWS))
-    bands = classes.select("rep", F.explode(F.array(*(key(i) for i in range(BANDS)))).alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key", "hub")
-    hubs = materialize(hubs, "buckets")
-    members = materialize(bands.join(hubs.hint("merge"), "key"), "members")
+    key = lambda i: F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sketch", 2 * ROWS * i + 1, 2 * ROWS)).alias("key"))
+    bands = classes.select("rep", F.explode(F.array(*(key(i) for i in range(BANDS)))).alias("s")).select("rep", "s.band", "s.key")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(shared, "buckets")
+    members = materialize(bands.join(shared.hint("merge"), "key"), "members")
+    degree = materialize(members.groupBy("rep").agg(F.sum("n").alias("degree")), "degrees")
+    hubs = members.join(degree.hint("merge"), "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("s"))
+    hubs = materialize(hubs.select("key", (-F.col("s.r")).alias("hub")), "hubs")
 
-    links = members.where("rep != hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
+    links = members.join(hubs.hint("merge"), "key").where("rep != hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
     best = links.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("s")).select(F.col("rep").alias("a"), (-F.col("s.hub")).alias("b"))
     first = materialize(_estimated(best, classes, cut), "first-pairs")
     first = materialize(_confirmed(first, docs, shingle_words, percent), "first-links")
     found = materialize(connected_components(first, "a", "b"), "first-components")
 
-    placed = members.join(found.hint("merge"), members["rep"] == found["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = members.join(found.hint("merge"), members["rep"] == found["id"], "left").select("key", "band", "n", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = materialize(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "n")
+    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     split = materialize(split, "open-buckets")
-    links = first
     if split.count():
         tiles = F.ceil(F.col("n") / TILE).cast("long")
-        rest = placed.join(split.hint("merge"), "key").withColumn("tile", F.pmod(F.xxhash64("rep"), tiles))
+        rest = placed.join(split.hint("merge"), "key").withColumn("half", F.pmod(F.xxhash64("rep"), tiles))
         rest = rest.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-        rest = rest.select("key", F.least("tile", "x").alias("i"), F.greatest("tile", "x").alias("j"), "rep", "comp", F.col("tile").alias("half"))
-        rest = rest.join(classes.select("rep", "sketch", "n_shingles").hint("merge"), "rep")
-        rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "rep", "comp", "sketch", "n_shingles", "half")
-        more = materialize(_tile_pairs(rest, cut).distinct(), "open-pairs")
-        links = links.union(materialize(_confirmed(more, docs, shingle_words, percent), "open-links"))
-        found = materialize(connected_components(links, "a", "b"), "components")
+        rest = rest.select("key", F.least("half", "x").alias("i"), F.greatest("half", "x").alias("j"), "rep", "comp", "half", "band")
+        sketches = classes.select("rep", "sketch", "n_shingles")
+        rest = materialize(_open_rows(rest.join(sketches.hint("merge"), "rep"), cut), "open-rows")
+        sets = _full_sets(docs, materialize(rest.select("rep").distinct(), "open-ids"), shingle_words)
+        rest = rest.join(sketches.hint("merge"), "rep").join(sets.hint("merge"), "rep")
+        more = materialize(_tile_links(rest, cut, percent), "open-links")
+        found = materialize(connected_components(first.union(more), "a", "b"), "components")
 
     ids = materialize(
         classes.join(found.hint("merge"), classes["rep"] == found["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")),
