@@ -24,3 +24,15 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[str], out: str
     ranked = part.withColumn("_own", F.row_number().over(own))
     joined = ranked.join(offsets.hint("merge"), [*group, "_part"])
     return joined.select(*df.columns, (F.col("_own") - 1 + F.col("_offset")).cast("long").alias(out))
+
+
+def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows before this one in its group, by the same two steps."""
+    part = materialize(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "running")
+    sums = part.groupBy(*group, "_part").agg(F.sum(value).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    own = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = part.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    joined = ranked.join(offsets.hint("merge"), [*group, "_part"])
+    return joined.select(*df.columns, (F.col("_own") + F.col("_offset")).alias(out))
