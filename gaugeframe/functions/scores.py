@@ -18,8 +18,8 @@ def softmax(z: Column, temperature: float | Column = 1.0) -> Column:
 
 
 def logit(p: Column) -> Column:
-    """ln(p / (1 - p)) with p held off 0 and 1 by 1e-12."""
-    q = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    """ln(p / (1 - p)) with p held off 0 and 1 by 1e-12; null for null."""
+    q = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12)))
     return F.ln(q / (1 - q))
 
 

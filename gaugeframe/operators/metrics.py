@@ -220,7 +220,8 @@ def margin_threshold(df: DataFrame, candidate: DataFrame) -> DataFrame:
     """One row: the logit midpoint of the candidate (column ``candidate``) and the next lower score, or the candidate itself."""
     lower = df.crossJoin(F.broadcast(candidate)).where(F.col("p") < F.col("candidate")).groupBy("candidate").agg(F.max("p").alias("lower"))
     both = candidate.join(lower, "candidate", "left")
-    return both.select(F.coalesce(sigmoid((logit(F.col("candidate")) + logit(F.col("lower"))) / 2), F.col("candidate")).alias("threshold"))
+    middle = sigmoid((logit(F.col("candidate")) + logit(F.col("lower"))) / 2)
+    return both.select(F.when(F.col("lower").isNull(), F.col("candidate")).otherwise(middle).alias("threshold"))
 
 
 def threshold_for_recall(df: DataFrame, recall: float) -> DataFrame:

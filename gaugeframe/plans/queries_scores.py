@@ -156,11 +156,11 @@ _RANK = "rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITIO
 
 @query(
     "d21_spearman",
-    f"""{P}, b AS (SELECT label, p, round(brightness, 2) AS br FROM predictions), r AS (SELECT label, {_RANK.format(by='label', v='p')} AS rx, {_RANK.format(by='label', v='br')} AS ry FROM b)
+    f"""{P}, b AS (SELECT label, p, round(brightness, 4) AS br FROM predictions), r AS (SELECT label, {_RANK.format(by='label', v='p')} AS rx, {_RANK.format(by='label', v='br')} AS ry FROM b)
     SELECT label, round(corr(rx, ry), 9) AS spearman FROM r GROUP BY label""",
 )
 def _(s, d):
-    rows = predictions(s, d).withColumn("brightness", F.round("brightness", 2))
+    rows = predictions(s, d).withColumn("brightness", F.round("brightness", 4))
     return m.spearman_by(rows, "p", "brightness", "label").withColumn("spearman", F.round("spearman", 9))
 
 
@@ -169,14 +169,14 @@ def _(s, d):
     return m.average_ranks(logits(s, d), "p", ["split"])
 
 
-@query("d23_shortcut_table", f"""{P}, f AS (SELECT label, 'brightness' AS feature, round(brightness, 2) AS v FROM predictions UNION ALL SELECT label, 'similarity', round(similarity, 6) FROM predictions),
+@query("d23_shortcut_table", f"""{P}, f AS (SELECT label, 'brightness' AS feature, round(brightness, 4) AS v FROM predictions UNION ALL SELECT label, 'similarity', round(similarity, 6) FROM predictions),
   r AS (SELECT *, {_RANK.format(by='feature', v='v')} AS rank FROM f),
   g AS (SELECT feature, avg(v) FILTER (label = 1) AS m1, avg(v) FILTER (label = 0) AS m0, var_samp(v) FILTER (label = 1) AS v1, var_samp(v) FILTER (label = 0) AS v0,
     sum(label)::DOUBLE AS n1, sum(1 - label)::DOUBLE AS n0, sum(rank) FILTER (label = 1) AS s FROM r GROUP BY feature),
   a AS (SELECT *, (s - n1 * (n1 + 1) / 2) / (n1 * n0) AS auc FROM g)
   SELECT feature, round(m1, 3) AS mean_defective, round(m0, 3) AS mean_normal, round((m1 - m0) / sqrt((v1 + v0) / 2), 3) AS cohens_d, round(greatest(auc, 1 - auc), 3) AS separability FROM a""")
 def _(s, d):
-    rows = predictions(s, d).withColumns({"brightness": F.round("brightness", 2), "similarity": F.round("similarity", 6)})
+    rows = predictions(s, d).withColumns({"brightness": F.round("brightness", 4), "similarity": F.round("similarity", 6)})
     return m.shortcut_table(rows, ["brightness", "similarity"])
 
 
@@ -361,12 +361,12 @@ def _(s, d):
     return m.classification_metrics(rows, THRESHOLD, ["split"]).join(F.broadcast(same.where("ok")), "split").drop("ok")
 
 
-@query("i16_brightness_probe", f"""{P}, b AS (SELECT label, correct, p, round(brightness, 2) AS br FROM predictions), c AS (SELECT quantile_cont(br, [0.25e0, 0.5e0, 0.75e0]) AS cuts FROM b),
+@query("i16_brightness_probe", f"""{P}, b AS (SELECT label, correct, p, round(brightness, 4) AS br FROM predictions), c AS (SELECT quantile_cont(br, [0.25e0, 0.5e0, 0.75e0]) AS cuts FROM b),
   r AS (SELECT label, {_RANK.format(by='label', v='p')} AS rx, {_RANK.format(by='label', v='br')} AS ry FROM b)
   SELECT 'quartile' || (1 + (cuts[1] < br)::INTEGER + (cuts[2] < br)::INTEGER + (cuts[3] < br)::INTEGER) AS part, count(*) AS n, (count(*) FILTER (NOT correct))::DOUBLE AS value FROM b, c GROUP BY 1
   UNION ALL SELECT 'spearman' || label, count(*), round(corr(rx, ry), 9) FROM r GROUP BY label""")
 def _(s, d):
-    rows = predictions(s, d).withColumn("brightness", F.round("brightness", 2))
+    rows = predictions(s, d).withColumn("brightness", F.round("brightness", 4))
     q = m.quartile_errors(rows).select(F.concat(F.lit("quartile"), F.col("quartile")).alias("part"), "n", F.col("errors").cast("double").alias("value"))
     n = rows.groupBy("label").agg(F.count("*").alias("n"))
     r = m.spearman_by(rows, "p", "brightness", "label").join(n, "label")
