@@ -72,7 +72,7 @@ class Forest:
         strings = self._strings(np.hstack([unit, np.zeros((len(unit), 1))]))
         want = min(len(self.ids), max(LEAST_CANDIDATES, int(self.share * len(self.ids))))
         low, high = np.zeros(strings.shape, np.int64), np.full(strings.shape, len(self.ids), np.int64)
-        waiting = np.arange(len(ids))
+        waiting = np.arange(len(ids) if want < len(self.ids) else 0)  # a shard no larger than that is taken whole
         for depth in range(min(BITS, len(self.ids).bit_length() + 2), 0, -1):  # all trees ascend together
             shift = BITS - depth
             prefix = strings[:, waiting] >> shift
@@ -88,6 +88,8 @@ class Forest:
             mark = np.zeros(len(self.ids), bool)
             for order, a, b in zip(self.order, low[:, i].tolist(), high[:, i].tolist(), strict=True):
                 mark[order[a:b]] = True
+            if mark.sum() <= k:  # fewer different rows than asked for: ascend to the roots
+                mark[:] = True
             mark &= self.ids != ids[i]
             rows = np.flatnonzero(mark)
             if len(rows) > k:

@@ -221,9 +221,21 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join(out)
 
 
+def _joined(cuts: list[dict]) -> list[tuple[int, int]]:
+    """Spans of the cuts, those of neighbouring paragraphs as one (with the short pieces between them)."""
+    out: list[list[int]] = []
+    for cut in cuts:
+        if out and cut["paragraph"] == out[-1][2] + 1:
+            out[-1][1:] = [cut["end_char"], cut["paragraph"]]
+        else:
+            out.append([cut["start_char"], cut["end_char"], cut["paragraph"]])
+    return [(a, b) for a, b, _ in out]
+
+
 def remove_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` (columns doc_id, text, n_chars and others) with the removed paragraphs cut from their texts; no document is dropped."""
-    spans = found.where("removed").groupBy(F.col("doc_id").alias("cut_id")).agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char"))).alias("spans"))
+    cut = F.struct("paragraph", "start_char", "end_char")
+    spans = found.where("removed").groupBy(F.col("doc_id").alias("cut_id")).agg(F.sort_array(F.collect_list(cut)).alias("spans"))
     spans = broadcast_if_small(materialize(spans, "cuts"), BROADCAST_ROWS // 20)
     joined = docs.join(spans, docs["doc_id"] == spans["cut_id"], "left").drop("cut_id")
     names = docs.columns
@@ -231,7 +243,7 @@ def remove_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, cut = batch.column("text"), batch.column("spans")
-            kept = [t.as_py() if not s.is_valid else without_spans(t.as_py(), [(x["start_char"], x["end_char"]) for x in s.as_py()]) for t, s in zip(text, cut, strict=True)]
+            kept = [t.as_py() if not s.is_valid else without_spans(t.as_py(), _joined(s.as_py())) for t, s in zip(text, cut, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
     cut = joined.where("spans is not null").mapInArrow(run, docs.schema).withColumn("n_chars", F.char_length("text").cast("long"))

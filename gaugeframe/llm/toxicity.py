@@ -189,7 +189,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     sample = materialize(rows.mapInArrow(featurize, "doc_id long, label int, terms array<int>"), "labelled-terms")
     one = sample.repartition(1).sortWithinPartitions("doc_id", "label").select("label", "terms")  # 2 * SAMPLE rows at most
-    return bytes(one.mapInArrow(train, "machine binary").first()["machine"])
+    fitted = one.mapInArrow(train, "machine binary").first()
+    if fitted is None:  # no labelled rows, no task
+        return fit(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0)).dump()
+    return bytes(fitted["machine"])
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, machine: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
