@@ -1,8 +1,10 @@
 """Repeated passages across documents by paragraph MinHash banding (operator 4).
 
 Passages are planted anywhere in a line, so paragraphs are cut by content alone:
-after a line break, after a word that ends in ``.``, ``!`` or ``?``, and after
-one word pair in 64 by hash (which bounds paragraphs of text without either).
+after a line break, after a word that ends in ``.``, ``!`` or ``?`` (of several
+such words in a row after the first and one in 8 by hash), and by hash after one
+word pair in 64, or in 12 where no such word is near (which bounds paragraphs of
+text without stops).
 A shared passage therefore has the same inner paragraphs in every document.
 Paragraphs of fewer than ``LEAST_WORDS`` words carry no evidence of their own.
 
@@ -45,6 +47,8 @@ LEAST_RUN_WORDS = 20
 BANDS = 3
 TILE = 256
 CUT_ONE_IN = 64
+CUT_STOPS_ONE_IN = 8
+FAR_WORDS, CUT_FAR_ONE_IN = 12, 12
 BROADCAST_ROWS = 2_000_000
 
 _STOP = np.zeros(256, bool)
@@ -54,16 +58,26 @@ _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], n
 
 def _slices(data: np.ndarray, offsets: np.ndarray):
     """Paragraphs of texts: first and end word, text number, word spans and word hashes."""
-    low = _text.lower(data)
-    start, end, bounds = _text.words(low, offsets)
+    small = _text.lower(data)
+    start, end, bounds = _text.words(small, offsets)
     if not len(start):
         none = np.zeros(0, np.int64)
         return none, none, none, start, end, np.zeros(0, np.uint64)
-    hashed = _text.span_hashes(low, start, end)
+    hashed = _text.span_hashes(small, start, end)
     lines = np.cumsum(data == 10)
-    cut = _STOP[data[end - 1]]
+    stop = _STOP[data[end - 1]]
+    pair = _text.mix(hashed[:-1] ^ (hashed[1:] * np.uint64(3)))
+    cut = stop.copy()
+    cut[1:] &= ~stop[:-1] | (pair % np.uint64(CUT_STOPS_ONE_IN) == 0)
     cut[:-1] |= lines[start[1:]] != lines[end[:-1] - 1]
-    cut[:-1] |= _text.mix(hashed[:-1] ^ (hashed[1:] * np.uint64(3))) % np.uint64(CUT_ONE_IN) == 0
+    cut[:-1] |= pair % np.uint64(CUT_ONE_IN) == 0
+    # far from any stop, within the text, cuts come more often
+    seen = np.concatenate([[0], np.cumsum(stop)])
+    at = np.arange(len(start))
+    words = np.diff(bounds)
+    low, high = np.repeat(bounds[:-1], words), np.repeat(bounds[1:], words)
+    far = seen[np.minimum(at + FAR_WORDS + 1, high)] == seen[np.maximum(at - FAR_WORDS, low)]
+    cut[:-1] |= far[:-1] & (pair % np.uint64(CUT_FAR_ONE_IN) == 0)
     cut[bounds[1:][np.diff(bounds) > 0] - 1] = True
     last = np.flatnonzero(cut) + 1
     first = np.concatenate([[0], last[:-1]])
