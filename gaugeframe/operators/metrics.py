@@ -14,7 +14,7 @@ from gaugeframe.functions.arrays import bin_index
 from gaugeframe.functions.scores import logit, sigmoid
 
 BUCKETS = 4096
-#: Bytes and rows aside, a margin table as wide as this many temperatures is scanned at once.
+#: Temperatures that one round of the fit tries.
 GRID = 64
 LOW_T, HIGH_T = 0.05, 20.0
 
@@ -118,11 +118,13 @@ def bootstrap(df: DataFrame, threshold: float, resamples: int, level: float = 0.
     """
     cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
     digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit("|"), F.col("j").cast("string")).cast("binary"))
-    uniform = lambda k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") / 4294967296.0
-    rows = df.select("label", (F.col("p") >= threshold).alias("hit"), F.col(id_col), F.explode(F.sequence(F.lit(0), F.lit((resamples + 3) // 4 - 1))).alias("j"))
-    rows = rows.select("label", "hit", F.explode(F.array(*(F.struct((F.col("j") * 4 + k).alias("b"), bin_index(uniform(k), cdf).alias("w")) for k in range(4)))).alias("s")).where(f"s.b < {resamples} and s.w > 0")
-    w, pos = F.col("s.w"), F.col("label") == 1
-    each = rows.groupBy(F.col("s.b").alias("b")).agg(
+    rows = df.select("label", (F.col("p") >= threshold).alias("hit"), id_col, F.explode(F.sequence(F.lit(0), F.lit((resamples + 3) // 4 - 1))).alias("j"))
+    rows = rows.select("label", "hit", "j", digest.alias("digest"))
+    parts = F.array(*(F.struct((F.col("j") * 4 + k).alias("b"), F.substring("digest", 8 * k + 1, 8).alias("x")) for k in range(4)))
+    rows = rows.select("label", "hit", F.explode(parts).alias("s")).select("label", "hit", "s.b", (F.conv("s.x", 16, 10).cast("long") / 4294967296.0).alias("u"))
+    rows = rows.select("label", "hit", "b", bin_index(F.col("u"), cdf).alias("w")).where(f"b < {resamples} and w > 0")
+    w, pos = F.col("w"), F.col("label") == 1
+    each = rows.groupBy("b").agg(
         F.sum(F.when(F.col("hit") & pos, w).otherwise(0)).alias("tp"), F.sum(F.when(F.col("hit") & ~pos, w).otherwise(0)).alias("fp"),
         F.sum(F.when(~F.col("hit") & ~pos, w).otherwise(0)).alias("tn"), F.sum(F.when(~F.col("hit") & pos, w).otherwise(0)).alias("fn"),
     )
@@ -192,7 +194,7 @@ def is_separable(df: DataFrame) -> DataFrame:
 def fit_temperature(df: DataFrame, rounds: int = 3) -> float:
     """The temperature of least mean loss, on a grid in ln T that each round narrows around its best point.
 
-    A round is one aggregation over counted margins with a mean for each grid point; one row of scalars returns.
+    A round is one aggregation over counted margins and grid points; the best point alone returns.
     """
     from math import exp, log
 
@@ -200,8 +202,9 @@ def fit_temperature(df: DataFrame, rounds: int = 3) -> float:
     low, high, best = log(LOW_T), log(HIGH_T), 1.0
     for _ in range(rounds):
         grid = [low + (high - low) * i / (GRID - 1) for i in range(GRID)]
-        sums = each.agg(*(F.sum(F.col("n") * _loss(F.col("m"), exp(t))).alias(f"t{i}") for i, t in enumerate(grid))).first()
-        i = min(range(GRID), key=lambda k: sums[k])
+        tried = each.select("m", "n", F.posexplode(F.array(*(F.lit(exp(t)) for t in grid))).alias("i", "t"))
+        loss = tried.groupBy("i").agg(F.sum(F.col("n") * _loss(F.col("m"), F.col("t"))).alias("loss"))
+        i = loss.agg(F.min(F.struct("loss", "i")).alias("s")).first()["s"]["i"]
         best = exp(grid[i])
         low, high = grid[max(i - 1, 0)], grid[min(i + 1, GRID - 1)]
     return best

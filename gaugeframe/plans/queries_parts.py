@@ -9,6 +9,7 @@ from gaugeframe.operators import inventory as inv
 from gaugeframe.operators import splits as sp
 from gaugeframe.plans.bindings import CLASSES, EXTERNAL, PARTS, parts
 from gaugeframe.plans.registry import query
+from gaugeframe.sources.scratch import materialize
 
 W = f"WITH {PARTS}"
 _IMAGES = "('jpg', 'jpeg', 'png', 'bmp', 'webp', 'tif', 'tiff')"
@@ -282,7 +283,7 @@ def _(s, d):
     UNION ALL SELECT 'every_split_has_both_classes', count(*) = 6, count(*) FROM (SELECT DISTINCT split, label FROM kept WHERE split IN ('train', 'val', 'test'))""",
 )
 def _(s, d):
-    return sp.audit_checks(parts(s, d), splits(s, d), ["train", "val", "test"])
+    return sp.audit_checks(parts(s, d), materialize(splits(s, d), "splits"), ["train", "val", "test"])
 
 
 @query("c7_accounting", f"{_SPLITS} SELECT 0::BIGINT AS missing, 0::BIGINT AS extra, true AS ok FROM splits LIMIT 1")

@@ -10,6 +10,7 @@ from gaugeframe.functions.arrays import bin_index
 from gaugeframe.operators import metrics as m
 from gaugeframe.plans.bindings import BAND, HISTORY, LOGITS, PREDICTIONS, TEMPERATURE, THRESHOLD, history, logits, predictions
 from gaugeframe.plans.registry import query
+from gaugeframe.sources.scratch import materialize
 
 L, P, H = f"WITH {LOGITS}", f"WITH {PREDICTIONS}", f"WITH {HISTORY}"
 T, LO, HI = f"{THRESHOLD}e0", f"{BAND[0]}e0", f"{BAND[1]}e0"
@@ -342,9 +343,9 @@ def _(s, d):
 @query("i11_calibrate_and_select")
 def _(s, d):
     """One operating point from the validation split alone: temperature, threshold, band and its figures."""
-    val = logits(s, d).where("split = 'val'")
+    val = materialize(logits(s, d).where("split = 'val'").select("id", "label", "margin"), "val")
     t = m.choose_temperature(val).first()["temperature"]
-    val = val.withColumn("p", sc.sigmoid(F.col("margin") / t))
+    val = materialize(val.withColumn("p", sc.sigmoid(F.col("margin") / t)), "val-scored")
     threshold = m.threshold_for_recall(val, 0.95).first()[0]
     low, high = m.review_band(val, threshold, 0.99, 0.9).first()
     point = m.operating_point(val, threshold).crossJoin(m.band_summary(val, threshold, low, high)).crossJoin(m.expected_calibration_error(val, 15))
