@@ -212,10 +212,10 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, least_run_words: in
     own = Window.partitionBy("doc_id").orderBy("paragraph")
     found = found.withColumn("run", F.col("paragraph") - F.dense_rank().over(own))
     found = found.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(F.col("run_words") >= least_run_words)
-    found = materialize(found.select("doc_id", "paragraph", "start", "until", "words", "cluster"), "runs")
+    found = materialize(found.select("doc_id", "paragraph", "start", "until", "words", "cluster").distinct(), "runs")
     keep = found.groupBy("cluster").agg(F.min("doc_id").alias("keep_doc"), F.max("doc_id").alias("last")).where("keep_doc < last").select("cluster", "keep_doc")
     keep = materialize(keep, "kept")
-    out = found.join(keep.hint("merge"), "cluster").distinct()
+    out = found.join(keep.hint("merge"), "cluster")  # two plain shuffles, so that a hot cluster can be split
     return out.select(
         "doc_id", "paragraph", F.col("start").alias("start_char"), F.col("until").alias("end_char"), F.col("words").alias("n_words"),
         F.col("cluster").alias("component_id"), "keep_doc", (F.col("doc_id") != F.col("keep_doc")).alias("removed"),
