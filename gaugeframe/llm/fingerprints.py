@@ -36,8 +36,9 @@ SHINGLE = 16
 SCALE = 16
 _LIMIT = np.uint64((1 << 64) // SCALE)
 HEAD = f"f{SCALE}:"
-#: Documents in one stretch of the id order, about.
+#: Documents in one stretch of the id order, about; quantiles of the id that bound spans of stretches, and stretches, at most.
 STRETCH = 20_000
+SPANS, STRETCHES = 256, 65_536
 
 
 def sketch(texts: list[str]) -> list[np.ndarray]:
@@ -110,17 +111,30 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 def with_next_document(docs: DataFrame) -> DataFrame:
     """Rows of doc_id and text in stretches of ascending doc_id, each stretch closed by the first document of the next.
 
-    Adds ``stretch`` and ``guest`` (true for the closing row).  The stretches'
-    bounds are quantiles of doc_id, so the text is dealt out once and no window
-    spans the table; only one row for each stretch is ordered as a whole.
+    Adds ``stretch`` and ``guest`` (true for the closing row).  The stretches
+    lie between quantiles of doc_id (each span between two of at most SPANS
+    quantiles is cut into equal parts), so the text is dealt out once and no
+    window spans the table; only one row for each stretch is ordered as a whole.
     """
     rows = docs.where("doc_id is not null")
     n, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    k = max(1, -(-n // STRETCH), min(docs.sparkSession.sparkContext.defaultParallelism, n // 500))
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10 * k)).first()[0] if k > 1 else []
+    wanted = max(1, -(-n // STRETCH), min(docs.sparkSession.sparkContext.defaultParallelism, n // 500))
+    spans = min(wanted, SPANS)
+    each = -(-min(wanted, STRETCHES) // spans)  # equal parts of the id range of each span
+    bounds = rows.agg(F.percentile_approx("doc_id", [i / spans for i in range(1, spans)], 10 * spans)).first()[0] if spans > 1 else []
     bounds = sorted(set(bounds or []))
     edges = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<long>")
-    stretch = lambda c: F.size(F.filter(edges, lambda e: e < c))
+    k = (len(bounds) + 1) * each
+
+    def stretch(c):
+        span = F.size(F.filter(edges, lambda e: e < c))
+        if each == 1:
+            return span
+        first = F.element_at(F.array(*(F.lit(b).cast("double") for b in [low, *bounds])), span + 1)
+        last = F.element_at(F.array(*(F.lit(b).cast("double") for b in [*bounds, high])), span + 1)
+        part = F.floor((c - first) / (last - first + 1) * each)
+        return (span * each + F.least(F.greatest(part, F.lit(0)), F.lit(each - 1))).cast("int")
+
     rows = rows.withColumn("stretch", stretch(F.col("doc_id")))
     firsts = rows.groupBy("stretch").agg(F.min("doc_id").alias("first"))
     order = Window.orderBy("stretch")

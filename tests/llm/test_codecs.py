@@ -123,7 +123,10 @@ def test_archive_is_plain_gzip_members(spark, tmp_path):
     assert gzip.decompress(file.read_bytes()).count(b"WARC/1.1\r\n") == 2
 
 
-def test_fingerprints_match_brute_force(spark):
+@pytest.mark.parametrize("spans", [256, 2])
+def test_fingerprints_match_brute_force(spark, monkeypatch, spans):
+    monkeypatch.setattr(fp, "STRETCH", 7)
+    monkeypatch.setattr(fp, "SPANS", spans)
     r = random.Random(6)
     texts = {i * 3: "".join(r.choice("abcdé 中") for _ in range(r.choice([0, 1, 2, 15, 16, 17, 400, 3000]))) for i in range(60)}
     texts[6] = None
