@@ -84,8 +84,10 @@ def _constant(cells: DataFrame, wanted: float) -> float:
     low, high = 0.0, 1.0 / top
     for _ in range(8):
         steps = [low + (high - low) * i / 32 for i in range(1, 33)]
-        sums = cells.agg(*(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * c)).alias(f"s{i}") for i, c in enumerate(steps))).first()
-        i = next((i for i in range(32) if sums[i] >= wanted), 31)
+        tried = cells.select("tokens", "weight", F.posexplode(F.array(*(F.lit(c) for c in steps))).alias("i", "c"))
+        sums = tried.groupBy("i").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.col("c"))).alias("s"))
+        i = sums.where(F.col("s") >= wanted).agg(F.min("i")).first()[0]
+        i = 31 if i is None else i
         low, high = (steps[i - 1] if i else low), steps[i]
     return high
 

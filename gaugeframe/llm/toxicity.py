@@ -110,16 +110,23 @@ def fit(index: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> Machine:
     factors = np.zeros((BUCKETS, FACTORS))
     if share in (0.0, 1.0):
         return Machine(-35.0 if share == 0 else 35.0, linear.astype(np.float32), factors.astype(np.float32))
-    # keep the terms that differ between the classes
-    of = np.repeat(label, np.diff(bounds))
+    # keep the terms that differ between the classes; a block of rows at a time, so that no copy has the size of all terms
+    blocks = [(r, min(r + 1000, len(label))) for r in range(0, len(label), 1000)]
     n1, n0 = label.sum(), (1 - label).sum()
-    c1, c0 = np.bincount(index[of == 1], minlength=BUCKETS), np.bincount(index[of == 0], minlength=BUCKETS)
+    c1, c0 = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for r, e in blocks:
+        own, of = index[bounds[r] : bounds[e]], np.repeat(label[r:e] == 1, np.diff(bounds[r : e + 1]))
+        c1 += np.bincount(own[of], minlength=BUCKETS)
+        c0 += np.bincount(own[~of], minlength=BUCKETS)
     pooled = (c1 + c0) / (n1 + n0)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
     keep = (z >= LEAST_Z) & (c1 + c0 >= LEAST_ROWS)
-    inside = keep[index]
-    bounds = np.concatenate([[0], np.cumsum(inside)])[bounds]
-    index = index[inside]
+    kept, ends = [], [np.zeros(1, np.int64)]
+    for r, e in blocks:
+        inside = keep[index[bounds[r] : bounds[e]]]
+        kept.append(index[bounds[r] : bounds[e]][inside])
+        ends.append(ends[-1][-1] + np.concatenate([[0], np.cumsum(inside)])[bounds[r + 1 : e + 1] - bounds[r]])
+    index, bounds = np.concatenate(kept), np.concatenate(ends)
     used = np.unique(index)
     factors[used] = rng.normal(0, 0.01, (len(used), FACTORS))
     machine = Machine(float(np.log(share / (1 - share))), linear, factors)
