@@ -17,11 +17,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """Smallest reachable id for every id that occurs in ``edges``: columns ``id``, ``component``.
 
     Alternates the published large-star and small-star steps: every round is two
-    groupings with map-side minima and two joins on the grouping key.  The minima
-    are written before they are joined, so both sides of a join are plain
-    shuffles and adaptive execution can split the one hub that has very many
-    neighbours.  Each round is written to the shared folder; the loop ends when
-    the edge set repeats.  Null ids and self links are ignored.
+    groupings with map-side minima and two joins on the grouping key, which stream
+    a hub's neighbours (two numbers a row) through one task but never hold them.
+    Each round is written to the shared folder; the loop ends when the edge set
+    repeats.  Null ids and self links are ignored.
     """
     e = materialize(
         edges.select(F.least(src, dst).alias("v"), F.greatest(src, dst).alias("u"))
@@ -34,13 +33,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
             both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u != v").distinct()
         )
         large = materialize(large, "cc-large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least.hint("merge"), "u")
             .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
