@@ -22,6 +22,13 @@ Paragraphs of fewer than ``LEAST_WORDS`` words carry no evidence of their own.
    passages (a passage of 50 words keeps about this much after its broken first
    and last sentences).  Of each cluster the document with the smallest id keeps
    its paragraphs, the others' are marked removed.
+5. Equal words are also found whatever lines and sentences they form: of every
+   ``PIECE_WINDOW`` word pairs in a row the one of smallest hash is a cut, and a
+   piece runs from a cut to the first cut at least ``LEAST_RUN_WORDS`` words on.
+   The cuts between the first and the last window of a run of equal words are the
+   same in every document, so a run of 2 * PIECE_WINDOW + LEAST_RUN_WORDS = 50 words
+   or more always holds a whole piece.  Pieces of equal words in several documents
+   are joined to runs where they overlap; the smallest id keeps them.
 
 Defined cases: null and empty texts have no paragraphs; repetition inside one
 document is left; rows that share a doc_id are one document; a null doc_id takes
@@ -50,6 +57,7 @@ CUT_ONE_IN = 64
 CUT_STOPS_ONE_IN = 8
 FAR_WORDS, CUT_FAR_ONE_IN = 12, 12
 BROADCAST_ROWS = 2_000_000
+PIECE_WINDOW = 15
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -125,6 +133,68 @@ def _paragraphs(docs: DataFrame, sets: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _pieces(docs: DataFrame, least: int) -> DataFrame:
+    """Pieces of whole texts between winnowed cuts, of at least ``least`` words: key, first and end word and code point."""
+    names = ["doc_id", "key", "first", "last", "start", "until"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.chunks(batch, "text"):
+                data, offsets = _text.flat(part.column("text"))
+                small = _text.lower(data)
+                start, end, bounds = _text.words(small, offsets)
+                if len(start) <= PIECE_WINDOW:
+                    continue
+                hashed = _text.span_hashes(small, start, end)
+                pair = _text.mix(hashed[:-1] ^ (hashed[1:] * np.uint64(3)))
+                windows = np.lib.stride_tricks.sliding_window_view(pair, PIECE_WINDOW)
+                at = np.arange(len(windows))
+                of = np.searchsorted(bounds, at, side="right") - 1
+                inside = at + PIECE_WINDOW < bounds[of + 1]  # a window sees one text only
+                cut = np.unique((at + PIECE_WINDOW - 1 - windows[:, ::-1].argmin(axis=1))[inside])
+                first = cut + 1
+                stop = np.searchsorted(first, first + least)
+                first, stop = first[stop < len(first)], stop[stop < len(first)]
+                last = (cut + 1)[stop]
+                text = np.searchsorted(bounds, first, side="right") - 1
+                use = last <= bounds[text + 1]
+                first, last, text = first[use], last[use], text[use]
+                if not len(first):
+                    continue
+                up, down = _text.powers(len(hashed) + 1)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * up[: len(hashed)])])
+                key = _text.mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
+                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                origin = point[offsets[text]]
+                ints = (first - bounds[text], last - bounds[text], point[start[first]] - origin, point[end[last - 1]] - origin)
+                ids = part.column("doc_id").take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(key), *(pa.array(x.astype(np.int32)) for x in ints)], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, first int, last int, start int, until int")
+
+
+def _equal_runs(docs: DataFrame, least: int) -> DataFrame:
+    """Runs of overlapping pieces of equal words that several documents hold, kept and removed ones apart."""
+    pieces = materialize(_pieces(docs, least), "pieces")
+    twice = pieces.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
+    twice = broadcast_if_small(materialize(twice, "equal-pieces"), BROADCAST_ROWS // 20)
+    hits = pieces.join(twice, "key").withColumn("removed", F.col("doc_id") != F.col("low"))
+    # cuts near a run's ends may be those of some documents only; what they add inside a removed run is not kept
+    upto = [w.rowsBetween(Window.unboundedPreceding, Window.currentRow) for w in (
+        Window.partitionBy("doc_id").orderBy("first", "last"), Window.partitionBy("doc_id").orderBy(F.desc("first"), F.desc("last")))]
+    gone = F.max(F.when(F.col("removed"), F.col("last"))).over(upto[0])
+    soon = F.min(F.when(F.col("removed"), F.col("first"))).over(upto[1])
+    meets = F.coalesce(gone > F.col("first"), F.lit(False)) | F.coalesce(soon < F.col("last"), F.lit(False))
+    hits = hits.withColumn("meets", meets).where(F.col("removed") | ~F.col("meets"))
+    own = Window.partitionBy("doc_id", "removed").orderBy("first", "last")
+    reached = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("run", F.coalesce((F.col("first") > reached).cast("int"), F.lit(1))).withColumn("run", F.sum("run").over(own))
+    return hits.groupBy("doc_id", "removed", "run").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("until").alias("until"),
+        F.min("key").alias("cluster"), F.min("low").alias("keep_doc"),
+    )
+
+
 def _linked(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join the classes of each tile, by exact Jaccard similarity."""
 
@@ -181,9 +251,9 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, *, percent: int = 80, least_run_words: int = LEAST_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The paragraphs of passages that repeat across documents, the kept ones too.
+    """The paragraphs of passages and the runs of equal words that repeat across documents, the kept ones too.
 
-    Columns: doc_id, paragraph (number among the document's counted paragraphs), start_char and end_char (code points), n_words, component_id,
+    Columns: doc_id, paragraph (number among the document's counted paragraphs, null for a run of equal words), start_char and end_char (code points), n_words, component_id,
     keep_doc (the document that keeps the paragraph), removed.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -216,9 +286,11 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, least_run_words: in
     keep = found.groupBy("cluster").agg(F.min("doc_id").alias("keep_doc"), F.max("doc_id").alias("last")).where("keep_doc < last").select("cluster", "keep_doc")
     keep = materialize(keep, "kept")
     out = found.join(keep.hint("merge"), "cluster")  # two plain shuffles, so that a hot cluster can be split
-    return out.select(
+    out = out.withColumn("removed", F.col("doc_id") != F.col("keep_doc"))
+    runs = _equal_runs(docs, least_run_words).withColumn("paragraph", F.lit(None).cast("int")).withColumn("words", F.col("last") - F.col("first"))
+    return out.unionByName(runs.select(*out.columns)).select(
         "doc_id", "paragraph", F.col("start").alias("start_char"), F.col("until").alias("end_char"), F.col("words").alias("n_words"),
-        F.col("cluster").alias("component_id"), "keep_doc", (F.col("doc_id") != F.col("keep_doc")).alias("removed"),
+        F.col("cluster").alias("component_id"), "keep_doc", "removed",
     )
 
 
@@ -239,7 +311,7 @@ def _joined(cuts: list[dict]) -> list[tuple[int, int]]:
     """Spans of the cuts, those of neighbouring paragraphs as one (with the short pieces between them)."""
     out: list[list[int]] = []
     for cut in cuts:
-        if out and cut["paragraph"] == out[-1][2] + 1:
+        if out and None not in (cut["paragraph"], out[-1][2]) and cut["paragraph"] == out[-1][2] + 1:
             out[-1][1:] = [cut["end_char"], cut["paragraph"]]
         else:
             out.append([cut["start_char"], cut["end_char"], cut["paragraph"]])

@@ -161,6 +161,20 @@ def test_passages_near_copies_and_edges(spark):
     assert ps.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_passages_of_short_lines(spark):
+    r = random.Random(6)
+    lines = lambda n, m: "\n".join(" ".join(f"w{r.randrange(5000)}" for _ in range(m)) for _ in range(n))
+    for size in (4, 1):
+        block = lines(60 // size, size)
+        rows = [(i, lines(20, 3) + "\n" + (block + "\n" if i in (3, 5) else "") + lines(20, 3)) for i in range(8)]
+        df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+        found = ps.repeated_passages(df)
+        assert {(x.doc_id, x.keep_doc, x.removed) for x in found.collect()} == {(3, 3, False), (5, 3, True)}
+        out = {x.doc_id: x.text for x in ps.remove_passages(df, found).collect()}
+        middle = " ".join(block.split()[25:35])
+        assert middle not in " ".join(out[5].split()) and all(out[i] == t for i, t in rows if i != 5)
+
+
 def test_without_spans():
     assert ps.without_spans("ab cd ef", [(3, 5)]) == "ab  ef"
     assert ps.without_spans(None, []) is None and ps.without_spans("abc", [(0, 3)]) == ""
