@@ -77,6 +77,43 @@ def top_matches(query: DataFrame, target: DataFrame, k: int, *, same_set: bool,
     return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).drop("k")
 
 
+def threshold_links(df: DataFrame, threshold: float, side: int = 8) -> DataFrame:
+    """query, target: links that join all pairs of rows with a correlation (to 9 places) of at least ``threshold``.
+
+    All pairs are compared in tiles, none is capped; of the pairs found a tile gives out only those that join its rows (fewer than
+    its rows), so that the components are those of all pairs.
+    """
+    maps = np.array(orientation_maps(side))
+    rows, n = _blocks(df.select("id", "fine"))
+    dealt = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.select("id", "fine", "_b", F.least("_b", "x").alias("i"), F.greatest("_b", "x").alias("j"))
+
+    def standard(x: np.ndarray) -> np.ndarray:
+        x = x - x.mean(axis=-1, keepdims=True)
+        return x / (np.linalg.norm(x, axis=-1, keepdims=True) + 1e-6)
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf._b == pdf.i], pdf[pdf._b == pdf.j]
+        found: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            x = standard(np.stack(a.fine.to_numpy()).astype(float))
+            y = standard(np.stack(b.fine.to_numpy()).astype(float)).T
+            own, ids = a.id.to_numpy(), b.id.to_numpy()
+            label = np.unique(np.concatenate([own, ids]), return_inverse=True)[1]
+            for at in range(0, len(x), 256):
+                best = np.round(np.max([x[at : at + 256][:, m] @ y for m in maps], axis=0), 9)
+                for r, near in enumerate(best >= threshold, at):
+                    to = np.flatnonzero(near)
+                    other, first = np.unique(label[len(own) + to], return_index=True)
+                    new = other != label[r]
+                    if new.any():
+                        found += [(int(own[r]), int(ids[c])) for c in to[first[new]]]
+                        label[np.isin(label, other)] = label[r]
+        return pd.DataFrame(found, columns=["query", "target"]).astype("int64")
+
+    return dealt.groupBy("i", "j").applyInPandas(tile, "query long, target long")
+
+
 def nearest_similarity(query: DataFrame, target: DataFrame, *, same_set: bool) -> DataFrame:
     """id and nearest: the best correlation, -1 where there is no target."""
     best = top_matches(query, target, 1, same_set=same_set).select(F.col("query").alias("id"), F.col("corr").alias("nearest"))

@@ -76,8 +76,7 @@ _CC = f"""{_TOP3}, e AS (SELECT query AS a, target AS b FROM top WHERE corr >= 0
 
 def _clusters(s, d):
     t = thumbs(s, d)
-    edges = sim.top_matches(t, t, 3, same_set=True).where("corr >= 0.99")
-    found = connected_components(edges, "query", "target")
+    found = connected_components(sim.threshold_links(t, 0.99), "query", "target")
     return t.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
