@@ -28,7 +28,9 @@ Paragraphs of fewer than ``LEAST_WORDS`` words carry no evidence of their own.
    The cuts between the first and the last window of a run of equal words are the
    same in every document, so a run of 2 * PIECE_WINDOW + LEAST_RUN_WORDS = 50 words
    or more always holds a whole piece.  Pieces of equal words in several documents
-   are joined to runs where they overlap; the smallest id keeps them.
+   are joined to runs where they overlap; the smallest id keeps them.  Runs are then
+   extended by the equal words on both sides (fewer than 2 * PIECE_WINDOW, as else a
+   further piece were shared; ``REACH`` are compared).
 
 Defined cases: null and empty texts have no paragraphs; repetition inside one
 document is left; rows that share a doc_id are one document; a null doc_id takes
@@ -58,6 +60,7 @@ CUT_STOPS_ONE_IN = 8
 FAR_WORDS, CUT_FAR_ONE_IN = 12, 12
 BROADCAST_ROWS = 2_000_000
 PIECE_WINDOW = 15
+REACH = 32
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -173,12 +176,64 @@ def _pieces(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, first int, last int, start int, until int")
 
 
+def _sides(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """Hashes of the 1 to ``REACH`` words before (left) or after the ends (doc_id, key, left, at) of runs, and the code point they reach to."""
+    names = ["doc_id", "key", "left", "at", "n", "hash", "point"]
+    per = ends.groupBy(F.col("doc_id").alias("end_id")).agg(F.collect_list(F.struct("key", "left", "at")).alias("ends"))
+    rows = docs.join(broadcast_if_small(materialize(per, "run-ends"), BROADCAST_ROWS // 20), F.col("doc_id") == F.col("end_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.chunks(batch, "text"):
+                data, offsets = _text.flat(part.column("text"))
+                small = _text.lower(data)
+                start, end, bounds = _text.words(small, offsets)
+                hashed = _text.span_hashes(small, start, end)
+                up, down = _text.powers(len(hashed) + 1)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * up[: len(hashed)])])
+                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                size = np.diff(np.asarray(part.column("ends").offsets))
+                key, left, at = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in part.column("ends").flatten().flatten())
+                of = np.repeat(np.repeat(np.arange(len(size)), size), REACH)
+                key, left, at = np.repeat(key, REACH), np.repeat(left.astype(bool), REACH), np.repeat(at.astype(np.int64), REACH)
+                n = np.tile(np.arange(1, REACH + 1), len(key) // REACH)
+                a, b = bounds[of] + at - left * n, bounds[of] + at + ~left * n
+                use = (a >= bounds[of]) & (b <= bounds[of + 1])
+                of, key, left, at, n, a, b = (x[use] for x in (of, key, left, at, n, a, b))
+                value = _text.mix((total[b] - total[a]) * down[a] + n.astype(np.uint64)).view(np.int64)
+                place = np.where(left, point[start[a]], point[end[b - 1]]) - point[offsets[of]]
+                ids = part.column("doc_id").take(pa.array(of))
+                ints = (pa.array(x.astype(np.int32)) for x in (at, n))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(key), pa.array(left), *ints, pa.array(value), pa.array(place.astype(np.int32))], names)
+
+    return rows.select("doc_id", "text", "ends").mapInArrow(run, "doc_id long, key long, left boolean, at int, n int, hash long, point int")
+
+
+def _extended(docs: DataFrame, hits: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` with the equal words on both sides: of a removed run those that a document of smaller id has there too."""
+    ends = runs.select("doc_id", "removed", "run", "first", "last", F.explode(F.array(F.struct(F.col("first_key").alias("key"), F.lit(True).alias("left")), F.struct(F.col("last_key").alias("key"), F.lit(False).alias("left")))).alias("e"))
+    ends = ends.select("doc_id", "removed", "run", "e.key", "e.left", F.when(F.col("e.left"), F.col("first")).otherwise(F.col("last")).alias("at"))
+    holders = hits.join(ends.select("key", "left").distinct().hint("merge"), "key")
+    holders = holders.select("doc_id", "key", "left", F.when(F.col("left"), F.col("first")).otherwise(F.col("last")).alias("at")).distinct()
+    sides = materialize(_sides(docs, holders), "run-sides")
+    same = ["key", "left", "n", "hash"]
+    equal = sides.groupBy(*same).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    wider = sides.join(equal.hint("merge"), same).join(ends.hint("merge"), ["doc_id", "key", "left", "at"]).where((F.col("low") < F.col("doc_id")) == F.col("removed"))
+    best = lambda left: F.max(F.when(F.col("left") == F.lit(left), F.struct("n", "point")))
+    wider = wider.groupBy("doc_id", "removed", "run").agg(best(True).alias("before"), best(False).alias("after"))
+    out = runs.join(wider.hint("merge"), ["doc_id", "removed", "run"], "left")
+    return out.select(
+        "doc_id", "removed", (F.col("first") - F.coalesce("before.n", F.lit(0))).alias("first"), (F.col("last") + F.coalesce("after.n", F.lit(0))).alias("last"),
+        F.coalesce("before.point", "start").alias("start"), F.coalesce("after.point", "until").alias("until"), "cluster", "keep_doc",
+    )
+
+
 def _equal_runs(docs: DataFrame, least: int) -> DataFrame:
     """Runs of overlapping pieces of equal words that several documents hold, kept and removed ones apart."""
     pieces = materialize(_pieces(docs, least), "pieces")
     twice = pieces.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
     twice = broadcast_if_small(materialize(twice, "equal-pieces"), BROADCAST_ROWS // 20)
-    hits = pieces.join(twice, "key").withColumn("removed", F.col("doc_id") != F.col("low"))
+    hits = every = materialize(pieces.join(twice, "key").withColumn("removed", F.col("doc_id") != F.col("low")), "equal-hits")
     # cuts near a run's ends may be those of some documents only; what they add inside a removed run is not kept
     upto = [w.rowsBetween(Window.unboundedPreceding, Window.currentRow) for w in (
         Window.partitionBy("doc_id").orderBy("first", "last"), Window.partitionBy("doc_id").orderBy(F.desc("first"), F.desc("last")))]
@@ -189,10 +244,11 @@ def _equal_runs(docs: DataFrame, least: int) -> DataFrame:
     own = Window.partitionBy("doc_id", "removed").orderBy("first", "last")
     reached = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
     hits = hits.withColumn("run", F.coalesce((F.col("first") > reached).cast("int"), F.lit(1))).withColumn("run", F.sum("run").over(own))
-    return hits.groupBy("doc_id", "removed", "run").agg(
+    runs = hits.groupBy("doc_id", "removed", "run").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("until").alias("until"),
-        F.min("key").alias("cluster"), F.min("low").alias("keep_doc"),
+        F.min("key").alias("cluster"), F.min("low").alias("keep_doc"), F.min_by("key", "first").alias("first_key"), F.max_by("key", "last").alias("last_key"),
     )
+    return _extended(docs, every, materialize(runs, "equal-runs"))
 
 
 def _linked(rows: DataFrame, percent: int) -> DataFrame:

@@ -175,6 +175,22 @@ def test_passages_of_short_lines(spark):
         assert middle not in " ".join(out[5].split()) and all(out[i] == t for i, t in rows if i != 5)
 
 
+def test_runs_of_just_over_fifty_words_are_removed_whole(spark):
+    r = random.Random(9)
+    words = lambda n: [f"é{r.randrange(9000)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(40):
+        shared = words(51 + i % 8)
+        for doc in (i, 100 + i):
+            before, after = [*words(60 + r.randrange(40)), f"a{doc}"], [f"b{doc}", *words(60)]
+            rows.append((doc, " ".join([*before, *shared, *after])))
+            want[doc] = (doc >= 100, i, " ".join(shared))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = [(x.doc_id, (x.removed, x.keep_doc, texts[x.doc_id][x.start : x.until]), x.last - x.first) for x in ps._equal_runs(df, ps.LEAST_RUN_WORDS).collect()]
+    assert {(d, w) for d, w, _ in found} == set(want.items()) and all(n == len(w[2].split()) for _, w, n in found)
+
+
 def test_without_spans():
     assert ps.without_spans("ab cd ef", [(3, 5)]) == "ab  ef"
     assert ps.without_spans(None, []) is None and ps.without_spans("abc", [(0, 3)]) == ""
