@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.mixing import mix_documents
-from gaugeframe.llm.near_dedup import BROADCAST_ROWS, near_duplicate_components
+from gaugeframe.llm.near_dedup import near_duplicate_components
 from gaugeframe.llm.passages import remove_passages, repeated_passages
 from gaugeframe.llm.piece_bpe import encode_documents
 from gaugeframe.llm.queries import coded_digests, piece_model
 from gaugeframe.llm.toxicity import fit_toxicity, without_toxic
-from gaugeframe.sources.scratch import broadcast_if_small, materialize
+from gaugeframe.sources.scratch import materialize, written_side
 
+#: Numbers of a written side of a join that may be broadcast.
+BROADCAST_VALUES = 2_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -28,8 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
     found = near_duplicate_components(spark, docs, shingle_words=5, percent=80)
-    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
-    gone = broadcast_if_small(gone, BROADCAST_ROWS)
+    gone = written_side(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-copies", BROADCAST_VALUES)
     return docs.select(*COLUMNS).join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # File kinds, folder names that mean a split, magic numbers, limits and statuses of the service.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
-SPLIT_ALIASES = {"train": "train", "training": "train", "test": "test", "testing": "test", "val": "val", "valid": "val", "validation": "val"}
+SPLIT_ALIASES = {
+    "train": "train", "training": "train", "test": "test", "testing": "test", "val": "val", "valid": "val", "validation": "val",
+}
 NONE = "(none)"
 LIMITS = {"bytes": 5 * 1024 * 1024, "side_min": 32, "side_max": 4096, "pixels": 16_000_000, "aspect": 4.0}
+#: Published counts and sizes of the casting data set.
+CASTING_COUNTS = {("train", "def_front"): 3758, ("train", "ok_front"): 2875, ("test", "def_front"): 453, ("test", "ok_front"): 262}
+CASTING_SIZES = ((300, 300), (512, 512))
+CLASS_NAMES, POSITIVE_CLASS = ("normal", "defective"), "defective"
+CHANNELS = {"1": 1, "L": 1, "I": 1, "F": 1, "P": 1, "I;16": 1, "LA": 2, "RGB": 3, "RGBA": 4, "CMYK": 4, "RGBX": 4, "HSV": 3, "LAB": 3, "YCbCr": 3}
 ERROR_STATUS = {"unauthorized": 401, "unsupported_media_type": 415, "rate_limited": 429, "overloaded": 503}
 
 
@@ -36,13 +47,16 @@ def class_dir(path: Column) -> Column:
 
 
 def resolve_classes(df: DataFrame, aliases: DataFrame, *, strict: bool = True) -> DataFrame:
-    """Inner join to the alias table (class_dir, class_name); with ``strict`` unmapped folders raise, listed in order."""
-    if strict:
-        missing = df.select("class_dir").distinct().join(F.broadcast(aliases), "class_dir", "left_anti").orderBy("class_dir").limit(50)
-        names = [r[0] for r in missing.collect()]
-        if names:
-            raise ValueError(f"unmapped class folders: {names}")
-    return df.join(F.broadcast(aliases), "class_dir")
+    """Inner join to the alias table (class_dir, class_name); with ``strict`` unmapped folders raise, all of them listed in order.
+
+    The error is raised by the query itself, from a row that Spark joins, so nothing is collected before.
+    """
+    if not strict:
+        return df.join(aliases, "class_dir")
+    missing = df.select("class_dir").distinct().join(aliases, "class_dir", "left_anti").agg(F.sort_array(F.collect_set("class_dir")).alias("names"))
+    text = F.concat(F.lit("unmapped class folders: "), F.array_join("names", ", "))
+    checked = missing.select(F.when(F.size("names") == 0, True).otherwise(F.raise_error(text).cast("boolean")).alias("_mapped"))
+    return df.crossJoin(F.broadcast(checked)).where("_mapped").drop("_mapped").join(aliases, "class_dir")
 
 
 def is_external(path: Column, folders: tuple[str, ...]) -> Column:
@@ -68,24 +82,72 @@ def checksum_lines(df: DataFrame, name: str = "rel_path") -> DataFrame:
     return df.select(F.format_string("%s  %s", F.col("sha256"), F.col(name)).alias("line"), F.col(name)).orderBy(name).select("line")
 
 
-def verify_checksums(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Problem rows (name, problem): malformed lines, unsafe names, missing files, other contents."""
+def verify_checksums(lines: DataFrame, files: DataFrame, *, flat: bool = True) -> DataFrame:
+    """Problem rows (name, problem): malformed lines, unsafe names, missing files, other contents.
+
+    A name is unsafe with a backslash or a part that starts with a dot, and where it holds a slash (``flat``, files of one folder)
+    or, for trees, begins with one.
+
+    Without any line the manifest itself is missing: one row.
+    """
     parsed = lines.select("line", F.regexp_extract("line", r"^([0-9a-f]{64})  (.+)$", 1).alias("want"), F.regexp_extract("line", r"^([0-9a-f]{64})  (.+)$", 2).alias("name"))
     joined = parsed.join(files.select(F.col("rel_path").alias("name"), "sha256"), "name", "left")
-    unsafe = F.col("name").startswith("/") | F.array_contains(F.split("name", "/"), "..")
+    unsafe = F.col("name").contains("/") if flat else F.col("name").startswith("/") | F.array_contains(F.split("name", "/"), "..")
+    unsafe = unsafe | F.col("name").contains("\\") | F.exists(F.split("name", "/"), lambda x: x.startswith("."))
     problem = F.when(F.col("want") == "", "malformed line").when(unsafe, "unsafe name").when(F.col("sha256").isNull(), "missing file").when(F.col("sha256") != F.col("want"), "mismatch")
-    return joined.select(F.when(F.col("want") == "", F.col("line")).otherwise(F.col("name")).alias("name"), problem.alias("problem")).where("problem is not null")
-
-
-def set_fingerprint(df: DataFrame, by: str | None = None, hash_col: str = "sha256") -> DataFrame:
-    """SHA-256 of the sorted hashes joined by line feeds, repeats kept: independent of row order."""
-    joined = F.sha2(F.array_join(F.array_sort(F.collect_list(hash_col)), "\n"), 256).alias("fingerprint")
-    return df.groupBy(by).agg(joined) if by else df.agg(joined)
+    found = joined.select(F.when(F.col("want") == "", F.col("line")).otherwise(F.col("name")).alias("name"), problem.alias("problem")).where("problem is not null")
+    none = lines.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("SHA256SUMS").alias("name"), F.lit("missing manifest").alias("problem"))
+    return found.unionByName(none)
+
+
+def set_fingerprint(df: DataFrame, by: str | None = None, hash_col: str = "sha256", every: DataFrame | None = None) -> DataFrame:
+    """SHA-256 of the sorted hashes joined by line feeds, repeats kept: independent of row order.
+
+    With ``by`` a row (by, n, fingerprint) for each of its values, and for those of ``every`` that have no rows; else one row.  One
+    digest is sequential by definition: Spark sorts the hashes of a group outside memory and one task streams them through it.
+    """
+    rows = df.select((F.col(by).cast("string") if by else F.lit("")).alias("k"), F.col(hash_col).cast("string").alias("h")).where("h is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, n = None, None, 0
+        schema = pa.schema([("k", pa.string()), ("n", pa.int64()), ("fingerprint", pa.string())])
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([n]), pa.array([digest.hexdigest()])], schema=schema)
+        for batch in batches:
+            keys, hashes = batch.column("k").to_pylist(), batch.column("h").to_pylist()
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if digest is None or keys[at] != key:
+                    if digest is not None:
+                        yield done()
+                    key, digest, n = keys[at], hashlib.sha256(), 0
+                digest.update((("\n" if n else "") + "\n".join(hashes[at:end])).encode())
+                n += end - at
+                at = end
+        if digest is not None:
+            yield done()
+
+    found = rows.repartition("k").sortWithinPartitions("k", "h").mapInArrow(run, "k string, n long, fingerprint string")
+    empty = hashlib.sha256(b"").hexdigest()
+    if by is None:
+        one = df.sparkSession.range(1).select(F.lit("").alias("k"))
+        return one.join(found.hint("merge"), "k", "left").select(F.coalesce("fingerprint", F.lit(empty)).alias("fingerprint"))
+    if every is None:
+        return found.select(F.col("k").alias(by), "n", "fingerprint")
+    named = every.select(F.col(by).cast("string").alias("k")).join(found.hint("merge"), "k", "left")
+    return named.select(F.col("k").alias(by), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("fingerprint", F.lit(empty)).alias("fingerprint"))
 
 
 def manifest_report(df: DataFrame, classes: list[str]) -> DataFrame:
-    """Rows of each source split and class folder, zero where there are none."""
-    return df.groupBy("source_split").pivot("class_dir", classes).count().na.fill(0)
+    """Rows (part, key, detail, n) of the report: the number of files, each corrupt file with its error, and the rows of each source
+    split and class folder, zero where there are none."""
+    total = df.agg(F.count("*").alias("n")).select(F.lit("n").alias("part"), F.lit("").alias("key"), F.lit("").alias("detail"), "n")
+    corrupt = df.where("error is not null").select(F.lit("corrupt").alias("part"), F.col("rel_path").alias("key"), F.col("error").alias("detail"), F.lit(1).cast("long").alias("n"))
+    wide = df.where("error is null").groupBy("source_split").pivot("class_dir", classes).count().na.fill(0)
+    counts = wide.select(F.col("source_split").alias("key"), F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in classes)))).alias("detail", "n"))
+    return total.unionByName(corrupt).unionByName(counts.select(F.lit("count").alias("part"), "key", "detail", "n"))
 
 
 def read_split(df: DataFrame, split: str) -> DataFrame:
@@ -106,12 +168,16 @@ def sniff_format(content: Column) -> Column:
 
 
 def file_verdict(df: DataFrame, limits: dict = LIMITS) -> DataFrame:
-    """Add verdict and status: the first rule that a file breaks, in the service's order (size, type, pixels, sides, shape, decoding)."""
+    """Add verdict and status: the first rule that a file breaks, in the service's order (size, type, pixels, frames, sides, shape, decoding).
+
+    ``n_frames`` is optional; a file of several frames is refused.
+    """
     w, h = F.col("width"), F.col("height")
     rules = [
         (F.col("size_bytes") > limits["bytes"], "payload_too_large", 413),
         (F.col("format").isNull(), "unsupported_media_type", 415),
         (w.cast("long") * h > limits["pixels"], "too_many_pixels", 400),
+        (F.col("n_frames") > 1 if "n_frames" in df.columns else F.lit(False), "multi_frame", 400),
         ((F.least(w, h) < limits["side_min"]) | (F.greatest(w, h) > limits["side_max"]), "bad_dimensions", 400),
         (F.greatest(w, h) > limits["aspect"] * F.least(w, h), "bad_aspect", 400),
         (F.col("error").isNotNull(), "invalid_image", 400),
@@ -140,13 +206,23 @@ def caller_fingerprint(key: Column, ip: Column) -> Column:
 
 
 def registry_problems(df: DataFrame) -> DataFrame:
-    """Problems of model rows (model_version, threshold, low, high, temperature, positive_class), one row each."""
+    """Problems of model rows, one row each.
+
+    Columns: model_version, schema_version, threshold, low, high, temperature, class_names (array), positive_class and the struct
+    ``onnx`` (opset, input_name, output_name), which is null for a candidate; a served model needs it.
+    """
     checks = F.array_compact(
         F.array(
+            F.when(F.coalesce(F.length("model_version"), F.lit(0)) == 0, "no model version"),
+            F.when(~F.col("schema_version").eqNullSafe(F.lit(1)), "unknown schema version"),
             F.when(~((F.col("threshold") > 0) & (F.col("threshold") < 1)), "threshold outside (0, 1)"),
             F.when((F.col("threshold") < F.col("low")) | (F.col("threshold") > F.col("high")), "threshold outside the review band"),
             F.when(F.col("temperature") <= 0, "temperature not positive"),
-            F.when(F.col("positive_class") != "defective", "unexpected positive class"),
+            F.when(~F.col("class_names").eqNullSafe(F.array(*(F.lit(c) for c in CLASS_NAMES))), "unexpected class names"),
+            F.when(~F.col("positive_class").eqNullSafe(F.lit(POSITIVE_CLASS)), "unexpected positive class"),
+            F.when(F.col("onnx").isNull(), "no exported model"),
+            F.when(F.col("onnx").isNotNull() & ~F.coalesce(F.col("onnx.opset") >= 13, F.lit(False)), "opset below 13"),
+            F.when(F.col("onnx").isNotNull() & (F.col("onnx.input_name").isNull() | F.col("onnx.output_name").isNull()), "input or output without a name"),
         )
     )
     return df.select("model_version", F.explode(checks).alias("problem"))
@@ -157,13 +233,18 @@ def split_class_counts(df: DataFrame) -> DataFrame:
 
 
 def inventory_profile(df: DataFrame) -> DataFrame:
-    """One row: valid and corrupt files, byte and side ranges."""
-    return df.agg(
-        F.count("*").alias("n_files"), F.count_if(F.col("error").isNull()).alias("n_valid"), F.count_if(F.col("error").isNotNull()).alias("n_corrupt"),
-        F.sum("size_bytes").alias("bytes_total"), F.min("size_bytes").alias("bytes_min"), F.max("size_bytes").alias("bytes_max"),
-        F.min("width").alias("width_min"), F.max("width").alias("width_max"), F.min("height").alias("height_min"), F.max("height").alias("height_max"),
-        F.count_if(F.col("format") == "PNG").alias("n_png"), F.count_if(F.col("format") == "JPEG").alias("n_jpeg"), F.count_if(F.col("mode") == "L").alias("n_gray"),
-    )
+    """Rows (facet, value, n): files, valid and corrupt ones, byte and side ranges, and the valid files of each format, mode and number of channels."""
+    ok = F.col("error").isNull()
+    one = {
+        "n_images": F.count("*"), "n_valid": F.count_if(ok), "n_corrupt": F.count_if(~ok), "bytes_total": F.sum("size_bytes"), "bytes_min": F.min("size_bytes"),
+        "bytes_max": F.max("size_bytes"), **{f"{c}_{n}": f(F.when(ok, F.col(c))) for c in ("width", "height") for n, f in (("min", F.min), ("max", F.max))},
+    }
+    single = df.agg(*(v.cast("long").alias(k) for k, v in one.items()))
+    single = single.select(F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in one)))).alias("facet", "n")).select("facet", F.lit("").alias("value"), "n")
+    channels = F.create_map(*(F.lit(x) for kv in CHANNELS.items() for x in kv))[F.col("mode")].cast("string")
+    facets = F.array(*(F.struct(F.lit(k).alias("facet"), v.alias("value")) for k, v in (("format", F.col("format")), ("mode", F.col("mode")), ("channels", channels))))
+    each = df.where(ok).select(F.inline(facets)).groupBy("facet", "value").agg(F.count("*").alias("n"))
+    return single.unionByName(each)
 
 
 def directory_rollup(df: DataFrame, depth: int) -> DataFrame:
@@ -174,20 +255,34 @@ def directory_rollup(df: DataFrame, depth: int) -> DataFrame:
     return df.select(F.inline(names)).groupBy("dir").agg(F.count_if("direct").alias("direct_files"), F.count("*").alias("files"))
 
 
-def dataset_signature(df: DataFrame, reference: DataFrame, size: tuple[int, int]) -> DataFrame:
-    """One row: commonest size, counts that differ from the reference table (source_split, class_dir, want) and the confidence."""
-    common = df.groupBy("width", "height").count().orderBy(F.desc("count"), F.desc("width"), F.desc("height")).limit(1)
-    off = split_class_counts(df).join(F.broadcast(reference), ["source_split", "class_dir"], "full_outer").where(~F.col("count").eqNullSafe(F.col("want"))).agg(F.count("*").alias("n_off"))
-    right = (F.col("width") == size[0]) & (F.col("height") == size[1])
-    sure = F.when(right & (F.col("n_off") == 0), "exact").when(right, "probable").otherwise("unknown")
-    return common.crossJoin(F.broadcast(off)).select("width", "height", "n_off", sure.alias("confidence"))
+def dataset_signature(df: DataFrame, counts: dict[tuple[str, str], int] = CASTING_COUNTS, sizes: tuple = CASTING_SIZES) -> DataFrame:
+    """One row: data set (null: unknown), confidence, commonest size of valid files and the counts that differ from the published ones.
+
+    Casting: both its class folders occur; ``high`` if the size is a published one and train and test counts are equal, else
+    ``medium``.  MVTec AD: a class folder ``good`` and some path with ``ground_truth``.
+    """
+    valid = df.where("error is null")
+    size = valid.groupBy("width", "height").count().orderBy(F.desc("count"), F.desc("width"), F.desc("height")).limit(1)
+    want = df.sparkSession.createDataFrame([(s, c, n) for (s, c), n in counts.items()], "source_split string, class_dir string, want long")
+    have = split_class_counts(df.where(F.col("source_split").isin(*{s for s, _ in counts})))
+    off = have.join(F.broadcast(want), ["source_split", "class_dir"], "full_outer").where(~F.col("count").eqNullSafe(F.col("want"))).agg(F.count("*").alias("n_off"))
+    dirs = sorted({c for _, c in counts})
+    seen = df.agg(*(F.coalesce(F.bool_or(F.col("class_dir") == c), F.lit(False)).alias(f"has_{i}") for i, c in enumerate([*dirs, "good"])), F.coalesce(F.bool_or(F.col("rel_path").contains("ground_truth")), F.lit(False)).alias("masks"))
+    casting, mvtec = F.col("has_0") & F.col("has_1"), F.col("has_2") & F.col("masks")
+    right = F.lit(False)
+    for w, h in sizes:
+        right = right | ((F.col("width") == w) & (F.col("height") == h))
+    name = F.when(casting, "casting").when(mvtec, "mvtec_ad")
+    sure = F.when(casting & right & (F.col("n_off") == 0), "high").when(casting | mvtec, "medium")
+    return seen.crossJoin(F.broadcast(off)).join(F.broadcast(size), F.lit(True), "left").select(name.alias("dataset"), sure.alias("confidence"), "width", "height", "n_off")
 
 
 def class_counts(df: DataFrame, splits: list[str], classes: list[str]) -> DataFrame:
     """Rows of every split and class, zeros too."""
     spark = df.sparkSession
     every = spark.createDataFrame([(s, c) for s in splits for c in classes], "source_split string, class_dir string")
-    return F.broadcast(every).join(split_class_counts(df), ["source_split", "class_dir"], "left").select("source_split", "class_dir", F.coalesce("count", F.lit(0)).alias("n"))
+    counts = split_class_counts(df.where(F.col("source_split").isin(*splits) & F.col("class_dir").isin(*classes)))  # no more rows than ``every``
+    return every.join(F.broadcast(counts), ["source_split", "class_dir"], "left").select("source_split", "class_dir", F.coalesce("count", F.lit(0)).alias("n"))
 
 
 def split_crosstab(df: DataFrame, split: str = "split", kind: str = "class_name") -> DataFrame:
@@ -199,10 +294,17 @@ def split_crosstab(df: DataFrame, split: str = "split", kind: str = "class_name"
 
 
 def split_report(df: DataFrame) -> DataFrame:
-    """Kept rows of each split with their share and defect rate (4 places)."""
-    counts = df.where("exclude_reason = ''").groupBy("split").agg(F.count("*").alias("n"), F.sum("label").alias("defects"))
+    """Rows (part, key, n, share, defect_rate): kept rows of each split with their share of the kept and defect rate (4 places), and
+    the excluded rows of each reason."""
+    kept = F.col("exclude_reason") == ""
+    counts = df.where(kept).groupBy("split").agg(F.count("*").alias("n"), F.sum("label").alias("defects"))
     total = counts.agg(F.sum("n").alias("t"))
-    return counts.crossJoin(F.broadcast(total)).select("split", "n", F.round(F.col("n") / F.col("t"), 4).alias("share"), F.round(F.col("defects") / F.col("n"), 4).alias("defect_rate"))
+    used = counts.crossJoin(F.broadcast(total)).select(
+        F.lit("split").alias("part"), F.col("split").alias("key"), "n", F.round(F.col("n") / F.col("t"), 4).alias("share"), F.round(F.col("defects") / F.col("n"), 4).alias("defect_rate")
+    )
+    none = F.lit(None).cast("double")
+    gone = df.where(~kept).groupBy(F.col("exclude_reason").alias("key")).agg(F.count("*").alias("n"))
+    return used.unionByName(gone.select(F.lit("excluded").alias("part"), "key", "n", none.alias("share"), none.alias("defect_rate")))
 
 
 def top_sizes(df: DataFrame, k: int = 10) -> DataFrame:

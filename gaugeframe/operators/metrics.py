@@ -1,21 +1,28 @@
 """Score analytics over a table of id, label (0/1) and p.
 
-Curves first count by distinct score.  Running totals over distinct scores use
-buckets of the score range: totals of at most ``BUCKETS`` buckets are summed in
-order, and within a bucket a window adds the rest, so no task orders all scores.
+Curves first count by distinct score.  Running totals over distinct scores are
+dealt by range (``operators.ranking``), so no task orders all scores, however
+they are spread.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.arrays import bin_index
 from gaugeframe.functions.scores import logit, sigmoid
+from gaugeframe.operators.ranking import exact_quantiles, running_totals
+from gaugeframe.sources.scratch import drop_written, materialize
 
-BUCKETS = 4096
-#: Temperatures that one round of the fit tries.
-GRID = 64
+#: Distinct scores that one task of the bootstrap draws weights for at a time.
+CELLS = 1024
+#: Temperatures that one round of the fit tries, and its rounds: the last grid's points lie 3e-6 apart in ln T.
+GRID, ROUNDS = 64, 4
 LOW_T, HIGH_T = 0.05, 20.0
 
 
@@ -61,22 +68,18 @@ def classification_metrics(df: DataFrame, threshold: float, by: list[str] | None
 
 def score_curve(df: DataFrame) -> DataFrame:
     """Each distinct score with pos, neg, and tp, fp of all scores at least as high, positives, negatives."""
-    each = df.groupBy("p").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).withColumn("b", F.floor(F.col("p") * BUCKETS))
-    sums = each.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS + 1 rows
-    whole = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    sums = sums.select(
-        "b", zero(F.sum("bp").over(above)).alias("ap"), zero(F.sum("bn").over(above)).alias("an"), F.sum("bp").over(whole).alias("positives"), F.sum("bn").over(whole).alias("negatives")
-    )
-    own = Window.partitionBy("b").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = each.join(F.broadcast(sums), "b")
-    return out.select("p", "pos", "neg", (F.col("ap") + F.sum("pos").over(own)).alias("tp"), (F.col("an") + F.sum("neg").over(own)).alias("fp"), "positives", "negatives")
+    each = df.groupBy("p").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    above = running_totals(each, [], [F.desc("p")], {"_tp": "pos", "_fp": "neg"})
+    total = above.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    out = above.crossJoin(F.broadcast(total))
+    return out.select("p", "pos", "neg", (F.col("_tp") + F.col("pos")).alias("tp"), (F.col("_fp") + F.col("neg")).alias("fp"), "positives", "negatives")
 
 
 def pr_curve(df: DataFrame) -> DataFrame:
+    """Precision and recall at each distinct score; recall is 0 where there are no positives."""
     c = score_curve(df)
-    return c.select(F.col("p").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("positives")).alias("recall"))
+    recall = _ratio(F.col("tp"), F.col("positives"), 0.0)
+    return c.select(F.col("p").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), recall.alias("recall"))
 
 
 def roc_curve(df: DataFrame) -> DataFrame:
@@ -93,48 +96,95 @@ def ranking_metrics(df: DataFrame) -> DataFrame:
 
 def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Distinct values of each group with their average rank (ties share it), by distributed running totals."""
-    from gaugeframe.operators.ranking import running_total
+    return weighted_ranks(df.withColumn("_w", F.lit(1)), value, by, "_w")
+
 
-    each = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    done = running_total(each, by, [value], "n", "before")
+def weighted_ranks(df: DataFrame, value: str, by: list[str], weight: str) -> DataFrame:
+    """As ``average_ranks``, for rows that stand for ``weight`` equal ones."""
+    each = df.groupBy(*by, value).agg(F.sum(weight).alias("n"))
+    done = running_totals(each, by, [value], {"before": "n"})
     return done.select(*by, value, (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman_by(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
-    """Spearman correlation in each group, null for two rows or fewer."""
-    rx = average_ranks(df, x, [by]).withColumnRenamed("rank", "rx")
-    ry = average_ranks(df, y, [by]).withColumnRenamed("rank", "ry")
-    rows = df.select(by, x, y).join(rx, [by, x]).join(ry, [by, y])
-    return rows.groupBy(by).agg(F.when(F.count("*") > 2, F.corr("rx", "ry")).alias("spearman"))
+    """Rows n and Spearman correlation in each group, null for two rows or fewer."""
+    pairs = materialize(df.groupBy(by, x, y).agg(F.count("*").alias("_w")), "pairs")  # the narrow input is computed once
+    rx, ry = (weighted_ranks(pairs, v, [by], "_w").withColumnRenamed("rank", r).hint("merge") for v, r in ((x, "_rx"), (y, "_ry")))
+    rows = pairs.join(rx, [by, x]).join(ry, [by, y])
+    w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
+    sums = rows.groupBy(by).agg(F.sum("_w").alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"))
+    centred = rows.join(F.broadcast(sums), by)
+    da, db = a - F.col("sa") / F.col("n"), b - F.col("sb") / F.col("n")
+    m = centred.groupBy(by).agg(F.max("n").alias("n"), F.sum(w * da * db).alias("ab"), F.sum(w * da * da).alias("aa"), F.sum(w * db * db).alias("bb"))
+    spread = F.sqrt(F.col("aa") * F.col("bb"))
+    return m.select(by, "n", F.when((F.col("n") > 2) & (spread > 0), F.col("ab") / spread).alias("spearman"))
+
+
+BOOTSTRAPPED = ("average_precision", "roc_auc", "precision", "recall", "f1", "macro_f1", "accuracy")
 
 
-def bootstrap(df: DataFrame, threshold: float, resamples: int, level: float = 0.95, id_col: str = "id") -> DataFrame:
-    """Point, low and high of precision, recall, F1 and accuracy by the Poisson bootstrap.
+def _drawn(cells: pd.DataFrame, block: int, resamples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Poisson weights (cells x resamples) of the positives and negatives of a block; equal whenever the block is drawn again."""
+    rng = np.random.Generator(np.random.PCG64(zlib.crc32(f"{seed}|{block}".encode())))
+    return tuple(rng.poisson(cells[c].to_numpy()[:, None], (len(cells), resamples)) for c in ("pos", "neg"))
 
-    Each row has in each resample a Poisson(1) weight from the MD5 of its id, four
-    resamples to a digest, so nothing is drawn and a resample never moves rows: one
-    grouping by resample with map-side sums.  Single-class resamples are skipped
-    and counted.
+
+def resampled_counts(df: DataFrame, threshold: float, resamples: int, seed: int = 0) -> DataFrame:
+    """For each resample b: tp, fp, tn, fn at the threshold and the sums ``steps`` and ``below`` of the two ranking metrics.
+
+    Rows are first counted by distinct score and label; a resample gives each count c a Poisson(c) weight, as if each of its rows
+    had a Poisson(1) weight of its own, so rows are never multiplied.  Scores lie in blocks of ``CELLS`` in descending order: one
+    pass sums the weights of a block, a second adds the totals of the blocks before and draws the same weights again.
     """
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit("|"), F.col("j").cast("string")).cast("binary"))
-    rows = df.select("label", (F.col("p") >= threshold).alias("hit"), id_col, F.explode(F.sequence(F.lit(0), F.lit((resamples + 3) // 4 - 1))).alias("j"))
-    rows = rows.select("label", "hit", "j", digest.alias("digest"))
-    parts = F.array(*(F.struct((F.col("j") * 4 + k).alias("b"), F.substring("digest", 8 * k + 1, 8).alias("x")) for k in range(4)))
-    rows = rows.select("label", "hit", F.explode(parts).alias("s")).select("label", "hit", "s.b", (F.conv("s.x", 16, 10).cast("long") / 4294967296.0).alias("u"))
-    rows = rows.select("label", "hit", "b", bin_index(F.col("u"), cdf).alias("w")).where(f"b < {resamples} and w > 0")
-    w, pos = F.col("w"), F.col("label") == 1
-    each = rows.groupBy("b").agg(
-        F.sum(F.when(F.col("hit") & pos, w).otherwise(0)).alias("tp"), F.sum(F.when(F.col("hit") & ~pos, w).otherwise(0)).alias("fp"),
-        F.sum(F.when(~F.col("hit") & ~pos, w).otherwise(0)).alias("tn"), F.sum(F.when(~F.col("hit") & pos, w).otherwise(0)).alias("fn"),
-    )
-    each = each.where("tp + fn > 0 and tn + fp > 0")
-    metrics = {"precision": "case when tp + fp > 0 then tp / (tp + fp) else 0 end", "recall": "tp / (tp + fn)", "f1": "2 * tp / (2 * tp + fp + fn)", "accuracy": "(tp + tn) / (tp + fp + tn + fn)"}
+    from gaugeframe.operators.ranking import distributed_rank
+
+    each = df.groupBy("p").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
+    placed = distributed_rank(each.withColumn("down", -F.col("p")), [], ["down"], "at")
+    cells = materialize(placed.select(F.floor(F.col("at") / CELLS).alias("block"), "at", "p", "pos", "neg"), "bootstrap-cells")
+
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pos, neg = _drawn(pdf.sort_values("at"), key[0], resamples, seed)
+        return pd.DataFrame({"block": key[0], "b": np.arange(resamples), "pos": pos.sum(0), "neg": neg.sum(0)})
+
+    blocks = cells.groupBy("block").applyInPandas(sums, "block long, b int, pos long, neg long")
+    ahead = Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("block", "b", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("pos", "neg")))
+    before = materialize(before, "bootstrap-before")
+
+    def metrics(key: tuple, pdf: pd.DataFrame, off: pd.DataFrame) -> pd.DataFrame:
+        pdf, off = pdf.sort_values("at"), off.sort_values("b")
+        pos, neg = _drawn(pdf, key[0], resamples, seed)
+        tp, fp = pos.cumsum(0) + off.pos.to_numpy(), neg.cumsum(0) + off.neg.to_numpy()
+        hit = (pdf.p.to_numpy() >= threshold)[:, None]
+        flagged = tp + fp
+        steps = np.divide(pos * tp, flagged, out=np.zeros(pos.shape), where=flagged > 0)
+        total = {"tp": (pos * hit).sum(0), "fp": (neg * hit).sum(0), "tn": (neg * ~hit).sum(0), "fn": (pos * ~hit).sum(0)}
+        return pd.DataFrame({"b": np.arange(resamples), **total, "steps": steps.sum(0), "below": (pos * (fp - neg / 2.0)).sum(0)})
+
+    schema = "b int, tp long, fp long, tn long, fn long, steps double, below double"
+    part = cells.groupBy("block").cogroup(before.groupBy("block")).applyInPandas(metrics, schema)
+    return part.groupBy("b").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn", "steps", "below")))
+
+
+def bootstrap(df: DataFrame, threshold: float, resamples: int, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """metric, point, low, high, resamples, skipped of the seven metrics by the Poisson bootstrap; single-class resamples are skipped and counted."""
+    each = resampled_counts(df, threshold, resamples, seed)
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    pos, neg = tp + fn, tn + fp
+    f1, f0 = _ratio(2 * tp, 2 * tp + fp + fn, 0.0), _ratio(2 * tn, 2 * tn + fp + fn, 0.0)
+    values = {
+        "average_precision": F.col("steps") / pos, "roc_auc": 1 - F.col("below") / pos / neg, "precision": _ratio(tp, tp + fp, 0.0), "recall": tp / pos, "f1": f1,
+        "macro_f1": (f1 + f0) / 2, "accuracy": (tp + tn) / (pos + neg),
+    }
+    long = lambda rows: F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(m).alias("k"), rows[m].cast("double").alias("v")) for m in BOOTSTRAPPED)))).alias("metric", "v")
     tail = (1 - level) / 2
-    spread = each.select(F.explode(F.create_map(*(x for k, v in metrics.items() for x in (F.lit(k), F.expr(f"cast({v} as double)"))))).alias("metric", "v"))
-    spread = spread.groupBy("metric").agg(F.percentile("v", tail).alias("low"), F.percentile("v", 1 - tail).alias("high"), F.count("*").alias("resamples"))
-    point = counts_at(df, threshold).select(F.explode(F.create_map(*(x for k, v in metrics.items() for x in (F.lit(k), F.expr(f"cast({v} as double)"))))).alias("metric", "point"))
-    return spread.join(F.broadcast(point), "metric").select("metric", "point", "low", "high", "resamples")
+    used = each.where((pos > 0) & (neg > 0)).select(long(values))
+    spread = used.groupBy("metric").agg(F.percentile("v", tail).alias("low"), F.percentile("v", 1 - tail).alias("high"), F.count("*").alias("resamples"))
+    point = classification_metrics(df, threshold).crossJoin(F.broadcast(ranking_metrics(df)))
+    point = point.select(long({m: F.col(m) for m in BOOTSTRAPPED})).withColumnRenamed("v", "point")
+    return point.join(F.broadcast(spread), "metric", "left").select(
+        "metric", "point", "low", "high", F.coalesce("resamples", F.lit(0)).alias("resamples"), (F.lit(resamples) - F.coalesce("resamples", F.lit(0))).alias("skipped")
+    )
 
 
 def similarity_buckets(df: DataFrame, edges: list[float], value: str = "similarity") -> DataFrame:
@@ -145,17 +195,17 @@ def similarity_buckets(df: DataFrame, edges: list[float], value: str = "similari
 
 
 def bucket_metrics(df: DataFrame, edges: list[float]) -> DataFrame:
-    """Errors, misses and false alarms of each similarity bucket that has rows."""
+    """Defective rows, errors, misses and false alarms of each similarity bucket that has rows."""
     wrong = ~F.col("correct")
     g = similarity_buckets(df, edges).groupBy("lo", "hi").agg(
-        F.count("*").alias("n"), F.count_if(wrong).alias("errors"), F.count_if(wrong & (F.col("label") == 1)).alias("missed"), F.count_if(wrong & (F.col("label") == 0)).alias("false_alarms")
+        F.count("*").alias("n"), F.sum("label").alias("n_defective"), F.count_if(wrong).alias("errors"), F.count_if(wrong & (F.col("label") == 1)).alias("missed"), F.count_if(wrong & (F.col("label") == 0)).alias("false_alarms")
     )
     return g.withColumn("error_rate", F.round(F.col("errors") / F.col("n"), 4))
 
 
 def quartile_errors(df: DataFrame, value: str = "brightness") -> DataFrame:
     """Rows and errors of each quartile; a value equal to a cut belongs to the lower one."""
-    cuts = df.agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("cuts"))
+    cuts = exact_quantiles(df, value, [0.25, 0.5, 0.75]).withColumnRenamed("quantiles", "cuts")
     q = 1 + F.size(F.filter("cuts", lambda c: c < F.col(value)))
     return df.crossJoin(F.broadcast(cuts)).groupBy(q.alias("quartile")).agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("errors"))
 
@@ -165,7 +215,7 @@ def reliability_bins(df: DataFrame, bins: int) -> DataFrame:
     inner = [i / bins for i in range(1, bins)]
     g = df.groupBy(bin_index(F.col("p"), inner).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("label").alias("share"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(g, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean_p", F.lit(0.0)).alias("mean_p"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    return every.join(F.broadcast(g), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean_p", F.lit(0.0)).alias("mean_p"), F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def expected_calibration_error(df: DataFrame, bins: int) -> DataFrame:
@@ -191,14 +241,14 @@ def is_separable(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(pos > neg, F.lit(False)).alias("separable"))
 
 
-def fit_temperature(df: DataFrame, rounds: int = 3) -> float:
+def fit_temperature(df: DataFrame, rounds: int = ROUNDS) -> float:
     """The temperature of least mean loss, on a grid in ln T that each round narrows around its best point.
 
     A round is one aggregation over counted margins and grid points; the best point alone returns.
     """
     from math import exp, log
 
-    each = df.groupBy(signed_margin().alias("m")).agg(F.count("*").alias("n"))
+    each = materialize(df.groupBy(signed_margin().alias("m")).agg(F.count("*").alias("n")), "margins")
     low, high, best = log(LOW_T), log(HIGH_T), 1.0
     for _ in range(rounds):
         grid = [low + (high - low) * i / (GRID - 1) for i in range(GRID)]
@@ -207,6 +257,7 @@ def fit_temperature(df: DataFrame, rounds: int = 3) -> float:
         i = loss.agg(F.min(F.struct("loss", "i")).alias("s")).first()["s"]["i"]
         best = exp(grid[i])
         low, high = grid[max(i - 1, 0)], grid[min(i + 1, GRID - 1)]
+    drop_written(each)
     return best
 
 
@@ -227,33 +278,47 @@ def margin_threshold(df: DataFrame, candidate: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("lower").isNull(), F.col("candidate")).otherwise(middle).alias("threshold"))
 
 
-def threshold_for_recall(df: DataFrame, recall: float) -> DataFrame:
-    """Best precision with at least ``recall``, of ties the lowest threshold, moved to the margin; raises if recall > 1."""
+def _reached(candidate: Column, asked: str) -> Column:
+    """The candidate, or an error where no threshold gives it."""
+    return F.when(candidate.isNotNull(), candidate).otherwise(F.raise_error(F.lit(f"no threshold reaches {asked}")).cast("double"))
+
+
+def threshold_for_recall(df: DataFrame, recall: float, curve: DataFrame | None = None) -> DataFrame:
+    """Best precision with at least ``recall``, of ties the lowest threshold, moved to the margin.
+
+    Raises if ``recall`` > 1, and in the query where no threshold reaches it (no positives).  ``curve`` is the table's
+    ``pr_curve``, if it is at hand.
+    """
     if recall > 1:
         raise ValueError("no threshold reaches a recall above 1")
-    c = pr_curve(df).where(F.col("recall") >= recall).agg(F.max(F.struct("precision", (-F.col("threshold")).alias("t"))).alias("s"))
-    return margin_threshold(df, c.select((-F.col("s.t")).alias("candidate")))
+    c = (pr_curve(df) if curve is None else curve).where((F.col("recall") >= recall) & (F.col("recall") > 0))
+    c = c.agg(F.max(F.struct("precision", (-F.col("threshold")).alias("t"))).alias("s"))
+    return margin_threshold(df, c.select(_reached(-F.col("s.t"), f"a recall of {recall}").alias("candidate")))
 
 
-def f1_optimal_threshold(df: DataFrame) -> DataFrame:
+def f1_optimal_threshold(df: DataFrame, curve: DataFrame | None = None) -> DataFrame:
+    """The threshold of the largest F1, of ties the lowest."""
     f1 = _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0)
-    return pr_curve(df).agg(F.max_by("threshold", F.struct(f1.alias("f1"), -F.col("threshold"))).alias("threshold"))
+    return (pr_curve(df) if curve is None else curve).agg(F.max_by("threshold", F.struct(f1.alias("f1"), -F.col("threshold"))).alias("threshold"))
 
 
-def threshold_for_precision(df: DataFrame, precision: float, floor: float) -> DataFrame:
+def threshold_for_precision(df: DataFrame, precision: float, floor: float, curve: DataFrame | None = None) -> DataFrame:
     """The lowest threshold of at least ``floor`` with the precision, else the larger of floor and the highest score."""
     hit = (F.col("precision") >= precision) & (F.col("threshold") >= floor)
-    return pr_curve(df).agg(F.coalesce(F.min(F.when(hit, F.col("threshold"))), F.greatest(F.max("threshold"), F.lit(floor))).alias("threshold"))
+    return (pr_curve(df) if curve is None else curve).agg(F.coalesce(F.min(F.when(hit, F.col("threshold"))), F.greatest(F.max("threshold"), F.lit(floor))).alias("threshold"))
 
 
-def max_threshold_with_recall(df: DataFrame, recall: float) -> DataFrame:
-    c = pr_curve(df).agg(F.max(F.when(F.col("recall") >= recall, F.col("threshold"))).alias("candidate"))
-    return margin_threshold(df, c)
+def max_threshold_with_recall(df: DataFrame, recall: float, curve: DataFrame | None = None) -> DataFrame:
+    """The highest threshold with at least ``recall``, moved to the margin; raises in the query where none reaches it."""
+    c = (pr_curve(df) if curve is None else curve).where(F.col("recall") > 0)
+    c = c.agg(F.max(F.when(F.col("recall") >= recall, F.col("threshold"))).alias("candidate"))
+    return margin_threshold(df, c.select(_reached(F.col("candidate"), f"a recall of {recall}").alias("candidate")))
 
 
-def review_band(df: DataFrame, threshold: float, low_recall: float, high_precision: float) -> DataFrame:
-    low = max_threshold_with_recall(df, low_recall).select(F.least("threshold", F.lit(threshold)).alias("low"))
-    high = threshold_for_precision(df, high_precision, threshold).select(F.col("threshold").alias("high"))
+def review_band(df: DataFrame, threshold: float, low_recall: float, high_precision: float, curve: DataFrame | None = None) -> DataFrame:
+    """One row: low and high of the band, which holds ``threshold``."""
+    low = max_threshold_with_recall(df, low_recall, curve).select(F.least("threshold", F.lit(threshold)).alias("low"))
+    high = threshold_for_precision(df, high_precision, threshold, curve).select(F.col("threshold").alias("high"))
     return low.crossJoin(F.broadcast(high))
 
 
@@ -268,12 +333,26 @@ def band_summary(df: DataFrame, threshold: float, low: float, high: float) -> Da
     )
 
 
-def expected_cost(df: DataFrame, threshold: float, low: float, high: float, miss: float = 20.0, alarm: float = 1.0, review: float = 0.25) -> DataFrame:
-    """Cost for 1000 rows, of the threshold alone and with the review band (reviewed rows are decided rightly)."""
-    b = band_summary(df, threshold, low, high).crossJoin(F.broadcast(counts_at(df, threshold)))
-    alone = 1000 * (miss * F.col("fn") + alarm * F.col("fp")) / F.col("n")
-    band = 1000 * (miss * F.col("missed_auto_passed") + alarm * F.col("alarms_auto_rejected") + review * F.col("reviewed")) / F.col("n")
-    return b.select(F.inline(F.array(F.struct(F.lit("threshold").alias("policy"), alone.alias("cost")), F.struct(F.lit("review_band").alias("policy"), band.alias("cost")))))
+def cost_table(
+    df: DataFrame, thresholds: dict[str, float], chosen: str, low: float, high: float, miss: float = 20.0, alarm: float = 1.0, review: float = 0.25
+) -> DataFrame:
+    """policy and cost for 1000 rows of each threshold alone, and of the ``chosen`` one with the review band (reviewed rows are decided rightly)."""
+    p, pos = F.col("p"), F.col("label") == 1
+    alone = lambda t: 1000 * (miss * F.count_if(pos & (p < t)) + alarm * F.count_if(~pos & (p >= t))) / F.count("*")
+    review_n = F.count_if((p >= low) & (p < high))
+    band = 1000 * (miss * F.count_if(pos & (p < low)) + alarm * F.count_if(~pos & (p >= high)) + review * review_n) / F.count("*")
+    rows = [F.struct(F.lit(name).alias("policy"), F.col(f"c{i}").alias("cost")) for i, name in enumerate([*thresholds, f"{chosen}+review_band"])]
+    costs = df.agg(*(alone(t).alias(f"c{i}") for i, t in enumerate(thresholds.values())), band.alias(f"c{len(thresholds)}"))
+    return costs.select(F.inline(F.array(*rows)))
+
+
+def point_table(df: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """One row for each named threshold: its operating point."""
+    out = None
+    for name, t in thresholds.items():
+        one = operating_point(df, t).select(F.lit(name).alias("point"), F.lit(t).alias("threshold"), "tp", "fp", "tn", "fn", "precision", "recall", "f1", "false_alarm_rate")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def class_weights(df: DataFrame) -> DataFrame:
@@ -322,15 +401,24 @@ def explain_cases(df: DataFrame, k: int = 2) -> DataFrame:
 
 
 def parity(a: DataFrame, b: DataFrame, atol: float = 1e-4, rtol: float = 1e-4) -> DataFrame:
-    """One row: rows compared, largest difference, and whether every difference is within atol + rtol * |a|."""
+    """One row: rows compared, largest difference, the share of atol + rtol * |a| that the worst one uses, and whether none uses more than all."""
     both = a.select("id", F.col("z").alias("x")).join(b.select("id", F.col("z").alias("y")), "id")
     off = F.abs(F.col("x") - F.col("y"))
-    return both.agg(F.count("*").alias("n"), F.max(off).alias("max_abs"), (F.max(off / (atol + rtol * F.abs("x"))) <= 1).alias("passed"))
+    used = F.max(off / (atol + rtol * F.abs("x")))
+    return both.agg(F.count("*").alias("n"), F.max(off).alias("max_abs"), used.alias("used"), (used <= 1).alias("passed"))
 
 
 def compare_scorers(df: DataFrame, threshold: float) -> DataFrame:
-    """One row for a table of p and p_other: largest difference and decisions that change."""
-    return df.agg(F.max(F.abs(F.col("p") - F.col("p_other"))).alias("max_dp"), F.count_if((F.col("p") >= threshold) != (F.col("p_other") >= threshold)).alias("decisions_changed"))
+    """A row for each scorer of a table of p and p_other: its metrics, its largest difference from p and the decisions that it changes."""
+    other = df.withColumn("p", F.col("p_other"))
+    off = df.agg(F.max(F.abs(F.col("p") - F.col("p_other"))).alias("max_dp"), F.count_if((F.col("p") >= threshold) != (F.col("p_other") >= threshold)).alias("decisions_changed"))
+    none = off.select(F.lit(0.0).alias("max_dp"), F.lit(0).cast("long").alias("decisions_changed"))
+    out = None
+    for name, rows, change in (("p", df, none), ("p_other", other, off)):
+        one = ranking_metrics(rows).crossJoin(F.broadcast(operating_point(rows, threshold).select("precision", "recall", "f1"))).crossJoin(F.broadcast(change))
+        one = one.select(F.lit(name).alias("scorer"), *one.columns)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def epoch_trace(history: DataFrame, patience: int) -> DataFrame:

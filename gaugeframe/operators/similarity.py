@@ -1,16 +1,22 @@
 """Similarity of thumbnails and anomaly scores.
 
-The top-k join compares all rows of two tables under eight orientations.  It is
-dealt in tiles: each side falls into blocks by a hash of the id, a tile is a
-pair of blocks, and within it one matrix product scores every pair; only the
-tile's k best of each query leave it, and a ranked window keeps the k best of
-all.  The block size bounds a task's memory and the number of tiles the
-parallelism; nothing is broadcast.
+Two searches compare thumbnails under eight orientations:
+
+* ``top_matches`` goes from coarse to fine.  Only the coarse arrays (2 x 2 means,
+  packed as 32-bit numbers) meet, in tiles of id blocks, and each task hands on the
+  ``k`` best of each query; the full arrays are then joined to these pairs alone.
+* ``threshold_links`` finds all pairs at a threshold without a shortlist.  Sums over
+  the places that orientations carry into each other don't change when a thumbnail
+  is turned or flipped, and for standardised thumbnails with correlation r they
+  differ by at most sqrt(2 - 2r) as a vector, so rows are dealt to cells of a grid
+  over such sums and only meet within a cell; no pair at the threshold is lost.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -18,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.functions.arrays import dot, mean, permute
-from gaugeframe.plans.bindings import orientation_maps
+from gaugeframe.functions.arrays import dot, mean, orbits, orientation_maps, permute, pool2, standardize
+from gaugeframe.sources.scratch import materialize, materialize_observed
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
+SHORTLIST = 30
+#: Grid coordinates of the threshold search: this many orbits, those of most places.
+COORDINATES = 4
 
 
 def with_orientations(df: DataFrame, side: int = 8) -> DataFrame:
@@ -30,74 +39,150 @@ def with_orientations(df: DataFrame, side: int = 8) -> DataFrame:
     return df.select("*", F.posexplode(maps).alias("orientation", "_map")).withColumn("fine", permute(F.col("fine"), F.col("_map"))).drop("_map")
 
 
-def _blocks(df: DataFrame) -> tuple[DataFrame, int]:
-    n = max(1, -(-df.count() // BLOCK_ROWS))
-    return df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
+def _standard(x: np.ndarray) -> np.ndarray:
+    x = x - x.mean(axis=-1, keepdims=True)
+    return x / (np.linalg.norm(x, axis=-1, keepdims=True) + 1e-6)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A list column without nulls as a matrix."""
+    return np.asarray(column.flatten(), float).reshape(-1, width)
+
+
+def _packed(df: DataFrame, *columns: str, side: int) -> DataFrame:
+    """id, the columns and the standardised coarse array of each thumbnail, packed as 64-bit numbers."""
+    half = side // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coarse = _standard(_matrix(batch.column("coarse"), half * half))
+            packed = pa.array([r.tobytes() for r in coarse], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in columns), packed], ["id", *columns, "coarse"])
+
+    kinds = "".join(f", {c} string" for c in columns)
+    rows = df.select(F.col("id").cast("long"), *(F.col(c).cast("string") for c in columns), pool2(F.col("fine"), side).alias("coarse"))
+    return rows.mapInArrow(run, f"id long{kinds}, coarse binary")
+
+
+def shortlist(query: DataFrame, target: DataFrame, k: int, *, same_set: bool, side: int = 8) -> DataFrame:
+    """query, grp, target, coarse: for each query and each group of targets (column ``grp``) the k best by coarse correlation.
+
+    Correlations count to 9 places, ties go to the smaller id.
+    """
+    maps = orientation_maps(side // 2)
+    q, many = materialize_observed(_packed(query, side=side), "coarse-queries", F.count(F.lit(1)).alias("n"))
+    t, much = materialize_observed(_packed(target, "grp", side=side), "coarse-targets", F.count(F.lit(1)).alias("n"))
+    nq, nt = (max(1, -(-x["n"] // BLOCK_ROWS)) for x in (many, much))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(F.lit(0).alias("kind"), "id", F.lit(None).cast("string").alias("grp"), "coarse", block(nq).alias("i"), every(nt).alias("j"))
+    right = t.select(F.lit(1).alias("kind"), "id", "grp", "coarse", every(nq).alias("i"), block(nt).alias("j"))
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": [], "grp": [], "target": [], "coarse": []}).astype({"query": "int64", "grp": "object", "target": "int64", "coarse": "float64"})]
+        a, rest = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
+        if not len(a) or not len(rest):
+            return out[0]
+        x = np.frombuffer(b"".join(a.coarse), float).reshape(len(a), -1)
+        for grp, b in rest.groupby("grp", dropna=False, sort=True):
+            y = np.frombuffer(b"".join(b.coarse), float).reshape(len(b), -1).T
+            ids = b.id.to_numpy()
+            for at in range(0, len(x), 256):
+                own = a.id.to_numpy()[at : at + 256]
+                best = np.round(np.max([x[at : at + 256][:, m] @ y for m in maps], axis=0), 9)
+                if same_set:
+                    best[own[:, None] == ids[None, :]] = -2.0
+                n = min(k, best.shape[1])
+                floor = np.partition(best, best.shape[1] - n, axis=1)[:, best.shape[1] - n]
+                r, c = np.nonzero((best >= floor[:, None]) & (best > -2.0))
+                order = np.lexsort((ids[c], -best[r, c], r))
+                r, c = r[order], c[order]
+                first = np.searchsorted(r, r)
+                keep = np.arange(len(r)) - first < n
+                out.append(pd.DataFrame({"query": own[r[keep]], "grp": grp, "target": ids[c[keep]], "coarse": best[r[keep], c[keep]]}))
+        return pd.concat(out[1:] or out)
+
+    met = left.unionByName(right).groupBy("i", "j").applyInPandas(tile, "query long, grp string, target long, coarse double")
+    order = Window.partitionBy("query", "grp").orderBy(F.desc("coarse"), "target")
+    return met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+
+
+def fine_scores(pairs: DataFrame, query: DataFrame, target: DataFrame, side: int = 8) -> DataFrame:
+    """query, grp, target with corr (the best orientation's, to 9 places) and via_transform (some orientation beats the identity)."""
+    maps = orientation_maps(side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x, y = (_standard(_matrix(part.column(c), side * side)) for c in ("x", "y"))
+                each = np.stack([(x[:, m] * y).sum(1) for m in maps]) if len(x) else np.zeros((8, 0))
+                best = np.round(each.max(axis=0), 9)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("query", "grp", "target")), pa.array(best), pa.array(np.round(each[0], 9) < best)], ["query", "grp", "target", "corr", "via_transform"])
+
+    x = query.select(F.col("id").cast("long").alias("query"), F.col("fine").cast("array<double>").alias("x"))
+    y = target.select(F.col("id").cast("long").alias("target"), F.col("fine").cast("array<double>").alias("y"))
+    both = pairs.select("query", "grp", "target").join(x.hint("merge"), "query").join(y.hint("merge"), "target")
+    return both.select("query", "grp", "target", "x", "y").mapInArrow(run, "query long, grp string, target long, corr double, via_transform boolean")
 
 
 def top_matches(query: DataFrame, target: DataFrame, k: int, *, same_set: bool, side: int = 8) -> DataFrame:
-    """query, target, corr, via_transform of each query's k best targets (corr to 9 places, ties to the smaller id).
+    """query, target, corr, via_transform of each query's k shortlisted targets (all, if there are fewer).
 
-    Inputs have id and fine (side x side numbers).  With ``same_set`` a row is not its own match.  ``via_transform`` is true when
-    some other orientation beats the identity.
+    Inputs have id and fine (side x side numbers).  With ``same_set`` a row is not its own match.  The shortlist is the coarse
+    pass's, ``corr`` the fine correlation.
     """
-    maps = np.array(orientation_maps(side))
-    (q, nq), (t, nt) = _blocks(query.select("id", "fine")), _blocks(target.select("id", "fine"))
-    left = q.select(F.lit(0).alias("kind"), "id", "fine", F.col("_b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).alias("j"))
-    right = t.select(F.lit(1).alias("kind"), "id", "fine", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), F.col("_b").alias("j"))
+    grouped = target.withColumn("grp", F.lit(""))
+    return fine_scores(shortlist(query, grouped, k, same_set=same_set, side=side), query, target, side).drop("grp")
 
-    def standard(x: np.ndarray) -> np.ndarray:
-        x = x - x.mean(axis=-1, keepdims=True)
-        return x / (np.linalg.norm(x, axis=-1, keepdims=True) + 1e-6)
 
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query": [], "target": [], "corr": [], "via_transform": []}).astype({"query": "int64", "target": "int64", "corr": "float64", "via_transform": "bool"})
-        x = standard(np.stack(a.fine.to_numpy()).astype(float))
-        y = standard(np.stack(b.fine.to_numpy()).astype(float)).T
-        ids, out = b.id.to_numpy(), []
-        for at in range(0, len(x), 256):
-            each = np.stack([x[at : at + 256][:, m] @ y for m in maps])
-            best = np.round(each.max(axis=0), 9)
-            own = each[0]
-            if same_set:
-                best[a.id.to_numpy()[at : at + 256][:, None] == ids[None, :]] = -2.0
-            n = min(k, best.shape[1])
-            for r in range(best.shape[0]):
-                floor = np.partition(best[r], best.shape[1] - n)[best.shape[1] - n]
-                cand = np.flatnonzero(best[r] >= floor)
-                cand = cand[np.lexsort((ids[cand], -best[r][cand]))][:n]
-                cand = cand[best[r][cand] > -2.0]
-                out.append(pd.DataFrame({"query": int(a.id.iloc[at + r]), "target": ids[cand], "corr": best[r][cand], "via_transform": np.round(own[r][cand], 9) < best[r][cand]}))
-        return pd.concat(out)
-
-    met = left.unionByName(right).groupBy("i", "j").applyInPandas(tile, "query long, target long, corr double, via_transform boolean")
-    order = Window.partitionBy("query").orderBy(F.desc("corr"), "target")
-    return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).drop("k")
+def nearest_by_group(query: DataFrame, target: DataFrame, *, k: int = SHORTLIST, side: int = 8) -> DataFrame:
+    """query, grp, nearest: the best fine correlation of each query to the targets of each group (one pass for all groups)."""
+    scored = fine_scores(shortlist(query, target, k, same_set=False, side=side), query, target, side)
+    return scored.groupBy("query", "grp").agg(F.max("corr").alias("nearest"))
+
+
+def nearest_similarity(query: DataFrame, target: DataFrame, *, same_set: bool, k: int = SHORTLIST) -> DataFrame:
+    """id and nearest: the best correlation, -1 where there is no target."""
+    best = top_matches(query, target, k, same_set=same_set).groupBy(F.col("query").alias("id")).agg(F.max("corr").alias("nearest"))
+    return query.select("id").join(best.hint("merge"), "id", "left").select("id", F.coalesce("nearest", F.lit(-1.0)).alias("nearest"))
+
+
+def _cells(df: DataFrame, threshold: float, side: int) -> DataFrame:
+    """Rows (id, fine, more) with ``cell``, once for each cell of the grid that a partner at the threshold may lie in."""
+    reach = sqrt(max(0.0, 2 - 2 * threshold)) + 1e-3  # the small term covers the rounding of correlations and the norm's guard
+    chosen = sorted(orbits(side), key=lambda o: (-len(o), o))[:COORDINATES]
+    rows = df.withColumn("_s", standardize(F.col("fine")))
+    # a row lies in the cells of its point moved by half the reach either way: two points within the reach share one in each coordinate
+    steps = []
+    for places in chosen:
+        total = sum(F.element_at("_s", i + 1) for i in places) / sqrt(len(places))
+        low, high = (F.floor((total + move) / (2 * reach)).cast("int") for move in (-reach / 2, reach / 2))
+        steps.append(F.array_distinct(F.array(low, high)))
+    for n, step in enumerate(steps):
+        rows = rows.withColumn(f"_c{n}", F.explode(step))
+    return rows.withColumn("cell", F.xxhash64(*(F.col(f"_c{n}") for n in range(len(steps))))).drop("_s", *(f"_c{n}" for n in range(len(steps))))
 
 
 def threshold_links(df: DataFrame, threshold: float, side: int = 8) -> DataFrame:
     """query, target: links that join all pairs of rows with a correlation (to 9 places) of at least ``threshold``.
 
-    All pairs are compared in tiles, none is capped; of the pairs found a tile gives out only those that join its rows (fewer than
-    its rows), so that the components are those of all pairs.
+    No pair is capped.  The rows of a cell are compared in tiles of bounded size; of the pairs found a tile gives out only those
+    that join its rows (fewer than its rows), so that the components are those of all pairs.
     """
-    maps = np.array(orientation_maps(side))
-    rows, n = _blocks(df.select("id", "fine"))
-    dealt = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.select("id", "fine", "_b", F.least("_b", "x").alias("i"), F.greatest("_b", "x").alias("j"))
-
-    def standard(x: np.ndarray) -> np.ndarray:
-        x = x - x.mean(axis=-1, keepdims=True)
-        return x / (np.linalg.norm(x, axis=-1, keepdims=True) + 1e-6)
+    maps = orientation_maps(side)
+    rows = materialize(_cells(df.select("id", "fine"), threshold, side), "cells")
+    size = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n"))
+    rows = rows.join(materialize(size, "cell-sizes").hint("merge"), "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    dealt = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("id", "fine", "b", "cell", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf._b == pdf.i], pdf[pdf._b == pdf.j]
+        a, b = pdf[pdf.b == pdf.i], pdf[pdf.b == pdf.j]
         found: list[tuple[int, int]] = []
         if len(a) and len(b):
-            x = standard(np.stack(a.fine.to_numpy()).astype(float))
-            y = standard(np.stack(b.fine.to_numpy()).astype(float)).T
+            x = _standard(np.stack(a.fine.to_numpy()).astype(float))
+            y = _standard(np.stack(b.fine.to_numpy()).astype(float)).T
             own, ids = a.id.to_numpy(), b.id.to_numpy()
             label = np.unique(np.concatenate([own, ids]), return_inverse=True)[1]
             for at in range(0, len(x), 256):
@@ -111,26 +196,50 @@ def threshold_links(df: DataFrame, threshold: float, side: int = 8) -> DataFrame
                         label[np.isin(label, other)] = label[r]
         return pd.DataFrame(found, columns=["query", "target"]).astype("int64")
 
-    return dealt.groupBy("i", "j").applyInPandas(tile, "query long, target long")
+    return dealt.groupBy("cell", "i", "j").applyInPandas(tile, "query long, target long")
 
 
-def nearest_similarity(query: DataFrame, target: DataFrame, *, same_set: bool) -> DataFrame:
-    """id and nearest: the best correlation, -1 where there is no target."""
-    best = top_matches(query, target, 1, same_set=same_set).select(F.col("query").alias("id"), F.col("corr").alias("nearest"))
-    return query.select("id").join(best, "id", "left").select("id", F.coalesce("nearest", F.lit(-1.0)).alias("nearest"))
+def threshold_pairs(query: DataFrame, target: DataFrame, threshold: float, side: int = 8) -> DataFrame:
+    """id of the rows of ``query`` with some row of ``target`` at a correlation (to 9 places) of at least ``threshold``."""
+    maps = orientation_maps(side)
+    marked = query.select("id", "fine", F.lit(0).alias("kind")).unionByName(target.select("id", "fine", F.lit(1).alias("kind")))
+    rows = materialize(_cells(marked, threshold, side), "cells")
+    size = rows.groupBy("cell").agg(*(F.ceil(F.count_if(F.col("kind") == k) / BLOCK_ROWS).cast("int").alias(f"n{k}") for k in (0, 1))).where("n0 > 0 and n1 > 0")
+    rows = rows.join(materialize(size, "cell-sizes").hint("merge"), "cell")
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("kind") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int")
+    dealt = rows.withColumn("b", own).withColumn("x", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)))
+    first = F.col("kind") == 0
+    dealt = dealt.select("id", "fine", "kind", "cell", F.when(first, F.col("b")).otherwise(F.col("x")).alias("i"), F.when(first, F.col("x")).otherwise(F.col("b")).alias("j"))
 
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
+        hit = []
+        if len(a) and len(b):
+            x, y = (_standard(np.stack(p.fine.to_numpy()).astype(float)) for p in (a, b))
+            for at in range(0, len(x), 256):
+                best = np.round(np.max([x[at : at + 256][:, m] @ y.T for m in maps], axis=0), 9)
+                hit.append(a.id.to_numpy()[at : at + 256][(best >= threshold).any(axis=1)])
+        return pd.DataFrame({"id": np.concatenate(hit) if hit else np.zeros(0, np.int64)}).astype("int64")
 
-def cross_split_matrix(df: DataFrame, pairs: list[tuple[str, str]], threshold: float, info: float) -> DataFrame:
-    """For each ordered pair of splits: rows, rows at or above both thresholds, largest and median nearest similarity."""
-    out = None
-    for a, b in pairs:
-        near = nearest_similarity(df.where(F.col("split") == a), df.where(F.col("split") == b), same_set=False)
-        one = near.agg(
-            F.lit(a).alias("eval_split"), F.lit(b).alias("train_side"), F.count("*").alias("n"), F.count_if(F.col("nearest") >= threshold).alias("n_threshold"),
-            F.count_if(F.col("nearest") >= info).alias("n_info"), F.round(F.max("nearest"), 5).alias("max"), F.round(F.percentile("nearest", 0.5), 5).alias("median"),
-        ).where("n > 0")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return dealt.groupBy("cell", "i", "j").applyInPandas(tile, "id long").distinct()
+
+
+def cross_split_matrix(df: DataFrame, pairs: list[tuple[str, str]], threshold: float, info: float, k: int = SHORTLIST) -> DataFrame:
+    """For each ordered pair of splits that have rows: rows, rows at or above both thresholds, largest and median nearest similarity.
+
+    One shortlist pass serves all pairs: the rows of the first splits are the queries, those of the second the targets, in groups.
+    """
+    from gaugeframe.operators.ranking import exact_quantiles
+
+    a, b = sorted({p[0] for p in pairs}), sorted({p[1] for p in pairs})
+    query, target = df.where(F.col("split").isin(*a)), df.where(F.col("split").isin(*b)).withColumn("grp", F.col("split"))
+    near = nearest_by_group(query, target, k=k).join(query.select(F.col("id").alias("query"), F.col("split").alias("eval_split")).hint("merge"), "query")
+    asked = F.array(*(F.concat(F.lit(x), F.lit("|"), F.lit(y)) for x, y in pairs))
+    near = materialize(near.where(F.array_contains(asked, F.concat("eval_split", F.lit("|"), "grp"))).withColumnRenamed("grp", "train_side"), "nearest")
+    by = ["eval_split", "train_side"]
+    out = near.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("nearest") >= threshold).alias("n_threshold"), F.count_if(F.col("nearest") >= info).alias("n_info"), F.round(F.max("nearest"), 5).alias("max"))
+    middle = exact_quantiles(near, "nearest", [0.5], by).select(*by, F.round(F.col("quantiles")[0], 5).alias("median"))
+    return out.join(F.broadcast(middle), by)
 
 
 def image_stats(df: DataFrame) -> DataFrame:
@@ -169,18 +278,21 @@ def farthest_first(points: np.ndarray, size: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def coreset(df: DataFrame, size: int, chunk_rows: int = 20_000) -> DataFrame:
+def coreset(df: DataFrame, size: int, chunk_rows: int = 20_000, dims: int | None = None) -> DataFrame:
     """At most ``size`` rows (id, patch, v) that cover the others: a choice within each chunk of rows, then one among the choices.
 
     Chunks hold about ``chunk_rows`` rows by hash, the last choice sees ``size`` rows of each chunk; with more chunks than
-    ``chunk_rows / size`` the choice is repeated, so no task sees more than a few chunks' worth.
+    ``chunk_rows / size`` the choice is repeated, so no task sees more than a few chunks' worth.  With ``dims`` distances are taken
+    after a random projection to so many dimensions.
     """
     rows, n = df.select("id", "patch", "v"), df.count()
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "patch"])
-        keep = farthest_first(np.stack(pdf.v.to_numpy()).astype(float), size)
-        return pdf.iloc[keep][["id", "patch", "v"]]
+        points = np.stack(pdf.v.to_numpy()).astype(float)
+        if dims is not None and dims < points.shape[1]:
+            points = points @ np.array(projection_signs(dims, points.shape[1], 42)).T / sqrt(dims)
+        return pdf.iloc[farthest_first(points, size)][["id", "patch", "v"]]
 
     while True:
         chunks = max(1, -(-n // max(chunk_rows, 4 * size)))
@@ -191,13 +303,15 @@ def coreset(df: DataFrame, size: int, chunk_rows: int = 20_000) -> DataFrame:
         n = chunks * size
 
 
-def anomaly_scores(df: DataFrame, bank: DataFrame) -> DataFrame:
-    """id and score: the largest over an image's patches of the distance to the nearest bank vector (bank: a coreset of set size)."""
+def bank_distances(rows: DataFrame, bank: DataFrame) -> DataFrame:
+    """id, patch and the distance of v to the nearest vector of the bank (a coreset of set size, at most 50,000 vectors)."""
     size = bank.count()
     if size > 50_000:
         raise ValueError("the bank is meant to be a coreset of at most 50,000 vectors")
-    points = np.stack([r["v"] for r in bank.select("v").collect()]).astype(float) if size else np.zeros((0, 1))
-    shared = df.sparkSession.sparkContext.broadcast(points)
+    if not size:
+        raise ValueError("the bank is empty")
+    points = np.stack([r["v"] for r in bank.select("v").collect()]).astype(float)
+    shared = rows.sparkSession.sparkContext.broadcast(points)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
@@ -205,20 +319,28 @@ def anomaly_scores(df: DataFrame, bank: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                v = np.array(part.column("v").to_pylist(), float).reshape(part.num_rows, -1)
+                v = _matrix(part.column("v"), b.shape[1])
                 d = (v * v).sum(1)[:, None] + square[None, :] - 2 * v @ b.T
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.sqrt(np.maximum(d.min(axis=1), 0.0)))], ["id", "distance"])
+                near = ((v - b[d.argmin(axis=1)]) ** 2).sum(1)  # the nearest one's distance without the cancellation
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("patch"), pa.array(np.sqrt(near))], ["id", "patch", "distance"])
 
-    near = patches(df).select("id", "v").mapInArrow(run, "id long, distance double")
-    return near.groupBy("id").agg(F.max("distance").alias("score"))
+    return rows.select("id", "patch", "v").mapInArrow(run, "id long, patch int, distance double")
 
 
-def sign_projection(v: Column, dims: int, width: int, seed: int) -> Column:
-    """A sparse random projection with signs from MD5: ``dims`` sums over ``width`` values."""
-    import hashlib
+def anomaly_scores(df: DataFrame, bank: DataFrame) -> DataFrame:
+    """id and score: the largest over an image's patches of the distance to the nearest bank vector."""
+    return bank_distances(patches(df), bank).groupBy("id").agg(F.max("distance").alias("score"))
+
 
+def projection_signs(dims: int, width: int, seed: int) -> list[list[float]]:
+    """Signs of a random projection, from MD5."""
     bit = lambda d, i: 1.0 if int(hashlib.md5(f"{seed}|{d}|{i}".encode()).hexdigest()[:2], 16) < 128 else -1.0
-    return F.array(*(dot(v, F.array(*(F.lit(bit(d, i)) for i in range(width)))) for d in range(dims)))
+    return [[bit(d, i) for i in range(width)] for d in range(dims)]
+
+
+def sign_projection(v: Column, dims: int, width: int, seed: int) -> Column:
+    """A random projection with signs from MD5: ``dims`` sums over ``width`` values."""
+    return F.array(*(dot(v, F.array(*(F.lit(x) for x in row))) for row in projection_signs(dims, width, seed)))
 
 
 def linear_scores(df: DataFrame, weights: list[float], bias: float, vector: str = "fine") -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeframe.functions.arrays import orientation_maps
+
 CLASSES = {"def_front": "defective", "ok_front": "normal"}
 EXTERNAL = ("src3", "src11")
 TEMPERATURE, THRESHOLD, BAND = 1.3, 0.6, (0.35, 0.8)
@@ -102,24 +104,15 @@ predictions AS (
     p >= {BAND[0]}e0 AND p < {BAND[1]}e0 AS needs_review, (p >= {THRESHOLD}e0)::INTEGER = label AS correct FROM logits)"""
 )
 
-#: Index maps of the eight orientations of an 8 x 8 array: four turns of 90 degrees, and those of the transposed array.
 SIDE = 8
 
-
-def orientation_maps(side: int = SIDE) -> list[list[int]]:
-    import numpy as np
-
-    grid = np.arange(side * side).reshape(side, side)
-    return [np.rot90(g, k).reshape(-1).tolist() for g in (grid, grid.T) for k in range(4)]
-
-
 PLANT_EVERY = 25
 
 
 def thumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, fine (64 numbers) and label: all embeddings, and for each 25th a turned or flipped copy, half as bright plus 0.1."""
     base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("fine"), "label")
-    maps = F.array(*(F.array(*(F.lit(i) for i in m)) for m in orientation_maps()))
+    maps = F.array(*(F.array(*(F.lit(i) for i in m)) for m in orientation_maps(SIDE)))
     turn = F.element_at(maps, ((F.col("id") / PLANT_EVERY).cast("int") % 8) + 1)
     planted = base.where(F.col("id") % PLANT_EVERY == 0).select(
         (F.col("id") + 1_000_000).alias("id"), F.transform(turn, lambda i: F.element_at("fine", i + 1) * 0.5 + 0.1).alias("fine"), "label"
@@ -128,7 +121,7 @@ def thumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 THUMBS = f"""
-maps AS (SELECT * FROM (VALUES {', '.join(f'({k}, {m})' for k, m in enumerate(orientation_maps()))}) AS t(k, m)),
+maps AS (SELECT * FROM (VALUES {', '.join(f'({k}, {m})' for k, m in enumerate(orientation_maps(SIDE)))}) AS t(k, m)),
 thumbs AS (
   SELECT vec_id AS id, embedding::DOUBLE[] AS fine, label FROM embeddings
   UNION ALL
@@ -136,6 +129,36 @@ thumbs AS (
   FROM embeddings JOIN maps ON k = (vec_id // {PLANT_EVERY}) % 8 WHERE vec_id % {PLANT_EVERY} = 0)"""
 
 
+def stills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thumbnails as an inventory with pixels: those of ``thumbs``, and for each 40th row an equal copy elsewhere.
+
+    Columns: id, fine, sha256 (of the pixels in millionths), label, source_split, rel_path, is_external, width, height, mode, size_bytes.
+    """
+    rows = thumbs(spark, sf_dir)
+    copies = rows.where("id < 1000000 and id % 40 = 3").withColumn("id", F.col("id") + 2_000_000)
+    rows = rows.unionByName(copies).withColumn("h", hash32(F.col("id")))
+    pixels = F.array_join(F.transform("fine", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
+    h, label = F.col("h"), (F.col("label") % 2).cast("int")
+    split = F.when(h % 20 < 12, "train").when(h % 20 < 15, "test").when(h % 20 < 17, "val").otherwise("(none)")
+    top = F.when(h % 9 == 4, "other_site").otherwise("casting")
+    path = F.concat_ws("/", top, split, F.when(label == 1, "def_front").otherwise("ok_front"), F.concat(F.col("id").cast("string"), F.lit(".png")))
+    side = F.when(h % 5 == 0, 300).otherwise(512)
+    return rows.select(
+        "id", "fine", F.sha2(pixels, 256).alias("sha256"), label.alias("label"), split.alias("source_split"), path.alias("rel_path"), (top == "other_site").alias("is_external"),
+        side.alias("width"), F.when(h % 41 == 0, 480).otherwise(side).alias("height"), F.when(h % 7 < 5, "L").otherwise("RGB").alias("mode"), (1000 + h % 90_000).alias("size_bytes"),
+    )
+
+
+STILLS = f"""{THUMBS},
+stills AS (
+  SELECT id, fine, sha256(list_aggregate(list_transform(fine, lambda x: round(x * 1000000)::BIGINT::VARCHAR), 'string_agg', ',')) AS sha256, (label % 2)::INTEGER AS label,
+    split AS source_split, concat_ws('/', top, split, CASE WHEN label % 2 = 1 THEN 'def_front' ELSE 'ok_front' END, id::VARCHAR || '.png') AS rel_path, top = 'other_site' AS is_external,
+    CASE WHEN h % 5 = 0 THEN 300 ELSE 512 END AS width, CASE WHEN h % 41 = 0 THEN 480 WHEN h % 5 = 0 THEN 300 ELSE 512 END AS height, CASE WHEN h % 7 < 5 THEN 'L' ELSE 'RGB' END AS mode, 1000 + h % 90000 AS size_bytes
+  FROM (SELECT *, CASE WHEN h % 20 < 12 THEN 'train' WHEN h % 20 < 15 THEN 'test' WHEN h % 20 < 17 THEN 'val' ELSE '(none)' END AS split,
+          CASE WHEN h % 9 = 4 THEN 'other_site' ELSE 'casting' END AS top
+        FROM (SELECT *, {_h('id')} AS h FROM (SELECT * FROM thumbs UNION ALL SELECT id + 2000000, fine, label FROM thumbs WHERE id < 1000000 AND id % 40 = 3))))"""
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run, stage, epoch, val_pr_auc, val_loss, train_pr_auc: one pseudo-epoch for each clerk group and month of orders."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy").alias("y"), F.date_format("o_orderdate", "MM").cast("int").alias("m"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gaugeframe.operators import inventory as inv
-from gaugeframe.operators.similarity import image_stats
 from gaugeframe.plans.bindings import PARTS, PREDICTIONS, REQUEST_LOG, THRESHOLD, parts, predictions, request_log, thumbs, with_request_columns
+from gaugeframe.plans.fixtures import write_images
 from gaugeframe.plans.registry import query
 from gaugeframe.sources import images as im
-from gaugeframe.sources.scratch import materialize, scratch_path
+from gaugeframe.sources.scratch import scratch_path
 from gaugeframe.streaming import monitor as mo
 
 W = f"WITH {REQUEST_LOG}"
@@ -53,6 +54,13 @@ def _(s, d):
     return mo.run(mo.histogram(stream(s, d), "seconds", mo.LATENCY_BOUNDS, "route"), "complete", "latency")
 
 
+@query("j3_inference_histogram", f"{W} SELECT {_bounds('seconds', mo.INFERENCE_BOUNDS)}, count(*) AS count, sum(seconds::DECIMAL(18,4))::DOUBLE AS sum FROM request_log WHERE status = 200 AND route <> '/v1/model'")
+def _(s, d):
+    """Time of the requests that reached the scorer."""
+    served = stream(s, d).where("status = 200 and route != '/v1/model'")
+    return mo.run(mo.histogram(served, "seconds", mo.INFERENCE_BOUNDS), "complete", "inference")
+
+
 @query("j3_score_histogram", f"{W} SELECT model_version, {_bounds('p', mo.SCORE_BOUNDS)}, count(*) AS count, sum(p::DECIMAL(18,4))::DOUBLE AS sum FROM request_log GROUP BY model_version")
 def _(s, d):
     return mo.run(mo.histogram(stream(s, d), "p", mo.SCORE_BOUNDS, "model_version"), "complete", "scores")
@@ -82,6 +90,11 @@ def _(s, d):
     return mo.run(mo.rate_limit(stream(s, d), 86_400, 3), "append", "limited")
 
 
+@query("j5_rate_limit_batch")
+def _(s, d):
+    return mo.rate_limit_batch(request_log(s, d), 86_400, 3)
+
+
 @query("j6_failed_auth_bursts", f"{W} SELECT request_id, count(*) OVER (PARTITION BY caller ORDER BY ts RANGE BETWEEN INTERVAL 604800 SECOND PRECEDING AND CURRENT ROW) > 1 AS burst FROM request_log WHERE status = 401")
 def _(s, d):
     return mo.burst_flags(request_log(s, d).where("status = 401"), 604_800, 1)
@@ -128,19 +141,33 @@ def _(s, d):
     return request_log(s, d).select("request_id", inv.caller_fingerprint(key, F.concat(F.lit("10.0.0."), F.col("caller").cast("string"))).alias("caller"))
 
 
-@query("b14_registry_problems", f"""{W}, reg AS (SELECT route || '@' || model_version AS model_version, avg(p) AS threshold, 0.35e0 AS low, 0.49e0 AS high, count(*) % 2 AS temperature, CASE WHEN route = '/v1/model' THEN 'normal' ELSE 'defective' END AS positive_class FROM request_log GROUP BY route, request_log.model_version)
-  SELECT model_version, unnest(list_filter([CASE WHEN NOT (threshold > 0 AND threshold < 1) THEN 'threshold outside (0, 1)' END, CASE WHEN threshold < low OR threshold > high THEN 'threshold outside the review band' END,
-    CASE WHEN temperature <= 0 THEN 'temperature not positive' END, CASE WHEN positive_class <> 'defective' THEN 'unexpected positive class' END], lambda x: x IS NOT NULL)) AS problem FROM reg""")
+_PROBLEMS = [
+    ("schema_version <> 1", "unknown schema version"), ("NOT (threshold > 0 AND threshold < 1)", "threshold outside (0, 1)"), ("threshold < low OR threshold > high", "threshold outside the review band"),
+    ("temperature <= 0", "temperature not positive"), ("class_names <> ['normal', 'defective']", "unexpected class names"), ("positive_class <> 'defective'", "unexpected positive class"),
+    ("NOT exported", "no exported model"), ("exported AND opset < 13", "opset below 13"), ("exported AND output_name IS NULL", "input or output without a name"),
+]
+
+
+@query("b14_registry_problems", f"""{W}, reg AS (SELECT route || '@' || model_version AS model_version, avg(p) AS threshold, 0.35e0 AS low, 0.49e0 AS high, count(*) % 2 AS temperature,
+    CASE WHEN route = '/v1/model' THEN 'normal' ELSE 'defective' END AS positive_class, CASE WHEN count(*) % 3 = 0 THEN ['ok', 'defective'] ELSE ['normal', 'defective'] END AS class_names,
+    1 + (count(*) % 5 = 0)::INTEGER AS schema_version, count(*) % 4 <> 1 AS exported, 11 + count(*) % 4 AS opset, CASE WHEN count(*) % 7 <> 0 THEN 'logits' END AS output_name FROM request_log GROUP BY route, request_log.model_version)
+  SELECT model_version, unnest(list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for c, n in _PROBLEMS)}], lambda x: x IS NOT NULL)) AS problem FROM reg""")
 def _(s, d):
-    g = request_log(s, d).groupBy("route", "model_version").agg(F.avg("p").alias("threshold"), (F.count("*") % 2).alias("temperature"))
-    reg = g.select(F.concat("route", F.lit("@"), "model_version").alias("model_version"), "threshold", F.lit(0.35).alias("low"), F.lit(0.49).alias("high"), "temperature", F.when(F.col("route") == "/v1/model", "normal").otherwise("defective").alias("positive_class"))
+    g = request_log(s, d).groupBy("route", "model_version").agg(F.avg("p").alias("threshold"), F.count("*").alias("n"))
+    n = F.col("n")
+    names = F.when(n % 3 == 0, F.array(F.lit("ok"), F.lit("defective"))).otherwise(F.array(F.lit("normal"), F.lit("defective")))
+    onnx = F.struct((11 + n % 4).alias("opset"), F.lit("input").alias("input_name"), F.when(n % 7 != 0, "logits").alias("output_name"))
+    reg = g.select(
+        F.concat("route", F.lit("@"), "model_version").alias("model_version"), "threshold", F.lit(0.35).alias("low"), F.lit(0.49).alias("high"), (n % 2).alias("temperature"), names.alias("class_names"),
+        F.when(F.col("route") == "/v1/model", "normal").otherwise("defective").alias("positive_class"), (1 + (n % 5 == 0).cast("int")).alias("schema_version"), F.when(n % 4 != 1, onnx).alias("onnx"),
+    )
     return inv.registry_problems(reg)
 
 
-@query("d31_latency_percentiles", f"{W} SELECT route, quantile_cont(seconds, 0.5e0) AS p50, quantile_cont(seconds, 0.95e0) AS p95, quantile_cont(seconds, 0.99e0) AS p99, round(avg(seconds), 9) AS mean, round(1 / quantile_cont(seconds, 0.5e0), 9) AS throughput FROM request_log GROUP BY route")
+@query("d31_latency_percentiles", f"{W} SELECT route, round(quantile_cont(seconds, 0.5e0), 9) AS p50, round(quantile_cont(seconds, 0.95e0), 9) AS p95, round(quantile_cont(seconds, 0.99e0), 9) AS p99, round(avg(seconds), 9) AS mean, round(1 / quantile_cont(seconds, 0.5e0), 9) AS throughput FROM request_log GROUP BY route")
 def _(s, d):
     out = mo.latency_percentiles(request_log(s, d), "route")
-    return out.withColumns({"mean": F.round("mean", 9), "throughput": F.round("throughput", 9)})
+    return out.withColumns({c: F.round(c, 9) for c in ("p50", "p95", "p99", "mean", "throughput")})
 
 
 @query("h10_json", "SELECT event_id, (props->>'$.k')::INTEGER AS k, '{\"id\":' || event_id || ',\"k\":' || (props->>'$.k') || '}' AS line FROM events")
@@ -158,7 +185,7 @@ def _(s, d):
 def image_folder(s, d) -> str:
     """Thumbnails of the embeddings table as PNG files in the shared folder."""
     folder = scratch_path(s, "pngs")
-    im.write_images(thumbs(s, d), folder)
+    write_images(thumbs(s, d), folder)
     return folder
 
 
@@ -182,13 +209,16 @@ def _(s, d):
     return im.model_input(s, image_folder(s, d), 8)
 
 
-_NORMALISED = ", ".join(f"round((v - {a}e0) / {b}e0, 6) AS c{i}" for i, (a, b) in enumerate(zip(im.MEAN, im.STD, strict=True)))
+_CHANNELS = ", ".join(f"list_transform(embedding, lambda v: (v::DOUBLE - {a}e0) / {b}e0)" for a, b in zip(im.MEAN, im.STD, strict=True))
 
 
-@query("a16_normalise", f"SELECT vec_id, {_NORMALISED} FROM (SELECT vec_id, embedding[1]::DOUBLE AS v FROM embeddings)")
+@query("a16_normalise", f"SELECT vec_id, len(t) AS n, round(list_sum(t), 4) AS total, round(list_sum(list_transform(t, lambda x: x * x)), 3) AS square FROM (SELECT vec_id, flatten([{_CHANNELS}]) AS t FROM embeddings)")
 def _(s, d):
-    v = F.col("embedding")[0].cast("double")
-    return s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", *(F.round((v - a) / b, 6).alias(f"c{i}") for i, (a, b) in enumerate(zip(im.MEAN, im.STD, strict=True))))
+    """The normalised planes (one for each channel's statistics) of every vector, whole."""
+    planes = F.flatten(F.array(*(im.normalised(F.col("embedding").cast("array<double>"), c) for c in range(3))))
+    t = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", planes.alias("t"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    return t.select("vec_id", F.size("t").alias("n"), F.round(total(F.col("t")), 4).alias("total"), F.round(total(F.transform("t", lambda x: x * x)), 3).alias("square"))
 
 
 @query("b16_augmentation")
@@ -196,20 +226,29 @@ def _(s, d):
     return im.augment(s, image_folder(s, d), 8, 2, 42)
 
 
-@query("j8_arriving_files")
-def _(s, d):
-    """Files as they arrive: verdict from the bytes, a batch is accepted only if all its files are, then scored and decided."""
+def arriving(s, d):
+    """The image folder as a stream of files, a request of several files for each class folder, and its schema."""
     folder = image_folder(s, d)
     schema = s.read.format("binaryFile").load(folder + "/train/def_front").schema
     files = s.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 200).load(folder)
-    size = lambda pos: F.conv(F.hex(F.substring("content", pos, 4)), 16, 10).cast("int")
-    whole = F.hex(F.substring(F.col("content"), F.length("content") - 11, 8)) == "0000000049454E44"
-    rows = files.select(
-        im.rel_path(folder), F.length("content").cast("long").alias("size_bytes"), inv.sniff_format(F.col("content")).alias("format"),
-        size(17).alias("width"), size(21).alias("height"), F.when(~whole, "truncated").alias("error"), (F.conv(F.substring(F.sha2("content", 256), 1, 8), 16, 10).cast("long") / 4294967296.0).alias("p"),
-    )
-    judged = inv.file_verdict(rows).withColumn("decision", F.when(F.col("verdict") == "ok", F.when(F.col("p") >= THRESHOLD, "defective").otherwise("normal")))
-    return mo.run(judged.select("rel_path", "verdict", "status", "decision"), "append", "arrived")
+    return folder, files.select(im.rel_path(folder), "content")
+
+
+@query("j8_arriving_files")
+def _(s, d):
+    """Files as they arrive: each micro-batch is judged, decoded and scored by a linear scorer; a request (a tenth of the files, by
+    hash) counts only if all its files are sound."""
+    _, files = arriving(s, d)
+    weights = [round(((7 * i) % 13 - 6) / 10, 1) for i in range(64)]
+    request = F.pmod(F.xxhash64("rel_path"), F.lit(10))
+    out = scratch_path(s, "arrived")
+
+    def batch(rows, number):
+        judged = im.judge_files(rows.withColumn("request", request), lambda x: x.reshape(len(x), -1) @ np.array(weights), side=8)
+        mo.accept_whole(judged, "request", THRESHOLD).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
+    files.writeStream.foreachBatch(batch).option("checkpointLocation", scratch_path(s, "arrived-state")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out).drop("batch")
 
 
 @query("j8_batch_rule", f"WITH {PARTS} SELECT h % 97 AS batch, count(*) AS files, bool_and(error IS NULL) AS accepted FROM parts GROUP BY 1")
@@ -223,19 +262,16 @@ def _(s, d):
     return im.write_table(rows, scratch_path(s, "table"), ["source_split"])
 
 
-@query("a12_report_sink", f"WITH {PARTS} SELECT source_split, count(*) AS n, 'r1' AS commit_id, 'c1' AS config_hash FROM parts GROUP BY source_split")
+@query("a12_report_sink", f"WITH {PARTS} SELECT source_split, count(*) AS n, substr(sha256('{{\"k\": 3}}'), 1, 12) AS config_hash, true AS stamped FROM parts GROUP BY source_split")
 def _(s, d):
+    """A report with its provenance: the code's commit, the hash of the configuration and the time of writing."""
     rows = parts(s, d).groupBy("source_split").agg(F.count("*").alias("n"))
-    return im.write_report(rows, scratch_path(s, "report"), commit_id="r1", config_hash="c1")
+    written = im.write_report(rows, scratch_path(s, "report"), {"k": 3})
+    recent = F.abs(F.unix_timestamp("created_at") - F.unix_timestamp(F.current_timestamp())) < 3600
+    return written.select("source_split", "n", "config_hash", (recent & F.col("commit").isNotNull()).alias("stamped"))
 
 
 @query("a18_prediction_export", f"WITH {PREDICTIONS} SELECT id, split, label, p, predicted, needs_review FROM predictions")
 def _(s, d):
     rows = predictions(s, d).select("id", "split", "label", "p", "predicted", "needs_review", F.lit("bytes").alias("image"))
     return im.write_csv(rows, scratch_path(s, "export"), ["image"])
-
-
-@query("d34_image_summary")
-def _(s, d):
-    stats = materialize(image_stats(thumbs(s, d)), "stats")
-    return stats.select("brightness", "contrast").summary("count", "mean", "stddev", "min", "max")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from gaugeframe.operators import inventory as inv
 from gaugeframe.operators import splits as sp
-from gaugeframe.plans.bindings import CLASSES, EXTERNAL, PARTS, parts
+from gaugeframe.operators.graph import connected_components
+from gaugeframe.operators.similarity import SHORTLIST, top_matches
+from gaugeframe.plans.bindings import CLASSES, EXTERNAL, PARTS, STILLS, hash32, parts, stills
+from gaugeframe.plans.queries_thumbs import matching_sql
 from gaugeframe.plans.registry import query
 from gaugeframe.sources.scratch import materialize
 
@@ -57,24 +60,31 @@ def _(s, d):
 
 @query(
     "a9_verify_checksums",
-    f"""{W} SELECT CASE WHEN h % 29 = 0 THEN 'broken ' || rel_path WHEN h % 31 = 0 THEN '../' || rel_path WHEN h % 37 = 0 THEN rel_path || '.gone' ELSE rel_path END AS name,
-      CASE WHEN h % 29 = 0 THEN 'malformed line' WHEN h % 31 = 0 THEN 'unsafe name' WHEN h % 37 = 0 THEN 'missing file' ELSE 'mismatch' END AS problem
-    FROM parts WHERE h % 29 = 0 OR h % 31 = 0 OR h % 37 = 0 OR h % 43 = 0""",
+    f"""{W}, l AS (SELECT *, CASE WHEN h % 29 = 0 THEN 'broken ' || rel_path WHEN h % 31 = 0 THEN '../' || rel_path WHEN h % 37 = 0 THEN rel_path || '.gone' WHEN h % 53 = 0 THEN 'a' || chr(92) || rel_path
+        WHEN h % 59 = 0 THEN '.' || rel_path ELSE rel_path END AS name FROM parts)
+    SELECT name, CASE WHEN h % 29 = 0 THEN 'malformed line' WHEN h % 31 = 0 THEN 'unsafe name' WHEN h % 37 = 0 THEN 'missing file' WHEN h % 53 = 0 OR h % 59 = 0 THEN 'unsafe name' ELSE 'mismatch' END AS problem
+    FROM l WHERE h % 29 = 0 OR h % 31 = 0 OR h % 37 = 0 OR h % 53 = 0 OR h % 59 = 0 OR h % 43 = 0""",
 )
 def _(s, d):
     p, h = parts(s, d), F.col("h")
-    name = F.when(h % 31 == 0, F.concat(F.lit("../"), F.col("rel_path"))).when(h % 37 == 0, F.concat("rel_path", F.lit(".gone"))).otherwise(F.col("rel_path"))
+    name = F.when(h % 31 == 0, F.concat(F.lit("../"), F.col("rel_path"))).when(h % 37 == 0, F.concat("rel_path", F.lit(".gone")))
+    name = name.when(h % 53 == 0, F.concat(F.lit("a\\"), F.col("rel_path"))).when(h % 59 == 0, F.concat(F.lit("."), F.col("rel_path"))).otherwise(F.col("rel_path"))
     sha = F.when(h % 43 == 0, F.sha2(F.concat("sha256", F.lit("x")), 256)).otherwise(F.col("sha256"))
     lines = p.select(F.when(h % 29 == 0, F.concat(F.lit("broken "), F.col("rel_path"))).otherwise(F.concat(sha, F.lit("  "), name)).alias("line"))
-    return inv.verify_checksums(lines, p)
+    return inv.verify_checksums(lines, p, flat=False)
 
 
-@query("a10_set_fingerprint", f"{W} SELECT source_split, sha256(string_agg(sha256, chr(10) ORDER BY sha256)) AS fingerprint FROM parts GROUP BY source_split")
+@query("a10_set_fingerprint", f"{W} SELECT source_split, count(*) AS n, sha256(string_agg(sha256, chr(10) ORDER BY sha256)) AS fingerprint FROM parts GROUP BY source_split")
 def _(s, d):
     return inv.set_fingerprint(parts(s, d), "source_split")
 
 
-@query("a13_manifest_report", f"{W} SELECT source_split, count(*) FILTER (class_dir = 'def_front') AS def_front, count(*) FILTER (class_dir = 'ok_front') AS ok_front FROM parts GROUP BY source_split")
+@query(
+    "a13_manifest_report",
+    f"""{W}, c AS (SELECT source_split AS key, count(*) FILTER (class_dir = 'def_front') AS x, count(*) FILTER (class_dir = 'ok_front') AS y FROM parts WHERE error IS NULL GROUP BY 1)
+    SELECT 'n' AS part, '' AS key, '' AS detail, count(*) AS n FROM parts UNION ALL SELECT 'corrupt', rel_path, error, 1 FROM parts WHERE error IS NOT NULL
+    UNION ALL SELECT 'count', key, 'def_front', x FROM c UNION ALL SELECT 'count', key, 'ok_front', y FROM c""",
+)
 def _(s, d):
     return inv.manifest_report(parts(s, d), ["def_front", "ok_front"])
 
@@ -113,7 +123,7 @@ def _(s, d):
 
 @query(
     "b9_file_verdict",
-    f"""{W}, v AS (SELECT rel_path, CASE WHEN size_bytes * 300 > 5242880 THEN 'payload_too_large' WHEN h % 23 = 0 THEN 'unsupported_media_type' WHEN h % 19 = 0 THEN 'too_many_pixels'
+    f"""{W}, v AS (SELECT rel_path, CASE WHEN size_bytes * 300 > 5242880 THEN 'payload_too_large' WHEN h % 23 = 0 THEN 'unsupported_media_type' WHEN h % 19 = 0 THEN 'too_many_pixels' WHEN h % 11 = 0 THEN 'multi_frame'
       WHEN h % 17 = 0 THEN 'bad_dimensions' WHEN h % 13 = 0 THEN 'bad_aspect' WHEN error IS NOT NULL THEN 'invalid_image' ELSE 'ok' END AS verdict FROM parts)
     SELECT rel_path, verdict, CASE verdict WHEN 'ok' THEN 200 WHEN 'payload_too_large' THEN 413 WHEN 'unsupported_media_type' THEN 415 ELSE 400 END AS status FROM v""",
 )
@@ -122,6 +132,7 @@ def _(s, d):
     p = parts(s, d).withColumns({
         "size_bytes": F.col("size_bytes") * 300,
         "format": F.when(h % 23 != 0, F.col("format")),
+        "n_frames": F.when(h % 11 == 0, 12).otherwise(1),
         "width": F.when(h % 19 == 0, 5000).when(h % 17 == 0, 8).when(h % 13 == 0, 2000).otherwise(512),
         "height": F.when(h % 19 == 0, 5000).when(h % 17 == 0, 8).when(h % 13 == 0, 400).otherwise(512),
     })
@@ -138,11 +149,18 @@ def _(s, d):
     return inv.split_class_counts(parts(s, d))
 
 
+_SINGLE = {
+    "n_images": "count(*)", "n_valid": "count(*) FILTER (error IS NULL)", "n_corrupt": "count(*) FILTER (error IS NOT NULL)", "bytes_total": "sum(size_bytes)::BIGINT",
+    "bytes_min": "min(size_bytes)", "bytes_max": "max(size_bytes)", "width_min": "min(width) FILTER (error IS NULL)", "width_max": "max(width) FILTER (error IS NULL)",
+    "height_min": "min(height) FILTER (error IS NULL)", "height_max": "max(height) FILTER (error IS NULL)",
+}
+_PROFILE = " UNION ALL ".join(f"SELECT '{k}' AS facet, '' AS value, {v} AS n FROM parts" for k, v in _SINGLE.items())
+
+
 @query(
     "d2_inventory_profile",
-    f"""{W} SELECT count(*) AS n_files, count(*) FILTER (error IS NULL) AS n_valid, count(*) FILTER (error IS NOT NULL) AS n_corrupt, sum(size_bytes)::BIGINT AS bytes_total,
-      min(size_bytes) AS bytes_min, max(size_bytes) AS bytes_max, min(width) AS width_min, max(width) AS width_max, min(height) AS height_min, max(height) AS height_max,
-      count(*) FILTER (format = 'PNG') AS n_png, count(*) FILTER (format = 'JPEG') AS n_jpeg, count(*) FILTER (mode = 'L') AS n_gray FROM parts""",
+    f"""{W} {_PROFILE} UNION ALL SELECT 'format', format, count(*) FROM parts WHERE error IS NULL GROUP BY format UNION ALL SELECT 'mode', mode, count(*) FROM parts WHERE error IS NULL GROUP BY mode
+    UNION ALL SELECT 'channels', CASE mode WHEN 'L' THEN '1' ELSE '3' END, count(*) FROM parts WHERE error IS NULL GROUP BY 2""",
 )
 def _(s, d):
     return inv.inventory_profile(parts(s, d))
@@ -157,17 +175,24 @@ def _(s, d):
     return inv.directory_rollup(parts(s, d), 2)
 
 
-@query(
-    "d4_dataset_signature",
-    f"""{W}, c AS (SELECT width, height FROM parts GROUP BY ALL ORDER BY count(*) DESC, width DESC, height DESC LIMIT 1),
-    n AS (SELECT source_split, class_dir, count(*) AS n FROM parts GROUP BY ALL),
-    r(source_split, class_dir, want) AS (VALUES ('train', 'def_front', 3758), ('train', 'ok_front', 2875), ('test', 'def_front', 453), ('test', 'ok_front', 262)),
-    o AS (SELECT count(*) AS n_off FROM n FULL JOIN r USING (source_split, class_dir) WHERE n IS DISTINCT FROM want)
-    SELECT width, height, n_off, CASE WHEN width = 512 AND height = 512 AND n_off = 0 THEN 'exact' WHEN width = 512 AND height = 512 THEN 'probable' ELSE 'unknown' END AS confidence FROM c, o""",
-)
+_SIGNATURE = """, c AS (SELECT width, height FROM {t} WHERE error IS NULL GROUP BY ALL ORDER BY count(*) DESC, width DESC, height DESC LIMIT 1),
+  n AS (SELECT source_split, class_dir, count(*) AS n FROM {t} WHERE source_split IN ('train', 'test') GROUP BY ALL), r(source_split, class_dir, want) AS ({want}),
+  o AS (SELECT count(*) AS n_off FROM n FULL JOIN r USING (source_split, class_dir) WHERE n IS DISTINCT FROM want)
+  SELECT 'casting' AS dataset, CASE WHEN (width, height) IN ((300, 300), (512, 512)) AND n_off = 0 THEN 'high' ELSE 'medium' END AS confidence, width, height, n_off FROM c, o"""
+_PUBLISHED = "VALUES " + ", ".join(f"('{a}', '{b}', {n})" for (a, b), n in inv.CASTING_COUNTS.items())
+
+
+@query("d4_dataset_signature", f"{W}{_SIGNATURE.format(t='parts', want=_PUBLISHED)}")
+def _(s, d):
+    return inv.dataset_signature(parts(s, d))
+
+
+@query("d4_dataset_signature_exact", f"{W}, few AS (SELECT * FROM parts WHERE width = 300){_SIGNATURE.format(t='few', want='SELECT source_split, class_dir, n FROM n')}")
 def _(s, d):
-    want = s.createDataFrame([("train", "def_front", 3758), ("train", "ok_front", 2875), ("test", "def_front", 453), ("test", "ok_front", 262)], "source_split string, class_dir string, want long")
-    return inv.dataset_signature(parts(s, d), want, (512, 512))
+    """The same match for the release whose counts the table itself has: all counts agree."""
+    few = parts(s, d).where("width = 300")
+    own = inv.split_class_counts(few.where("source_split in ('train', 'test')")).collect()  # at most two splits times the class folders
+    return inv.dataset_signature(few, {(r["source_split"], r["class_dir"]): r["count"] for r in own})
 
 
 @query(
@@ -207,7 +232,8 @@ def split_crosstab(s, d):
 @query(
     "d7_split_report",
     f"""{_REASONS}, c AS (SELECT source_split AS split, count(*) AS n, sum(label) AS defects FROM reasons WHERE exclude_reason = '' GROUP BY 1)
-    SELECT split, n, round(n / sum(n) OVER ()::DOUBLE, 4) AS share, round(defects / n::DOUBLE, 4) AS defect_rate FROM c""",
+    SELECT 'split' AS part, split AS key, n, round(n / sum(n) OVER ()::DOUBLE, 4) AS share, round(defects / n::DOUBLE, 4) AS defect_rate FROM c
+    UNION ALL SELECT 'excluded', exclude_reason, count(*), NULL, NULL FROM reasons WHERE exclude_reason <> '' GROUP BY 2""",
 )
 def _(s, d):
     return inv.split_report(reasons(s, d).withColumnRenamed("source_split", "split"))
@@ -218,50 +244,97 @@ def _(s, d):
     return inv.top_sizes(parts(s, d))
 
 
-_POOL = f"""{_REASONS}, pool AS (SELECT *, sha256 AS cluster_id FROM reasons WHERE NOT is_external AND source_split <> 'test' AND exclude_reason = ''),
-cl AS (SELECT cluster_id, count(*) AS n, (avg(label) >= 0.5)::INTEGER AS majority, ('0x' || substr(md5('42|' || cluster_id), 1, 8))::BIGINT / 4294967296e0 AS u FROM pool GROUP BY cluster_id),
-al AS (SELECT cluster_id, majority, n, (sum(n) OVER (PARTITION BY majority ORDER BY u, cluster_id ROWS UNBOUNDED PRECEDING) - n) / (sum(n) OVER (PARTITION BY majority))::DOUBLE AS before FROM cl),
-alloc AS (SELECT cluster_id, majority, n, CASE WHEN before < 0.85e0 THEN 'train' ELSE 'val' END AS split FROM al)"""
+NEAR = 0.99
+SHARES = [("train", 0.85), ("val", 0.15)]
+_NEAR = f"{NEAR}e0"
+
+
+def _reach(name: str, ids: str) -> str:
+    """CTEs (recursive): ``<name>(id, component)`` over the near pairs and equal hashes of the stills in ``ids``."""
+    return f"""{name}_e AS (SELECT query AS a, target AS b FROM allpairs WHERE corr >= {_NEAR} AND query IN (SELECT id FROM {ids}) AND target IN (SELECT id FROM {ids})
+  UNION SELECT x.id, y.id FROM {ids} x JOIN {ids} y ON x.sha256 = y.sha256 AND x.id <> y.id),
+{name}_r AS (SELECT id, id AS c FROM {ids} UNION SELECT {name}_r.id, b FROM {name}_r JOIN {name}_e ON a = c),
+{name}_k AS (SELECT id, min(c) AS component FROM {name}_r GROUP BY id),
+{name}_n AS (SELECT component, printf('g%05d', row_number() OVER (ORDER BY min(rel_path)) - 1) AS cluster_id FROM {name}_k JOIN {ids} USING (id) GROUP BY component),
+{name} AS (SELECT id, cluster_id FROM {name}_k JOIN {name}_n USING (component))"""
+
+
+def _alloc(name: str, members: str) -> str:
+    """CTE ``<name>(cluster_id, majority, n, split)`` by the seeded order of clusters within a label."""
+    return f"""{name}_c AS (SELECT cluster_id, count(*) AS n, (avg(label) >= 0.5)::INTEGER AS majority, ('0x' || substr(md5('42|' || cluster_id), 1, 8))::BIGINT / 4294967296e0 AS u FROM {members} GROUP BY cluster_id),
+{name}_b AS (SELECT *, (sum(n) OVER (PARTITION BY majority ORDER BY u, cluster_id ROWS UNBOUNDED PRECEDING) - n) / (sum(n) OVER (PARTITION BY majority))::DOUBLE AS before FROM {name}_c),
+{name} AS (SELECT cluster_id, majority, n, CASE WHEN before < 0.85e0 THEN 'train' ELSE 'val' END AS split FROM {name}_b)"""
+
+
+_STILLS = f"WITH RECURSIVE {STILLS}, {matching_sql('stills')}"
+_CLUSTERS = f"{_STILLS}, {_reach('cl', 'stills')}, members AS (SELECT stills.*, cluster_id FROM stills JOIN cl USING (id))"
+_SPLITS = f"""{_STILLS}, g AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY (source_split <> 'test')::INT, rel_path) AS k, min(label) OVER (PARTITION BY sha256) AS lo,
+  max(label) OVER (PARTITION BY sha256) AS hi FROM stills),
+r0 AS (SELECT id, rel_path, sha256, label, source_split, is_external, CASE WHEN lo <> hi THEN 'exact_duplicate_label_conflict' WHEN k > 1 THEN 'exact_duplicate' ELSE '' END AS why FROM g),
+te AS (SELECT id FROM r0 WHERE why = '' AND NOT is_external AND source_split = 'test'),
+r1 AS (SELECT * REPLACE (CASE WHEN why = '' AND NOT is_external AND source_split <> 'test' AND id IN (SELECT query FROM allpairs WHERE corr >= {_NEAR} AND target IN (SELECT id FROM te))
+  THEN 'near_duplicate_of_official_test' ELSE why END AS why) FROM r0),
+pool AS (SELECT * FROM r1 WHERE why = '' AND NOT is_external AND source_split <> 'test'),
+{_reach('pc', 'pool')}, pm AS (SELECT cluster_id, label FROM pool JOIN pc USING (id)), {_alloc('al', 'pm')},
+r2 AS (SELECT r1.*, coalesce(pc.cluster_id, 's' || rel_path) AS cluster_id, coalesce(al.split, CASE WHEN r1.id IN (SELECT id FROM te) THEN 'test' ELSE '' END) AS place
+  FROM r1 LEFT JOIN pc ON pc.id = r1.id LEFT JOIN al ON al.cluster_id = pc.cluster_id),
+r3 AS (SELECT * REPLACE (CASE WHEN why = '' AND is_external AND id IN (SELECT query FROM allpairs WHERE corr >= {_NEAR} AND target IN (SELECT id FROM r2 WHERE place IN ('train', 'val')))
+  THEN 'near_duplicate_of_train_or_val' ELSE why END AS why) FROM r2),
+r4 AS (SELECT *, CASE WHEN why <> '' THEN 'excluded' WHEN is_external THEN 'external_test' ELSE place END AS split FROM r3),
+sh AS (SELECT p.query, p.corr, b.split AS grp, a.split AS own, row_number() OVER (PARTITION BY p.query, b.split ORDER BY p.coarse DESC, p.target) AS k FROM allpairs p JOIN r4 a ON a.id = p.query JOIN r4 b ON b.id = p.target
+  WHERE b.split IN ('train', 'val') AND a.split IN ('val', 'test', 'external_test')),
+near AS (SELECT query, own, grp, max(corr) AS nearest FROM sh WHERE k <= {SHORTLIST} GROUP BY ALL),
+splits AS (SELECT r4.id, rel_path, sha256, label, cluster_id, split, why AS exclude_reason, nearest AS nearest_train_similarity FROM r4 LEFT JOIN near ON near.query = r4.id AND grp = 'train' AND own <> 'val')"""
 
 
-@query("e2_allocate_clusters", f"{_POOL} SELECT cluster_id, majority, n::BIGINT AS n, split FROM alloc")
-def _(s, d):
-    pool = reasons(s, d).where("not is_external and source_split != 'test' and exclude_reason = ''").withColumn("cluster_id", F.col("sha256"))
-    return sp.allocate_clusters(sp.majority_label(pool), [("train", 0.85), ("val", 0.15)], 42)
+def splits(s: SparkSession, d: str) -> DataFrame:
+    """The written split table of the stills."""
+    return materialize(sp.make_splits(stills(s, d), strategy="auto", shares=SHARES, threshold=NEAR, seed=42), "splits")
+
+
+def members(s: SparkSession, d: str) -> DataFrame:
+    """The stills with their clusters."""
+    images = materialize(stills(s, d), "stills")
+    return images.join(sp.cluster_images(images, NEAR).hint("merge"), "id")
 
 
-@query("e3_majority_label", f"{W} SELECT sha256 AS cluster_id, count(*) AS n, (avg(label) >= 0.5)::INTEGER AS majority FROM parts GROUP BY sha256")
+@query("c5_duplicate_edges", f"{_CLUSTERS} SELECT id, component FROM cl_k")
 def _(s, d):
-    return sp.majority_label(parts(s, d).withColumnRenamed("sha256", "cluster_id"))
+    """All links (equal hash or near copy) by what they join: the component of every still."""
+    images = materialize(stills(s, d), "stills")
+    found = connected_components(sp.duplicate_edges(images, NEAR), "query", "target")
+    return images.select("id").join(found.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-@query("c5_duplicate_edges", f"{W}, f AS (SELECT sha256, min(rel_path) AS target FROM parts GROUP BY sha256) SELECT rel_path AS query, target FROM parts JOIN f USING (sha256) WHERE rel_path <> target")
+@query("c5_hash_edges", f"{W}, f AS (SELECT sha256, min(rel_path) AS target FROM parts GROUP BY sha256) SELECT rel_path AS query, target FROM parts JOIN f USING (sha256) WHERE rel_path <> target")
 def _(s, d):
     return sp.hash_edges(parts(s, d))
 
 
-_SPLITS = f"""{_POOL}, splits AS (SELECT r.rel_path, r.sha256, r.label, r.sha256 AS cluster_id,
-  CASE WHEN r.exclude_reason <> '' THEN 'excluded' WHEN leak AND NOT (is_external OR source_split = 'test') THEN 'excluded' WHEN is_external THEN 'external_test' WHEN source_split = 'test' THEN 'test' ELSE alloc2.split END AS split,
-  CASE WHEN r.exclude_reason <> '' THEN r.exclude_reason WHEN leak AND NOT (is_external OR source_split = 'test') THEN 'near_duplicate_of_held_out' ELSE '' END AS exclude_reason
-FROM (SELECT *, h % 47 = 0 AS leak FROM reasons) r LEFT JOIN alloc2 ON alloc2.cluster_id = r.sha256)""".replace(
-    ", splits AS",
-    """, pool2 AS (SELECT * FROM pool WHERE h % 47 <> 0),
-cl2 AS (SELECT cluster_id, count(*) AS n, (avg(label) >= 0.5)::INTEGER AS majority, ('0x' || substr(md5('42|' || cluster_id), 1, 8))::BIGINT / 4294967296e0 AS u FROM pool2 GROUP BY cluster_id),
-al2 AS (SELECT cluster_id, (sum(n) OVER (PARTITION BY majority ORDER BY u, cluster_id ROWS UNBOUNDED PRECEDING) - n) / (sum(n) OVER (PARTITION BY majority))::DOUBLE AS before FROM cl2),
-alloc2 AS (SELECT cluster_id, CASE WHEN before < 0.85e0 THEN 'train' ELSE 'val' END AS split FROM al2), splits AS""",
-    1,
-)
+@query("e2_allocate_clusters", f"{_CLUSTERS}, {_alloc('al', 'members')} SELECT cluster_id, majority, n, split FROM al")
+def _(s, d):
+    return sp.allocate_clusters(sp.majority_label(members(s, d)), SHARES, 42)
 
 
-def splits(s: SparkSession, d: str) -> DataFrame:
-    p = parts(s, d).withColumn("is_external", inv.is_external(F.col("rel_path"), EXTERNAL))
-    clusters = p.select("rel_path", F.col("sha256").alias("cluster_id"))
-    return sp.make_splits(p, clusters, p.where(F.col("h") % 47 == 0).select("rel_path"), [("train", 0.85), ("val", 0.15)], 42)
+@query("e3_majority_label", f"{_CLUSTERS} SELECT cluster_id, count(*) AS n, (avg(label) >= 0.5)::INTEGER AS majority FROM members GROUP BY cluster_id")
+def _(s, d):
+    return sp.majority_label(members(s, d))
+
+
+@query("i2_make_splits", f"{_SPLITS} SELECT rel_path, sha256, label, cluster_id, split, exclude_reason, round(nearest_train_similarity, 6) AS nearest_train_similarity FROM splits")
+def _(s, d):
+    return splits(s, d).withColumn("nearest_train_similarity", F.round("nearest_train_similarity", 6))
 
 
-@query("i2_make_splits", f"{_SPLITS} SELECT rel_path, sha256, label, cluster_id, split, exclude_reason FROM splits")
+@query("i2_random_splits", f"""{_STILLS}, g AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY (source_split <> 'test')::INT, rel_path) AS k, min(label) OVER (PARTITION BY sha256) AS lo,
+  max(label) OVER (PARTITION BY sha256) AS hi FROM stills), pool AS (SELECT * FROM g WHERE lo = hi AND k = 1 AND NOT is_external), {_reach('pc', 'pool')}, pm AS (SELECT cluster_id, label FROM pool JOIN pc USING (id)),
+  {_alloc('al', 'pm').replace("CASE WHEN before < 0.85e0 THEN 'train' ELSE 'val' END", "CASE WHEN before < 0.7e0 THEN 'train' WHEN before < 0.7e0 + 0.15e0 THEN 'val' ELSE 'test' END")}
+  SELECT rel_path, cluster_id, al.split FROM pool JOIN pc USING (id) JOIN al USING (cluster_id)""")
 def _(s, d):
-    return splits(s, d)
+    """The random strategy: whole clusters of all rows that aren't external, in three shares."""
+    shares = [("train", 0.7), ("val", 0.15), ("test", 0.15)]
+    out = sp.make_splits(stills(s, d), strategy="random", shares=shares, threshold=NEAR, seed=42)
+    return out.where("split in ('train', 'val', 'test')").select("rel_path", "cluster_id", "split")
 
 
 @query("c12_cluster_split_map", f"{_SPLITS} SELECT rel_path, split FROM splits WHERE split IN ('train', 'val')")
@@ -269,26 +342,70 @@ def _(s, d):
     return splits(s, d).where("split in ('train', 'val')").select("rel_path", "split")
 
 
-@query("c6_exclude_near_duplicates", f"{_SPLITS} SELECT exclude_reason, count(*) AS n FROM splits WHERE exclude_reason <> '' GROUP BY 1")
+@query("c6_exclude_near_duplicates", f"{_SPLITS} SELECT rel_path, exclude_reason FROM splits WHERE exclude_reason LIKE 'near%'")
 def _(s, d):
-    return splits(s, d).where("exclude_reason != ''").groupBy("exclude_reason").agg(F.count("*").alias("n"))
+    return splits(s, d).where(F.col("exclude_reason").startswith("near")).select("rel_path", "exclude_reason")
+
+
+_PAIRS = "(" + " OR ".join(f"own = '{a}' AND grp = '{b}'" for a, b in sp.CROSS_CHECKS) + ")"
+_CROSS = f"cross_rows AS (SELECT own AS eval_split, grp AS train_side, count(*) AS n, count(*) FILTER (nearest >= {_NEAR}) AS n_threshold, count(*) FILTER (nearest >= 0.5e0) AS n_info, round(max(nearest), 5) AS max, round(median(nearest), 5) AS median FROM near WHERE {_PAIRS} GROUP BY ALL)"
+
+
+@query("c8_cross_split_matrix", f"{_SPLITS}, {_CROSS} SELECT * FROM cross_rows")
+def _(s, d):
+    return sp.run_audit(stills(s, d), splits(s, d), NEAR, 0.5)[1]
+
+
+_CHECKS = """kept AS (SELECT * FROM sp WHERE split <> 'excluded'),
+  want AS (SELECT a.s, b.y FROM (VALUES ('train'), ('val'), ('test'), ('external_test')) a(s), (VALUES (0), (1)) b(y) WHERE a.s <> 'external_test' OR EXISTS (SELECT 1 FROM kept WHERE split = 'external_test')),
+  c AS (SELECT 'all_rows_accounted_for' AS name, (SELECT count(*) FROM stills WHERE rel_path NOT IN (SELECT rel_path FROM sp)) + (SELECT count(*) FROM sp WHERE rel_path NOT IN (SELECT rel_path FROM stills))
+      + (SELECT count(*) FROM sp WHERE split = 'excluded' AND exclude_reason = '') AS detail
+    UNION ALL SELECT 'no_sha256_in_two_splits', count(*) FROM (SELECT sha256 FROM kept GROUP BY 1 HAVING count(DISTINCT split) > 1)
+    UNION ALL SELECT 'no_cluster_in_two_splits', count(*) FROM (SELECT cluster_id FROM kept GROUP BY 1 HAVING count(DISTINCT split) > 1)
+    UNION ALL SELECT 'no_near_duplicates_across_splits', coalesce(sum(n_threshold), 0)::BIGINT FROM cross_rows
+    UNION ALL SELECT 'every_split_has_both_classes', count(*) FROM want WHERE NOT EXISTS (SELECT 1 FROM kept WHERE split = s AND label = y))
+  SELECT name, detail = 0 AS ok, detail FROM c UNION ALL SELECT 'passed', count(*) FILTER (detail <> 0) = 0, count(*) FILTER (detail <> 0) FROM c"""
+
+
+@query("i3_leakage_audit", f"{_SPLITS}, {_CROSS}, sp AS (SELECT * FROM splits), {_CHECKS}")
+def _(s, d):
+    return sp.run_audit(stills(s, d), splits(s, d), NEAR, 0.5)[0]
+
+
+def _tampered(split_table: DataFrame) -> DataFrame:
+    """The split table with some rows dropped, some reasons wiped and some training rows called test."""
+    h = hash32(F.col("rel_path"))
+    rows = split_table.where(h % 29 != 0)
+    rows = rows.withColumn("exclude_reason", F.when(h % 3 == 0, "").otherwise(F.col("exclude_reason")))
+    return rows.withColumn("split", F.when((F.col("split") == "train") & (h % 5 == 0), "test").otherwise(F.col("split")))
+
+
+_TAMPERED = """sp AS (SELECT * REPLACE (CASE WHEN h % 3 = 0 THEN '' ELSE exclude_reason END AS exclude_reason, CASE WHEN split = 'train' AND h % 5 = 0 THEN 'test' ELSE split END AS split)
+  FROM (SELECT *, ('0x' || substr(md5(rel_path), 1, 8))::BIGINT AS h FROM splits) WHERE h % 29 <> 0)"""
 
 
 @query(
-    "i3_leakage_audit",
-    f"""{_SPLITS}, kept AS (SELECT * FROM splits WHERE exclude_reason = '')
-    SELECT 'accounting' AS name, true AS ok, 0::BIGINT AS detail
-    UNION ALL SELECT 'no_hash_in_two_splits', count(*) = 0, count(*) FROM (SELECT sha256 FROM kept GROUP BY 1 HAVING count(DISTINCT split) > 1)
-    UNION ALL SELECT 'no_cluster_in_two_splits', count(*) = 0, count(*) FROM (SELECT cluster_id FROM kept GROUP BY 1 HAVING count(DISTINCT split) > 1)
-    UNION ALL SELECT 'every_split_has_both_classes', count(*) = 6, count(*) FROM (SELECT DISTINCT split, label FROM kept WHERE split IN ('train', 'val', 'test'))""",
+    "i3_tampered_audit",
+    f"""{_SPLITS}, {_TAMPERED}, sh2 AS (SELECT p.query, p.corr, b.split AS grp, a.split AS own, row_number() OVER (PARTITION BY p.query, b.split ORDER BY p.coarse DESC, p.target) AS k FROM allpairs p
+      JOIN sp a ON a.id = p.query JOIN sp b ON b.id = p.target WHERE b.split IN ('train', 'val') AND a.split IN ('val', 'test', 'external_test')),
+    near2 AS (SELECT query, own, grp, max(corr) AS nearest FROM sh2 WHERE k <= {SHORTLIST} GROUP BY ALL), {_CROSS.replace('FROM near ', 'FROM near2 ')}, {_CHECKS}""",
 )
 def _(s, d):
-    return sp.audit_checks(parts(s, d), materialize(splits(s, d), "splits"), ["train", "val", "test"])
+    """The audit of a split table that was tampered with: it fails, and says where."""
+    return sp.run_audit(stills(s, d), materialize(_tampered(splits(s, d)), "tampered"), NEAR, 0.5)[0]
+
+
+@query("i3_fingerprints", f"""{_SPLITS}, n AS (SELECT * FROM (VALUES ('test'), ('external_test')) t(split)), k AS (SELECT split, sha256 FROM splits WHERE split IN ('test', 'external_test'))
+  SELECT n.split, count(sha256) AS n, sha256(coalesce(string_agg(sha256, chr(10) ORDER BY sha256), '')) AS fingerprint FROM n LEFT JOIN k ON k.split = n.split GROUP BY n.split""")
+def _(s, d):
+    return sp.split_fingerprints(splits(s, d))
 
 
-@query("c7_accounting", f"{_SPLITS} SELECT 0::BIGINT AS missing, 0::BIGINT AS extra, true AS ok FROM splits LIMIT 1")
+@query("c7_accounting", f"""{_SPLITS}, {_TAMPERED} SELECT (SELECT count(*) FROM stills WHERE rel_path NOT IN (SELECT rel_path FROM sp)) AS missing, (SELECT count(*) FROM sp WHERE rel_path NOT IN (SELECT rel_path FROM stills)) AS extra,
+  (SELECT count(*) FROM stills WHERE rel_path NOT IN (SELECT rel_path FROM sp)) + (SELECT count(*) FROM sp WHERE rel_path NOT IN (SELECT rel_path FROM stills)) = 0 AS ok""")
 def _(s, d):
-    return sp.same_paths(parts(s, d), splits(s, d))
+    """The accounting check of a split table that has lost rows."""
+    return sp.same_paths(stills(s, d), _tampered(splits(s, d)))
 
 
 @query("d11_key_in_two_splits", f"{W} SELECT sha256 FROM parts GROUP BY sha256 HAVING count(DISTINCT source_split) > 1")
@@ -304,32 +421,37 @@ def _(s, d):
 
 @query(
     "d8_cluster_report",
-    f"""{W}, c AS (SELECT sha256, count(*) AS n, count(DISTINCT label) AS labels FROM parts GROUP BY sha256)
-    SELECT count(*) AS n_clusters, count(*) FILTER (n > 1) AS n_multi, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS images_in_multi, max(n) AS largest, count(*) FILTER (labels > 1) AS n_conflicts FROM c""",
+    f"""{_CLUSTERS}, c AS (SELECT cluster_id, count(*) AS n, count(DISTINCT label) AS labels FROM members GROUP BY cluster_id), e AS (SELECT count(*) AS n FROM stills GROUP BY sha256),
+    l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY coarse DESC, target) AS k FROM allpairs) WHERE k <= {SHORTLIST} AND corr >= {_NEAR})
+    SELECT count(*) AS n_clusters, count(*) FILTER (n > 1) AS n_multi, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS images_in_multi, max(n) AS largest, count(*) FILTER (labels > 1) AS n_conflicts,
+      (SELECT count(*) FILTER (n > 1) FROM e) AS exact_groups, (SELECT sum(n - 1)::BIGINT FROM e) AS extra_copies, (SELECT count(*) FROM l) AS n_links,
+      (SELECT count(*) FILTER (via_transform) FROM l) AS links_via_transform, (SELECT round(min(corr), 6) FROM l) AS min_link FROM c""",
 )
 def _(s, d):
-    return sp.cluster_report(parts(s, d), "sha256")
+    rows = materialize(members(s, d), "members")
+    links = top_matches(rows, rows, SHORTLIST, same_set=True).where(F.col("corr") >= NEAR)
+    return sp.cluster_report(rows, links).withColumn("min_link", F.round("min_link", 6))
 
 
-@query("d8_cluster_sizes", f"{W} SELECT size, count(*) AS clusters FROM (SELECT count(*) AS size FROM parts GROUP BY sha256) GROUP BY size")
+@query("d8_cluster_sizes", f"{_CLUSTERS} SELECT size, count(*) AS clusters FROM (SELECT count(*) AS size FROM members GROUP BY cluster_id) GROUP BY size")
 def _(s, d):
-    return sp.cluster_size_histogram(parts(s, d), "sha256")
+    return sp.cluster_size_histogram(members(s, d))
 
 
-@query("d9_label_conflicts", f"{W} SELECT sha256 FROM parts GROUP BY sha256 HAVING count(DISTINCT label) > 1")
+@query("d9_label_conflicts", f"{_CLUSTERS} SELECT cluster_id FROM members GROUP BY cluster_id HAVING count(DISTINCT label) > 1")
 def _(s, d):
-    return parts(s, d).groupBy("sha256").agg(F.count_distinct("label").alias("n")).where("n > 1").select("sha256")
+    return members(s, d).groupBy("cluster_id").agg(F.count_distinct("label").alias("n")).where("n > 1").select("cluster_id")
 
 
-@query("e4_cluster_numbers", f"{W}, f AS (SELECT sha256, min(rel_path) AS f FROM parts GROUP BY 1), n AS (SELECT sha256, printf('g%05d', row_number() OVER (ORDER BY f) - 1) AS cluster_id FROM f) SELECT rel_path, cluster_id FROM parts JOIN n USING (sha256)")
+@query("e4_cluster_numbers", f"{_CLUSTERS} SELECT rel_path, cluster_id FROM members")
 def _(s, d):
-    return sp.number_clusters(parts(s, d).select("rel_path", "sha256"), "rel_path", "sha256")
+    return members(s, d).select("rel_path", "cluster_id")
 
 
-@query("c1_eda_frame", f"{_SPLITS} SELECT s.rel_path, s.split, s.label, p.width, p.height, p.mode, p.size_bytes FROM splits s JOIN parts p USING (rel_path) WHERE s.split IN ('train', 'val')")
-def _(s, d):
-    meta = parts(s, d).select("rel_path", "width", "height", "mode", "size_bytes")
-    return splits(s, d).where("split in ('train', 'val')").select("rel_path", "split", "label").join(meta, "rel_path")
+@query("c1_eda_frame", f"{_SPLITS} SELECT s.rel_path, s.split, s.label, p.width, p.height, p.mode, p.size_bytes FROM splits s JOIN stills p USING (rel_path) WHERE s.split IN ('train', 'val')")
+def eda_frame(s, d):
+    meta = stills(s, d).select("rel_path", "width", "height", "mode", "size_bytes")
+    return splits(s, d).where("split in ('train', 'val')").select("rel_path", "split", "label").join(meta.hint("merge"), "rel_path")
 
 
 @query("d34_class_balance", f"{_SPLITS} SELECT coalesce(split, 'All') AS split, count(*) AS n, sum(label)::BIGINT AS defects FROM splits WHERE exclude_reason = '' GROUP BY ROLLUP (split)")
@@ -338,18 +460,23 @@ def _(s, d):
     return rows.select(F.coalesce("split", F.lit("All")).alias("split"), "n", "defects")
 
 
+@query("d34_size_facets", f"{_SPLITS} SELECT p.width, p.height, p.mode, count(*) AS n FROM splits s JOIN stills p USING (rel_path) WHERE s.split IN ('train', 'val') GROUP BY ALL")
+def _(s, d):
+    return eda_frame(s, d).groupBy("width", "height", "mode").agg(F.count("*").alias("n"))
+
+
 @query(
     "f2_largest_clusters",
-    f"""{W}, c AS (SELECT sha256, count(*) AS n FROM parts GROUP BY 1 ORDER BY n DESC, sha256 LIMIT 6)
-    SELECT sha256, n, rel_path, k FROM (SELECT c.sha256, n, rel_path, row_number() OVER (PARTITION BY c.sha256 ORDER BY rel_path) AS k FROM parts JOIN c ON c.sha256 = parts.sha256) WHERE k <= 8""",
+    f"""{_CLUSTERS}, c AS (SELECT cluster_id, count(*) AS n FROM members GROUP BY 1 ORDER BY n DESC, cluster_id LIMIT 6)
+    SELECT cluster_id, n, rel_path, k FROM (SELECT c.cluster_id, n, rel_path, row_number() OVER (PARTITION BY c.cluster_id ORDER BY rel_path) AS k FROM members JOIN c ON c.cluster_id = members.cluster_id) WHERE k <= 8""",
 )
 def _(s, d):
     from pyspark.sql import Window
 
-    p = parts(s, d)
-    top = p.groupBy("sha256").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "sha256").limit(6)
-    k = F.row_number().over(Window.partitionBy("sha256").orderBy("rel_path"))
-    return p.select("sha256", "rel_path").join(F.broadcast(top), "sha256").withColumn("k", k).where("k <= 8").select("sha256", "n", "rel_path", "k")
+    p = materialize(members(s, d).select("cluster_id", "rel_path"), "members")
+    top = p.groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id").limit(6)
+    k = F.row_number().over(Window.partitionBy("cluster_id").orderBy("rel_path"))
+    return p.join(F.broadcast(top), "cluster_id").withColumn("k", k).where("k <= 8").select("cluster_id", "n", "rel_path", "k")
 
 
 @query("f5_sample_per_class", f"{W}, r AS (SELECT rel_path, class_dir, row_number() OVER (PARTITION BY class_dir ORDER BY md5('7|' || rel_path), rel_path) AS k FROM parts) SELECT rel_path, class_dir, k FROM r WHERE k <= 5")

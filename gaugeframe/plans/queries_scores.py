@@ -9,8 +9,10 @@ from gaugeframe.functions import scores as sc
 from gaugeframe.functions.arrays import bin_index
 from gaugeframe.operators import metrics as m
 from gaugeframe.plans.bindings import BAND, HISTORY, LOGITS, PREDICTIONS, TEMPERATURE, THRESHOLD, history, logits, predictions
+from gaugeframe.operators.evaluation import audit_of, evaluate_once, latest_run, release
+from gaugeframe.operators.ranking import exact_quantiles
 from gaugeframe.plans.registry import query
-from gaugeframe.sources.scratch import materialize
+from gaugeframe.sources.scratch import materialize, scratch_path
 
 L, P, H = f"WITH {LOGITS}", f"WITH {PREDICTIONS}", f"WITH {HISTORY}"
 T, LO, HI = f"{THRESHOLD}e0", f"{BAND[0]}e0", f"{BAND[1]}e0"
@@ -61,7 +63,7 @@ def _(s, d):
 
 @query(
     "d19_bucket_metrics",
-    f"""{P}, {_BUCKETS} SELECT lo, hi, count(*) AS n, count(*) FILTER (NOT correct) AS errors, count(*) FILTER (NOT correct AND label = 1) AS missed, count(*) FILTER (NOT correct AND label = 0) AS false_alarms,
+    f"""{P}, {_BUCKETS} SELECT lo, hi, count(*) AS n, sum(label)::BIGINT AS n_defective, count(*) FILTER (NOT correct) AS errors, count(*) FILTER (NOT correct AND label = 1) AS missed, count(*) FILTER (NOT correct AND label = 0) AS false_alarms,
       round(count(*) FILTER (NOT correct) / count(*)::DOUBLE, 4) AS error_rate FROM predictions JOIN b ON similarity >= lo AND (hi IS NULL OR similarity < hi) GROUP BY lo, hi""",
 )
 def _(s, d):
@@ -74,19 +76,33 @@ _OTHER = "margin + CASE WHEN h % 7919 = 0 THEN 0.01e0 ELSE 0.00001e0 END"
 @query(
     "c10_score_parity",
     f"""{L}, b AS (SELECT id, min(margin) AS x FROM logits GROUP BY id), o AS (SELECT id, min({_OTHER}) AS y FROM logits GROUP BY id)
-    SELECT count(*) AS n, round(max(abs(x - y)), 9) AS max_abs, max(abs(x - y) / (0.0001e0 + 0.0001e0 * abs(x))) <= 1 AS passed FROM b JOIN o USING (id)""",
+    SELECT count(*) AS n, round(max(abs(x - y)), 9) AS max_abs, round(max(abs(x - y) / (0.0001e0 + 0.0001e0 * abs(x))), 6) AS used, max(abs(x - y) / (0.0001e0 + 0.0001e0 * abs(x))) <= 1 AS passed FROM b JOIN o USING (id)""",
 )
 def _(s, d):
     rows = logits(s, d)
     a = rows.groupBy("id").agg(F.min("margin").alias("z"))
     b = rows.groupBy("id").agg(F.min(F.col("margin") + F.when(F.col("h") % 7919 == 0, 0.01).otherwise(0.00001)).alias("z"))
-    return m.parity(a, b).withColumn("max_abs", F.round("max_abs", 9))
+    return m.parity(a, b).select("n", F.round("max_abs", 9).alias("max_abs"), F.round("used", 6).alias("used"), "passed")
 
 
-@query("c11_scorer_comparison", f"{L}, o AS (SELECT p, round(p + ((h % 200) - 100) / 5000e0, 9) AS q FROM logits) SELECT round(max(abs(p - q)), 9) AS max_dp, count(*) FILTER ((p >= {T}) <> (q >= {T})) AS decisions_changed FROM o")
+_AP = "sum(pos / positives * tp / (tp + fp))"
+_AUC = "sum(pos * (negatives - fp + neg / 2) / positives / negatives)"
+_SCORER = """x{i} AS (SELECT label, {p} AS p FROM o), g{i} AS (SELECT p, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM x{i} GROUP BY p),
+  v{i} AS (SELECT pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS positives, sum(neg) OVER () AS negatives FROM g{i} WINDOW w AS (ORDER BY p DESC)),
+  n{i} AS (SELECT (count(*) FILTER (p >= {t} AND label = 1))::DOUBLE AS tp, (count(*) FILTER (p >= {t} AND label = 0))::DOUBLE AS fp, (count(*) FILTER (p < {t} AND label = 1))::DOUBLE AS fn FROM x{i})"""
+_SCORER_ROW = "SELECT '{name}' AS scorer, round((SELECT {ap} FROM v{i}), 9) AS average_precision, round((SELECT {auc} FROM v{i}), 9) AS roc_auc, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, {dp} AS max_dp, {ch} AS decisions_changed FROM n{i}"
+
+
+@query(
+    "c11_scorer_comparison",
+    f"""{L}, o AS (SELECT label, p, round(p + ((h % 200) - 100) / 5000e0, 9) AS q FROM logits), {_SCORER.format(i=1, p='p', t=T)}, {_SCORER.format(i=2, p='q', t=T)}
+    {_SCORER_ROW.format(name='p', i=1, ap=_AP, auc=_AUC, dp='0e0', ch='0')}
+    UNION ALL {_SCORER_ROW.format(name='p_other', i=2, ap=_AP, auc=_AUC, dp='(SELECT round(max(abs(p - q)), 9) FROM o)', ch=f'(SELECT count(*) FILTER ((p >= {T}) <> (q >= {T})) FROM o)')}""",
+)
 def _(s, d):
     rows = logits(s, d).withColumn("p_other", F.round(F.col("p") + (F.col("h") % 200 - 100) / 5000.0, 9))
-    return m.compare_scorers(rows, THRESHOLD).withColumn("max_dp", F.round("max_dp", 9))
+    rows = materialize(rows.select("label", "p", "p_other"), "two-scorers")
+    return m.compare_scorers(rows, THRESHOLD).withColumns({c: F.round(c, 9) for c in ("average_precision", "roc_auc", "max_dp")})
 
 
 @query("d13_confusion", f"{L}, {_COUNTS} SELECT tp, fp, tn, fn, round(tn / (tn + fp), 4) AS tn_rate, round(fp / (tn + fp), 4) AS fp_rate, round(fn / (tp + fn), 4) AS fn_rate, round(tp / (tp + fn), 4) AS tp_rate FROM counts")
@@ -123,24 +139,18 @@ def _(s, d):
     return m.ranking_metrics(logits(s, d)).select(F.round("roc_auc", 9).alias("roc_auc"))
 
 
-_U = "('0x' || substr(md5(id || '|' || j::VARCHAR), {a}, 8))::BIGINT / 4294967296e0"
-_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+@query("d18_bootstrap")
+def _(s, d):
+    """Seven metrics, 1,000 resamples (numpy's Poisson draws are not SQL; tests hold them against a plain bootstrap)."""
+    return m.bootstrap(logits(s, d), THRESHOLD, 1000)
 
 
-@query(
-    "d18_bootstrap",
-    f"""{L}, r AS (SELECT label, p >= {T} AS hit, id, unnest(range(0, 5)) AS j FROM logits),
-    u AS ({' UNION ALL '.join(f"SELECT label, hit, j * 4 + {k} AS b, {_U.format(a=8 * k + 1)} AS u FROM r" for k in range(4))}),
-    w AS (SELECT label, hit, b, {' + '.join(f'({c!r}::DOUBLE <= u)::INTEGER' for c in _CDF)} AS w FROM u),
-    e AS (SELECT b, sum(w) FILTER (hit AND label = 1)::DOUBLE AS tp, sum(w) FILTER (hit AND label = 0)::DOUBLE AS fp, sum(w) FILTER (NOT hit AND label = 0)::DOUBLE AS tn,
-      sum(w) FILTER (NOT hit AND label = 1)::DOUBLE AS fn FROM w GROUP BY b), {_COUNTS},
-    v AS (SELECT 'precision' AS metric, tp / (tp + fp) AS v FROM e UNION ALL SELECT 'recall', tp / (tp + fn) FROM e UNION ALL SELECT 'f1', 2 * tp / (2 * tp + fp + fn) FROM e UNION ALL SELECT 'accuracy', (tp + tn) / (tp + fp + tn + fn) FROM e),
-    o AS (SELECT 'precision' AS metric, tp / (tp + fp) AS point FROM counts UNION ALL SELECT 'recall', tp / (tp + fn) FROM counts UNION ALL SELECT 'f1', 2 * tp / (2 * tp + fp + fn) FROM counts UNION ALL SELECT 'accuracy', (tp + tn) / (tp + fp + tn + fn) FROM counts)
-    SELECT metric, round(any_value(point), 9) AS point, round(quantile_cont(v, 0.025e0), 9) AS low, round(quantile_cont(v, 0.975e0), 9) AS high, count(*) AS resamples FROM v JOIN o USING (metric) GROUP BY metric""",
-)
+@query("d18_point_metrics", f"""{L}, {_COUNTS}, {_CURVE} SELECT 'precision' AS metric, tp / (tp + fp) AS point FROM counts UNION ALL SELECT 'recall', tp / (tp + fn) FROM counts UNION ALL SELECT 'f1', 2 * tp / (2 * tp + fp + fn) FROM counts
+  UNION ALL SELECT 'macro_f1', (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2 FROM counts UNION ALL SELECT 'accuracy', (tp + tn) / (tp + fp + tn + fn) FROM counts
+  UNION ALL SELECT 'average_precision', round({_AP}, 9) FROM curve UNION ALL SELECT 'roc_auc', round({_AUC}, 9) FROM curve""")
 def _(s, d):
-    out = m.bootstrap(logits(s, d), THRESHOLD, 20)
-    return out.select("metric", *(F.round(c, 9).alias(c) for c in ("point", "low", "high")), "resamples")
+    """The point values of the bootstrap's metrics."""
+    return m.bootstrap(logits(s, d), THRESHOLD, 2).select("metric", F.round("point", 9).alias("point"))
 
 
 @query(
@@ -162,7 +172,7 @@ _RANK = "rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITIO
 )
 def _(s, d):
     rows = predictions(s, d).withColumn("brightness", F.round("brightness", 4))
-    return m.spearman_by(rows, "p", "brightness", "label").withColumn("spearman", F.round("spearman", 9))
+    return m.spearman_by(rows, "p", "brightness", "label").select("label", F.round("spearman", 9).alias("spearman"))
 
 
 @query("e7_average_rank", f"{L}, r AS (SELECT split, p, {_RANK.format(by='split', v='p')} AS rank FROM logits) SELECT DISTINCT split, p, rank FROM r")
@@ -219,13 +229,16 @@ def _(s, d):
     return m.band_summary(logits(s, d), THRESHOLD, *BAND)
 
 
-@query(
-    "d29_expected_cost",
-    f"""{L}, {_BAND}, {_COUNTS} SELECT 'threshold' AS policy, round(1000 * (20 * fn + fp) / n, 6) AS cost FROM band, counts
-    UNION ALL SELECT 'review_band', round(1000 * (20 * missed_auto_passed + alarms_auto_rejected + 0.25e0 * reviewed) / n, 6) FROM band, counts""",
-)
+def _cost_sql(points: dict[str, str], chosen: str, low: str, high: str, table: str = "logits", extra: str = "") -> str:
+    rows = [f"SELECT '{name}' AS policy, round(1000 * (20 * count(*) FILTER (label = 1 AND p < {t}) + count(*) FILTER (label = 0 AND p >= {t})) / count(*)::DOUBLE, 6) AS cost FROM {table}{extra}" for name, t in points.items()]
+    band = f"SELECT '{chosen}+review_band', round(1000 * (20 * count(*) FILTER (label = 1 AND p < {low}) + count(*) FILTER (label = 0 AND p >= {high}) + 0.25e0 * count(*) FILTER (p >= {low} AND p < {high})) / count(*)::DOUBLE, 6) FROM {table}{extra}"
+    return " UNION ALL ".join([*rows, band])
+
+
+@query("d29_expected_cost", f"{L} {_cost_sql({'default_0.5': '0.5e0', 'f1_optimal': '0.55e0', 'recall_constrained': T}, 'recall_constrained', LO, HI)}")
 def _(s, d):
-    return m.expected_cost(logits(s, d), THRESHOLD, *BAND).withColumn("cost", F.round("cost", 6))
+    points = {"default_0.5": 0.5, "f1_optimal": 0.55, "recall_constrained": THRESHOLD}
+    return m.cost_table(logits(s, d), points, "recall_constrained", *BAND).withColumn("cost", F.round("cost", 6))
 
 
 @query("d30_class_weights", f"{L} SELECT label, count(*) AS n, (sum(count(*)) OVER ()) / ((count(*) OVER ()) * count(*))::DOUBLE AS weight FROM logits GROUP BY label")
@@ -265,9 +278,10 @@ def _(s, d):
     return logits(s, d).select("id", "margin", bin_index(F.col("p"), e).alias("left_closed"), bin_index(F.col("p"), e, closed_left=False).alias("right_closed"))
 
 
-@query("h5_quantiles", f"{L} SELECT split, quantile_cont(p, 0.25e0) AS q25, quantile_cont(p, 0.5e0) AS q50, quantile_cont(p, 0.9e0) AS q90 FROM logits GROUP BY split")
+@query("h5_quantiles", f"{L} SELECT split, round(quantile_cont(p, 0.25e0), 9) AS q25, round(quantile_cont(p, 0.5e0), 9) AS q50, round(quantile_cont(p, 0.9e0), 9) AS q90 FROM logits GROUP BY split")
 def _(s, d):
-    return logits(s, d).groupBy("split").agg(*(F.percentile("p", q / 100).alias(f"q{q}") for q in (25, 50, 90)))
+    out = exact_quantiles(logits(s, d), "p", [0.25, 0.5, 0.9], ["split"])
+    return out.select("split", *(F.round(F.col("quantiles")[i], 9).alias(q) for i, q in enumerate(("q25", "q50", "q90"))))
 
 
 @query("h6_softmax", f"{L} SELECT id, margin, round(1 / (1 + exp(margin) + exp(-margin)), 9) AS s0, round(exp(margin) / (1 + exp(margin) + exp(-margin)), 9) AS s1 FROM logits")
@@ -322,44 +336,124 @@ def _(s, d):
     return m.review_band(logits(s, d), THRESHOLD, 0.99, 0.9).select(F.round("low", 7).alias("low"), "high")
 
 
-_GRID = """c AS (SELECT m, count(*) AS n FROM (SELECT {x} AS m FROM logits WHERE split = 'val') GROUP BY m),
-g1 AS (SELECT i, exp(ln(0.05e0) + (ln(20e0) - ln(0.05e0)) * i / 63e0) AS t FROM range(64) r(i)),
-l1 AS (SELECT i, sum(n * (greatest(-m / t, 0e0) + ln(1 + exp(-abs(m / t))))) AS v FROM g1, c GROUP BY i),
-b1 AS (SELECT i FROM l1 ORDER BY v, i LIMIT 1)
-SELECT round(ln(0.05e0) + (ln(20e0) - ln(0.05e0)) * i / 63e0, 6) AS log_t FROM b1"""
+def _grid_sql(table: str = "logits", where: str = "split = 'val'") -> str:
+    """CTEs of the temperature fit; ``b<ROUNDS>`` holds the best point i of the last grid, whose ends are in ``e<ROUNDS - 1>``."""
+    out = [f"c AS (SELECT m, count(*) AS n FROM (SELECT {_X} AS m FROM {table} WHERE {where}) GROUP BY m), e0 AS (SELECT ln({m.LOW_T}e0) AS lo, ln({m.HIGH_T}e0) AS hi)"]
+    step = f"lo + (hi - lo) * {{i}} / {m.GRID - 1}e0"
+    for r in range(1, m.ROUNDS + 1):
+        out.append(f"g{r} AS (SELECT i, {step.format(i='i')} AS lt FROM range({m.GRID}) r(i), e{r - 1})")
+        out.append(f"l{r} AS (SELECT i, sum(n * (greatest(-m / exp(lt), 0e0) + ln(1 + exp(-abs(m / exp(lt)))))) AS v FROM g{r}, c GROUP BY i)")
+        out.append(f"b{r} AS (SELECT i FROM l{r} ORDER BY v, i LIMIT 1)")
+        out.append(f"e{r} AS (SELECT {step.format(i='greatest(i - 1, 0)')} AS lo, {step.format(i=f'least(i + 1, {m.GRID - 1})')} AS hi FROM b{r}, e{r - 1})")
+    out.append(f"sep AS (SELECT coalesce(min(margin) FILTER (label = 1) > max(margin) FILTER (label = 0), false) AS s FROM {table} WHERE {where})")
+    out.append(f"fit AS (SELECT exp({step.format(i='i')}) AS t FROM b{m.ROUNDS}, e{m.ROUNDS - 1})")
+    note = f"CASE WHEN s THEN 'separable' WHEN t < {m.LOW_T}e0 * 1.01e0 OR t > {m.HIGH_T}e0 / 1.01e0 THEN 'at a bound' ELSE '' END"
+    out.append(f"chosen AS (SELECT CASE WHEN s THEN 1e0 ELSE t END AS temperature, {note} AS note FROM fit, sep)")
+    return ", ".join(out)
 
 
-@query("i4_temperature_fit", f"{L}, {_GRID.format(x=_X)}")
+@query("i4_temperature_fit", f"{L}, {_grid_sql()} SELECT round(ln(t), 4) AS log_t FROM fit")
 def _(s, d):
-    t = m.fit_temperature(logits(s, d).where("split = 'val'"), rounds=1)
-    return s.range(1).select(F.round(F.ln(F.lit(t)), 6).alias("log_t"))
+    t = m.fit_temperature(logits(s, d).where("split = 'val'"))
+    return s.range(1).select(F.round(F.ln(F.lit(t)), 4).alias("log_t"))
 
 
-@query("i5_choose_temperature")
+@query("i5_choose_temperature", f"{L}, {_grid_sql()} SELECT round(ln(temperature), 4) AS log_t, note FROM chosen")
 def _(s, d):
-    return m.choose_temperature(logits(s, d).where("split = 'val'"))
+    chosen = m.choose_temperature(logits(s, d).where("split = 'val'"))
+    return chosen.select(F.round(F.ln("temperature"), 4).alias("log_t"), "note")
 
 
-@query("i11_calibrate_and_select")
+@query("i5_separable_keeps_one", f"{L}, apart AS (SELECT label, CASE WHEN label = 1 THEN abs(margin) + 0.5e0 ELSE -abs(margin) END AS margin FROM logits), {_grid_sql('apart', 'true')} SELECT temperature, note FROM chosen")
 def _(s, d):
-    """One operating point from the validation split alone: temperature, threshold, band and its figures."""
+    """Margins that one cut separates have no finite best temperature: 1 is kept."""
+    apart = logits(s, d).withColumn("margin", F.when(F.col("label") == 1, F.abs("margin") + 0.5).otherwise(-F.abs("margin")))
+    return m.choose_temperature(apart)
+
+
+def calibrate_and_select(s, d) -> dict:
+    """The choices from the validation split alone: temperature, thresholds and band, with the written scored split and its curve."""
     val = materialize(logits(s, d).where("split = 'val'").select("id", "label", "margin"), "val")
     t = m.choose_temperature(val).first()["temperature"]
-    val = materialize(val.withColumn("p", sc.sigmoid(F.col("margin") / t)), "val-scored")
-    threshold = m.threshold_for_recall(val, 0.95).first()[0]
-    low, high = m.review_band(val, threshold, 0.99, 0.9).first()
-    point = m.operating_point(val, threshold).crossJoin(m.band_summary(val, threshold, low, high)).crossJoin(m.expected_calibration_error(val, 15))
-    return point.withColumns({"temperature": F.lit(t), "threshold": F.lit(threshold), "low": F.lit(low), "high": F.lit(high)})
+    val = materialize(val.withColumn("p", F.round(sc.sigmoid(F.col("margin") / F.round(F.lit(t), 4)), 9)), "val-scored")
+    curve = materialize(m.pr_curve(val), "val-curve")
+    threshold = m.threshold_for_recall(val, 0.95, curve).first()[0]
+    low, high = m.review_band(val, threshold, 0.99, 0.9, curve).first()
+    points = {"default_0.5": 0.5, "f1_optimal": m.f1_optimal_threshold(val, curve).first()[0], "recall_constrained": threshold}
+    return {"val": val, "temperature": t, "points": points, "threshold": threshold, "low": low, "high": high}
+
+
+_VAL = f"""{_grid_sql()}, val AS (SELECT label, margin, round(1e0 / (1e0 + exp(-margin / round(temperature, 4))), 9) AS p FROM logits, chosen WHERE split = 'val'),
+g AS (SELECT p, sum(label)::DOUBLE AS pos, sum(1 - label)::DOUBLE AS neg FROM val GROUP BY p),
+curve AS (SELECT p, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS positives, sum(neg) OVER () AS negatives FROM g WINDOW w AS (ORDER BY p DESC)),
+pr AS (SELECT p AS threshold, tp / (tp + fp) AS precision, tp / positives AS recall FROM curve),
+c1 AS (SELECT min(threshold) AS c FROM pr WHERE recall >= 0.95e0 AND precision = (SELECT max(precision) FROM pr WHERE recall >= 0.95e0)),
+c2 AS (SELECT max(threshold) AS c FROM pr WHERE recall >= 0.99e0),
+th AS (SELECT {_MID.replace('FROM logits', 'FROM val').replace('FROM cand', 'FROM c1').replace('round(coalesce', 'coalesce', 1).replace(', c), 7) AS threshold', ', c) AS threshold')}),
+lo0 AS (SELECT {_MID.replace('FROM logits', 'FROM val').replace('FROM cand', 'FROM c2').replace('round(coalesce', 'coalesce', 1).replace(', c), 7) AS threshold', ', c) AS threshold')}),
+pt AS (SELECT th.threshold AS rc, least(lo0.threshold, th.threshold) AS low,
+  (SELECT coalesce(min(threshold) FILTER (precision >= 0.9e0 AND threshold >= th.threshold), greatest(max(threshold), th.threshold)) FROM pr) AS high,
+  (SELECT threshold FROM (SELECT threshold, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0e0 END AS f1 FROM pr) ORDER BY f1 DESC, threshold LIMIT 1) AS f1 FROM th, lo0)"""
+
+
+def _ece_sql(p: str) -> str:
+    bins = " + ".join(f"({i / 15!r}::DOUBLE <= {p})::INTEGER" for i in range(1, 15))
+    return f"(SELECT round(sum(n * abs(mp - sh)) / sum(n), 6) FROM (SELECT count(*) AS n, avg({p}) AS mp, avg(label) AS sh FROM val GROUP BY {bins}))"
+
+
+def _nll_sql(t: str) -> str:
+    return f"(SELECT round(avg(greatest(-x, 0e0) + ln(1 + exp(-abs(x)))), 6) FROM (SELECT (CASE WHEN label = 1 THEN margin ELSE -margin END) / {t} AS x FROM val, chosen))"
 
 
-@query("i15_evaluate_once", f"{L}, {_BY_SPLIT} SELECT split, {_METRICS} FROM counts WHERE split <> 'val'")
+_RAW = "(1e0 / (1e0 + exp(-margin)))"
+
+
+@query(
+    "i11_calibrate_and_select",
+    f"""{L}, {_VAL} SELECT round(ln(temperature), 4) AS log_t, note, count(*) AS n, sum(label)::BIGINT AS n_defective, round(max(rc), 6) AS threshold, round(max(f1), 6) AS f1_threshold, round(max(low), 6) AS low, round(max(high), 6) AS high,
+      count(*) FILTER (p >= low AND p < high) AS reviewed, count(*) FILTER ((p >= rc) <> (label = 1)) AS errors, count(*) FILTER ((p >= rc) <> (label = 1) AND p >= low AND p < high) AS errors_caught,
+      count(*) FILTER (label = 1 AND p < low) AS missed_auto_passed, count(*) FILTER (label = 0 AND p >= high) AS alarms_auto_rejected,
+      {_ece_sql(_RAW)} AS ece_before, {_ece_sql('p')} AS ece_after, {_nll_sql('1e0')} AS nll_before, {_nll_sql('temperature')} AS nll_after FROM val, chosen, pt GROUP BY temperature, note""",
+)
+def _(s, d):
+    """One row: temperature and note, thresholds, review band and its summary, calibration error and loss before and after."""
+    c = calibrate_and_select(s, d)
+    val, t = c["val"], c["temperature"]
+    before = val.withColumn("p", sc.sigmoid(F.col("margin")))
+    one = m.band_summary(val, c["threshold"], c["low"], c["high"]).select("n", "reviewed", "errors", "errors_caught", "missed_auto_passed", "alarms_auto_rejected")
+    for name, df in (("ece_before", m.expected_calibration_error(before, 15)), ("ece_after", m.expected_calibration_error(val, 15)), ("nll_before", m.nll(val, 1.0)), ("nll_after", m.nll(val, t))):
+        one = one.crossJoin(F.broadcast(df.select(F.round(F.col(df.columns[0]), 6).alias(name))))
+    one = one.crossJoin(F.broadcast(val.agg(F.sum("label").alias("n_defective"))))
+    note = "separable" if m.is_separable(val).first()[0] else "at a bound" if t < m.LOW_T * 1.01 or t > m.HIGH_T / 1.01 else ""
+    at = {"threshold": c["threshold"], "f1_threshold": c["points"]["f1_optimal"], "low": c["low"], "high": c["high"]}
+    return one.withColumns({"log_t": F.round(F.ln(F.lit(t)), 4), "note": F.lit(note), **{k: F.round(F.lit(v), 6) for k, v in at.items()}})
+
+
+@query(
+    "i11_operating_points",
+    f"""{L}, {_VAL}, p3 AS (SELECT 'default_0.5' AS point, 0.5e0 AS t UNION ALL SELECT 'f1_optimal', f1 FROM pt UNION ALL SELECT 'recall_constrained', rc FROM pt),
+    k AS (SELECT point, t, (count(*) FILTER (p >= t AND label = 1))::DOUBLE AS tp, (count(*) FILTER (p >= t AND label = 0))::DOUBLE AS fp, (count(*) FILTER (p < t AND label = 0))::DOUBLE AS tn, (count(*) FILTER (p < t AND label = 1))::DOUBLE AS fn FROM val, p3 GROUP BY point, t)
+    SELECT point, round(t, 6) AS threshold, tp, fp, tn, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, fp / (fp + tn) AS false_alarm_rate FROM k""",
+)
 def _(s, d):
-    """Both test sets at the chosen point, with the guard that the identity of their rows is what the audit saw."""
-    rows = logits(s, d).where("split != 'val'")
-    seen = rows.groupBy("split").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("seen"))
-    now = rows.groupBy("split").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("now"))
-    same = seen.join(now, "split").select("split", F.when(F.col("seen") == F.col("now"), True).otherwise(F.raise_error(F.lit("the test rows have changed")).cast("boolean")).alias("ok"))
-    return m.classification_metrics(rows, THRESHOLD, ["split"]).join(F.broadcast(same.where("ok")), "split").drop("ok")
+    """Counts and rates of the three operating points."""
+    c = calibrate_and_select(s, d)
+    return m.point_table(c["val"], c["points"]).withColumn("threshold", F.round("threshold", 6))
+
+
+@query("i11_cost_table", f"{L}, {_VAL}, w AS (SELECT * FROM val, pt) {_cost_sql({'default_0.5': '0.5e0', 'f1_optimal': 'f1', 'recall_constrained': 'rc'}, 'recall_constrained', 'low', 'high', 'w')}")
+def _(s, d):
+    """Illustrative cost of the three points, and of the chosen one with its review band."""
+    c = calibrate_and_select(s, d)
+    return m.cost_table(c["val"], c["points"], "recall_constrained", c["low"], c["high"]).withColumn("cost", F.round("cost", 6))
+
+
+@query("i15_evaluate_once", f"{L}, {_BY_SPLIT}, b AS (SELECT split, count(*) FILTER (p >= {LO} AND p < {HI}) AS reviewed, count(*) AS n FROM logits GROUP BY split) SELECT split, n, reviewed, {_METRICS} FROM counts JOIN b USING (split) WHERE split <> 'val'")
+def _(s, d):
+    """Both test sets at the chosen point; refused without a passed audit, on other rows than the audited, and a second time."""
+    rows = materialize(logits(s, d).where("split != 'val'"), "held-out")
+    audit = audit_of(rows, passed=True)
+    return evaluate_once(rows, audit, scratch_path(s, "run"), THRESHOLD, *BAND)
 
 
 @query("i16_brightness_probe", f"""{P}, b AS (SELECT label, correct, p, round(brightness, 4) AS br FROM predictions), c AS (SELECT quantile_cont(br, [0.25e0, 0.5e0, 0.75e0]) AS cuts FROM b),
@@ -367,10 +461,9 @@ def _(s, d):
   SELECT 'quartile' || (1 + (cuts[1] < br)::INTEGER + (cuts[2] < br)::INTEGER + (cuts[3] < br)::INTEGER) AS part, count(*) AS n, (count(*) FILTER (NOT correct))::DOUBLE AS value FROM b, c GROUP BY 1
   UNION ALL SELECT 'spearman' || label, count(*), round(corr(rx, ry), 9) FROM r GROUP BY label""")
 def _(s, d):
-    rows = predictions(s, d).withColumn("brightness", F.round("brightness", 4))
+    rows = materialize(predictions(s, d).select("label", "correct", "p", F.round("brightness", 4).alias("brightness")), "probe")
     q = m.quartile_errors(rows).select(F.concat(F.lit("quartile"), F.col("quartile")).alias("part"), "n", F.col("errors").cast("double").alias("value"))
-    n = rows.groupBy("label").agg(F.count("*").alias("n"))
-    r = m.spearman_by(rows, "p", "brightness", "label").join(n, "label")
+    r = m.spearman_by(rows, "p", "brightness", "label")
     return q.unionByName(r.select(F.concat(F.lit("spearman"), F.col("label")).alias("part"), "n", F.round("spearman", 9).alias("value")))
 
 
@@ -414,18 +507,28 @@ def _(s, d):
     return e.withColumn("k", F.row_number().over(order)).where("k <= 24").select("split", "error_type", "id", "p", "k")
 
 
-@query("i21_release_gate", f"""{L}, b AS (SELECT id, min(margin) AS x FROM logits GROUP BY id), {_BY_SPLIT}, v AS (SELECT split, {_METRICS} FROM counts)
-  SELECT split, f1, recall, true AS released FROM v WHERE (SELECT max(0.00001e0 / (0.0001e0 + 0.0001e0 * abs(x))) <= 1 FROM b)""")
+@query("i21_release_gate", f"""{L}, b AS (SELECT id, min(margin) AS x FROM logits GROUP BY id), o AS (SELECT id, min({_OTHER.replace('0.01e0', '0.00002e0')}) AS y FROM logits GROUP BY id), {_BY_SPLIT}, v AS (SELECT split, {_METRICS} FROM counts),
+  par AS (SELECT max(abs(x - y) / (0.0001e0 + 0.0001e0 * abs(x))) AS r FROM b JOIN o USING (id))
+  SELECT split, 'v1' AS model_version, precision, recall, f1, macro_f1, accuracy, round(r, 6) AS tolerance_used FROM v, par WHERE r <= 1 AND split <> 'val'""")
 def _(s, d):
+    """Release of a version: the exported scorer agrees with the trained one, metrics of the test sets go along, the version is written once."""
     rows = logits(s, d)
-    a = rows.groupBy("id").agg(F.min("margin").alias("z"))
-    passed = m.parity(a, a.withColumn("z", F.col("z") + 0.00001)).select(F.col("passed").alias("released"))
-    return m.classification_metrics(rows, THRESHOLD, ["split"]).select("split", "f1", "recall").crossJoin(F.broadcast(passed)).where("released")
+    scorer = rows.groupBy("id").agg(F.min("margin").alias("z"))
+    exported = rows.groupBy("id").agg(F.min(F.col("margin") + F.when(F.col("h") % 7919 == 0, 0.00002).otherwise(0.00001)).alias("z"))
+    metrics = m.classification_metrics(rows.where("split != 'val'"), THRESHOLD, ["split"])
+    return release(scorer, exported, metrics, scratch_path(s, "models"), "v1").withColumn("tolerance_used", F.round("tolerance_used", 6))
+
+
+_RUNS = "runs AS (SELECT run, make_timestamp(2024, 1, 1, 0, 0, 0) + to_seconds(sum(n)::BIGINT * 7919 % 1000003) AS created_at FROM history GROUP BY run)"
 
 
-@query("a17_latest_run", f"{H} SELECT max(run) AS run FROM history")
+@query("a17_latest_run", f"{H}, {_RUNS} SELECT run, created_at FROM runs ORDER BY created_at DESC, run DESC LIMIT 1")
 def _(s, d):
-    return history(s, d).agg(F.max_by("run", F.col("run")).alias("run"))
+    """The run created last."""
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    runs = history(s, d).groupBy("run").agg((F.sum("n") * 7919 % 1_000_003).alias("late"))
+    runs = runs.select("run", F.timestamp_seconds(F.unix_timestamp(start) + F.col("late")).alias("created_at"))
+    return latest_run(runs)
 
 
 @query("d32_generalisation_gap", f"{H} SELECT run, round(avg(train_pr_auc) - avg(val_pr_auc), 9) AS gap FROM history GROUP BY run")

@@ -8,18 +8,33 @@ from gaugeframe.functions import arrays as ar
 from gaugeframe.operators import metrics as m
 from gaugeframe.operators import similarity as sim
 from gaugeframe.operators.graph import connected_components
+from gaugeframe.operators.ranking import exact_quantiles
 from gaugeframe.operators.splits import number_clusters
-from gaugeframe.plans.bindings import THUMBS, hash32, thumbs
+from gaugeframe.plans.bindings import SIDE, THUMBS, hash32, thumbs
 from gaugeframe.plans.registry import query
 from gaugeframe.sources.scratch import materialize
 
 W = f"WITH {THUMBS}"
-_STD = """std AS (SELECT id, label, list_transform(c, lambda x: x / (sqrt(list_sum(list_transform(c, lambda y: y * y))) + 1e-6)) AS s
-  FROM (SELECT id, label, list_transform(fine, lambda x: x - list_avg(fine)) AS c FROM thumbs))"""
-_TURNED = """turned AS (SELECT id, k, list_transform(m, lambda i: s[i + 1]) AS s FROM std, maps)"""
-_PAIRS = """pairs AS (SELECT a.id AS query, b.id AS target, round(max(list_dot_product(a.s, b.s)), 9) AS corr,
+_HALF = SIDE // 2
+_BLOCKS = [[(2 * r + i) * SIDE + 2 * c + j + 1 for i in (0, 1) for j in (0, 1)] for r in range(_HALF) for c in range(_HALF)]
+
+
+def matching_sql(table: str) -> str:
+    """CTEs over a table of id and fine: ``std`` (standardised fine and coarse arrays), both in all orientations, and ``allpairs``
+    (query, target, corr, via_transform, coarse of all ordered pairs)."""
+    unit = "list_transform({c}, lambda x: x / (sqrt(list_sum(list_transform({c}, lambda y: y * y))) + 1e-6))"
+    coarse_maps = ", ".join(f"({k}, {m})" for k, m in enumerate(ar.orientation_maps(_HALF)))
+    return f"""pooled AS (SELECT id, fine, list_transform({_BLOCKS}, lambda p: (fine[p[1]] + fine[p[2]] + fine[p[3]] + fine[p[4]]) / 4e0) AS coarse FROM {table}),
+cmaps AS (SELECT * FROM (VALUES {coarse_maps}) AS t(k, cm)),
+std AS (SELECT id, {unit.format(c='f')} AS s, {unit.format(c='c')} AS cs
+  FROM (SELECT id, list_transform(fine, lambda x: x - list_avg(fine)) AS f, list_transform(coarse, lambda x: x - list_avg(coarse)) AS c FROM pooled)),
+turned AS (SELECT id, k, list_transform(m, lambda i: s[i + 1]) AS s, list_transform(cm, lambda i: cs[i + 1]) AS cs FROM std, maps JOIN cmaps USING (k)),
+allpairs AS (SELECT a.id AS query, b.id AS target, round(max(list_dot_product(a.s, b.s)), 9) AS corr, round(max(list_dot_product(a.cs, b.cs)), 9) AS coarse,
   round(max(list_dot_product(a.s, b.s)) FILTER (a.k = 0), 9) < round(max(list_dot_product(a.s, b.s)), 9) AS via_transform FROM turned a JOIN std b ON a.id <> b.id GROUP BY a.id, b.id)"""
-_TOP3 = f"{W}, {_STD}, {_TURNED}, {_PAIRS}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY corr DESC, target) AS k FROM pairs) WHERE k <= 3)"
+
+
+_STD = matching_sql("thumbs")
+_SHORT = f"{W}, {_STD}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY coarse DESC, target) AS k FROM allpairs) WHERE k <= {sim.SHORTLIST})"
 
 
 @query("h1_orientations", f"{W} SELECT id, k AS orientation, round(list_sum(list_transform(range(1, 65), lambda i: i * (fine[m[i] + 1]))), 6) AS checksum FROM thumbs, maps")
@@ -42,13 +57,13 @@ def _(s, d):
     return t.join(b, "id").select("id", F.round(ar.dot(F.col("fine"), F.col("other")), 6).alias("dot"), F.round(ar.l2(F.col("fine"), F.col("other")), 6).alias("l2"))
 
 
-@query("c3_top_matches", f"{_TOP3} SELECT query, target, round(corr, 6) AS corr, via_transform FROM top")
+@query("c3_top_matches", f"{_SHORT} SELECT query, target, round(corr, 6) AS corr, via_transform FROM top")
 def _(s, d):
     t = thumbs(s, d)
-    return sim.top_matches(t, t, 3, same_set=True).withColumn("corr", F.round("corr", 6))
+    return sim.top_matches(t, t, sim.SHORTLIST, same_set=True).withColumn("corr", F.round("corr", 6))
 
 
-@query("c4_nearest_similarity", f"{_TOP3} SELECT query AS id, round(max(corr), 6) AS nearest FROM top GROUP BY query")
+@query("c4_nearest_similarity", f"{_SHORT} SELECT query AS id, round(max(corr), 6) AS nearest FROM top GROUP BY query")
 def _(s, d):
     t = thumbs(s, d)
     return sim.nearest_similarity(t, t, same_set=True).withColumn("nearest", F.round("nearest", 6))
@@ -57,21 +72,13 @@ def _(s, d):
 _EDGES = [0.0, 0.9, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999]
 
 
-@query("d10_similarity_histogram", f"{_TOP3}, n AS (SELECT query, max(corr) AS c FROM top GROUP BY query) SELECT {' + '.join(f'({e}e0 <= c)::INTEGER' for e in _EDGES)} AS bin, count(*) AS n FROM n GROUP BY 1")
+@query("d10_similarity_histogram", f"{_SHORT}, n AS (SELECT query, max(corr) AS c FROM top GROUP BY query) SELECT {' + '.join(f'({e}e0 <= c)::INTEGER' for e in _EDGES)} AS bin, count(*) AS n FROM n GROUP BY 1")
 def _(s, d):
     t = thumbs(s, d)
     return sim.nearest_similarity(t, t, same_set=True).groupBy(ar.bin_index(F.col("nearest"), _EDGES).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("c8_cross_split_matrix", f"""{_TOP3.split(', top AS')[0]}, sp AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM thumbs),
-  near AS (SELECT query, max(corr) AS c FROM pairs JOIN sp a ON a.id = query AND a.split = 'test' JOIN sp b ON b.id = target AND b.split = 'train' GROUP BY query)
-  SELECT 'test' AS eval_split, 'train' AS train_side, count(*) AS n, count(*) FILTER (c >= 0.99e0) AS n_threshold, count(*) FILTER (c >= 0.5e0) AS n_info, round(max(c), 5) AS max, round(median(c), 5) AS median FROM near""")
-def _(s, d):
-    t = thumbs(s, d).withColumn("split", F.when(F.col("id") % 3 == 0, "test").otherwise("train"))
-    return sim.cross_split_matrix(t, [("test", "train")], 0.99, 0.5)
-
-
-_CC = f"""{_TOP3}, e AS (SELECT query AS a, target AS b FROM top WHERE corr >= 0.99e0 UNION SELECT target, query FROM top WHERE corr >= 0.99e0)"""
+_CC = f"""{W}, {_STD}, e AS (SELECT query AS a, target AS b FROM allpairs WHERE corr >= 0.99e0)"""
 
 
 def _clusters(s, d):
@@ -111,18 +118,19 @@ def _(s, d):
     return sim.sample_patches(sim.patches(thumbs(s, d)), 4, 9).select("id", "patch")
 
 
-@query("c13_bank_distance", f"""{_PATCHES}, bank AS (SELECT v FROM patches WHERE id < 20 AND patch % 4 = 0)
-  SELECT id, round(max(near), 6) AS score FROM (SELECT p.id, p.patch, min(list_distance(p.v, b.v)) AS near FROM patches p, bank b GROUP BY p.id, p.patch) GROUP BY id""")
-def _(s, d):
-    """Distances of all patches to a bank of set size: the fixed bank of the first images' patches."""
-    t = thumbs(s, d)
-    bank = sim.patches(t.where("id < 20")).where("patch % 4 = 0")
-    return sim.anomaly_scores(t, bank).withColumn("score", F.round("score", 6))
+PATCHES_AN_IMAGE, BANK = 64, 5000
 
 
 def _bank(s, d):
+    """The fitted memory bank: a coreset of the sampled patches of all normal rows."""
     normal = thumbs(s, d).where("label % 2 = 0")
-    return materialize(sim.coreset(sim.sample_patches(sim.patches(normal), 6, 42), 200), "bank")
+    return materialize(sim.coreset(sim.sample_patches(sim.patches(normal), PATCHES_AN_IMAGE, 42), BANK), "bank")
+
+
+@query("c13_bank_distance")
+def _(s, d):
+    """The distance of every patch to the fitted bank."""
+    return sim.bank_distances(sim.patches(thumbs(s, d)), _bank(s, d))
 
 
 @query("i17_coreset")
@@ -140,19 +148,34 @@ def _(s, d):
     return sim.anomaly_scores(thumbs(s, d), _bank(s, d))
 
 
+@query("i19_sampled_bank", f"""{_PATCHES}, r AS (SELECT v, row_number() OVER (PARTITION BY id ORDER BY md5('9|' || id || '|' || patch), patch) AS k FROM patches JOIN thumbs USING (id) WHERE label % 2 = 0),
+  bank AS (SELECT v FROM r WHERE k = 1)
+  SELECT id, round(max(near), 6) AS score FROM (SELECT p.id, p.patch, min(list_distance(p.v, b.v)) AS near FROM patches p, bank b GROUP BY p.id, p.patch) GROUP BY id""")
+def _(s, d):
+    """Scores against a bank that SQL can say: one patch of each normal image."""
+    t = thumbs(s, d)
+    bank = materialize(sim.sample_patches(sim.patches(t.where("label % 2 = 0")), 1, 9), "sampled-bank")
+    return sim.anomaly_scores(t, bank).withColumn("score", F.round("score", 6))
+
+
 @query("i20_anomaly_evaluation")
 def _(s, d):
     """Threshold for recall on the validation part, applied once to the rest."""
     t = thumbs(s, d)
-    rows = sim.anomaly_scores(t, _bank(s, d)).join(t.select("id", (F.col("label") % 2).cast("int").alias("label")), "id")
+    rows = sim.anomaly_scores(t, _bank(s, d)).join(t.select("id", (F.col("label") % 2).cast("int").alias("label")).hint("merge"), "id")
     rows = materialize(rows.withColumn("p", F.col("score") / (1 + F.col("score"))).withColumn("split", F.when(hash32(F.col("id")) % 2 == 0, "val").otherwise("test")), "anomaly")
     threshold = m.threshold_for_recall(rows.where("split = 'val'"), 0.9).first()[0]
     return m.operating_point(rows.where("split = 'test'"), threshold)
 
 
-@query("h7_random_projection")
+_SIGNS = [[f"{x}e0" for x in row] for row in sim.projection_signs(8, SIDE * SIDE, 42)]
+_PROJECTED = ", ".join(f"round(list_dot_product(fine, {row}::DOUBLE[]), 6) AS d{i}" for i, row in enumerate(_SIGNS)).replace("'", "")
+
+
+@query("h7_random_projection", f"{W} SELECT id, {_PROJECTED} FROM thumbs")
 def _(s, d):
-    return thumbs(s, d).select("id", sim.sign_projection(F.col("fine"), 8, 64, 42).alias("projected"))
+    projected = sim.sign_projection(F.col("fine"), 8, SIDE * SIDE, 42)
+    return thumbs(s, d).select("id", projected.alias("p")).select("id", *(F.round(F.col("p")[i], 6).alias(f"d{i}") for i in range(8)))
 
 
 _WEIGHTS = [round(((7 * i) % 13 - 6) / 10, 1) for i in range(64)]
@@ -179,3 +202,17 @@ def _(s, d):
     head = sim.train_head(rows)
     scored = head.transform(rows.select("id", "label", array_to_vector("fine").alias("features")))
     return scored.select("id", "label", vector_to_array("probability")[1].alias("p"))
+
+
+@query("d34_image_summary", f"""{W}, st AS (SELECT list_avg(fine) AS brightness, list_stddev_pop(fine) AS contrast FROM thumbs),
+  u AS (SELECT 'brightness' AS feature, brightness AS v FROM st UNION ALL SELECT 'contrast', contrast FROM st)
+  SELECT feature, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stddev, round(min(v), 6) AS min, round(quantile_cont(v, 0.25e0), 6) AS q25, round(quantile_cont(v, 0.5e0), 6) AS q50,
+    round(quantile_cont(v, 0.75e0), 6) AS q75, round(max(v), 6) AS max FROM u GROUP BY feature""")
+def _(s, d):
+    """Numeric description of the image statistics."""
+    stats = materialize(sim.image_stats(thumbs(s, d)), "stats")
+    long = stats.select(F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in ("brightness", "contrast"))))).alias("feature", "v"))
+    one = lambda f, name: F.round(f("v"), 6).alias(name)
+    rows = long.groupBy("feature").agg(F.count("*").alias("n"), one(F.avg, "mean"), one(F.stddev_samp, "stddev"), one(F.min, "min"), one(F.max, "max"))
+    cuts = exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["feature"])
+    return rows.join(F.broadcast(cuts), "feature").select("feature", "n", "mean", "stddev", "min", *(F.round(F.col("quantiles")[i], 6).alias(q) for i, q in enumerate(("q25", "q50", "q75"))), "max")

@@ -6,60 +6,23 @@ worked on in Arrow batches inside the tasks.
 
 from __future__ import annotations
 
-import struct
-import uuid
+import hashlib
+import json
+import subprocess
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.sources.scratch import materialize
+from gaugeframe.operators.inventory import file_verdict, sniff_format
 
 # Channel statistics of the model's input.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
-def png(gray: np.ndarray) -> bytes:
-    """A grayscale PNG of a matrix of bytes."""
-    h, w = gray.shape
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    rows = b"".join(b"\0" + r.tobytes() for r in gray.astype(np.uint8))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
-
-
-def write_images(df: DataFrame, folder: str, scale: int = 8) -> DataFrame:
-    """Write each thumbnail (id, fine) as an enlarged PNG below ``folder`` and return the written table of id and name.
-
-    A file is written under a name of its own and moved to its final name when whole, so a repeated task replaces it; each 40th
-    is cut short, as a damaged upload is.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
-        for batch in batches:
-            names = []
-            for i, fine in zip(batch.column("id").to_pylist(), batch.column("fine").to_pylist(), strict=True):
-                x = np.array(fine)
-                side = int(len(x) ** 0.5)
-                x = (255 * (x - x.min()) / (x.max() - x.min() + 1e-12)).reshape(side, side)
-                body = png(np.kron(x, np.ones((scale, scale))))
-                body = body[: len(body) // 2] if i % 40 == 7 else body
-                name = f"{'train' if i % 5 else 'test'}/{'def_front' if i % 2 else 'ok_front'}/{i}.png"
-                fs.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)
-                part = f"{root}/.{uuid.uuid4().hex}"
-                with fs.open_output_stream(part) as out:
-                    out.write(body)
-                fs.move(part, f"{root}/{name}")
-                names.append(name)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string())], ["id", "name"])
-
-    return materialize(df.select("id", F.col("fine").cast("array<double>")).mapInArrow(run, "id long, name string"), "images")
-
-
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     """rel_path, size_bytes of every file below the folder (contents are not read)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
@@ -72,16 +35,16 @@ def rel_path(folder: str, column: str = "path"):
 
 
 def decode_files(spark: SparkSession, folder: str) -> DataFrame:
-    """rel_path, size_bytes, sha256, width, height, mode and error (null for a file that decodes)."""
+    """rel_path, size_bytes, sha256, format, width, height, mode and error (null for a file that decodes)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.select(rel_path(folder), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    files = files.select(rel_path(folder), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), sniff_format(F.col("content")).alias("format"))
     images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(folder)
     images = images.select(rel_path(folder, "image.origin"), "image.width", "image.height", "image.nChannels")
     bad = F.col("height").isNull() | (F.col("height") < 0)
     joined = files.join(images, "rel_path", "left")
     return joined.select(
-        "rel_path", "size_bytes", "sha256", F.when(~bad, F.col("width")).alias("width"), F.when(~bad, F.col("height")).alias("height"),
-        F.when(~bad, F.when(F.col("nChannels") == 1, "L").otherwise("RGB")).alias("mode"), F.when(bad, "cannot be decoded").alias("error"),
+        "rel_path", "size_bytes", "sha256", "format", F.when(~bad, F.col("width")).alias("width"), F.when(~bad, F.col("height")).alias("height"),
+        F.when(~bad, F.when(F.col("nChannels") == 1, "L").when(F.col("nChannels") == 4, "RGBA").otherwise("RGB")).alias("mode"), F.when(bad, "cannot be decoded").alias("error"),
     )
 
 
@@ -91,12 +54,23 @@ def _pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return np.repeat(x, 3, axis=2) if channels == 1 else x[:, :, 2::-1]
 
 
+def _triangle(n: int, side: int) -> np.ndarray:
+    """Weights (side x n) of a triangle filter that is as wide as the step when it shrinks (bilinear with antialiasing)."""
+    step = n / side
+    reach = max(step, 1.0)
+    centre = (np.arange(side) + 0.5) * step
+    w = np.maximum(0.0, 1 - np.abs((np.arange(n) + 0.5)[None, :] - centre[:, None]) / reach)
+    return w / w.sum(axis=1, keepdims=True)
+
+
 def _resize(x: np.ndarray, side: int) -> np.ndarray:
-    """Area means of a matrix on a side x side grid (repeats pixels to enlarge)."""
-    rows = [np.arange(int(i * n / side), max(int(i * n / side) + 1, int((i + 1) * n / side))) for n in x.shape[:1] for i in range(side)]
-    cols = [np.arange(int(i * n / side), max(int(i * n / side) + 1, int((i + 1) * n / side))) for n in x.shape[1:2] for i in range(side)]
-    half = np.stack([x[r].mean(axis=0) for r in rows])
-    return np.stack([half[:, c].mean(axis=1) for c in cols], axis=1)
+    """A matrix resampled to side x side by the triangle filter, rows and columns apart."""
+    return _triangle(x.shape[0], side) @ x @ _triangle(x.shape[1], side).T
+
+
+def normalised(values: Column, channel: int) -> Column:
+    """An array of values from 0 to 1 by the channel's statistics."""
+    return F.transform(values, lambda v: (v - MEAN[channel]) / STD[channel])
 
 
 def _images(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,8 +112,35 @@ def model_input(spark: SparkSession, folder: str, side: int) -> DataFrame:
     return _per_image(_images(spark, folder), "rel_path string, tensor array<double>", work)
 
 
+def _moved(x: np.ndarray, turn: float, shift: tuple[float, float], scale: float) -> np.ndarray:
+    """A square matrix turned (degrees), scaled and shifted (shares of the side) about its centre, bilinear, black outside."""
+    side = len(x)
+    c, s = np.cos(np.radians(turn)), np.sin(np.radians(turn))
+    r, q = np.meshgrid(np.arange(side) - (side - 1) / 2, np.arange(side) - (side - 1) / 2, indexing="ij")
+    r, q = (r - shift[0] * side) / scale, (q - shift[1] * side) / scale
+    row, col = c * r - s * q + (side - 1) / 2, s * r + c * q + (side - 1) / 2
+    wide = np.pad(x, 1)
+    low_r, low_c = np.floor(row).astype(int), np.floor(col).astype(int)
+    at = lambda i, j: wide[np.clip(i + 1, 0, side + 1), np.clip(j + 1, 0, side + 1)]
+    fr, fc = row - low_r, col - low_c
+    return (1 - fr) * ((1 - fc) * at(low_r, low_c) + fc * at(low_r, low_c + 1)) + fr * ((1 - fc) * at(low_r + 1, low_c) + fc * at(low_r + 1, low_c + 1))
+
+
+def _blurred(x: np.ndarray, sigma: float) -> np.ndarray:
+    """A matrix blurred by a Gaussian kernel of five places, edges mirrored."""
+    k = np.exp(-(np.arange(-2, 3) ** 2) / (2 * sigma * sigma))
+    k /= k.sum()
+    for _ in range(2):
+        wide = np.pad(x, ((2, 2), (0, 0)), mode="reflect")
+        x = sum(w * wide[i : i + len(x)] for i, w in enumerate(k)).T
+    return x
+
+
 def augment(spark: SparkSession, folder: str, side: int, variants: int, seed: int) -> DataFrame:
-    """rel_path, variant and a changed grayscale thumbnail of each training image; the changes follow from seed, path and variant."""
+    """rel_path, variant and a changed grayscale thumbnail of each training image; the changes follow from seed, path and variant.
+
+    In order: flips, one step of turn, shift and scale, brightness and contrast, a blur for some, noise for some.
+    """
 
     def work(path, rgb):
         gray = _resize(rgb.astype(float).mean(axis=2), side) / 255
@@ -147,7 +148,9 @@ def augment(spark: SparkSession, folder: str, side: int, variants: int, seed: in
             rng = np.random.Generator(np.random.PCG64(zlib.crc32(f"{seed}|{path}|{v}".encode())))
             x = gray[:, ::-1] if rng.random() < 0.5 else gray
             x = x[::-1] if rng.random() < 0.5 else x
-            x = (x - x.mean()) * rng.uniform(0.8, 1.2) + x.mean() + rng.uniform(-0.2, 0.2)
+            x = _moved(x, rng.uniform(-15, 15), (rng.uniform(-0.05, 0.05), rng.uniform(-0.05, 0.05)), rng.uniform(0.9, 1.1))
+            x = (x - x.mean()) * rng.uniform(0.8, 1.2) + x.mean() * rng.uniform(0.8, 1.2)
+            x = _blurred(x, rng.uniform(0.1, 1.5)) if rng.random() < 0.2 else x
             x = x + rng.normal(0, 0.02, x.shape) if rng.random() < 0.2 else x
             yield path, v, np.clip(x, 0, 1).reshape(-1).tolist()
 
@@ -155,6 +158,43 @@ def augment(spark: SparkSession, folder: str, side: int, variants: int, seed: in
     return _per_image(rows, "rel_path string, variant long, fine array<double>", work)
 
 
+def judge_files(files: DataFrame, scorer, side: int) -> DataFrame:
+    """``files`` (rel_path, content and others) with verdict, status and, for a sound grayscale PNG, z: the scorer's value of its side x side thumbnail.
+
+    The header's fields decide the verdict; pixels are decoded in the tasks, a few files at a time.  ``scorer`` maps an array of
+    thumbnails to numbers.
+    """
+    size = lambda pos: F.conv(F.hex(F.substring("content", pos, 4)), 16, 10).cast("int")
+    whole = F.hex(F.substring(F.col("content"), F.length("content") - 11, 8)) == "0000000049454E44"
+    png = F.col("format") == "PNG"
+    rows = files.withColumns({"size_bytes": F.length("content").cast("long"), "format": sniff_format(F.col("content"))})
+    rows = rows.withColumns({"width": F.when(png, size(17)), "height": F.when(png, size(21)), "error": F.when(png & ~whole, "truncated")})
+    rows = file_verdict(rows).drop("size_bytes", "format", "width", "height", "error")
+    names = [c for c in rows.columns if c != "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                z = [float(scorer(_resize(_gray(c), side)[None])[0]) if v == "ok" else None for c, v in zip(part.column("content").to_pylist(), part.column("verdict").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(z, pa.float64())], [*names, "z"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "content")
+    return rows.mapInArrow(run, f"{kinds}, z double")
+
+
+def _gray(content: bytes) -> np.ndarray:
+    """Pixels (0 to 1) of an 8-bit grayscale PNG whose rows are unfiltered."""
+    width, height = (int.from_bytes(content[i : i + 4]) for i in (16, 20))
+    data, at = b"", 8
+    while at < len(content):
+        n = int.from_bytes(content[at : at + 4])
+        if content[at + 4 : at + 8] == b"IDAT":
+            data += content[at + 8 : at + 8 + n]
+        at += n + 12
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, width + 1)[:, 1:] / 255
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write as Parquet and read back with the same schema."""
     writer = df.write.mode("errorifexists")
@@ -162,9 +202,17 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_report(df: DataFrame, path: str, **provenance: str) -> DataFrame:
-    """Write rows as JSON lines with provenance columns, and read them back."""
-    stamped = df.withColumns({k: F.lit(v) for k, v in provenance.items()})
+def provenance(config: dict) -> dict[str, Column]:
+    """commit (``unknown`` outside a checkout), config_hash (12 digits of the SHA-256 of the sorted JSON) and created_at (UTC)."""
+    asked = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:12]
+    return {"commit": F.lit(asked.stdout.strip() or "unknown"), "config_hash": F.lit(digest), "created_at": F.to_timestamp(stamp)}
+
+
+def write_report(df: DataFrame, path: str, config: dict) -> DataFrame:
+    """Write rows as JSON lines with their provenance, and read them back."""
+    stamped = df.withColumns(provenance(config))
     stamped.write.mode("errorifexists").json(path)
     return df.sparkSession.read.schema(stamped.schema).json(path)
 

@@ -10,15 +10,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir`` of the session, or one of our own where it is unset (tests)."""
+    """The shared folder: ``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset and Spark runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gaugeframe-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -37,10 +40,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a *written* narrow table for broadcast when its counted rows are at most ``max_rows``.
+def materialize_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """As ``materialize``, with aggregates of the rows taken while they are written, which saves a job that reads them again."""
+    seen = Observation()
+    written = materialize(df.observe(seen, *metrics), name)
+    return written, seen.get
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
 
-    Beyond the bound the table is hinted to a sort-merge join, whose skewed
-    partitions adaptive execution can split.
+def written_side(df: DataFrame, name: str, max_values: int, values: Column | None = None) -> DataFrame:
+    """Write one side of a join and mark it for broadcast when it holds at most ``max_values`` numbers.
+
+    ``values`` counts the numbers of a row (its columns by default; give an
+    expression for arrays or texts).  Beyond the bound the table is hinted to a
+    sort-merge join, whose skewed partitions adaptive execution can split.
     """
+    each = F.lit(len(df.columns)) if values is None else values
+    written, seen = materialize_observed(df, name, F.sum(each.cast("long")).alias("values"))
+    return written.hint("broadcast" if (seen["values"] or 0) <= max_values else "merge")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark a *written* narrow table for broadcast when its counted rows are at most ``max_rows``, else for a sort-merge join."""
     return df.hint("broadcast" if df.count() <= max_rows else "merge")

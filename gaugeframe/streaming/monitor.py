@@ -8,25 +8,31 @@ written result: append keeps each closed window once, complete rewrites the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gaugeframe.functions.scores import sigmoid
+from gaugeframe.operators.ranking import exact_quantiles
 from gaugeframe.sources.scratch import scratch_path
 
 LATE = "1 hour"
 # Bounds of the service's histograms.
 LATENCY_BOUNDS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+INFERENCE_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
 SCORE_BOUNDS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream; the pattern lets the table be one file as well as a folder."""
+def read_events(spark: SparkSession, sf_dir: str, max_files: int = 1000) -> DataFrame:
+    """The events table as a file stream of at most ``max_files`` files a micro-batch; the pattern lets the table be one file as well as a folder."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def run(df: DataFrame, mode: str, name: str) -> DataFrame:
@@ -71,12 +77,12 @@ def drift_alarm(log: DataFrame, baseline: float, factor: float, slide: str | Non
 
 def error_counts(log: DataFrame, errors: DataFrame) -> DataFrame:
     """Rows of each error code of the dimension table (error, status)."""
-    return log.join(F.broadcast(errors), "status").groupBy("error").agg(F.count("*").alias("n"))
+    return log.join(errors, "status").groupBy("error").agg(F.count("*").alias("n"))
 
 
 def with_model_info(log: DataFrame, models: DataFrame) -> DataFrame:
     """Predictions of each model with its data from the static model table (model_version, threshold)."""
-    return log.join(F.broadcast(models), "model_version").groupBy("model_version", "threshold").agg(F.count("*").alias("n"))
+    return log.join(models, "model_version").groupBy("model_version", "threshold").agg(F.count("*").alias("n"))
 
 
 def burst_flags(log: DataFrame, seconds: int, limit: int) -> DataFrame:
@@ -87,11 +93,26 @@ def burst_flags(log: DataFrame, seconds: int, limit: int) -> DataFrame:
     return log.select("request_id", (F.count("*").over(span) > limit).alias("burst"))
 
 
+def _limited(ids: np.ndarray, times: np.ndarray, accepted: list[float], seconds: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """allowed and retry_after of requests in order; ``accepted`` (times, oldest first) is brought up to date."""
+    ok, retry = np.zeros(len(ids), bool), np.zeros(len(ids))
+    for k, now in enumerate(times.tolist()):
+        while accepted and accepted[0] <= now - seconds:
+            accepted.pop(0)
+        ok[k] = len(accepted) < limit
+        if ok[k]:
+            accepted.append(now)
+        else:
+            retry[k] = max(1, math.ceil(accepted[0] + seconds - now))
+    return ok, retry
+
+
 def rate_limit(log: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """request_id, caller, allowed and retry_after (seconds) by a moving window over each caller's accepted requests.
+    """request_id, caller, allowed and retry_after (whole seconds, at least 1; 0 for allowed ones) by a moving window over each caller's accepted requests.
 
-    A rejected request is not recorded.  The state of a caller is the list of its at most ``limit`` accepted times in the window;
-    it expires with the watermark, so the state grows with active callers only.
+    A rejected request is not recorded.  The state of a caller is the list of its at most ``limit`` accepted times in the window; it
+    expires with the watermark, so the state grows with active callers only.  The rule is sequential in a caller's requests: of those
+    of one micro-batch a task holds two numbers each while it puts them in order.
     """
 
     def hits(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -99,25 +120,56 @@ def rate_limit(log: DataFrame, seconds: int, limit: int) -> DataFrame:
             state.remove()
             return
         accepted = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        out = []
-        for i, t in zip(rows.request_id, rows.ts, strict=True):
-            now = t.timestamp()
-            accepted = [a for a in accepted if a > now - seconds]
-            ok = len(accepted) < limit
-            out.append((i, key[0], ok, 0.0 if ok else max(1.0, accepted[0] + seconds - now)))
-            if ok:
-                accepted.append(now)
+        parts = [(b.request_id.to_numpy(), b.ts.astype("datetime64[us, UTC]" if b.ts.dt.tz is not None else "datetime64[us]").astype("int64").to_numpy() / 1e6) for b in batches]
+        ids, times = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        del parts
+        order = np.lexsort((ids, times))
+        ids, times = ids[order], times[order]
+        ok, retry = _limited(ids, times, accepted, seconds, limit)
         state.update((accepted,))
-        state.setTimeoutTimestamp(int(max(rows.ts.max().timestamp() + seconds, state.getCurrentWatermarkMs() / 1000 + 1) * 1000))
-        yield pd.DataFrame(out, columns=["request_id", "caller", "allowed", "retry_after"])
+        state.setTimeoutTimestamp(int(max(times[-1] + seconds, state.getCurrentWatermarkMs() / 1000 + 1) * 1000))
+        for at in range(0, len(ids), 10_000):
+            part = slice(at, at + 10_000)
+            yield pd.DataFrame({"request_id": ids[part], "caller": key[0], "allowed": ok[part], "retry_after": retry[part]})
 
     return log.withWatermark("ts", LATE).select("caller", "request_id", "ts").groupBy("caller").applyInPandasWithState(
         hits, "request_id long, caller long, allowed boolean, retry_after double", "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def latency_percentiles(log: DataFrame, *keys: str) -> DataFrame:
-    """Exact p50, p95, p99 and mean of seconds, and requests a second at the median."""
-    g = log.groupBy(*keys).agg(*(F.percentile("seconds", q / 100).alias(f"p{q}") for q in (50, 95, 99)), F.avg("seconds").alias("mean"))
+def rate_limit_batch(log: DataFrame, seconds: int, limit: int) -> DataFrame:
+    """As ``rate_limit`` on a batch table: Spark sorts each caller's requests, a task streams them with the accepted times as its only state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caller, accepted = None, []
+        for batch in batches:
+            callers, ids = batch.column("caller").to_numpy(), batch.column("request_id").to_numpy()
+            times = batch.column("t").to_numpy() / 1e6
+            ok, retry = np.zeros(len(ids), bool), np.zeros(len(ids))
+            edges = [0, *(np.flatnonzero(callers[1:] != callers[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if callers[a] != caller:
+                    caller, accepted = callers[a], []
+                ok[a:b], retry[a:b] = _limited(ids[a:b], times[a:b], accepted, seconds, limit)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, callers, ok, retry)], ["request_id", "caller", "allowed", "retry_after"])
+
+    rows = log.where("caller is not null").select(F.col("caller").cast("long"), F.col("request_id").cast("long"), F.unix_micros("ts").alias("t"))
+    rows = rows.repartition("caller").sortWithinPartitions("caller", "t", "request_id")
+    return rows.mapInArrow(run, "request_id long, caller long, allowed boolean, retry_after double")
+
+
+def accept_whole(judged: DataFrame, request: str, threshold: float) -> DataFrame:
+    """Judged files (verdict, status, z) with p, accepted and decision: a request's files count only if all of them are sound."""
+    whole = judged.groupBy(request).agg(F.bool_and(F.col("verdict") == "ok").alias("accepted"))
+    p = sigmoid(F.col("z"))
+    rows = judged.join(whole.hint("merge"), request)
+    decision = F.when(F.col("accepted"), F.when(p >= threshold, "defective").otherwise("normal"))
+    return rows.select("rel_path", request, "verdict", "status", F.when(F.col("accepted"), p).alias("p"), "accepted", decision.alias("decision"))
+
+
+def latency_percentiles(log: DataFrame, key: str) -> DataFrame:
+    """Exact p50, p95, p99 and mean of seconds for each value of ``key``, and requests a second at the median."""
+    cuts = exact_quantiles(log, "seconds", [0.5, 0.95, 0.99], [key])
+    g = log.groupBy(key).agg(F.avg("seconds").alias("mean")).join(cuts.hint("merge"), key)
+    g = g.select(key, *(F.col("quantiles")[i].alias(p) for i, p in enumerate(("p50", "p95", "p99"))), "mean")
     return g.withColumn("throughput", F.when(F.col("p50") > 0, 1 / F.col("p50")))

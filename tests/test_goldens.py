@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import arrays as ar
 from gaugeframe.functions import scores as sc
-from gaugeframe.operators import graph, inventory as inv, metrics as m, similarity as sim, splits as sp
-from gaugeframe.operators.ranking import distributed_rank
-from gaugeframe.plans.bindings import orientation_maps
-
+from gaugeframe.operators import evaluation as ev, graph, inventory as inv, metrics as m, similarity as sim, splits as sp
+from gaugeframe.operators.ranking import distributed_rank, exact_quantiles
+from gaugeframe.sources import images as im
+from gaugeframe.sources.scratch import materialize
+from gaugeframe.streaming import monitor as mo
+from gaugeframe.functions.arrays import orientation_maps
+
+# A small scored table whose results are known by hand.
 LABELS = [1, 1, 1, 1, 0, 0, 0, 0, 0, 0]
 SCORES = [0.9, 0.8, 0.7, 0.3, 0.6, 0.2, 0.1, 0.1, 0.05, 0.0]
 
@@ -55,8 +59,10 @@ def test_strategy(spark):
 
 def test_unmapped_classes_raise(spark):
     df = spark.createDataFrame([("x", "odd")], "rel_path string, class_dir string")
-    with pytest.raises(ValueError, match="odd"):
-        inv.resolve_classes(df, spark.createDataFrame([("ok", "normal")], "class_dir string, class_name string"))
+    known = spark.createDataFrame([("ok", "normal")], "class_dir string, class_name string")
+    with pytest.raises(Exception, match="unmapped class folders: odd"):
+        inv.resolve_classes(df, known).collect()
+    assert inv.resolve_classes(df.limit(0), known).count() == 0 and inv.resolve_classes(df, known, strict=False).count() == 0
 
 
 def test_set_fingerprint(spark):
@@ -95,13 +101,18 @@ def test_thresholds(spark):
     assert m.margin_threshold(spark.createDataFrame([(0.4,), (0.7,)], "p double"), lone).first()[0] == pytest.approx(0.4)
     with pytest.raises(ValueError):
         m.threshold_for_recall(df, 1.01)
+    for ask in (lambda d: m.threshold_for_recall(d, 0.9), lambda d: m.max_threshold_with_recall(d, 0.9)):
+        with pytest.raises(Exception, match="no threshold reaches"):
+            ask(df.where("label = 0")).collect()
+    with pytest.raises(Exception, match="no threshold reaches"):
+        m.max_threshold_with_recall(df, 1.5).collect()
 
 
 def test_cost(spark):
     rows = [(str(i), int(i < 50), 0.9 if i < 49 else 0.05 if i == 49 else 0.95 if i < 53 else 0.45 if i < 57 else 0.1) for i in range(100)]
     df = spark.createDataFrame(rows, "id string, label int, p double")
-    got = {r.policy: r.cost for r in m.expected_cost(df, 0.5, 0.4, 0.5).collect()}
-    assert got["review_band"] == pytest.approx(240.0)
+    got = {r.policy: r.cost for r in m.cost_table(df, {"chosen": 0.5}, "chosen", 0.4, 0.5).collect()}
+    assert got["chosen+review_band"] == pytest.approx(240.0) and set(got) == {"chosen", "chosen+review_band"}
 
 
 def test_decide(spark):
@@ -121,7 +132,9 @@ def test_planted_temperature(spark):
     margin = rng.normal(0, 2, 20_000)
     label = (rng.random(20_000) < 1 / (1 + np.exp(-margin))).astype(int)
     df = spark.createDataFrame([(int(y), float(round(3 * x, 4))) for y, x in zip(label, margin)], "label int, margin double")
-    assert m.fit_temperature(df) == pytest.approx(3.0, rel=0.06)
+    t = m.fit_temperature(df)
+    loss = lambda x: m.nll(df, x).first()[0]
+    assert t == pytest.approx(3.0, rel=0.06) and loss(t) <= min(loss(t * 1.001), loss(t / 1.001))
 
 
 def test_separable_keeps_one(spark):
@@ -154,7 +167,7 @@ def test_standardize_affine(spark):
 def test_turned_copies_are_found(spark):
     rng = np.random.default_rng(1)
     base = rng.random((12, 64))
-    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(100 + k, base[0][mp].tolist()) for k, mp in enumerate(orientation_maps()) if k]
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(100 + k, base[0][mp].tolist()) for k, mp in enumerate(orientation_maps(8)) if k]
     df = spark.createDataFrame(rows, "id long, fine array<double>")
     got = sim.top_matches(df.where("id = 0"), df, 8, same_set=True).where("corr > 0.999").collect()
     assert {r.target for r in got} == {100 + k for k in range(1, 8)} and all(r.via_transform for r in got)
@@ -197,9 +210,229 @@ def test_checksum_problems(spark):
     files = spark.createDataFrame([("x", good), ("y", good)], "rel_path string, sha256 string")
     got = {r.problem for r in inv.verify_checksums(lines, files).collect()}
     assert got == {"mismatch", "missing file", "malformed line", "unsafe name"}
+    odd = spark.createDataFrame([(f"{good}  a\\b",), (f"{good}  .hidden",), (f"{good}  a/b",)], "line string")
+    assert [r.problem for r in inv.verify_checksums(odd, files).collect()] == ["unsafe name"] * 3
+    assert [r.problem for r in inv.verify_checksums(lines.limit(0), files).collect()] == ["missing manifest"]
 
 
 def test_sniff(spark):
     magic = [("FFD8FFE0", "JPEG"), ("89504E470D0A1A0A", "PNG"), ("424D00", "BMP"), ("52494646000000005745425056", "WEBP"), ("474946383961", None), ("", None)]
     df = spark.createDataFrame([(bytearray.fromhex(x),) for x, _ in magic], "c binary")
     assert [r[0] for r in df.select(inv.sniff_format(F.col("c"))).collect()] == [y for _, y in magic]
+
+
+def test_bootstrap_against_a_plain_one(spark):
+    rng = np.random.default_rng(8)
+    label = (rng.random(600) < 0.4).astype(int)
+    score = np.round(np.clip(0.35 + 0.3 * label + rng.normal(0, 0.2, 600), 0, 1), 2)
+    df = spark.createDataFrame([(str(i), int(y), float(p)) for i, (y, p) in enumerate(zip(label, score))], "id string, label int, p double")
+    got = {r.metric: r for r in m.bootstrap(df, 0.5, 400).collect()}
+    assert set(got) == set(m.BOOTSTRAPPED) and all(r.resamples + r.skipped == 400 for r in got.values())
+
+    def metrics(y, p):
+        order = np.argsort(-p, kind="stable")
+        values = np.unique(p)[::-1]
+        tp, fp = (np.array([((p >= v) & (y == k)).sum() for v in values]) for k in (1, 0))
+        step = np.diff(np.concatenate([[0], tp]))
+        below = np.array([((p < v) & (y == 0)).sum() + ((p == v) & (y == 0)).sum() / 2 for v in values])
+        hit = p >= 0.5
+        a, b, c, d = (hit & (y == 1)).sum(), (hit & (y == 0)).sum(), (~hit & (y == 1)).sum(), (~hit & (y == 0)).sum()
+        f1, f0 = 2 * a / (2 * a + b + c), 2 * d / (2 * d + b + c)
+        del order
+        return dict(average_precision=(step * tp / (tp + fp)).sum() / tp[-1], roc_auc=(step * below).sum() / tp[-1] / fp[-1], precision=a / (a + b), recall=a / (a + c), f1=f1, macro_f1=(f1 + f0) / 2, accuracy=(a + d) / len(y))
+
+    point = metrics(label, score)
+    plain = [metrics(label[i], score[i]) for i in (rng.integers(0, 600, 600) for _ in range(300))]
+    for name, r in got.items():
+        assert r.point == pytest.approx(point[name], abs=1e-9)
+        low, high = np.quantile([x[name] for x in plain], [0.025, 0.975])
+        assert abs(r.low - low) < 0.3 * (high - low) and abs(r.high - high) < 0.3 * (high - low)
+
+
+def test_bootstrap_blocks_are_one_curve(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(str(i), int(i % 3 == 0), float(p)) for i, p in enumerate(rng.random(50))], "id string, label int, p double")
+    monkeypatch.setattr(m, "CELLS", 7)
+    rows = m.resampled_counts(df, 0.5, 3).toPandas()
+    cells = sorted(((r.p, r.label) for r in df.collect()), reverse=True)
+    for b in range(3):
+        tp = fp = steps = below = 0.0
+        for at in range(0, 50, 7):
+            import pandas as pd
+
+            pdf = pd.DataFrame({"pos": [y for _, y in cells[at : at + 7]], "neg": [1 - y for _, y in cells[at : at + 7]]})
+            pos, neg = (w[:, b] for w in m._drawn(pdf, at // 7, 3, 0))
+            for x, y in zip(pos, neg):
+                tp, fp = tp + x, fp + y
+                steps += x * tp / (tp + fp) if tp + fp else 0
+                below += x * (fp - y / 2)
+        r = rows[rows.b == b].iloc[0]
+        assert (r.tp + r.fn, r.fp + r.tn) == (tp, fp) and r.steps == pytest.approx(steps) and r.below == pytest.approx(below)
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.integers(0, 9, 101)] + [("b", float(x)) for x in rng.random(40)] + [("c", None), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.quantiles for r in exact_quantiles(df, "v", [0.0, 0.33, 0.5, 0.95, 1.0], ["g"]).collect()}
+    assert set(got) == {"a", "b", "d"}
+    for g, q in got.items():
+        assert q == pytest.approx(np.quantile([v for k, v in rows if k == g], [0.0, 0.33, 0.5, 0.95, 1.0]).tolist())
+    every = exact_quantiles(df, "v", [0.5]).first()[0]
+    assert every == pytest.approx([np.quantile([v for _, v in rows if v is not None], 0.5)])
+
+
+def test_saturated_scores_and_scores_outside_the_unit_interval(spark):
+    df = spark.createDataFrame([(str(i), int(i % 2), [0.0, 1.0, 1.0, -3.5, 7.25][i % 5]) for i in range(100)], "id string, label int, p double")
+    curve = {r.threshold: r for r in m.pr_curve(df).collect()}
+    assert set(curve) == {-3.5, 0.0, 1.0, 7.25} and curve[-3.5].recall == 1.0 and curve[-3.5].precision == 0.5
+
+
+def test_one_evaluation(spark, tmp_path):
+    rows = spark.createDataFrame([(f"i{k}", k % 2, 0.9 if k % 2 else 0.1, "test" if k < 20 else "external_test") for k in range(40)], "id string, label int, p double, split string")
+    audit = ev.audit_of(rows, passed=True)
+    folder = f"file://{tmp_path}/run"
+    with pytest.raises(ValueError, match="did not pass"):
+        ev.evaluate_once(rows, ev.audit_of(rows, passed=False), folder, 0.5, 0.3, 0.7)
+    with pytest.raises(ValueError, match="differ"):
+        ev.evaluate_once(rows.where("id != 'i3'"), audit, folder, 0.5, 0.3, 0.7)
+    assert {r.split: r.f1 for r in ev.evaluate_once(rows, audit, folder, 0.5, 0.3, 0.7).collect()} == {"test": 1.0, "external_test": 1.0}
+    with pytest.raises(ValueError, match="used once"):
+        ev.evaluate_once(rows, audit, folder, 0.5, 0.3, 0.7)
+
+
+def test_release_is_written_once(spark, tmp_path):
+    z = spark.createDataFrame([("a", 1.0), ("b", -30.0)], "id string, z double")
+    off = spark.createDataFrame([("a", 1.0), ("b", -30.002)], "id string, z double")
+    metrics = spark.createDataFrame([("test", 0.9)], "split string, f1 double")
+    models = f"file://{tmp_path}/models"
+    assert ev.release(z, off, metrics, models, "v1").first()["model_version"] == "v1"
+    with pytest.raises(Exception, match="(?i)exist"):
+        ev.release(z, off, metrics, models, "v1")
+    with pytest.raises(ValueError, match="differs"):
+        ev.release(z, off.withColumn("z", F.col("z") + 1), metrics, models, "v2")
+
+
+def test_rate_limit_rules(spark):
+    ok, retry = mo._limited(np.arange(5), np.array([0.0, 1.0, 2.5, 10.0, 10.2]), [], 10, 2)
+    assert ok.tolist() == [True, True, False, True, False] and retry.tolist() == [0, 0, 8, 0, 1]
+
+
+def test_coarse_shortlist_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    x = rng.random((40, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, fine array<double>")
+    standard = lambda a: (a - a.mean()) / (np.linalg.norm(a - a.mean()) + 1e-6)
+    pool = lambda a: a.reshape(4, 2, 4, 2).mean(axis=(1, 3)).reshape(-1)
+    fine, coarse = [standard(v) for v in x], [standard(pool(v.reshape(8, 8))) for v in x]
+    want = {}
+    for i in range(40):
+        c = sorted((-round(max(float(coarse[i][mp] @ coarse[j]) for mp in orientation_maps(4)), 9), j) for j in range(40) if j != i)[:5]
+        want[i] = {j: max(float(fine[i][mp] @ fine[j]) for mp in orientation_maps(8)) for _, j in c}
+    got: dict = {}
+    for r in sim.top_matches(df, df, 5, same_set=True).collect():
+        got.setdefault(r["query"], {})[r.target] = r["corr"]
+    assert {i: set(v) for i, v in got.items()} == {i: set(v) for i, v in want.items()}
+    assert all(abs(got[i][j] - want[i][j]) < 1e-8 for i in want for j in want[i])
+
+
+@pytest.mark.parametrize("threshold", [0.99, 0.6])
+def test_threshold_search_loses_no_pair(spark, threshold):
+    rng = np.random.default_rng(2)
+    base = rng.random((30, 64))
+    near = [base[i % 30][orientation_maps(8)[i % 8]] + rng.normal(0, 0.06 * (i % 7), 64) for i in range(150)]
+    x = np.concatenate([base, near])
+    standard = lambda a: (a - a.mean()) / (np.linalg.norm(a - a.mean()) + 1e-6)
+    s = np.stack([standard(v) for v in x])
+    best = np.max([s[:, mp] @ s.T for mp in orientation_maps(8)], axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, fine array<double>")
+    near_ids = {r.id for r in sim.threshold_pairs(df.where("id < 60"), df.where("id >= 60"), threshold).collect()}
+    assert near_ids == {i for i in range(60) if (best[i, 60:] >= threshold).any()}
+    root = list(range(len(x)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(*np.nonzero(np.triu(best >= threshold, 1))):
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    got = {r.id: r.component for r in graph.connected_components(sim.threshold_links(df, threshold), "query", "target").collect()}
+    assert {i: got.get(i, i) for i in range(len(x))} == {i: find(i) for i in range(len(x))}
+
+
+def test_bank_distances_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.random((9, 64)))], "id long, fine array<double>")
+    rows, bank = sim.patches(df), sim.coreset(sim.patches(df.where("id < 4")), 25)
+    points = np.array([r.v for r in bank.collect()])
+    assert len(points) == 25
+    v = {(r.id, r.patch): np.array(r.v) for r in rows.collect()}
+    for r in sim.bank_distances(rows, bank).collect():
+        assert r.distance == pytest.approx(np.sqrt(((points - v[r.id, r.patch]) ** 2).sum(1)).min(), abs=1e-9)
+    with pytest.raises(ValueError, match="empty"):
+        sim.bank_distances(rows, bank.limit(0))
+
+
+def test_split_table_and_audit(spark):
+    """Planted: a turned copy of a test image in the pool, near copies in the pool, a copy of a training image outside, exact copies."""
+    rng = np.random.default_rng(4)
+    maps = orientation_maps(8)
+    base = rng.random((60, 64))
+    rows = [(i, base[i], f"site/{'test' if i < 12 else 'train'}/{i:03d}.png", i % 2, "test" if i < 12 else "train", False) for i in range(48)]
+    rows += [(i, base[i], f"other/{i:03d}.png", i % 2, "(none)", True) for i in range(48, 60)]
+    rows += [(100, base[0][maps[3]] * 0.5 + 0.1, "site/train/100.png", 0, "train", False)]  # like a test image
+    rows += [(101 + k, base[20][maps[k]], f"site/train/{101 + k}.png", 0, "train", False) for k in (1, 5)]  # a cluster with 20
+    rows += [(110, base[30][maps[6]], "other/110.png", 0, "(none)", True), (111, base[31], "site/train/111.png", 1, "train", False), (112, base[32], "site/train/112.png", 1, "train", False)]
+    df = spark.createDataFrame([(i, v.tolist(), p, y, s, e) for i, v, p, y, s, e in rows], "id long, fine array<double>, rel_path string, label int, source_split string, is_external boolean")
+    df = df.withColumn("sha256", F.sha2(F.col("fine").cast("string"), 256))
+    table = materialize(sp.make_splits(df, shares=[("train", 0.8), ("val", 0.2)], threshold=0.99, seed=42), "split-table")
+    got = {r.rel_path: r for r in table.collect()}
+    why = lambda p: (got[p].split, got[p].exclude_reason)
+    assert len(got) == len(rows) and why("site/train/100.png") == ("excluded", sp.NEAR_TEST) and why("other/110.png") == ("excluded", sp.NEAR_TRAIN)
+    assert why("site/train/111.png") == ("excluded", sp.DUPLICATE) and why("site/train/031.png")[1] == ""
+    assert why("site/train/112.png")[1] == why("site/train/032.png")[1] == sp.CONFLICT
+    assert len({got[f"site/train/{p}.png"].cluster_id for p in ("020", "102", "106")}) == 1
+    assert all((r.nearest_train_similarity is not None) == (r.split in ("test", "external_test")) for r in got.values())
+    checks = lambda t: {r.name: r.ok for r in sp.run_audit(df, t, 0.99, 0.9)[0].collect()}
+    assert all(checks(table).values())
+    dropped = checks(table.where("rel_path != 'site/train/020.png'"))
+    assert not dropped["all_rows_accounted_for"] and not dropped["passed"] and dropped["no_near_duplicates_across_splits"]
+    leaked = materialize(table.withColumn("split", F.when(F.col("rel_path") == "site/train/100.png", "train").otherwise(F.col("split"))), "leaked")
+    assert not checks(leaked)["no_near_duplicates_across_splits"]
+    other = F.when(F.col("rel_path") == "site/train/102.png", F.when(F.col("split") == "train", "val").otherwise("train")).otherwise(F.col("split"))
+    moved = checks(materialize(table.withColumn("split", other), "moved"))
+    assert not moved["no_cluster_in_two_splits"] and not moved["no_near_duplicates_across_splits"]
+    wiped = checks(materialize(table.withColumn("exclude_reason", F.lit("")), "wiped"))
+    assert not wiped["all_rows_accounted_for"]
+    one_class = checks(materialize(table.withColumn("label", F.when(F.col("split") == "val", 1).otherwise(F.col("label"))), "one-class"))
+    assert not one_class["every_split_has_both_classes"]
+    prints = {r.split: r for r in sp.split_fingerprints(table).collect()}
+    assert prints["test"].n == 12 and prints["test"].fingerprint != prints["external_test"].fingerprint
+
+
+def test_triangle_filter():
+    w = im._triangle(8, 4)
+    assert np.allclose(w.sum(1), 1) and np.allclose(w @ np.ones(8), 1) and np.allclose(im._triangle(5, 5), np.eye(5))
+    assert np.allclose(im._resize(np.full((9, 7), 3.0), 4), 3.0)
+
+
+def test_augmentation_steps():
+    x = np.random.default_rng(0).random((8, 8))
+    assert np.allclose(im._moved(x, 0, (0, 0), 1), x) and np.allclose(im._moved(x, 90, (0, 0), 1), np.rot90(x, 1)) or np.allclose(im._moved(x, 90, (0, 0), 1), np.rot90(x, -1))
+    assert np.allclose(im._blurred(np.full((8, 8), 2.0), 1.0), 2.0)
+
+
+def test_requests_count_whole(spark):
+    rows = [("a", 1, "ok", 200, 3.0), ("b", 1, "ok", 200, -3.0), ("c", 2, "ok", 200, 3.0), ("d", 2, "invalid_image", 400, None)]
+    got = {r.rel_path: (r.accepted, r.decision) for r in mo.accept_whole(spark.createDataFrame(rows, "rel_path string, request int, verdict string, status int, z double"), "request", 0.5).collect()}
+    assert got == {"a": (True, "defective"), "b": (True, "normal"), "c": (False, None), "d": (False, None)}
+
+
+def test_hub_joins_are_two_plain_shuffles(spark):
+    """Both sides of the component join are sorted shuffles, so adaptive execution can split a hub."""
+    edges = spark.range(2000).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    plan = graph._pointed(edges, edges.groupBy("u").agg(F.min("v").alias("m")))._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin") :]
+    assert join.count("Exchange hashpartitioning(k#") == 2
