@@ -2,40 +2,52 @@
 
 Documents fall into cells of (source, lang, topic).  The cells' token sums are
 raked: in turn for each of the three margins, every cell is scaled so that the
-margin's sums meet their targets, until all margins agree within ``TOLERANCE``
-or ``ROUNDS`` rounds have passed.  A cell's raked tokens over its tokens is its
-documents' calibrated weight; the probability of a document is that weight times
-one constant, at most 1, with the constant chosen so that the expected tokens are
-``share`` of all.  A document is selected when a uniform number from the MD5 of
-its id is below its probability, so the choice repeats.
+margin's sums meet their targets, until all margins agree within ``TOLERANCE``.
+A cell's raked tokens over its tokens is its documents' calibrated weight; the
+probability of a document is that weight times one constant, at most 1, with the
+constant chosen so that the expected tokens are ``share`` of all.  A document is
+selected when a uniform number from the MD5 of its id is below its probability,
+so the choice repeats.
 
 Targets are shares per value of a margin; by default a margin's token shares to
 the power ``temper``, which lifts small sources, languages and topics.  Where no
-topic column exists, ``form`` of the text stands for it: short, medium or long.
+topic column exists, the ``form`` of the text stands for it: short, medium or long.
 
 Text is read twice, for the cells' sums and for the documents' rows, without a
-shuffle of texts; the raking runs on the table of cells (sources x languages x
-topics), each round written to the shared folder.
+shuffle of texts.  The cells are sums, a few numbers for each combination that
+occurs; a table of at most ``CELLS_IN_TASK`` of them is raked in one Arrow task,
+a larger one by the same steps as joins, a round to a written table.
 
 Defined cases: null source or lang is a value of its own; a null or empty text
 has no tokens and counts as one; a null id draws from the MD5 of the empty
-string; repeated rows are chosen alike; an empty table gives an empty result;
-extra columns are ignored.
+string; repeated rows are chosen alike; an empty table gives an empty result.
+Targets that contradict each other (a margin's values that occur with too few of
+another's) can't all be met: after ``ROUNDS`` rounds the last weights stand, and
+``deviation`` says how far the worst margin's sum is from its target (relative;
+below ``TOLERANCE`` where all are met).  A target for a value that never occurs
+is ignored, a value without one gets the weight 0.  Columns of the documents that
+have the name of a result are replaced by it, all others are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.sources.scratch import broadcast_if_small, materialize
+from gaugeframe.sources.scratch import drop_written, materialize, materialize_observed
 
 MARGINS = ("source", "lang", "topic")
-ROUNDS, TOLERANCE = 40, 1e-4
+ROUNDS, TOLERANCE = 200, 1e-4
 TEMPER = 0.5
 SHARE = 0.75
 FORM_WORDS = (150, 800)
+CELLS_IN_TASK = 200_000
 CELL_BROADCAST_ROWS = 200_000
+RESULTS = ("_tokens", "_source", "_lang", "_topic", "weight", "probability", "deviation", "selected")
 
 
 def token_count(text: Column) -> Column:
@@ -51,33 +63,107 @@ def with_cells(docs: DataFrame, topic_col: str | None = None) -> DataFrame:
     return docs.withColumns({"_source": value("source"), "_lang": value("lang"), "_topic": value(topic_col) if topic_col else form})
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with ``raked``: tokens scaled to the targets (tables of value and share), as shares of 1."""
-    goals = {}
+def with_targets(cells: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
+    """``cells`` with ``goal_<margin>`` for each margin: the share asked for its value, null where the margin has no targets."""
     for m in MARGINS:
-        sums = cells.groupBy(F.col(m).alias("value")).agg(F.sum("tokens").alias("n"))
         if targets and m in targets:
-            sums = sums.join(targets[m].select("value", F.col("share").alias("goal")), "value", "left").na.fill(0.0, ["goal"])
+            asked = targets[m].groupBy(F.col("value").alias(m)).agg(F.max("share").cast("double").alias(f"goal_{m}"))
+            cells = cells.join(asked.hint("merge"), m, "left").na.fill(0.0, [f"goal_{m}"])
+        else:
+            cells = cells.withColumn(f"goal_{m}", F.lit(None).cast("double"))
+    return cells
+
+
+def raked_arrays(codes: list[np.ndarray], tokens: np.ndarray, goals: list[np.ndarray | None], temper: float) -> tuple[np.ndarray, float]:
+    """Raked tokens (shares of 1) of the cells and the worst margin's relative deviation."""
+    shares = []
+    for code, goal in zip(codes, goals, strict=True):
+        n = np.bincount(code, tokens)
+        if goal is None:
+            g = n**temper
         else:
-            sums = sums.withColumn("goal", F.pow(F.col("n").cast("double"), F.lit(temper)))
+            g = np.zeros(len(n))
+            g[code] = goal
+        shares.append(g / g.sum() if g.sum() else g)
+    now = tokens / tokens.sum()
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for code, goal in zip(codes, shares, strict=True):
+            s = np.bincount(code, now)
+            f = np.divide(goal, s, out=np.zeros(len(s)), where=s > 0)
+            worst = max(worst, float(np.abs(f - 1)[s > 0].max(initial=0.0)))
+            now = now * f[code]
+        if worst < TOLERANCE:
+            break
+    return now, worst
+
+
+def constant_for(tokens: np.ndarray, weight: np.ndarray, wanted: float) -> float:
+    """c with sum(tokens * min(1, c * weight)) = wanted, exactly: the cells from the heaviest on are full, the others in proportion."""
+    used = weight > 0
+    t, w = tokens[used], weight[used]
+    if not len(t):
+        return 0.0
+    order = np.argsort(-w, kind="stable")
+    t, w = t[order], w[order]
+    full = np.concatenate([[0.0], np.cumsum(t)[:-1]])
+    rest = np.cumsum((t * w)[::-1])[::-1]
+    c = (wanted - full) / rest
+    fits = np.flatnonzero(c * w <= 1)
+    return float(c[fits[0]]) if len(fits) else float(1 / w[-1])
+
+
+def _in_one_task(cells: DataFrame, share: float, temper: float) -> DataFrame:
+    """weight, probability and deviation of a bounded table of cells, in one Arrow task."""
+    keys = [f"_{m}" for m in MARGINS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        table = pa.Table.from_batches(rows) if rows else None
+        if table is None or not table.num_rows:
+            return
+        table = table.sort_by([(m, "ascending") for m in MARGINS]).combine_chunks()
+        codes = [np.unique(np.asarray(table[m].to_pylist(), object), return_inverse=True)[1] for m in MARGINS]
+        tokens = table["tokens"].to_numpy().astype(float)
+        goals = [None if table[f"goal_{m}"].null_count else table[f"goal_{m}"].to_numpy() for m in MARGINS]
+        raked, off = raked_arrays(codes, tokens, goals, temper)
+        weight = raked * tokens.sum() / tokens
+        chance = np.minimum(1.0, weight * constant_for(tokens, weight, share * tokens.sum()))
+        out = [*(table[m].combine_chunks() for m in MARGINS), pa.array(weight), pa.array(chance), pa.array(np.full(len(tokens), off))]
+        yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in out], [*keys, "weight", "probability", "deviation"])
+
+    schema = ", ".join(f"{k} string" for k in keys) + ", weight double, probability double, deviation double"
+    return cells.repartition(1).mapInArrow(run, schema)
+
+
+def rake(cells: DataFrame, temper: float = TEMPER) -> DataFrame:
+    """Cells of any number with ``raked`` (tokens scaled to the targets, as shares of 1) and ``deviation``; a written table."""
+    goals = {}
+    for m in MARGINS:
+        sums = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("n"), F.max(f"goal_{m}").alias("asked"))
+        sums = sums.select(m, F.coalesce("asked", F.pow(F.col("n"), F.lit(temper))).alias("goal"))
         total = sums.agg(F.sum("goal").alias("t"))
-        goals[m] = materialize(sums.crossJoin(F.broadcast(total)).select(F.col("value").alias(m), (F.col("goal") / F.col("t")).alias("goal")), f"goal-{m}")
-    now = cells.withColumn("raked", F.col("tokens").cast("double"))
+        share = F.when(F.col("t") > 0, F.col("goal") / F.col("t")).otherwise(F.lit(0.0))
+        goals[m] = materialize(sums.crossJoin(F.broadcast(total)).select(m, share.alias("goal")), f"goal-{m}")
+    now, worst, written = cells.withColumn("raked", F.col("tokens").cast("double")), None, None
     for _ in range(ROUNDS):
         for m in MARGINS:
             sums = now.groupBy(m).agg(F.sum("raked").alias("s")).join(goals[m].hint("merge"), m)
-            scale = sums.select(m, F.when(F.col("s") > 0, F.col("goal") / F.col("s")).otherwise(F.lit(0.0)).alias("f"))
-            now = now.join(scale.hint("merge"), m).withColumn("raked", F.col("raked") * F.col("f")).withColumn(f"_off_{m}", F.abs(F.col("f") - 1)).drop("f")
-        now = materialize(now, "raked")
-        worst = now.agg(F.max(F.greatest(*(F.col(f"_off_{m}") for m in MARGINS)))).first()[0]
-        now = now.drop(*(f"_off_{m}" for m in MARGINS))
+            scale = sums.select(m, F.when(F.col("s") > 0, F.col("goal") / F.col("s")).otherwise(F.lit(0.0)).alias("f"), (F.col("s") > 0).alias("on"))
+            off = F.when(F.col("on"), F.abs(F.col("f") - 1)).otherwise(F.lit(0.0))
+            now = now.join(scale.hint("merge"), m).withColumn("raked", F.col("raked") * F.col("f")).withColumn(f"_off_{m}", off).drop("f", "on")
+        new, seen = materialize_observed(now, "raked", F.max(F.greatest(*(F.col(f"_off_{m}") for m in MARGINS))).alias("worst"))
+        if written is not None:
+            drop_written(written)
+        written, worst = new, seen["worst"]
+        now = new.drop(*(f"_off_{m}" for m in MARGINS))
         if worst is None or worst < TOLERANCE:
             break
-    return now
+    return now.withColumn("deviation", F.lit(worst).cast("double"))
 
 
 def _constant(cells: DataFrame, wanted: float) -> float:
-    """c with sum(tokens * min(1, c * weight)) = wanted, by bisection; each step narrows 32 brackets in one aggregation."""
+    """As ``constant_for`` for cells of any number, by bisection; each step narrows 32 brackets in one aggregation."""
     top = cells.agg(F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()[0]
     if top is None:
         return 0.0
@@ -92,14 +178,19 @@ def _constant(cells: DataFrame, wanted: float) -> float:
     return high
 
 
-def mixing_weights(docs: DataFrame, *, share: float = SHARE, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None, topic_col: str | None = None) -> DataFrame:
-    """A written table of cells: _source, _lang, _topic, tokens, weight and probability."""
-    cells = with_cells(docs, topic_col).groupBy(*(F.col(f"_{m}").alias(m) for m in MARGINS)).agg(F.sum("_tokens").alias("tokens"))
-    cells = materialize(cells, "cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    cells = rake(cells, targets, temper).withColumn("weight", F.col("raked") * float(total) / F.col("tokens"))
-    c = _constant(cells, share * total)
-    return materialize(cells.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), "tokens", "weight", F.least(F.lit(1.0), F.col("weight") * c).alias("probability")), "mix")
+def mixing_weights(
+    docs: DataFrame, *, share: float = SHARE, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None, topic_col: str | None = None, cells_in_task: int = CELLS_IN_TASK
+) -> DataFrame:
+    """A written table of cells: _source, _lang, _topic, weight, probability and deviation, hinted for its join."""
+    sums = with_cells(docs, topic_col).groupBy(*(F.col(f"_{m}").alias(m) for m in MARGINS)).agg(F.sum("_tokens").alias("tokens"))
+    cells, seen = materialize_observed(with_targets(sums, targets), "cells", F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
+    if seen["n"] <= cells_in_task:
+        out = _in_one_task(cells, share, temper)
+    else:
+        raked = rake(cells, temper).withColumn("weight", F.col("raked") * float(seen["tokens"] or 0) / F.col("tokens"))
+        c = _constant(raked, share * (seen["tokens"] or 0))
+        out = raked.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), "weight", F.least(F.lit(1.0), F.col("weight") * c).alias("probability"), "deviation")
+    return materialize(out, "mix").hint("broadcast" if seen["n"] <= CELL_BROADCAST_ROWS else "merge")
 
 
 def draw(id_col: Column) -> Column:
@@ -108,8 +199,8 @@ def draw(id_col: Column) -> Column:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with ``_tokens``, the margin columns, ``weight``, ``probability`` and ``selected``."""
-    cells = mixing_weights(docs, **options).drop("tokens")
-    keys = [f"_{m}" for m in MARGINS]
-    placed = with_cells(docs, options.get("topic_col")).join(broadcast_if_small(cells, CELL_BROADCAST_ROWS), keys)
+    """``docs`` with ``_tokens``, the margin columns, ``weight``, ``probability``, ``deviation`` and ``selected``."""
+    docs = docs.drop(*RESULTS)
+    cells = mixing_weights(docs, **options)
+    placed = with_cells(docs, options.get("topic_col")).join(cells, [f"_{m}" for m in MARGINS])
     return placed.withColumn("selected", draw(F.col("doc_id")) < F.col("probability"))
