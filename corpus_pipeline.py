@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from gaugeframe.llm.mixing import mix_documents
 from gaugeframe.llm.near_dedup import near_duplicate_components
-from gaugeframe.llm.passages import remove_passages, repeated_passages
+from gaugeframe.llm.passages import removed_spans, repeated_passages, without_passages
 from gaugeframe.llm.piece_bpe import encode_documents
 from gaugeframe.llm.queries import coded_digests, piece_model
 from gaugeframe.llm.toxicity import fit_toxicity, without_toxic
-from gaugeframe.sources.scratch import materialize, written_side
+from gaugeframe.sources.scratch import materialize, scratch_scope, written_side
 
 #: Numbers of a written side of a join that may be broadcast.
 BROADCAST_VALUES = 2_000_000
@@ -29,15 +29,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
-    found = near_duplicate_components(spark, docs, shingle_words=5, percent=80)
-    gone = written_side(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-copies", BROADCAST_VALUES)
+    with scratch_scope(spark) as keep:
+        found = near_duplicate_components(spark, docs, shingle_words=5, percent=80)
+        gone = keep(written_side(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-copies", BROADCAST_VALUES))
     return docs.select(*COLUMNS).join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents stay in one of them; every document stays, with what is left of its text."""
     docs = docs.select(*COLUMNS)
-    return remove_passages(docs, repeated_passages(docs))
+    with scratch_scope(spark) as keep:
+        cuts = keep(removed_spans(repeated_passages(docs)))
+    return without_passages(docs, cuts)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

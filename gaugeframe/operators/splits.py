@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gaugeframe.operators import similarity as sim
 from gaugeframe.operators.graph import connected_components
 from gaugeframe.operators.ranking import distributed_rank, running_totals
-from gaugeframe.sources.scratch import materialize
+from gaugeframe.sources.scratch import materialize, scratch_scope
 
 # Reasons of excluded rows, names of splits, and the ordered pairs of splits that must not resemble each other.
 CONFLICT, DUPLICATE = "exact_duplicate_label_conflict", "exact_duplicate"
@@ -182,8 +182,14 @@ def make_splits(images: DataFrame, *, strategy: str = "auto", shares: list[tuple
     turned, flipped or plain near copies of it; ``random`` splits all rows that aren't external; ``auto`` is official where there
     is a test folder.  The pool is clustered by equal hashes and near copies and allotted by whole clusters with ``shares`` (name,
     share).  External rows too like a train or val row are excluded, the others are the external test.  Rows outside the pool are
-    clusters of their own (``s`` and the path).
+    clusters of their own (``s`` and the path).  The table is written; what was written on the way is deleted.
     """
+    with scratch_scope(images.sparkSession) as keep:
+        return keep(materialize(_split_rows(images, strategy, shares, threshold, seed), "splits"))
+
+
+def _split_rows(images: DataFrame, strategy: str, shares: list[tuple[str, float]], threshold: float, seed: int) -> DataFrame:
+    """The rows of the split table; see ``make_splits``."""
     from gaugeframe.operators.inventory import resolve_strategy
 
     rows = exact_duplicate_reasons(images.select("id", "rel_path", "sha256", "label", "source_split", "is_external", "fine"))

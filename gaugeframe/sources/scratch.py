@@ -9,11 +9,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths written in each open scope, the innermost last.
+_scopes: list[list[str]] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset and Spark runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,8 +42,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a reader of the written table (schema given, so an empty table reads back too)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_path = path
+    return written
 
 
 def materialize_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
@@ -47,12 +57,39 @@ def materialize_observed(df: DataFrame, name: str, *metrics: Column) -> tuple[Da
     return written, seen.get
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(df.sparkSession, df.written_path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those given to the yielded ``keep``.
+
+    What is handed out of the scope may read kept tables only.  A table kept belongs to the scope around, if there is one.
+    """
+    own: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.written_path)
+        return df
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+    if _scopes:
+        _scopes[-1].extend(kept)
+    for path in own:
+        if path not in kept:
+            _delete(spark, path)
 
 
 def written_side(df: DataFrame, name: str, max_values: int, values: Column | None = None) -> DataFrame:
@@ -64,9 +101,7 @@ def written_side(df: DataFrame, name: str, max_values: int, values: Column | Non
     """
     each = F.lit(len(df.columns)) if values is None else values
     written, seen = materialize_observed(df, name, F.sum(each.cast("long")).alias("values"))
-    return written.hint("broadcast" if (seen["values"] or 0) <= max_values else "merge")
-
+    hinted = written.hint("broadcast" if (seen["values"] or 0) <= max_values else "merge")
+    hinted.written_path = written.written_path
+    return hinted
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a *written* narrow table for broadcast when its counted rows are at most ``max_rows``, else for a sort-merge join."""
-    return df.hint("broadcast" if df.count() <= max_rows else "merge")
