@@ -4,8 +4,9 @@ Every vector gets a string of ``BITS`` sign bits in each of ``TREES`` trees; a
 tree is the sorted array of its strings, so the vectors below any node are one
 range of it.  A query descends every tree to its longest prefix match and then
 ascends all trees together, one bit at a time, until the ranges hold at least
-``SHARE`` of the shard's rows (counted with repeats); those rows are scored with
-the exact inner product and the nearest are kept.
+``SHARE`` of the shard's rows, each counted once, and ``LEAST_CANDIDATES`` of them
+(a shard of no more rows is scored whole); those rows are scored with the exact inner product and the
+nearest are kept.
 
 Inner products become angles by one more component: rows are divided by the
 largest norm M and completed to unit length, queries are normalised.
@@ -24,7 +25,7 @@ components take no part, nor do those of another dimension than most rows have
 (of equally common ones the larger counts), nor rows with a null id; rows that
 share an id count once (the smallest vector); equal scores are ordered by the
 smaller id; a query with fewer candidates than k gets all of them; extra columns
-are ignored.
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,6 +73,7 @@ class Forest:
         strings = self._strings(np.hstack([unit, np.zeros((len(unit), 1))]))
         want = min(len(self.ids), max(LEAST_CANDIDATES, int(self.share * len(self.ids))))
         low, high = np.zeros(strings.shape, np.int64), np.full(strings.shape, len(self.ids), np.int64)
+        reached = np.zeros(len(ids), np.int64)  # bits that the ranges have in common with the query
         waiting = np.arange(len(ids) if want < len(self.ids) else 0)  # a shard no larger than that is taken whole
         for depth in range(min(BITS, len(self.ids).bit_length() + 2), 0, -1):  # all trees ascend together
             shift = BITS - depth
@@ -80,16 +82,22 @@ class Forest:
             b = np.stack([np.searchsorted(s, (p + 1) << shift) for s, p in zip(self.sorted, prefix, strict=True)])
             enough = (b - a).sum(0) >= want
             low[:, waiting[enough]], high[:, waiting[enough]] = a[:, enough], b[:, enough]
+            reached[waiting[enough]] = depth
             waiting = waiting[~enough]
             if not len(waiting):
                 break
-        slack = 1e-5 * float(np.abs(self.narrow).max(initial=0.0)) * np.abs(queries).sum(1)
+        # 32-bit sums of d products err by at most about d * 2**-24 of the sum of their sizes, on both sides of the cut
+        slack = 4 * self.narrow.shape[1] * 2.0**-24 * float(np.abs(self.narrow).max(initial=0.0)) * np.abs(queries).sum(1)
         for i in range(len(ids)):
             mark = np.zeros(len(self.ids), bool)
             for order, a, b in zip(self.order, low[:, i].tolist(), high[:, i].tolist(), strict=True):
                 mark[order[a:b]] = True
-            if mark.sum() <= k:  # fewer different rows than asked for: ascend to the roots
-                mark[:] = True
+            depth = int(reached[i])
+            while np.count_nonzero(mark) < max(want, k + 1) and depth:  # trees that share rows hold fewer different ones: ascend further
+                depth -= 1
+                shift = BITS - depth
+                for order, text, own in zip(self.order, self.sorted, (strings[:, i] >> shift).tolist(), strict=True):
+                    mark[order[np.searchsorted(text, own << shift) : np.searchsorted(text, (own + 1) << shift)]] = True
             mark &= self.ids != ids[i]
             rows = np.flatnonzero(mark)
             if len(rows) > k:
