@@ -18,7 +18,8 @@ similarity.  The steps:
    the counts of larger, smaller and equal registers and the known set sizes,
    and are then confirmed on the full sets.
 4. Buckets whose classes are still in different components are compared in
-   full, tile by tile, within numpy.  A first pass over the registers keeps the
+   full, tile by tile, within numpy: the classes of the most frequent component
+   with all others, and these with each other.  A first pass over the registers keeps the
    classes that have a candidate across components; a second pass confirms
    candidates on the full sets inside the tile, likeliest first, and gives out
    the links that join components there: fewer than the tile has rows.  A pair
@@ -32,8 +33,10 @@ below the threshold.
 
 Defined cases: texts that are null, empty or without words have no shingles,
 link with nothing and form their own component.  Rows that share a doc_id are
-one document.  A null doc_id takes no part: component_id null, kept true.
-Extra columns are ignored, whatever their names.
+one document: their texts are linked, each row has its own n_shingles (a row
+without words stays by itself).  A null doc_id takes no part: component_id null,
+kept true.  Extra columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,20 +45,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import _text
 from gaugeframe.operators.graph import connected_components
-from gaugeframe.sources.scratch import broadcast_if_small, materialize
+from gaugeframe.sources.scratch import materialize, materialize_observed, scratch_scope, written_side
 
 BANDS, ROWS = 40, 6
 BASE_B, RATE_A, TOP_Q = 1.001, 20.0, (1 << 16) - 2
 #: Registers count from this power of the base, so that sets of 1 to 10**12 shingles stay inside 0..q+1.
 SHIFT = 8000
 TILE = 512
-#: Rows of a written id or pair table that may be broadcast (some 16 bytes a row).
-BROADCAST_ROWS = 2_000_000
+#: Bytes of full sets that one tile may hold; a tile with more is cut into smaller ones.
+TILE_BYTES = 32 << 20
+#: Numbers of a written id or pair table that may be broadcast.
+BROADCAST_VALUES = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20210114))
 _MULTIPLY = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -134,7 +139,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, cut: float) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The written pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union."""
+    """The pairs (a, b; written, with a hint) whose full sets satisfy 100 * intersection >= percent * union."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,9 +148,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: i
                 found = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), found], [*(c for c in part.schema.names if c != "text"), "set"])
 
-    a_side = broadcast_if_small(pairs, BROADCAST_ROWS)
-    b_ids = broadcast_if_small(materialize(pairs.select("b").distinct(), "hub-ids"), BROADCAST_ROWS)
-    left = docs.join(a_side, docs["doc_id"] == a_side["a"]).select("a", "b", "text").mapInArrow(sets, "a long, b long, set array<bigint>")
+    b_ids = written_side(pairs.select("b").distinct(), "hub-ids", BROADCAST_VALUES)
+    left = docs.join(pairs, docs["doc_id"] == pairs["a"]).select("a", "b", "text").mapInArrow(sets, "a long, b long, set array<bigint>")
     right = docs.join(b_ids, docs["doc_id"] == b_ids["b"]).select("b", "text").mapInArrow(sets, "b long, set array<bigint>")
     met = left.join(right.select("b", F.col("set").alias("other")).hint("merge"), "b")
     common = F.size(F.array_intersect("set", "other"))
@@ -153,14 +157,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: i
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
-    """Runs of rows of one tile (key, i, j) from batches sorted by tile."""
+    """Runs of rows of one tile (key, i, j, p, q) from batches sorted by tile."""
     now, block = None, []
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            if row[:3] != now:
+            if row[:5] != now:
                 if len(block) > 1:
                     yield block
-                now, block = row[:3], []
+                now, block = row[:5], []
             block.append(row)
     if len(block) > 1:
         yield block
@@ -169,18 +173,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[lis
 def _candidates(block: list[tuple], cut: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers (x, y) of the tile's candidate pairs across components, and their estimates.
 
-    Rows are (key, i, j, rep, comp, half, band, sketch, n_shingles, ...).
+    Rows are as ``_TILE`` says; where i and j (or the parts p and q) differ, only rows of different halves (sides) are a pair.
     """
-    comp, half = (np.array([r[k] for r in block]) for k in (4, 5))
-    sketch = np.frombuffer(b"".join(r[7] for r in block), np.uint16).reshape(len(block), -1)
-    size = np.array([r[8] for r in block], float)
-    band = block[0][6]
+    at = {c: k for k, c in enumerate(_TILE)}
+    comp, half, side = (np.array([r[at[c]] for r in block]) for c in ("comp", "half", "side"))
+    sketch = np.frombuffer(b"".join(r[at["sketch"]] for r in block), np.uint16).reshape(len(block), -1)
+    size = np.array([r[at["n_shingles"]] for r in block], float)
+    band = block[0][at["band"]]
     early = sketch[:, : band * ROWS].reshape(len(block), band, ROWS)
-    crossing = block[0][1] != block[0][2]
+    _, i, j, p, q = block[0][:5]
     least = int(BANDS * ROWS * cut) - 1
     out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
     for x in range(len(block) - 1):
-        y = np.flatnonzero((comp != comp[x]) & ((half != half[x]) if crossing else True))
+        y = np.flatnonzero((comp != comp[x]) & ((half != half[x]) if i != j else True) & ((side != side[x]) if p != q else True))
         y = y[y > x]
         if len(y):
             same = (sketch[y] == sketch[x]).sum(1)
@@ -196,11 +201,43 @@ def _candidates(block: list[tuple], cut: float) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(o) for o in out)
 
 
-_TILE = ["key", "i", "j", "rep", "comp", "half", "band", "sketch", "n_shingles"]
+_TILE = ["key", "i", "j", "p", "q", "rep", "comp", "half", "side", "band", "sketch", "n_shingles"]
+_KEYS = _TILE[:5]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (key, rep, comp, band and the bucket's most frequent component ``major``, ``n_major``, ``n_rest``) as rows of tiles.
+
+    Only pairs across components matter.  The rows of the most frequent component meet those of all others in a grid of tiles, and
+    the others meet each other in a triangle of tiles; no tile holds two rows of the most frequent component only, so a large group
+    of joined copies with a few foreign classes costs as many rows as it has.
+    """
+    tiles = lambda n: F.greatest(F.ceil(n / TILE), F.lit(1)).cast("long")
+    big, small = tiles(F.col("n_major")), tiles(F.col("n_rest"))
+    hashed = F.xxhash64("rep")
+    place = lambda i, j, half: F.struct(i.alias("i"), j.alias("j"), half.alias("half"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    own_big, own_small = F.pmod(hashed, big), F.pmod(hashed, small)
+    grid_major = F.transform(upto(small), lambda x: place(own_big, -1 - x, own_big))
+    grid_rest = F.transform(upto(big), lambda x: place(x, -1 - own_small, -1 - own_small))
+    triangle = F.transform(upto(small), lambda x: place(F.least(own_small, x), F.greatest(own_small, x), own_small))
+    where = F.when(F.col("comp") == F.col("major"), grid_major).otherwise(F.concat(grid_rest, triangle))
+    rows = rows.select("key", "rep", "comp", "band", F.explode(where).alias("s")).select("key", "s.i", "s.j", "rep", "comp", "s.half", "band")
+    zero = F.lit(0).cast("long")
+    return rows.withColumns({"p": zero, "q": zero, "side": zero})
+
+
+def _cut_by_bytes(rows: DataFrame) -> DataFrame:
+    """Tiles whose full sets exceed ``TILE_BYTES`` as the pairs (p, q) of their parts."""
+    whole = Window.partitionBy("key", "i", "j")
+    parts = F.greatest(F.ceil(8 * F.sum("n_shingles").over(whole) / TILE_BYTES), F.lit(1)).cast("long")
+    rows = rows.drop("p", "q", "side").withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rows.withColumns({"p": F.least("side", "x"), "q": F.greatest("side", "x")}).drop("x", "parts")
 
 
 def _tiled(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(*_TILE, *more)
+    return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS).select(*_TILE, *more)
 
 
 def _open_rows(rows: DataFrame, cut: float) -> DataFrame:
@@ -211,13 +248,16 @@ def _open_rows(rows: DataFrame, cut: float) -> DataFrame:
             x, y, _ = _candidates(block, cut)
             found = np.union1d(x, y).tolist()
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([block[k][c] for k in found], pa.int32() if c == 6 else pa.int64()) for c in range(7)], _TILE[:7])
+                columns = [pa.array([block[k][c] for k in found], pa.int32() if name == "band" else pa.int64()) for c, name in enumerate(names)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _tiled(rows).mapInArrow(run, "key long, i long, j long, rep long, comp long, half long, band int")
+    names = _TILE[:10]
+    return _tiled(rows).mapInArrow(run, ", ".join(f"{c} {'int' if c == 'band' else 'long'}" for c in names))
 
 
 def _tile_links(rows: DataFrame, cut: float, percent: int) -> DataFrame:
-    """Links that join components within each tile, confirmed on the full sets."""
+    """Links that join components within each tile, as pairs of component ids, confirmed on the full sets."""
+    comp_at, set_at = _TILE.index("comp"), len(_TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, [*_TILE, "set"]):
@@ -233,16 +273,16 @@ def _tile_links(rows: DataFrame, cut: float, percent: int) -> DataFrame:
             sets: dict[int, np.ndarray] = {}
             found: list[tuple[int, int]] = []
             for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                p, q = find(block[a][4]), find(block[b][4])
+                p, q = find(block[a][comp_at]), find(block[b][comp_at])
                 if p == q:
                     continue
                 for k in (a, b):
                     if k not in sets:
-                        sets[k] = np.frombuffer(block[k][9], np.uint64)
+                        sets[k] = np.frombuffer(block[k][set_at], np.uint64)
                 common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                     root[max(p, q)] = min(p, q)
-                    found.append((block[a][3], block[b][3]))
+                    found.append((block[a][comp_at], block[b][comp_at]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -250,7 +290,7 @@ def _tile_links(rows: DataFrame, cut: float, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
-    """rep and set (sorted 64-bit shingle hashes, packed) of the documents whose ids are in the written table ``ids``."""
+    """rep and set (sorted 64-bit shingle hashes, packed) of the documents whose ids (rep) are in ``ids`` (written, with a hint)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,8 +299,20 @@ def _full_sets(docs: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame
                 packed = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(packed, pa.binary())], ["rep", "set"])
 
-    small = broadcast_if_small(ids, BROADCAST_ROWS)
-    return docs.join(small, docs["doc_id"] == small["rep"]).select("rep", "text").mapInArrow(sets, "rep long, set binary")
+    return docs.join(ids, docs["doc_id"] == ids["rep"]).select("rep", "text").mapInArrow(sets, "rep long, set binary")
+
+
+def _same_document(base: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share a doc_id."""
+    key = F.struct("k1", "k2")
+    full = base.where("n_shingles > 0 and doc_id is not null").select("doc_id", "k1", "k2")
+    several = full.groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x != y").select("doc_id")
+    several, seen = materialize_observed(several, "several-texts", F.count(F.lit(1)).alias("n"))
+    if not seen["n"]:
+        return base.sparkSession.createDataFrame([], "a long, b long")
+    own = materialize(full.join(several.hint("merge"), "doc_id").join(classes.select("k1", "k2", "rep").hint("merge"), ["k1", "k2"]).select("doc_id", "rep").distinct(), "their-classes")
+    low = own.groupBy("doc_id").agg(F.min("rep").alias("low"))
+    return own.join(low.hint("merge"), "doc_id").where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
 
 
 def near_duplicate_components(
@@ -268,6 +320,16 @@ def near_duplicate_components(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``; see the module's text for the method."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with scratch_scope(spark) as keep:
+        base, ids = _class_components(docs, shingle_words, percent)
+        keep(base), keep(ids)
+    out = base.select("doc_id", "n_shingles", "k1", "k2").join(ids.hint("merge"), ["k1", "k2"], "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _class_components(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The written sketches of all rows and the component of each class (k1, k2), written."""
     cut = max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5)
     base = materialize(sketch_documents(docs, shingle_words), "sketches")
     classes = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("s"))
@@ -284,30 +346,28 @@ def near_duplicate_components(
 
     links = members.join(hubs.hint("merge"), "key").where("rep != hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
     best = links.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("s")).select(F.col("rep").alias("a"), (-F.col("s.hub")).alias("b"))
-    first = materialize(_estimated(best, classes, cut), "first-pairs")
-    first = materialize(_confirmed(first, docs, shingle_words, percent), "first-links")
+    first = written_side(_estimated(best, classes, cut), "first-pairs", BROADCAST_VALUES)
+    first = _confirmed(first, docs, shingle_words, percent).unionByName(_same_document(base, classes))
     found = materialize(connected_components(first, "a", "b"), "first-components")
 
-    placed = members.join(found.hint("merge"), members["rep"] == found["id"], "left").select("key", "band", "n", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = members.join(found.hint("merge"), members["rep"] == found["id"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = materialize(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    split = materialize(split, "open-buckets")
-    if split.count():
-        tiles = F.ceil(F.col("n") / TILE).cast("long")
-        rest = placed.join(split.hint("merge"), "key").withColumn("half", F.pmod(F.xxhash64("rep"), tiles))
-        rest = rest.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-        rest = rest.select("key", F.least("half", "x").alias("i"), F.greatest("half", "x").alias("j"), "rep", "comp", "half", "band")
+    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("s"), F.sum("n").alias("n"))
+    opened = counts.where("s.n < n").select("key", F.col("s.comp").alias("major"), F.col("s.n").alias("n_major"), (F.col("n") - F.col("s.n")).alias("n_rest"))
+    opened, seen = materialize_observed(opened, "open-buckets", F.count(F.lit(1)).alias("n"))
+    if seen["n"]:
         sketches = classes.select("rep", "sketch", "n_shingles")
+        rest = _dealt(placed.join(opened.hint("merge"), "key"))
         rest = materialize(_open_rows(rest.join(sketches.hint("merge"), "rep"), cut), "open-rows")
-        sets = _full_sets(docs, materialize(rest.select("rep").distinct(), "open-ids"), shingle_words)
-        rest = rest.join(sketches.hint("merge"), "rep").join(sets.hint("merge"), "rep")
-        more = materialize(_tile_links(rest, cut, percent), "open-links")
-        found = materialize(connected_components(first.union(more), "a", "b"), "components")
+        sets = _full_sets(docs, written_side(rest.select("rep").distinct(), "open-ids", BROADCAST_VALUES), shingle_words)
+        rest = _cut_by_bytes(rest.join(sketches.hint("merge"), "rep")).join(sets.hint("merge"), "rep")
+        joined = materialize(connected_components(_tile_links(rest, cut, percent), "a", "b"), "joined-components")
+        joined = joined.select(F.col("id").alias("component"), F.col("component").alias("wider")).hint("merge")
+        alone = joined.join(found.hint("merge"), joined["component"] == found["id"], "left_anti").select(F.col("component").alias("id"), F.col("wider").alias("component"))
+        found = found.join(joined, "component", "left").select("id", F.coalesce("wider", "component").alias("component")).unionByName(alone)
 
     ids = materialize(
         classes.join(found.hint("merge"), classes["rep"] == found["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")),
         "class-components",
     )
-    out = base.select("doc_id", "n_shingles", "k1", "k2").join(ids.hint("merge"), ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return base, ids

@@ -194,3 +194,94 @@ def test_runs_of_just_over_fifty_words_are_removed_whole(spark):
 def test_without_spans():
     assert ps.without_spans("ab cd ef", [(3, 5)]) == "ab  ef"
     assert ps.without_spans(None, []) is None and ps.without_spans("abc", [(0, 3)]) == ""
+
+
+def test_rows_of_one_document_are_linked(spark):
+    rows = [(7, "a b c d e f g"), (7, "x y z w v u t"), (4, "a b c d e f g"), (5, "x y z w v u t"), (7, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicate_components(spark, df, shingle_words=2).collect())
+    assert got == [(4, 6, 4, True), (5, 6, 4, False), (7, 0, 7, True), (7, 6, 4, False), (7, 6, 4, False), (8, 0, 8, True)]
+
+
+@pytest.mark.parametrize("tile, size", [(4, 1 << 25), (512, 2000)])
+def test_small_tiles_lose_no_link(spark, monkeypatch, tile, size):
+    monkeypatch.setattr(nd, "TILE", tile)
+    monkeypatch.setattr(nd, "TILE_BYTES", size)
+    rows = corpus(seed=11, n=25, copies=70)
+    got = {r.doc_id: r.component_id for r in nd.near_duplicate_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 2).items()}
+
+
+def test_paragraph_clusters_match_brute_force(spark):
+    """Paragraphs as the cuts give them: the clusters of those at 0.8 or more are those of all pairs."""
+    r = random.Random(3)
+    base = [[f"q{r.randrange(4000)}" for _ in range(30)] for _ in range(12)]
+    rows = []
+    for i in range(90):
+        words = list(base[i % 12])
+        for _ in range(r.choice([0, 0, 1, 1])):
+            words[r.choice([0, 29])] = f"z{i}"
+        rows.append((i, " ".join(words) + "."))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t, 5) for i, t in rows}
+    places = [(p.doc_id, p.key, p.start, p.until) for p in ps._paragraphs(df, "places").collect()]
+    texts = dict(rows)
+    units = {(d, k): shingles(texts[d][a:b], 5) for d, k, a, b in places}
+    found = {}
+    for x in ps.repeated_passages(df).where("paragraph is not null").collect():
+        found.setdefault(x.component_id, set()).add(x.doc_id)
+    assert sets and units
+    for docs in found.values():
+        assert len(docs) > 1
+    together = {frozenset((a, b)) for docs in found.values() for a in docs for b in docs if a != b}
+    for (a, _), x in units.items():
+        for (b, _), y in units.items():
+            if a < b and len(x) >= 16 and 100 * len(x & y) >= 80 * len(x | y):
+                assert frozenset((a, b)) in together
+
+
+def test_equal_runs_match_brute_force(spark):
+    """Every run of 50 or more equal words of two documents is covered, in the document of larger id, by what is removed."""
+    r = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    shared = [[r.choice(vocabulary) for _ in range(n)] for n in (50, 55, 70, 140)]
+    rows = []
+    for i in range(24):
+        parts = [[r.choice(vocabulary) for _ in range(r.randrange(5, 90))] for _ in range(3)]
+        for k in r.sample(range(4), 2):
+            parts.insert(r.randrange(len(parts) + 1), shared[k])
+        rows.append((i, " ".join(w for p in parts for w in p)))
+    rows += [(50, rows[0][1]), (50, rows[0][1]), (None, rows[0][1]), (51, ""), (52, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("run", F.lit(1))
+    spans: dict = {}
+    for x in ps.repeated_passages(df).where("removed").collect():
+        spans.setdefault(x.doc_id, set()).update(range(x.start_char, x.end_char))
+    for i, t in rows:
+        if i is None or not t:
+            continue
+        for k, words in enumerate(shared):
+            text = " ".join(words)
+            at = t.find(text)
+            if at >= 0 and any(j is not None and j < i and text in (o or "") for j, o in rows):
+                missing = [c for c in range(at, at + len(text)) if c not in spans.get(i, set())]
+                assert not "".join(t[c] for c in missing).strip(), (i, k)
+
+
+def test_key_filter(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    keys = r.integers(-(1 << 63), 1 << 63, 5000, dtype=np.int64)
+    shared = ps.key_filter(spark.createDataFrame([(int(k),) for k in [*keys, 0, -1, 1]], "key long"))
+    assert ps._wanted(np.array([*keys, 0, -1, 1]), shared).all()
+    assert ps._wanted(r.integers(-(1 << 63), 1 << 63, 20000, dtype=np.int64), shared).mean() < 0.001
+    assert not ps._wanted(keys, ps.key_filter(spark.createDataFrame([], "key long"))).any()
+
+
+def test_removal_keeps_any_column(spark, planted):
+    rows, _, _ = planted
+    names = ["doc_id", "text", "n_chars", "spans", "cut_id", "_spans", "_cut_id"]
+    df = spark.createDataFrame([(i, t, len(t), "s", 3, 1, 2) for i, t in rows], "doc_id long, text string, n_chars long, spans string, cut_id int, _spans int, _cut_id int")
+    out = ps.remove_passages(df, ps.repeated_passages(df))
+    assert out.columns == names and {(r.spans, r.cut_id, r["_spans"], r["_cut_id"]) for r in out.collect()} == {("s", 3, 1, 2)}
+    assert ps.remove_passages(df.limit(0), ps.repeated_passages(df.limit(0))).count() == 0
