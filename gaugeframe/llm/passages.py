@@ -29,8 +29,14 @@ Paragraphs of fewer than ``LEAST_WORDS`` words carry no evidence of their own.
    same in every document, so a run of 2 * PIECE_WINDOW + LEAST_RUN_WORDS = 50 words
    or more always holds a whole piece.  Pieces of equal words in several documents
    are joined to runs where they overlap; the smallest id keeps them.  Runs are then
-   extended by the equal words on both sides (fewer than 2 * PIECE_WINDOW, as else a
-   further piece were shared; ``REACH`` are compared).
+   extended on both sides by the equal words that the keeper of their outermost
+   piece has there (for a kept run: the first document it is removed from); these are
+   fewer than 2 * PIECE_WINDOW, as else a further piece were shared, ``REACH`` are
+   compared, at the other document's first place of the piece.
+
+Joins that keep few of a text pass's rows run behind a bit set of fixed size
+(``key_filter``): a pass hands on only rows whose key may be wanted, whatever the
+number of documents, and the exact join follows.
 
 Defined cases: null and empty texts have no paragraphs; repetition inside one
 document is left; rows that share a doc_id are one document; a null doc_id takes
@@ -43,12 +49,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import _text
 from gaugeframe.operators.graph import connected_components
-from gaugeframe.sources.scratch import broadcast_if_small, materialize
+from gaugeframe.sources.scratch import materialize, scratch_scope, written_side
 
 SHINGLE_WORDS = 5
 LEAST_WORDS = 5
@@ -58,7 +65,10 @@ TILE = 256
 CUT_ONE_IN = 64
 CUT_STOPS_ONE_IN = 8
 FAR_WORDS, CUT_FAR_ONE_IN = 12, 12
-BROADCAST_ROWS = 2_000_000
+#: Numbers of a written table that may be broadcast.
+BROADCAST_VALUES = 2_000_000
+#: Bits of a filter that says which keys may be wanted: 8 MB, whatever the size of the data; what it lets through is joined exactly.
+FILTER_BITS = 1 << 26
 PIECE_WINDOW = 15
 REACH = 32
 
@@ -103,9 +113,28 @@ def _windows(hashed: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[n
     return whole[np.repeat(first - bounds[:-1], n) + np.arange(bounds[-1])], bounds
 
 
-def _paragraphs(docs: DataFrame, sets: bool) -> DataFrame:
-    """Paragraphs of at least LEAST_WORDS words: key and packed shingle set, or key, place and band values."""
-    schema = "key long, set binary" if sets else "doc_id long, paragraph int, start int, until int, words int, key long, b0 long, b1 long, b2 long"
+def key_filter(keys: DataFrame, column: str = "key") -> Broadcast:
+    """A broadcast bit set of ``FILTER_BITS`` bits that holds every key of the column (hashes); others pass by chance only."""
+    bit = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    parts = keys.select((bit / 32768).cast("long").alias("part"), (bit % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts.collect():  # at most FILTER_BITS / 32768 rows of 4 KiB
+        whole[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+
+def _wanted(keys: np.ndarray, shared: Broadcast) -> np.ndarray:
+    """Which of the keys the filter lets through."""
+    bits = np.frombuffer(shared.value, np.uint8)
+    at = keys & (FILTER_BITS - 1)
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1
+
+
+def _paragraphs(docs: DataFrame, kind: str, wanted: Broadcast | None = None) -> DataFrame:
+    """Paragraphs of at least LEAST_WORDS words: key and ``bands``, packed shingle ``sets`` or ``places``; with ``wanted`` only keys of that filter."""
+    schema = {
+        "bands": "doc_id long, key long, b0 long, b1 long, b2 long", "sets": "key long, set binary", "places": "doc_id long, key long, paragraph int, start int, until int, words int",
+    }[kind]
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,25 +149,45 @@ def _paragraphs(docs: DataFrame, sets: bool) -> DataFrame:
                 up, down = _text.powers(len(hashed) + 1)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * up[: len(hashed)])])
                 key = _text.mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
-                value, bounds = _windows(hashed, first, last)
-                if sets:
-                    packed = [np.unique(value[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(packed, pa.binary())], names)
-                    continue
-                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                origin = point[offsets[text]]
                 number = np.arange(len(text)) - np.searchsorted(text, text)
-                bands = [_text.mix(np.minimum.reduceat(_text.mix(value ^ s), bounds[:-1]) + s).view(np.int64) for s in _SALT]
-                ids = part.column("doc_id").take(pa.array(text))
-                ints = (number, point[start[first]] - origin, point[end[last - 1]] - origin, last - first)
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in ints), pa.array(key), *map(pa.array, bands)], names)
+                if wanted is not None:
+                    use = _wanted(key, wanted)
+                    first, last, text, key, number = first[use], last[use], text[use], key[use], number[use]
+                    if not len(first):
+                        continue
+                if kind == "places":
+                    point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    origin = point[offsets[text]]
+                    columns = [pa.array(x.astype(np.int32)) for x in (number, point[start[first]] - origin, point[end[last - 1]] - origin, last - first)]
+                else:
+                    value, bounds = _windows(hashed, first, last)
+                    if kind == "sets":
+                        packed = [np.unique(value[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(packed, pa.binary())], names)
+                        continue
+                    columns = [pa.array(_text.mix(np.minimum.reduceat(_text.mix(value ^ s), bounds[:-1]) + s).view(np.int64)) for s in _SALT]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), pa.array(key), *columns], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _pieces(docs: DataFrame, least: int) -> DataFrame:
-    """Pieces of whole texts between winnowed cuts, of at least ``least`` words: key, first and end word and code point."""
-    names = ["doc_id", "key", "first", "last", "start", "until"]
+def _members(kinds: DataFrame, wanted: Broadcast) -> DataFrame:
+    """key, low, high and band of the classes, for each of their bands that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(BANDS):
+                band = batch.column(f"b{i}")
+                part = batch.select(["key", "low", "high"]).append_column("band", band)
+                yield part.filter(pa.array(_wanted(band.to_numpy(), wanted)))
+
+    return kinds.mapInArrow(run, "key long, low long, high long, band long")
+
+
+def _pieces(docs: DataFrame, least: int, wanted: Broadcast | None = None) -> DataFrame:
+    """Pieces of whole texts between winnowed cuts, of at least ``least`` words: doc_id and key; with the filter ``wanted`` only keys
+    that it lets through, and their first and end word and code point."""
+    names = ["doc_id", "key"] if wanted is None else ["doc_id", "key", "first", "last", "start", "until"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,20 +216,25 @@ def _pieces(docs: DataFrame, least: int) -> DataFrame:
                 up, down = _text.powers(len(hashed) + 1)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * up[: len(hashed)])])
                 key = _text.mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
-                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                origin = point[offsets[text]]
-                ints = (first - bounds[text], last - bounds[text], point[start[first]] - origin, point[end[last - 1]] - origin)
-                ids = part.column("doc_id").take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(key), *(pa.array(x.astype(np.int32)) for x in ints)], names)
+                columns = []
+                if wanted is not None:
+                    use = _wanted(key, wanted)
+                    first, last, text, key = first[use], last[use], text[use], key[use]
+                    point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    origin = point[offsets[text]]
+                    ints = (first - bounds[text], last - bounds[text], point[start[first]] - origin, point[end[last - 1]] - origin)
+                    columns = [pa.array(x.astype(np.int32)) for x in ints]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), pa.array(key), *columns], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, first int, last int, start int, until int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long" + ("" if wanted is None else ", first int, last int, start int, until int"))
 
 
 def _sides(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """Hashes of the 1 to ``REACH`` words before (left) or after the ends (doc_id, key, left, at) of runs, and the code point they reach to."""
-    names = ["doc_id", "key", "left", "at", "n", "hash", "point"]
-    per = ends.groupBy(F.col("doc_id").alias("end_id")).agg(F.collect_list(F.struct("key", "left", "at")).alias("ends"))
-    rows = docs.join(broadcast_if_small(materialize(per, "run-ends"), BROADCAST_ROWS // 20), F.col("doc_id") == F.col("end_id"))
+    """For the ends (doc_id, run, key, left, at) of runs: hashes of the up to ``REACH`` words before (left) or after them, nearest
+    first, and the code points that a run extended by so many words reaches to."""
+    names = ["doc_id", "run", "key", "left", "words", "points"]
+    per = ends.groupBy(F.col("doc_id").alias("end_id")).agg(F.collect_list(F.struct("run", "key", "left", "at")).alias("ends"))
+    rows = docs.join(written_side(per, "run-ends", BROADCAST_VALUES, 1 + 4 * F.size("ends")), F.col("doc_id") == F.col("end_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,41 +242,48 @@ def _sides(docs: DataFrame, ends: DataFrame) -> DataFrame:
                 data, offsets = _text.flat(part.column("text"))
                 small = _text.lower(data)
                 start, end, bounds = _text.words(small, offsets)
-                hashed = _text.span_hashes(small, start, end)
-                up, down = _text.powers(len(hashed) + 1)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * up[: len(hashed)])])
+                hashed = (_text.span_hashes(small, start, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 size = np.diff(np.asarray(part.column("ends").offsets))
-                key, left, at = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in part.column("ends").flatten().flatten())
-                of = np.repeat(np.repeat(np.arange(len(size)), size), REACH)
-                key, left, at = np.repeat(key, REACH), np.repeat(left.astype(bool), REACH), np.repeat(at.astype(np.int64), REACH)
-                n = np.tile(np.arange(1, REACH + 1), len(key) // REACH)
-                a, b = bounds[of] + at - left * n, bounds[of] + at + ~left * n
-                use = (a >= bounds[of]) & (b <= bounds[of + 1])
-                of, key, left, at, n, a, b = (x[use] for x in (of, key, left, at, n, a, b))
-                value = _text.mix((total[b] - total[a]) * down[a] + n.astype(np.uint64)).view(np.int64)
-                place = np.where(left, point[start[a]], point[end[b - 1]]) - point[offsets[of]]
+                number, key, left, at = (x.to_numpy(zero_copy_only=False) for x in part.column("ends").flatten().flatten())
+                of = np.repeat(np.arange(len(size)), size)
+                left, at = left.astype(bool), bounds[of] + at.astype(np.int64)
+                n = np.clip(np.where(left, at - bounds[of], bounds[of + 1] - at), 0, REACH)
+                each = np.concatenate([[0], np.cumsum(n)])
+                back, own = np.repeat(left, n), np.repeat(at, n)
+                step = np.arange(each[-1]) - np.repeat(each[:-1], n)
+                word = np.where(back, own - 1 - step, own + step)
+                place = np.where(back, point[start[word]], point[end[word]]) - np.repeat(point[offsets[of]], n)
+                lists = [pa.ListArray.from_arrays(pa.array(each.astype(np.int32)), pa.array(v)) for v in (hashed[word], place.astype(np.int32))]
                 ids = part.column("doc_id").take(pa.array(of))
-                ints = (pa.array(x.astype(np.int32)) for x in (at, n))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(key), pa.array(left), *ints, pa.array(value), pa.array(place.astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number), pa.array(key), pa.array(left), *lists], names)
 
-    return rows.select("doc_id", "text", "ends").mapInArrow(run, "doc_id long, key long, left boolean, at int, n int, hash long, point int")
+    return rows.select("doc_id", "text", "ends").mapInArrow(run, "doc_id long, run long, key long, left boolean, words array<int>, points array<int>")
 
 
 def _extended(docs: DataFrame, hits: DataFrame, runs: DataFrame) -> DataFrame:
-    """``runs`` with the equal words on both sides: of a removed run those that a document of smaller id has there too."""
-    ends = runs.select("doc_id", "removed", "run", "first", "last", F.explode(F.array(F.struct(F.col("first_key").alias("key"), F.lit(True).alias("left")), F.struct(F.col("last_key").alias("key"), F.lit(False).alias("left")))).alias("e"))
-    ends = ends.select("doc_id", "removed", "run", "e.key", "e.left", F.when(F.col("e.left"), F.col("first")).otherwise(F.col("last")).alias("at"))
-    holders = hits.join(ends.select("key", "left").distinct().hint("merge"), "key")
-    holders = holders.select("doc_id", "key", "left", F.when(F.col("left"), F.col("first")).otherwise(F.col("last")).alias("at")).distinct()
-    sides = materialize(_sides(docs, holders), "run-sides")
-    same = ["key", "left", "n", "hash"]
-    equal = sides.groupBy(*same).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    wider = sides.join(equal.hint("merge"), same).join(ends.hint("merge"), ["doc_id", "key", "left", "at"]).where((F.col("low") < F.col("doc_id")) == F.col("removed"))
-    best = lambda left: F.max(F.when(F.col("left") == F.lit(left), F.struct("n", "point")))
-    wider = wider.groupBy("doc_id", "removed", "run").agg(best(True).alias("before"), best(False).alias("after"))
-    out = runs.join(wider.hint("merge"), ["doc_id", "removed", "run"], "left")
-    return out.select(
+    """``runs`` with the equal words on both sides: a removed run those that the keeper of its outermost piece has there too, a kept
+    run those that the first document (by id) from which the piece is removed has there."""
+    runs = runs.withColumn("run", 2 * F.col("run") + F.col("removed").cast("long"))  # one number for each run of a document
+    outer = F.array(
+        F.struct(F.col("first_key").alias("key"), F.lit(True).alias("left"), F.col("first").alias("at")), F.struct(F.col("last_key").alias("key"), F.lit(False).alias("left"), F.col("last").alias("at"))
+    )
+    ends = runs.select("doc_id", "run", "removed", F.explode(outer).alias("e")).select("doc_id", "run", "removed", "e.key", "e.left", "e.at")
+    # the other side of each end: the first place of its key in the keeper, or in the first document that it is removed from
+    first = hits.groupBy("key", "removed").agg(F.min(F.struct("doc_id", "first", "last")).alias("s"))
+    asked = ends.select("key", "left", (~F.col("removed")).alias("removed")).distinct()
+    others = first.join(asked.hint("merge"), ["key", "removed"]).select(
+        "s.doc_id", (-1 - F.col("removed").cast("long")).alias("run"), "key", "left", F.when(F.col("left"), F.col("s.first")).otherwise(F.col("s.last")).alias("at")
+    )
+    both = materialize(_sides(docs, ends.drop("removed").unionByName(others)), "run-sides")
+    own = both.where("run >= 0").withColumn("other", -1 - (1 - F.col("run") % 2))
+    met = own.join(both.where("run < 0").select("key", "left", F.col("run").alias("other"), F.col("words").alias("others")).hint("merge"), ["key", "left", "other"])
+    differ = F.array_position(F.zip_with("words", "others", lambda x, y: x.eqNullSafe(y)), False)
+    n = F.when(differ > 0, differ - 1).otherwise(F.least(F.size("words"), F.size("others"))).cast("int")
+    wider = met.select("doc_id", "run", "left", n.alias("n"), "points").where("n > 0").select("doc_id", "run", "left", F.struct("n", F.element_at("points", F.col("n")).alias("point")).alias("e"))
+    side = lambda left: F.max(F.when(F.col("left") == F.lit(left), F.col("e")))
+    wider = wider.groupBy("doc_id", "run").agg(side(True).alias("before"), side(False).alias("after"))
+    return runs.join(wider.hint("merge"), ["doc_id", "run"], "left").select(
         "doc_id", "removed", (F.col("first") - F.coalesce("before.n", F.lit(0))).alias("first"), (F.col("last") + F.coalesce("after.n", F.lit(0))).alias("last"),
         F.coalesce("before.point", "start").alias("start"), F.coalesce("after.point", "until").alias("until"), "cluster", "keep_doc",
     )
@@ -230,10 +291,10 @@ def _extended(docs: DataFrame, hits: DataFrame, runs: DataFrame) -> DataFrame:
 
 def _equal_runs(docs: DataFrame, least: int) -> DataFrame:
     """Runs of overlapping pieces of equal words that several documents hold, kept and removed ones apart."""
-    pieces = materialize(_pieces(docs, least), "pieces")
-    twice = pieces.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
-    twice = broadcast_if_small(materialize(twice, "equal-pieces"), BROADCAST_ROWS // 20)
-    hits = every = materialize(pieces.join(twice, "key").withColumn("removed", F.col("doc_id") != F.col("low")), "equal-hits")
+    twice = _pieces(docs, least).groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
+    twice = materialize(twice, "equal-pieces")
+    again = _pieces(docs, least, key_filter(twice)).join(twice.hint("merge"), "key")
+    hits = every = materialize(again.withColumn("removed", F.col("doc_id") != F.col("low")), "equal-hits")
     # cuts near a run's ends may be those of some documents only; what they add inside a removed run is not kept
     upto = [w.rowsBetween(Window.unboundedPreceding, Window.currentRow) for w in (
         Window.partitionBy("doc_id").orderBy("first", "last"), Window.partitionBy("doc_id").orderBy(F.desc("first"), F.desc("last")))]
@@ -243,7 +304,7 @@ def _equal_runs(docs: DataFrame, least: int) -> DataFrame:
     hits = hits.withColumn("meets", meets).where(F.col("removed") | ~F.col("meets"))
     own = Window.partitionBy("doc_id", "removed").orderBy("first", "last")
     reached = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    hits = hits.withColumn("run", F.coalesce((F.col("first") > reached).cast("int"), F.lit(1))).withColumn("run", F.sum("run").over(own))
+    hits = hits.withColumn("run", F.coalesce((F.col("first") > reached).cast("int"), F.lit(1))).withColumn("run", F.sum("run").over(own))  # a long, from 1
     runs = hits.groupBy("doc_id", "removed", "run").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("until").alias("until"),
         F.min("key").alias("cluster"), F.min("low").alias("keep_doc"), F.min_by("key", "first").alias("first_key"), F.max_by("key", "last").alias("last_key"),
@@ -313,28 +374,39 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, least_run_words: in
     keep_doc (the document that keeps the paragraph), removed.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    units = materialize(_paragraphs(docs, sets=False), "paragraphs")
-    kinds = units.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
+    with scratch_scope(docs.sparkSession) as keep:
+        out = keep(materialize(_repeated_paragraphs(docs, percent, least_run_words), "repeated-paragraphs"))
+    with scratch_scope(docs.sparkSession) as keep:
+        runs = keep(materialize(_equal_runs(docs, least_run_words), "repeated-runs"))
+    runs = runs.withColumn("paragraph", F.lit(None).cast("int")).withColumn("words", F.col("last") - F.col("first"))
+    return out.unionByName(runs.select(*out.columns)).select(
+        "doc_id", "paragraph", F.col("start").alias("start_char"), F.col("until").alias("end_char"), F.col("words").alias("n_words"),
+        F.col("cluster").alias("component_id"), "keep_doc", "removed",
+    )
+
+
+def _repeated_paragraphs(docs: DataFrame, percent: int, least_run_words: int) -> DataFrame:
+    """The paragraphs of runs whose clusters several documents hold: doc_id, paragraph, start, until, words, cluster, keep_doc, removed."""
+    kinds = _paragraphs(docs, "bands").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
     kinds = materialize(kinds, "paragraph-classes")
 
-    bands = kinds.select("key", F.explode(F.array(*(F.col(f"b{i}") for i in range(BANDS)))).alias("band"))
-    met = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = broadcast_if_small(materialize(met, "paragraph-buckets"), BROADCAST_ROWS)
-    rows = materialize(bands.join(met, "band"), "paragraph-members")
-    needed = broadcast_if_small(materialize(rows.select("key").distinct(), "paragraph-ids"), BROADCAST_ROWS)
-    sets = _paragraphs(docs, sets=True).join(needed, "key").groupBy("key").agg(F.min("set").alias("set"))
+    met = kinds.select(F.explode(F.array(*(F.col(f"b{i}") for i in range(BANDS)))).alias("band")).groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(met, "paragraph-buckets")
+    rows = materialize(_members(kinds, key_filter(met, "band")).join(met.hint("merge"), "band"), "paragraph-members")
+    needed = rows.select("key").distinct()
+    sets = _paragraphs(docs, "sets", key_filter(rows)).join(needed.hint("merge"), "key").groupBy("key").agg(F.min("set").alias("set"))
     tiles = F.ceil(F.col("n") / TILE).cast("long")
     tiled = rows.withColumn("half", F.pmod(F.xxhash64("key"), tiles)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     tiled = tiled.select("band", F.least("half", "x").alias("i"), F.greatest("half", "x").alias("j"), "key", "half").join(sets.hint("merge"), "key")
-    links = materialize(_linked(tiled, percent).distinct(), "paragraph-links")
-    near = materialize(connected_components(links, "a", "b"), "paragraph-clusters")
+    near = materialize(connected_components(_linked(tiled, percent), "a", "b"), "paragraph-clusters")
 
-    wide = kinds.join(near.hint("merge"), kinds["key"] == near["id"]).groupBy("component").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x < y")
+    ends = rows.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    wide = ends.join(near.hint("merge"), ends["key"] == near["id"]).groupBy("component").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x < y")
     many = near.join(materialize(wide, "wide-clusters").hint("merge"), "component").select(F.col("id").alias("key"), F.col("component").alias("cluster"))
     alone = kinds.where("low < high").join(near.hint("merge"), kinds["key"] == near["id"], "left_anti").select("key", F.col("key").alias("cluster"))
-    shared = broadcast_if_small(materialize(many.unionByName(alone), "repeated-classes"), BROADCAST_ROWS)
+    shared = materialize(many.unionByName(alone), "repeated-classes")
 
-    found = units.select("doc_id", "paragraph", "start", "until", "words", "key").join(shared, "key")
+    found = _paragraphs(docs, "places", key_filter(shared)).join(shared.hint("merge"), "key")
     own = Window.partitionBy("doc_id").orderBy("paragraph")
     found = found.withColumn("run", F.col("paragraph") - F.dense_rank().over(own))
     found = found.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(F.col("run_words") >= least_run_words)
@@ -342,12 +414,7 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, least_run_words: in
     keep = found.groupBy("cluster").agg(F.min("doc_id").alias("keep_doc"), F.max("doc_id").alias("last")).where("keep_doc < last").select("cluster", "keep_doc")
     keep = materialize(keep, "kept")
     out = found.join(keep.hint("merge"), "cluster")  # two plain shuffles, so that a hot cluster can be split
-    out = out.withColumn("removed", F.col("doc_id") != F.col("keep_doc"))
-    runs = _equal_runs(docs, least_run_words).withColumn("paragraph", F.lit(None).cast("int")).withColumn("words", F.col("last") - F.col("first"))
-    return out.unionByName(runs.select(*out.columns)).select(
-        "doc_id", "paragraph", F.col("start").alias("start_char"), F.col("until").alias("end_char"), F.col("words").alias("n_words"),
-        F.col("cluster").alias("component_id"), "keep_doc", "removed",
-    )
+    return out.withColumn("removed", F.col("doc_id") != F.col("keep_doc"))
 
 
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -376,17 +443,27 @@ def _joined(cuts: list[dict]) -> list[tuple[int, int]]:
 
 def remove_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` (columns doc_id, text, n_chars and others) with the removed paragraphs cut from their texts; no document is dropped."""
+    return without_passages(docs, removed_spans(found))
+
+
+def removed_spans(found: DataFrame) -> DataFrame:
+    """The removed stretches of each document, written, with a hint for the join."""
     cut = F.struct("paragraph", "start_char", "end_char")
-    spans = found.where("removed").groupBy(F.col("doc_id").alias("cut_id")).agg(F.sort_array(F.collect_list(cut)).alias("spans"))
-    spans = broadcast_if_small(materialize(spans, "cuts"), BROADCAST_ROWS // 20)
-    joined = docs.join(spans, docs["doc_id"] == spans["cut_id"], "left").drop("cut_id")
+    spans = found.where("removed").groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(cut)).alias("_spans"))
+    return written_side(spans, "cuts", BROADCAST_VALUES, 1 + 2 * F.size("_spans"))
+
+
+def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` without the stretches that ``removed_spans`` gave."""
     names = docs.columns
+    joined = docs.join(spans, docs["doc_id"] == spans["_cut_id"], "left").select(*(docs[c] for c in names), spans["_spans"].alias("_spans of passages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, cut = batch.column("text"), batch.column("spans")
-            kept = [t.as_py() if not s.is_valid else without_spans(t.as_py(), _joined(s.as_py())) for t, s in zip(text, cut, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+            columns = dict(zip(names, batch.columns, strict=False))
+            kept = [without_spans(t.as_py(), _joined(s.as_py())) for t, s in zip(columns["text"], batch.columns[-1], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else columns[c] for c in names], names)
 
-    cut = joined.where("spans is not null").mapInArrow(run, docs.schema).withColumn("n_chars", F.char_length("text").cast("long"))
-    return joined.where("spans is null").select(*names).unionByName(cut.select(*names))
+    has = F.col("`_spans of passages`").isNotNull()
+    cut = joined.where(has).mapInArrow(run, docs.schema).withColumn("n_chars", F.char_length("text").cast("long"))
+    return joined.where(~has).select(*names).unionByName(cut.select(*names))
