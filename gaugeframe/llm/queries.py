@@ -148,9 +148,9 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their raked weights, calibrated probabilities and the choice."""
+    """All documents with their raked weights, calibrated probabilities and the choice; the form of the text is the third margin."""
     mixed = mix_documents(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "probability", "selected")
+    return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("form"), F.col("_tokens").alias("n_tokens"), "weight", "probability", "deviation", "selected")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,11 @@ with x_i the weight of a present term: its pairwise part sees two terms together
 such as an insult and the mention of a group, that neither weight alone decides.
 A logistic link gives the score.
 
+Terms take part if they differ between the classes by themselves, or next to one
+of the ``LEADERS`` strongest of these: a machine of the former is fitted first, and
+where its errors lean to one side in the rows that hold a leader and another term,
+that term joins for the final fit, however evenly the classes hold it alone.
+
 Fitting: at most ``SAMPLE`` labelled rows of each class (those of smallest id
 hash; this is the documented bound), one task, AdaGrad over shuffled mini-batches
 with a fixed seed.  The model has a fixed size and travels in a broadcast.
@@ -18,7 +23,9 @@ Scoring reads every whole text in one pass without a shuffle.
 Only labels of rows whose crc32 of the decimal doc_id is not 1 modulo 3 are
 learnt from; labels, lang, source and doc_id are never inputs of a score.
 
-Defined cases: a null or empty text has no terms and scores the bias alone, as
+Defined cases: an empty table of documents gives an empty result and a model of
+no labels; rows that share a doc_id are each scored, and each learnt from if
+labelled; a null or empty text has no terms and scores the bias alone, as
 does a text of unseen words; a null doc_id is scored and not held out; labels
 that are null are not learnt from, repeated label rows of one document count
 once (the larger label); without a label of each class all scores are the share
@@ -36,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import _text
-from gaugeframe.sources.scratch import broadcast_if_small, materialize
+from gaugeframe.sources.scratch import materialize, written_side
 
 BUCKETS = 1 << 18
 FACTORS = 4
@@ -46,6 +53,8 @@ SAMPLE = 12_000
 EPOCHS, BATCH, RATE, L2, FACTOR_L2 = 20, 64, 0.2, 2e-5, 1e-4
 #: Terms whose presence tells the classes apart by fewer standard errors have no weight.
 LEAST_Z, LEAST_ROWS = 2.5, 2
+#: Strongest terms whose partners are looked for, and how far errors must lean for one.
+LEADERS, PARTNER_Z = 32, 5.0
 THRESHOLD = 0.7
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -103,30 +112,68 @@ class Machine:
 
 
 def fit(index: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> Machine:
-    """AdaGrad on the logistic loss; rows are visited in an order drawn from a fixed seed."""
+    """AdaGrad on the logistic loss over the terms that matter alone or next to another; rows are visited in an order drawn from a fixed seed."""
     share = float(label.mean()) if len(label) else 0.0
-    rng = np.random.Generator(np.random.PCG64(11))
-    linear = np.zeros(BUCKETS, np.float64)
-    factors = np.zeros((BUCKETS, FACTORS))
     if share in (0.0, 1.0):
-        return Machine(-35.0 if share == 0 else 35.0, linear.astype(np.float32), factors.astype(np.float32))
-    # keep the terms that differ between the classes; a block of rows at a time, so that no copy has the size of all terms
-    blocks = [(r, min(r + 1000, len(label))) for r in range(0, len(label), 1000)]
+        return Machine(-35.0 if share == 0 else 35.0, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
+    # terms that differ between the classes by themselves; a block of rows at a time, so that no copy has the size of all terms
     n1, n0 = label.sum(), (1 - label).sum()
     c1, c0 = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for r, e in blocks:
+    for r, e in _row_blocks(label):
         own, of = index[bounds[r] : bounds[e]], np.repeat(label[r:e] == 1, np.diff(bounds[r : e + 1]))
         c1 += np.bincount(own[of], minlength=BUCKETS)
         c0 += np.bincount(own[~of], minlength=BUCKETS)
     pooled = (c1 + c0) / (n1 + n0)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
-    keep = (z >= LEAST_Z) & (c1 + c0 >= LEAST_ROWS)
-    kept, ends = [], [np.zeros(1, np.int64)]
-    for r, e in blocks:
+    often = c1 + c0 >= LEAST_ROWS
+    keep = (z >= LEAST_Z) & often
+    machine = _train(*_only(index, bounds, label, keep), label)
+    partners = often & ~keep & _partners(index, bounds, label, machine, np.argsort(-np.where(keep, z, 0.0), kind="stable")[: min(LEADERS, int(keep.sum()))])
+    if partners.any():
+        machine = _train(*_only(index, bounds, label, keep | partners), label)
+    return machine
+
+
+def _row_blocks(label: np.ndarray) -> list[tuple[int, int]]:
+    return [(r, min(r + 1000, len(label))) for r in range(0, len(label), 1000)]
+
+
+def _only(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' terms that are kept, and their bounds."""
+    kept, ends = [np.zeros(0, index.dtype)], [np.zeros(1, np.int64)]
+    for r, e in _row_blocks(label):
         inside = keep[index[bounds[r] : bounds[e]]]
         kept.append(index[bounds[r] : bounds[e]][inside])
         ends.append(ends[-1][-1] + np.concatenate([[0], np.cumsum(inside)])[bounds[r + 1 : e + 1] - bounds[r]])
-    index, bounds = np.concatenate(kept), np.concatenate(ends)
+    return np.concatenate(kept), np.concatenate(ends)
+
+
+def _partners(index: np.ndarray, bounds: np.ndarray, label: np.ndarray, machine: Machine, leaders: np.ndarray) -> np.ndarray:
+    """Terms that tell the classes apart next to a leader, though not by themselves: in the rows that hold both, the errors of the
+    first machine lean to one side by ``PARTNER_Z`` standard deviations."""
+    known = (machine.linear != 0) | (machine.factors != 0).any(axis=1)
+    p = machine.scores(*_only(index, bounds, label, known))
+    error, spread = label - p, np.maximum(p * (1 - p), 1e-6)
+    size = np.diff(bounds)
+    found = np.zeros(BUCKETS, bool)
+    for leader in leaders.tolist():
+        rows = np.searchsorted(bounds, np.flatnonzero(index == leader), side="right") - 1
+        lean, var = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for at in range(0, len(rows), 1000):
+            part = rows[at : at + 1000]
+            n = size[part]
+            own = index[np.repeat(bounds[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            lean += np.bincount(own, weights=np.repeat(error[part], n), minlength=BUCKETS)
+            var += np.bincount(own, weights=np.repeat(spread[part], n), minlength=BUCKETS)
+        found |= np.abs(lean) >= PARTNER_Z * np.sqrt(np.maximum(var, 1.0))
+    return found
+
+
+def _train(index: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> Machine:
+    share = float(label.mean())
+    n1, n0 = label.sum(), (1 - label).sum()
+    rng = np.random.Generator(np.random.PCG64(11))
+    linear, factors = np.zeros(BUCKETS, np.float64), np.zeros((BUCKETS, FACTORS))
     used = np.unique(index)
     factors[used] = rng.normal(0, 0.01, (len(used), FACTORS))
     machine = Machine(float(np.log(share / (1 - share))), linear, factors)
@@ -172,7 +219,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     known = known.where(~_held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = known.where("label = 1").orderBy(*order).limit(SAMPLE).unionAll(known.where("label = 0").orderBy(*order).limit(SAMPLE))
-    known = broadcast_if_small(materialize(known.select(F.col("doc_id").alias("known_id"), "label"), "labelled"), 2 * SAMPLE)
+    known = written_side(known.select(F.col("doc_id").alias("known_id"), "label"), "labelled", 4 * SAMPLE)  # 2 * SAMPLE rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(known, rows["doc_id"] == known["known_id"]).select("doc_id", "label", "text")
 
@@ -185,13 +232,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label, index, size = [], [], []
-        for batch in batches:
+        for batch in batches:  # of bounded rows
             label.append(np.asarray(batch.column("label")))
             size.append(np.diff(np.asarray(batch.column("terms").offsets)))
             index.append(np.asarray(batch.column("terms").flatten()))
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        bounds = np.concatenate([[0], np.cumsum(cat(size, np.int64), dtype=np.int64)]).astype(np.int64)
-        machine = fit(cat(index, np.int32), bounds, cat(label, np.int32).astype(float))
+
+        def whole(parts: list[np.ndarray], kind) -> np.ndarray:
+            out = np.concatenate(parts).astype(kind, copy=False) if parts else np.zeros(0, kind)
+            parts.clear()  # the sample is held once
+            return out
+
+        bounds = np.concatenate([[0], np.cumsum(whole(size, np.int64))]).astype(np.int64)
+        machine = fit(whole(index, np.int32), bounds, whole(label, float))
         yield pa.RecordBatch.from_arrays([pa.array([machine.dump()], pa.binary())], ["machine"])
 
     sample = materialize(rows.mapInArrow(featurize, "doc_id long, label int, terms array<int>"), "labelled-terms")
