@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 256 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -57,6 +57,7 @@ def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = CHUNK_BYTES) ->
         b = max(b, a + 1)
         yield batch.slice(a, b - a)
         a = b
+    pa.default_memory_pool().release_unused()  # workers are kept between tasks; what a batch needed goes back
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

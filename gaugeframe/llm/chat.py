@@ -25,12 +25,14 @@ spread over many packs and tasks.
 
 Defined cases: null texts and null roles are empty; turns are ordered by turn,
 then role, then text (null turn first); rows repeated in full are turns of
-their own; a null conv_id takes no part; extra columns are ignored.
+their own; a null conv_id takes no part; extra columns are ignored; an empty table
+gives no packs.
 """
 
 from __future__ import annotations
 
 import re
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -94,13 +96,22 @@ def conversations_by_path(turns: DataFrame, *, id_col: str = "conv_id", turn_col
         ).alias("t"),
     ).where("conv_id is not null")
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    chain = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).cast("long").alias("h"), F.lit("").alias("p")),
-        lambda acc, t: F.struct(F.xxhash64(acc["h"], t["role"], t["text"]).alias("h"), F.concat(acc["p"], F.lpad(F.lower(F.hex(F.xxhash64(acc["h"], t["role"], t["text"]))), 16, "0")).alias("p")),
-        lambda acc: acc["p"],
-    )
-    return whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"], t["text"])).alias("turns"), chain.alias("path"))
+    whole = whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"], t["text"])).alias("turns"))
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, paths = batch.slice(at, 256), []
+                for turns in part.column("turns").to_pylist():
+                    seen, path = hashlib.blake2b(digest_size=8), []
+                    for t in turns:
+                        role, text = t["role"].encode(), t["text"].encode()
+                        seen.update(b"%d:%d:" % (len(role), len(text)) + role + text)
+                        path.append(seen.hexdigest())
+                    paths.append("".join(path))
+                yield part.append_column("path", pa.array(paths, pa.string()))
+
+    return whole.mapInArrow(chained, "conv_id long, turns array<struct<role: string, text: string>>, path string")
 
 
 def pack_conversations(turns: DataFrame, *, pack_chars: int = PACK_CHARS, **columns: str) -> DataFrame:

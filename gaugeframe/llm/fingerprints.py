@@ -16,7 +16,7 @@ such fingerprints are alike (1), one such and another are not (0).  A null id
 takes no part in the order of documents and has no next document (near_next
 null, the edited text is the first half); the next of a single document is
 itself.  Rows that share an id are
-ordered by text.  Extra columns are ignored.
+ordered by text.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

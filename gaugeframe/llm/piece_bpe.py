@@ -16,7 +16,8 @@ is read from a model file on the driver and travels to the tasks in a broadcast
 
 Defined cases: a null or empty text has no ids and decodes to the empty text;
 any code point is encoded; repeated rows give repeated results; extra columns
-are ignored.  One slice holds at most 1 MiB of text or one longer text.
+are ignored; an empty table gives an empty result.  One slice holds at most 256 KiB of text or one longer
+text; a worker remembers words of bounded length and number.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from gaugeframe.llm import _text
 
 SPACE = "\u2581"
 LONG_WORD = 192
-CACHE_WORDS = 300_000
+#: A worker remembers the ids of words of at most ``CACHE_WORD`` characters, and so many of them.
+CACHE_WORD, CACHE_WORDS = 48, 150_000
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -121,15 +123,20 @@ class Vocabulary:
 
     def merge_long(self, symbols: list[int]) -> np.ndarray:
         """Indices of surviving symbols and their ids after all merges of one long word, by a priority queue."""
-        table = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.merged.tolist(), strict=True), strict=True)) if not hasattr(self, "_table") else self._table
-        self._table = table
+        memo: dict[int, tuple[int, int] | None] = {}  # pairs that this word has met
         n, wide = len(symbols), self.other + 1
         before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
         heap: list = []
 
         def push(i):
             j = after[i]
-            if j >= 0 and (found := table.get(symbols[i] * wide + symbols[j])):
+            if j < 0:
+                return
+            pair = symbols[i] * wide + symbols[j]
+            if pair not in memo:
+                row = int(np.searchsorted(self.key, pair))
+                memo[pair] = (int(self.rank[row]), int(self.merged[row])) if row < len(self.key) and self.key[row] == pair else None
+            if found := memo[pair]:
                 heapq.heappush(heap, (found[0], i, symbols[i], symbols[j], found[1]))
 
         for i in range(n - 1):
@@ -208,7 +215,7 @@ class Vocabulary:
 
 
 class Codec:
-    """Encoder and decoder of one task; remembers the ids of at most ``CACHE_WORDS`` recent words."""
+    """Encoder and decoder of one task; remembers the ids of at most ``CACHE_WORDS`` recent short words (and those of one slice more)."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -226,17 +233,26 @@ class Codec:
             self.forget()
         parts = [self.find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         flat = list(chain.from_iterable(parts))
-        new = list(set(flat).difference(self.known))
+        new = set(flat).difference(self.known)
+        rare = [w for w in new if len(w) > CACHE_WORD]
+        short = [w for w in new if len(w) <= CACHE_WORD] if rare else list(new)
+        known, n = self.known, len(self.known)
+        all_ids, all_bounds = self.ids, self.bounds
         if new:
-            ids, bounds = self.v.merge(new)
-            n = len(self.known)
-            self.known.update(zip(new, range(n, n + len(new)), strict=True))
-            self.bounds = np.concatenate([self.bounds, bounds[1:] + len(self.ids)])
-            self.ids = np.concatenate([self.ids, ids])
-        index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        size = self.bounds[index + 1] - self.bounds[index]
+            ids, bounds = self.v.merge(short + rare)
+            known.update(zip(short, range(n, n + len(short)), strict=True))
+            all_bounds = np.concatenate([all_bounds, bounds[1:] + len(all_ids)])
+            all_ids = np.concatenate([all_ids, ids])
+            self.bounds = all_bounds[: n + len(short) + 1].copy()
+            self.ids = all_ids[: self.bounds[-1]].copy()
+        if rare:
+            place = dict(zip(rare, range(n + len(short), n + len(new)), strict=True))
+            index = np.fromiter((place[w] if w in place else known[w] for w in flat), np.int64, len(flat))
+        else:
+            index = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        size = all_bounds[index + 1] - all_bounds[index]
         end = np.cumsum(size)
-        ids = self.ids[np.repeat(self.bounds[index] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        ids = all_ids[np.repeat(all_bounds[index] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
         at = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)]
         return ids, at
 
@@ -302,6 +318,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_file: str, *, i
                 if decode:
                     columns.append(pa.array(codec.decode(ids, bounds), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+        codec.forget()  # the worker is kept for other work, its words are not
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>" + (", decoded string" if decode else ""))

@@ -161,3 +161,73 @@ def test_fingerprint_edges(spark):
     got = {x.doc_id: x for x in fp.fingerprints_with_edits(df).collect()}
     assert got[None].near_next is None and got[5].near_next == 1.0
     assert fp.fingerprints_with_edits(df.limit(0)).count() == 0
+
+
+def brute_records(rows, least_bytes=0):
+    """One record a row; of equal payloads one row of the largest page id is the response."""
+    out, keep = [], {}
+    for i, _, html in rows:
+        keep[html or ""] = max(keep.get(html or "", i), i)
+    done = set()
+    for i, _, html in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or "")):
+        body, k = html or "", keep[html or ""]
+        response = len(body.encode()) < least_bytes or (i == k and body not in done)
+        done |= {body} if response else set()
+        out.append((i, len(body.encode()), warc.digest(body.encode()), "response" if response else "revisit", None if response else k))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least", [0, 2])
+def test_repeated_page_ids_give_one_record_a_row(spark, least):
+    rows = [(5, "u", "A"), (5, "v", "BBB"), (9, "w", "A"), (7, "x", "BBB"), (3, None, None), (4, "q", ""), (11, "z", "Q q"), (11, "y", "Q q"), (11, "y", "Q q"), (2, "y", "Q q"), (12, "m", "long " * 60_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("clash")).withColumn("copy", F.lit(1))
+    index = warc.write_archives(spark, df, least_bytes=least)
+    got = warc.read_archives(index).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute_records(rows, least)
+    assert index.count() == len(rows) == index.select("file", "offset").distinct().count()
+
+
+def test_many_regions_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SPAN", 1 << 12)
+    r = random.Random(2)
+    rows = [(i, f"http://{i}/", "".join(r.choice("abcdefghij") for _ in range(900))) for i in range(300)]
+    index = warc.write_archives(spark, spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    back = warc.read_archives(index)
+    assert back.rdd.getNumPartitions() >= 8 and {x.page_id: bytes(x.payload).decode() for x in back.collect()} == {i: h for i, _, h in rows}
+
+
+def test_sketch_against_plain_windows():
+    """The retained hashes are those of all windows below the limit: windows hashed one by one, with plain integers."""
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    window = lambda w: mix(sum(mix(ord(c) + 1) * pow(base, k, 1 << 64) for k, c in enumerate(w)) & mask)
+    r = random.Random(5)
+    for n in (16, 17, 300, 2000):
+        text = "".join(r.choice("abcdé 中😀") for _ in range(n))
+        every = {window(text[i : i + 16]) for i in range(n - 15)}
+        low = {h for h in every if h < (1 << 64) // 16}
+        assert set(fp.sketch(["x" * 40, text, "y"])[1].tolist()) == (low or {min(every)})
+
+
+def test_long_words_are_not_remembered(spark, library):
+    vocabulary = piece_bpe.Vocabulary(piece_model())
+    codec = piece_bpe.Codec(vocabulary)
+    r = random.Random(7)
+    texts = ["".join(r.choice("abcdefgh中文字") for _ in range(n)) for n in (30, 60, 300, 5000)] + ["short words stay known", "x" * 49]
+    for _ in range(2):
+        ids, bounds = codec.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode(t) for t in texts]
+    assert max(map(len, codec.known)) <= piece_bpe.CACHE_WORD and len(codec.bounds) == len(codec.known) + 1
+
+
+def test_long_and_empty_conversations(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t} " * 40) for t in range(120)] + [(1, 500, "assistant", "z" * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (back,) = chat.read_packs(chat.pack_conversations(df)).collect()
+    assert list(back.texts) == [t for *_, t in rows]
+    assert chat.read_packs(chat.pack_conversations(df.limit(0))).count() == 0
