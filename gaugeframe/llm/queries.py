@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeframe.llm.ann import nearest_neighbours
+from gaugeframe.llm.byte_bpe import encode_bytes
 from gaugeframe.llm.chat import pack_conversations, read_packs
 from gaugeframe.llm.fingerprints import fingerprints_with_edits
 from gaugeframe.llm.mixing import mix_documents
 from gaugeframe.llm.near_dedup import near_duplicate_components
 from gaugeframe.llm.passages import repeated_passages
 from gaugeframe.llm.piece_bpe import encode_documents
+from gaugeframe.llm.repair import damage_turns, repair_conversations
 from gaugeframe.llm.sharding import pack_shards
 from gaugeframe.llm.toxicity import fit_toxicity, score_toxicity
+from gaugeframe.llm.trie import prefix_trie, rebuilt_paths
 from gaugeframe.llm.warc import read_archives, write_archives
 
 
@@ -159,6 +162,93 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(spark, docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of all conversations, rebuilt so that neighbours share first turns."""
+    return prefix_trie(rebuilt_paths(_table(spark, sf_dir, "conversations")))
+
+
+def _crc32_sql(text: str) -> str:
+    """DuckDB's crc32 of an ASCII text: a bit at a time over its bytes."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(substr({text}, i::INTEGER, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda acc, x: xor(xor(acc, x) >> 1, (xor(acc, x) & 1) * 3988292384::BIGINT)), 4294967295::BIGINT)"
+
+
+OP11_SQL = rf"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+b AS (SELECT c.conv_id, o.i, o.t, o.text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.i <= c.h
+  UNION ALL SELECT c.conv_id, o.i, o.t, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > c.h),
+p AS (SELECT c.conv_id, list(b.t ORDER BY b.i) FILTER (b.t IS NOT NULL) AS path, list(len(regexp_extract_all(b.text, '[^ 	-]+')) ORDER BY b.i) FILTER (b.t IS NOT NULL) AS w
+  FROM c LEFT JOIN b ON b.conv_id = c.conv_id GROUP BY c.conv_id),
+m AS (SELECT conv_id, coalesce(path, []) AS path, coalesce(w, []) AS w FROM p),
+x AS (SELECT conv_id, path, w, unnest(range(0, len(path) + 1)) AS d FROM m),
+n AS (SELECT path[1:d] AS k, d, min(conv_id) AS conv_id, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE any_value(w[d]) END AS words,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = d) AS ends FROM x GROUP BY path[1:d], d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+full_ AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM n LEFT JOIN kids ON kids.k = n.k),
+up AS (SELECT k[1:e] AS k, count(*) FILTER (n_children = 0) AS leaves, sum((n - 1) * words)::BIGINT AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM full_) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, a.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, up.leaves AS n_leaves, up.saved AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_ f JOIN up ON up.k = f.k LEFT JOIN n a ON a.k = f.k[1:f.d - 1] AND f.d > 0
+"""
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the byte-level ids and of the bytes decoded from them, for all documents."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode_bytes(spark, _table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decode=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and repaired rows' digest of all conversations after a set damage."""
+    return repair_conversations(damage_turns(_table(spark, sf_dir, "conversations")))
+
+
+def _op13_sql() -> str:
+    def adv(state: str, cost: str, letter: str, row: str | None) -> str:
+        said = f"{state}.r" if row is None else f"list_append({state}.r, {row})"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {said}}}"
+
+    least = lambda *x: f"list_sort([{', '.join(x)}])[1]"
+    never = "{'c': 1000000000, 'a': '', 'r': []::VARCHAR[]}"
+    closed2 = least("s2", *(adv(s, "5", "I", "'user:'") for s in ("s0", "s1", "s3")))
+    closed3 = least("s3", adv("x2", "5", "I", "'assistant:'"))
+    more = "CASE WHEN fault = 3 THEN 5 ELSE 0 END"
+    may = "fault IN (0, 3)"
+    keep = lambda s, of: f"CASE WHEN {may} AND initial = '{of}' THEN {adv(s, more, 'K', 'role || chr(58) || text')} ELSE {never} END"
+    role = lambda s, to: f"CASE WHEN {may} THEN {adv(s, f'1 + {more}', 'R', f"'{to}:' || text")} ELSE {never} END"
+    drop = lambda s: adv(s, "2", "D", None)
+    user = [g for s in ("s0", "s1", "s3") for g in (keep({"s3": "x3"}.get(s, s), "u"), role({"s3": "x3"}.get(s, s), "user"))]
+    return rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("(conv_id || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+many AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM src),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i, substr(role, 1, 1) AS initial FROM many),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM o),
+said AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+go AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}} AS s0, {never} AS s1, {never} AS s2, {never} AS s3 FROM said
+  UNION ALL
+  SELECT conv_id, i, {drop("s0")}, {least(drop("s1"), keep("s0", "s"))}, {least(drop("x2"), *user)}, {least(drop("x3"), keep("x2", "a"), role("x2", "assistant"))}
+  FROM (SELECT *, {closed3} AS x3 FROM (SELECT g.conv_id, f.i, g.s0, g.s1, g.s2, g.s3, f.role, f.text, f.initial, f.fault, {closed2} AS x2 FROM go g JOIN f ON f.conv_id = g.conv_id AND f.i = g.i + 1))),
+ends AS (SELECT conv_id, {least("s0", "x3")} AS best FROM (SELECT *, {closed3} AS x3 FROM (SELECT *, {closed2} AS x2 FROM go) q)
+  JOIN (SELECT conv_id, max(i) AS i FROM f GROUP BY conv_id) USING (conv_id, i))
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM src) c LEFT JOIN said USING (conv_id) LEFT JOIN ends USING (conv_id)
+"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -170,10 +260,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op8_warc": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op13_structure_repair": OP13_SQL,
 }
