@@ -170,7 +170,7 @@ def sniff_format(content: Column) -> Column:
 def file_verdict(df: DataFrame, limits: dict = LIMITS) -> DataFrame:
     """Add verdict and status: the first rule that a file breaks, in the service's order (size, type, pixels, frames, sides, shape, decoding).
 
-    ``n_frames`` is optional; a file of several frames is refused.
+    ``n_frames`` is optional; a file of several frames is refused, and so is one without a size.
     """
     w, h = F.col("width"), F.col("height")
     rules = [
@@ -180,7 +180,7 @@ def file_verdict(df: DataFrame, limits: dict = LIMITS) -> DataFrame:
         (F.col("n_frames") > 1 if "n_frames" in df.columns else F.lit(False), "multi_frame", 400),
         ((F.least(w, h) < limits["side_min"]) | (F.greatest(w, h) > limits["side_max"]), "bad_dimensions", 400),
         (F.greatest(w, h) > limits["aspect"] * F.least(w, h), "bad_aspect", 400),
-        (F.col("error").isNotNull(), "invalid_image", 400),
+        (F.col("error").isNotNull() | w.isNull() | h.isNull(), "invalid_image", 400),
     ]
     verdict, status = F.lit("ok"), F.lit(200)
     for broken, name, code in reversed(rules):

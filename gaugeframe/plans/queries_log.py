@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gaugeframe.operators import inventory as inv
-from gaugeframe.plans.bindings import PARTS, PREDICTIONS, REQUEST_LOG, THRESHOLD, parts, predictions, request_log, thumbs, with_request_columns
+from gaugeframe.plans.bindings import BAND, PARTS, PREDICTIONS, REQUEST_LOG, THRESHOLD, parts, predictions, request_log, thumbs, with_request_columns
 from gaugeframe.plans.fixtures import write_images
 from gaugeframe.plans.registry import query
 from gaugeframe.sources import images as im
@@ -236,19 +236,13 @@ def arriving(s, d):
 
 @query("j8_arriving_files")
 def _(s, d):
-    """Files as they arrive: each micro-batch is judged, decoded and scored by a linear scorer; a request (a tenth of the files, by
-    hash) counts only if all its files are sound."""
+    """Files as they arrive: judged by their headers, decoded and scored by a linear scorer of the model's input, each written once;
+    a request (files of neighbouring numbers) counts only if all its files are sound and within the limits of an upload."""
     _, files = arriving(s, d)
-    weights = [round(((7 * i) % 13 - 6) / 10, 1) for i in range(64)]
-    request = F.pmod(F.xxhash64("rel_path"), F.lit(10))
-    out = scratch_path(s, "arrived")
-
-    def batch(rows, number):
-        judged = im.judge_files(rows.withColumn("request", request), lambda x: x.reshape(len(x), -1) @ np.array(weights), side=8)
-        mo.accept_whole(judged, "request", THRESHOLD).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-
-    files.writeStream.foreachBatch(batch).option("checkpointLocation", scratch_path(s, "arrived-state")).trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(out).drop("batch")
+    weights = np.array([round(((7 * i) % 13 - 6) / 10, 1) for i in range(192)])
+    request = F.floor(F.regexp_extract("rel_path", r"(\d+)\.\w+$", 1).cast("long") / 12)
+    judged = mo.judge_stream(files.withColumn("request", request), lambda rows: im.judge_files(rows, lambda x: x.reshape(len(x), -1) @ weights / 100, side=8), "arrived")
+    return mo.accept_whole(judged, "request", THRESHOLD, *BAND)
 
 
 @query("j8_batch_rule", f"WITH {PARTS} SELECT h % 97 AS batch, count(*) AS files, bool_and(error IS NULL) AS accepted FROM parts GROUP BY 1")

@@ -11,13 +11,15 @@ import json
 import subprocess
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeframe.operators.inventory import file_verdict, sniff_format
+from gaugeframe.operators.inventory import LIMITS, file_verdict, sniff_format
+from gaugeframe.sources.pixels import ImageError, decode, read_header
 
 # Channel statistics of the model's input.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -106,8 +108,7 @@ def model_input(spark: SparkSession, folder: str, side: int) -> DataFrame:
     """rel_path and the model's input: resized RGB, scaled, normalised by channel, channel first."""
 
     def work(path, rgb):
-        planes = [(_resize(rgb[:, :, c].astype(float), side) / 255 - MEAN[c]) / STD[c] for c in range(3)]
-        yield path, np.stack(planes).reshape(-1).tolist()
+        yield path, input_tensor(rgb, side).reshape(-1).tolist()
 
     return _per_image(_images(spark, folder), "rel_path string, tensor array<double>", work)
 
@@ -148,7 +149,7 @@ def augment(spark: SparkSession, folder: str, side: int, variants: int, seed: in
             rng = np.random.Generator(np.random.PCG64(zlib.crc32(f"{seed}|{path}|{v}".encode())))
             x = gray[:, ::-1] if rng.random() < 0.5 else gray
             x = x[::-1] if rng.random() < 0.5 else x
-            x = _moved(x, rng.uniform(-15, 15), (rng.uniform(-0.05, 0.05), rng.uniform(-0.05, 0.05)), rng.uniform(0.9, 1.1))
+            x = _moved(x, rng.uniform(-15, 15), (rng.uniform(-0.05, 0.05), rng.uniform(-0.05, 0.05)), rng.uniform(0.95, 1.05))
             x = (x - x.mean()) * rng.uniform(0.8, 1.2) + x.mean() * rng.uniform(0.8, 1.2)
             x = _blurred(x, rng.uniform(0.1, 1.5)) if rng.random() < 0.2 else x
             x = x + rng.normal(0, 0.02, x.shape) if rng.random() < 0.2 else x
@@ -158,41 +159,61 @@ def augment(spark: SparkSession, folder: str, side: int, variants: int, seed: in
     return _per_image(rows, "rel_path string, variant long, fine array<double>", work)
 
 
-def judge_files(files: DataFrame, scorer, side: int) -> DataFrame:
-    """``files`` (rel_path, content and others) with verdict, status and, for a sound grayscale PNG, z: the scorer's value of its side x side thumbnail.
-
-    The header's fields decide the verdict; pixels are decoded in the tasks, a few files at a time.  ``scorer`` maps an array of
-    thumbnails to numbers.
-    """
-    size = lambda pos: F.conv(F.hex(F.substring("content", pos, 4)), 16, 10).cast("int")
-    whole = F.hex(F.substring(F.col("content"), F.length("content") - 11, 8)) == "0000000049454E44"
-    png = F.col("format") == "PNG"
-    rows = files.withColumns({"size_bytes": F.length("content").cast("long"), "format": sniff_format(F.col("content"))})
-    rows = rows.withColumns({"width": F.when(png, size(17)), "height": F.when(png, size(21)), "error": F.when(png & ~whole, "truncated")})
-    rows = file_verdict(rows).drop("size_bytes", "format", "width", "height", "error")
-    names = [c for c in rows.columns if c != "content"]
+def _each_file(rows: DataFrame, added: str, work, keep_content: bool, files: int = 16) -> DataFrame:
+    """``rows`` with the columns ``added`` that ``work`` gives for slices of rows, ``files`` files at a time."""
+    names = [c for c in rows.columns if keep_content or c != "content"]
+    fields = [(c.split(" ")[0], c.split(" ")[1]) for c in added.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                z = [float(scorer(_resize(_gray(c), side)[None])[0]) if v == "ok" else None for c, v in zip(part.column("content").to_pylist(), part.column("verdict").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(z, pa.float64())], [*names, "z"])
+            for at in range(0, batch.num_rows, files):
+                part = batch.slice(at, files)
+                out = list(zip(*work(part), strict=True)) or [()] * len(fields)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(v, kinds[k]) for v, (_, k) in zip(out, fields, strict=True))], [*names, *(n for n, _ in fields)])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
+    return rows.mapInArrow(run, f"{kept}, {added}")
+
+
+def image_headers(files: DataFrame) -> DataFrame:
+    """``files`` (content and others) with size_bytes, format, width, height, n_frames, mode and error (of the container), from the bytes alone: no pixel is decoded."""
+
+    def work(part: pa.RecordBatch):
+        return [read_header(c) for c in part.column("content").to_pylist()]
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "content")
-    return rows.mapInArrow(run, f"{kinds}, z double")
+    rows = files.drop("size_bytes", "format", "width", "height", "n_frames", "mode", "error")
+    rows = rows.withColumns({"size_bytes": F.coalesce(F.length("content"), F.lit(0)).cast("long"), "format": sniff_format(F.col("content"))})
+    return _each_file(rows, "width int, height int, n_frames long, mode string, error string", work, keep_content=True)
+
+
+def input_tensor(rgb: np.ndarray, side: int) -> np.ndarray:
+    """The model's input of RGB pixels: resized, scaled to 0..1, normalised by channel, channel first (3 x side x side)."""
+    return np.stack([(_resize(rgb[:, :, c].astype(float), side) / 255 - MEAN[c]) / STD[c] for c in range(3)])
+
+
+def judge_files(files: DataFrame, scorer, side: int, limits: dict = LIMITS) -> DataFrame:
+    """``files`` (rel_path, content and others) with size_bytes, verdict, status and, for a sound file, z: the scorer's value of the model's input.
+
+    The header decides first (``file_verdict``); only files that pass are decoded, in the tasks, one at a time.  A file that can't be
+    decoded gets ``invalid_image``; no file's bytes make a task fail.  ``scorer`` maps inputs (n x 3 x side x side) to n numbers.
+    """
 
+    def work(part: pa.RecordBatch):
+        out = []
+        for content, verdict, status in zip(*(part.column(c).to_pylist() for c in ("content", "_verdict", "_status")), strict=True):
+            z = None
+            if verdict == "ok":
+                try:
+                    z = float(np.asarray(scorer(input_tensor(decode(content), side)[None])).reshape(-1)[0])
+                except ImageError:
+                    verdict, status = "invalid_image", 400
+            out.append((verdict, status, z))
+        return out
 
-def _gray(content: bytes) -> np.ndarray:
-    """Pixels (0 to 1) of an 8-bit grayscale PNG whose rows are unfiltered."""
-    width, height = (int.from_bytes(content[i : i + 4]) for i in (16, 20))
-    data, at = b"", 8
-    while at < len(content):
-        n = int.from_bytes(content[at : at + 4])
-        if content[at + 4 : at + 8] == b"IDAT":
-            data += content[at + 8 : at + 8 + n]
-        at += n + 12
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, width + 1)[:, 1:] / 255
+    rows = file_verdict(image_headers(files), limits).drop("format", "width", "height", "n_frames", "mode", "error")
+    rows = rows.withColumnsRenamed({"verdict": "_verdict", "status": "_status"})
+    return _each_file(rows, "verdict string, status int, z double", work, keep_content=False).drop("_verdict", "_status")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -204,7 +225,8 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 def provenance(config: dict) -> dict[str, Column]:
     """commit (``unknown`` outside a checkout), config_hash (12 digits of the SHA-256 of the sorted JSON) and created_at (UTC)."""
-    asked = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
+    here = Path(__file__).resolve().parent  # the library's own checkout, wherever the caller stands
+    asked = subprocess.run(["git", "-C", str(here), "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:12]
     return {"commit": F.lit(asked.stdout.strip() or "unknown"), "config_hash": F.lit(digest), "created_at": F.to_timestamp(stamp)}

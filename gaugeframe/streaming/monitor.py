@@ -9,16 +9,16 @@ written result: append keeps each closed window once, complete rewrites the
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gaugeframe.functions.scores import sigmoid
+from gaugeframe.functions.scores import decide, sigmoid
 from gaugeframe.operators.ranking import exact_quantiles
 from gaugeframe.sources.scratch import scratch_path
 
@@ -87,8 +87,6 @@ def with_model_info(log: DataFrame, models: DataFrame) -> DataFrame:
 
 def burst_flags(log: DataFrame, seconds: int, limit: int) -> DataFrame:
     """request_id and burst: more than ``limit`` requests of its caller in the ``seconds`` up to it (batch)."""
-    from pyspark.sql import Window
-
     span = Window.partitionBy("caller").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
     return log.select("request_id", (F.count("*").over(span) > limit).alias("burst"))
 
@@ -158,13 +156,28 @@ def rate_limit_batch(log: DataFrame, seconds: int, limit: int) -> DataFrame:
     return rows.mapInArrow(run, "request_id long, caller long, allowed boolean, retry_after double")
 
 
-def accept_whole(judged: DataFrame, request: str, threshold: float) -> DataFrame:
-    """Judged files (verdict, status, z) with p, accepted and decision: a request's files count only if all of them are sound."""
-    whole = judged.groupBy(request).agg(F.bool_and(F.col("verdict") == "ok").alias("accepted"))
-    p = sigmoid(F.col("z"))
-    rows = judged.join(whole.hint("merge"), request)
-    decision = F.when(F.col("accepted"), F.when(p >= threshold, "defective").otherwise("normal"))
-    return rows.select("rel_path", request, "verdict", "status", F.when(F.col("accepted"), p).alias("p"), "accepted", decision.alias("decision"))
+def judge_stream(files: DataFrame, judge: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The rows that ``judge`` makes of the files as they arrive, written once each: a batch has a folder of its own, which a repeated batch replaces."""
+    spark, out = files.sparkSession, scratch_path(files.sparkSession, name)
+    sink = lambda rows, number: judge(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    files.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+def accept_whole(judged: DataFrame, request: str, threshold: float, low: float, high: float, *, max_files: int = 16, max_bytes: int = 32 << 20) -> DataFrame:
+    """Judged files (rel_path, size_bytes, verdict, status, z) with index, p, accepted, decision, confidence and needs_review.
+
+    A request's files count only if all of them are sound, they are no more than ``max_files`` and hold no more than ``max_bytes``; refusal
+    names why a request was refused (its limits come before its files).  The index is a file's place in its request, by path.
+    """
+    broken = F.min(F.when(F.col("verdict") != "ok", F.struct("rel_path", "verdict")))["verdict"]
+    whole = judged.groupBy(request).agg(F.count("*").alias("_n"), F.sum("size_bytes").alias("_bytes"), broken.alias("_broken"))
+    refusal = F.when(F.col("_bytes") > max_bytes, "payload_too_large").when(F.col("_n") > max_files, "too_many_files").otherwise(F.col("_broken"))
+    rows = judged.join(whole.select(request, refusal.alias("refusal")).hint("merge"), request)
+    index = F.row_number().over(Window.partitionBy(request).orderBy("rel_path")) - 1
+    rows = rows.withColumns({"index": index, "accepted": F.col("refusal").isNull(), "p": F.when(F.col("refusal").isNull(), sigmoid(F.col("z")))})
+    rows = decide(rows, threshold, low, high).withColumn("decision", F.when(F.col("accepted"), F.when(F.col("predicted") == 1, "defective").otherwise("normal")))
+    return rows.select("rel_path", request, "index", "verdict", "status", "p", "accepted", "refusal", "decision", "confidence", "needs_review")
 
 
 def latency_percentiles(log: DataFrame, key: str) -> DataFrame:

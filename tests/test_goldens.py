@@ -424,12 +424,6 @@ def test_augmentation_steps():
     assert np.allclose(im._blurred(np.full((8, 8), 2.0), 1.0), 2.0)
 
 
-def test_requests_count_whole(spark):
-    rows = [("a", 1, "ok", 200, 3.0), ("b", 1, "ok", 200, -3.0), ("c", 2, "ok", 200, 3.0), ("d", 2, "invalid_image", 400, None)]
-    got = {r.rel_path: (r.accepted, r.decision) for r in mo.accept_whole(spark.createDataFrame(rows, "rel_path string, request int, verdict string, status int, z double"), "request", 0.5).collect()}
-    assert got == {"a": (True, "defective"), "b": (True, "normal"), "c": (False, None), "d": (False, None)}
-
-
 def test_hub_joins_are_two_plain_shuffles(spark):
     """Both sides of the component join are sorted shuffles, so adaptive execution can split a hub."""
     edges = spark.range(2000).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
