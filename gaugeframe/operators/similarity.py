@@ -148,20 +148,103 @@ def nearest_similarity(query: DataFrame, target: DataFrame, *, same_set: bool, k
     return query.select("id").join(best.hint("merge"), "id", "left").select("id", F.coalesce("nearest", F.lit(-1.0)).alias("nearest"))
 
 
-def _cells(df: DataFrame, threshold: float, side: int) -> DataFrame:
-    """Rows (id, fine, more) with ``cell``, once for each cell of the grid that a partner at the threshold may lie in."""
+def _cells(df: DataFrame, threshold: float, side: int, places: bool = False) -> DataFrame:
+    """Rows (id, fine, more) with ``cell``, once for each cell of the grid that a partner at the threshold may lie in.
+
+    With ``places`` also ``at``, the cell's coordinates, and ``low``, the lowest coordinates of the row's cells.
+    """
     reach = sqrt(max(0.0, 2 - 2 * threshold)) + 1e-3  # the small term covers the rounding of correlations and the norm's guard
     chosen = sorted(orbits(side), key=lambda o: (-len(o), o))[:COORDINATES]
     rows = df.withColumn("_s", standardize(F.col("fine")))
     # a row lies in the cells of its point moved by half the reach either way: two points within the reach share one in each coordinate
     steps = []
-    for places in chosen:
-        total = sum(F.element_at("_s", i + 1) for i in places) / sqrt(len(places))
+    for orbit in chosen:
+        total = sum(F.element_at("_s", i + 1) for i in orbit) / sqrt(len(orbit))
         low, high = (F.floor((total + move) / (2 * reach)).cast("int") for move in (-reach / 2, reach / 2))
         steps.append(F.array_distinct(F.array(low, high)))
     for n, step in enumerate(steps):
         rows = rows.withColumn(f"_c{n}", F.explode(step))
-    return rows.withColumn("cell", F.xxhash64(*(F.col(f"_c{n}") for n in range(len(steps))))).drop("_s", *(f"_c{n}" for n in range(len(steps))))
+    rows = rows.withColumn("cell", F.xxhash64(*(F.col(f"_c{n}") for n in range(len(steps)))))
+    if places:
+        rows = rows.withColumns({"at": F.array(*(f"_c{n}" for n in range(len(steps)))), "low": F.array(*(step[0] for step in steps))})
+    return rows.drop("_s", *(f"_c{n}" for n in range(len(steps))))
+
+
+def _tiles(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of cells dealt over tiles (cell, i, j) of bounded size: every pair of rows of a cell is in one tile; ``b`` is a row's own block."""
+    rows = materialize(rows, name)
+    size = materialize(rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n")), f"{name}-sizes")
+    rows = rows.join(size.hint("merge"), "cell").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    dealt = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return dealt.withColumns({"i": F.least("b", "x"), "j": F.greatest("b", "x")}).drop("x", "n")
+
+
+def _strips(x: pd.DataFrame, y: pd.DataFrame, maps: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For strips of 256 rows of ``x``: the first row, and the best and the unturned correlations (to 9 places) with all rows of ``y``."""
+    if not len(x) or not len(y):
+        return
+    a, b = (_standard(np.stack(p.fine.to_numpy()).astype(float)) for p in (x, y))
+    for at in range(0, len(a), 256):
+        each = [np.round(a[at : at + 256][:, m] @ b.T, 9) for m in maps]
+        yield at, np.max(each, axis=0), each[0]
+
+
+def link_counts(df: DataFrame, threshold: float, side: int = 8) -> DataFrame:
+    """One row over all ordered pairs of rows with a correlation of at least ``threshold``: n_links, links_via_transform (some orientation
+    beats the identity) and min_link (null without links).
+
+    No pair is capped or handed on: a tile counts a pair only in the smallest cell that both rows share, and gives out its sums.
+    """
+    maps = orientation_maps(side)
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.b == pdf.i], pdf[pdf.b == pdf.j]
+        n = turned = 0
+        least = float("inf")
+        both = 1 if pdf.i.iloc[0] == pdf.j.iloc[0] else 2
+        own, ids = a.id.to_numpy(), b.id.to_numpy()
+        low_a, low_b = (np.stack(p.low.to_numpy()) if len(p) else None for p in (a, b))
+        here = np.array(pdf["at"].iloc[0])
+        for at, best, plain in _strips(a, b, maps):
+            r, c = np.nonzero(best >= threshold)
+            use = (own[at + r] != ids[c]) & (np.maximum(low_a[at + r], low_b[c]) == here).all(axis=1)
+            r, c = r[use], c[use]
+            n += both * len(r)
+            turned += both * int((plain[r, c] < best[r, c]).sum())
+            least = min(least, best[r, c].min(initial=float("inf")))
+        return pd.DataFrame({"n": [n], "turned": [turned], "least": [least if n else None]}).astype({"least": "float64"})
+
+    cells = _cells(df.select(F.col("id").cast("long").alias("id"), F.col("fine").cast("array<double>").alias("fine")), threshold, side, places=True)
+    sums = _tiles(cells, "link-cells").groupBy("cell", "i", "j").applyInPandas(tile, "n long, turned long, least double")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return sums.agg(zero("n").alias("n_links"), zero("turned").alias("links_via_transform"), F.min(F.when(~F.isnan("least"), F.col("least"))).alias("min_link"))
+
+
+def split_hits(df: DataFrame, pairs: list[tuple[str, str]], threshold: float, side: int = 8) -> DataFrame:
+    """id, eval_split, train_side: rows of a split (id, fine, split) with some row of the other split of an ordered pair at the threshold.
+
+    All pairs of splits share one search; no row is capped.
+    """
+    maps = orientation_maps(side)
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.b == pdf.i], pdf[pdf.b == pdf.j]
+        found = []
+        for at, best, _ in _strips(a, b, maps):
+            near = best >= threshold
+            part = a.iloc[at : at + 256]
+            for first, second in pairs:
+                for x, y, hit in ((part, b, near), (b, part, near.T)):
+                    rows, others = (x.split == first).to_numpy(), (y.split == second).to_numpy()
+                    ids = x.id.to_numpy()[rows][hit[np.ix_(rows, others)].any(axis=1)]
+                    found.append(pd.DataFrame({"id": ids, "eval_split": first, "train_side": second}))
+        out = pd.concat(found) if found else pd.DataFrame({"id": [], "eval_split": [], "train_side": []})
+        return out.drop_duplicates().astype({"id": "int64"})
+
+    names = sorted({n for p in pairs for n in p})
+    rows = df.where(F.col("split").isin(*names)).select(F.col("id").cast("long").alias("id"), F.col("fine").cast("array<double>").alias("fine"), "split")
+    hits = _tiles(_cells(rows, threshold, side), "split-cells").groupBy("cell", "i", "j").applyInPandas(tile, "id long, eval_split string, train_side string")
+    return hits.distinct()
 
 
 def threshold_links(df: DataFrame, threshold: float, side: int = 8) -> DataFrame:
@@ -227,7 +310,8 @@ def threshold_pairs(query: DataFrame, target: DataFrame, threshold: float, side:
 def cross_split_matrix(df: DataFrame, pairs: list[tuple[str, str]], threshold: float, info: float, k: int = SHORTLIST) -> DataFrame:
     """For each ordered pair of splits that have rows: rows, rows at or above both thresholds, largest and median nearest similarity.
 
-    One shortlist pass serves all pairs: the rows of the first splits are the queries, those of the second the targets, in groups.
+    ``n_threshold`` comes from the search that loses no pair (``split_hits``).  The other columns are information: one shortlist pass
+    serves all pairs, the rows of the first splits are the queries, those of the second the targets, in groups.
     """
     from gaugeframe.operators.ranking import exact_quantiles
 
@@ -237,9 +321,10 @@ def cross_split_matrix(df: DataFrame, pairs: list[tuple[str, str]], threshold: f
     asked = F.array(*(F.concat(F.lit(x), F.lit("|"), F.lit(y)) for x, y in pairs))
     near = materialize(near.where(F.array_contains(asked, F.concat("eval_split", F.lit("|"), "grp"))).withColumnRenamed("grp", "train_side"), "nearest")
     by = ["eval_split", "train_side"]
-    out = near.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("nearest") >= threshold).alias("n_threshold"), F.count_if(F.col("nearest") >= info).alias("n_info"), F.round(F.max("nearest"), 5).alias("max"))
+    out = near.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("nearest") >= info).alias("n_info"), F.round(F.max("nearest"), 5).alias("max"))
     middle = exact_quantiles(near, "nearest", [0.5], by).select(*by, F.round(F.col("quantiles")[0], 5).alias("median"))
-    return out.join(F.broadcast(middle), by)
+    hits = materialize(split_hits(df, pairs, threshold, side=8).groupBy(*by).agg(F.count("*").alias("n_threshold")), "split-hits")  # a row for each pair at most
+    return out.join(F.broadcast(middle), by).join(F.broadcast(hits), by, "left").withColumn("n_threshold", F.coalesce("n_threshold", F.lit(0)))
 
 
 def image_stats(df: DataFrame) -> DataFrame:
@@ -285,7 +370,8 @@ def coreset(df: DataFrame, size: int, chunk_rows: int = 20_000, dims: int | None
     ``chunk_rows / size`` the choice is repeated, so no task sees more than a few chunks' worth.  With ``dims`` distances are taken
     after a random projection to so many dimensions.
     """
-    rows, n = df.select("id", "patch", "v"), df.count()
+    rows, seen = materialize_observed(df.select("id", "patch", "v"), "patch-pool", F.count(F.lit(1)).alias("n"))
+    n = seen["n"]
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "patch"])
@@ -303,6 +389,28 @@ def coreset(df: DataFrame, size: int, chunk_rows: int = 20_000, dims: int | None
         n = chunks * size
 
 
+def coreset_exact(df: DataFrame, size: int) -> DataFrame:
+    """The greedy choice over all rows at once, natively, in as many rounds as rows are chosen: for small sizes, and to hold ``coreset`` against."""
+    rows = materialize(df.select("id", "patch", "v", F.lit(float("inf")).alias("d")), "greedy")
+    chosen = []
+    while len(chosen) < size:
+        farthest = F.max_by(F.struct("id", "patch", "v"), F.struct("d", -F.col("id"), -F.col("patch")))
+        at = rows.where("d > 0").agg(farthest.alias("s")).first()["s"]
+        if at is None:
+            break
+        chosen.append((at["id"], at["patch"], at["v"]))
+        apart = F.aggregate(F.zip_with("v", F.array(*map(F.lit, at["v"])), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        rows = rows.withColumn("d", F.when((F.col("id") == at["id"]) & (F.col("patch") == at["patch"]), 0.0).otherwise(F.least("d", apart)))
+        if len(chosen) % 8 == 0:
+            rows = materialize(rows, "greedy")
+    return df.sparkSession.createDataFrame(chosen, "id long, patch int, v array<double>")
+
+
+def covering_radius(rows: DataFrame, bank: DataFrame) -> float:
+    """The largest distance of a row to its nearest bank vector."""
+    return bank_distances(rows, bank).agg(F.max("distance")).first()[0]
+
+
 def bank_distances(rows: DataFrame, bank: DataFrame) -> DataFrame:
     """id, patch and the distance of v to the nearest vector of the bank (a coreset of set size, at most 50,000 vectors)."""
     size = bank.count()
@@ -359,14 +467,16 @@ def score_with(df: DataFrame, scorer, vector: str = "fine") -> DataFrame:
     return df.select("id", vector).mapInArrow(run, "id long, z double")
 
 
-def train_head(df: DataFrame, iterations: int = 20):
-    """MLlib logistic regression on fixed features with balanced class weights; columns fine and label (0/1)."""
+def train_head(df: DataFrame, iterations: int = 20) -> tuple[list[float], float]:
+    """Weights and bias of a logistic regression on fixed features with balanced class weights; columns fine and label (0/1).
+
+    Only these numbers leave the fit, so that scoring (``linear_scores``) carries no model object to the tasks.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     from gaugeframe.operators.metrics import class_weights
 
     rows = df.join(F.broadcast(class_weights(df).select("label", "weight")), "label").select(array_to_vector("fine").alias("features"), F.col("label").cast("double").alias("label"), "weight")
-    return LogisticRegression(weightCol="weight", maxIter=iterations, regParam=0.01).fit(rows)
-
-
+    model = LogisticRegression(weightCol="weight", maxIter=iterations, regParam=0.01).fit(materialize(rows, "head-features"))
+    return [float(x) for x in model.coefficients], float(model.intercept)

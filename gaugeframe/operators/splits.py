@@ -92,17 +92,16 @@ def number_clusters(df: DataFrame, member: str = "id", component: str = "compone
     return df.withColumn("_turned", F.reverse(F.col(component).cast("string"))).join(named.hint("merge"), "_turned").select(member, "cluster_id")
 
 
-def cluster_report(df: DataFrame, links: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+def cluster_report(df: DataFrame, threshold: float, cluster: str = "cluster_id") -> DataFrame:
     """One row: clusters, those of several images, images in them, the largest, clusters with more than one label, groups of equal
-    hashes and their extra copies, and of the links (query, target, corr, via_transform) their number, those that need a turned or
+    hashes and their extra copies, and of all ordered pairs of images at the threshold their number, that of those which need a turned or
     flipped orientation, and the smallest correlation."""
     sizes = df.groupBy(cluster).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).agg(
         F.count("*").alias("n_clusters"), F.count_if(F.col("n") > 1).alias("n_multi"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("images_in_multi"),
         F.max("n").alias("largest"), F.count_if(F.col("labels") > 1).alias("n_conflicts"),
     )
     exact = df.groupBy("sha256").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("exact_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_copies"))
-    linked = links.agg(F.count("*").alias("n_links"), F.count_if("via_transform").alias("links_via_transform"), F.min("corr").alias("min_link"))
-    return sizes.crossJoin(F.broadcast(exact)).crossJoin(F.broadcast(linked))
+    return sizes.crossJoin(F.broadcast(exact)).crossJoin(F.broadcast(sim.link_counts(df, threshold)))
 
 
 def cluster_size_histogram(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -160,7 +159,8 @@ def split_fingerprints(splits: DataFrame, names: tuple[str, ...] = ("test", EXTE
 def run_audit(manifest: DataFrame, splits: DataFrame, threshold: float, info: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The checks, the cross-split similarity rows and the fingerprints of the held-out splits.
 
-    ``manifest`` is an inventory with pixels: similarity is computed anew from it, not taken from the split table's clusters.
+    ``manifest`` is an inventory with pixels: similarity is computed anew from it, not taken from the split table's clusters, and the
+    search for near duplicates across splits is lossless.
     """
     pixels = manifest.select("rel_path", "id", "fine")
     placed = splits.where(F.col("split") != EXCLUDED).select("rel_path", "split").join(pixels.hint("merge"), "rel_path")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeframe.operators import inventory as inv
 from gaugeframe.operators import splits as sp
 from gaugeframe.operators.graph import connected_components
-from gaugeframe.operators.similarity import SHORTLIST, top_matches
+from gaugeframe.operators.similarity import SHORTLIST
 from gaugeframe.plans.bindings import CLASSES, EXTERNAL, PARTS, STILLS, hash32, parts, stills
 from gaugeframe.plans.queries_thumbs import matching_sql
 from gaugeframe.plans.registry import query
@@ -348,7 +348,18 @@ def _(s, d):
 
 
 _PAIRS = "(" + " OR ".join(f"own = '{a}' AND grp = '{b}'" for a, b in sp.CROSS_CHECKS) + ")"
-_CROSS = f"cross_rows AS (SELECT own AS eval_split, grp AS train_side, count(*) AS n, count(*) FILTER (nearest >= {_NEAR}) AS n_threshold, count(*) FILTER (nearest >= 0.5e0) AS n_info, round(max(nearest), 5) AS max, round(median(nearest), 5) AS median FROM near WHERE {_PAIRS} GROUP BY ALL)"
+
+
+def _cross(near: str, placed: str) -> str:
+    """CTE ``cross_rows``: information from the shortlisted ``near``, and the rows at the threshold from all pairs of the rows ``placed``."""
+    return f"""hit_rows AS (SELECT a.split AS own, b.split AS grp, count(DISTINCT p.query) AS n_threshold FROM allpairs p JOIN {placed} a ON a.id = p.query JOIN {placed} b ON b.id = p.target
+  WHERE p.corr >= {_NEAR} GROUP BY ALL),
+cross_rows AS (SELECT own AS eval_split, grp AS train_side, n, coalesce(n_threshold, 0) AS n_threshold, n_info, max, median
+  FROM (SELECT own, grp, count(*) AS n, count(*) FILTER (nearest >= 0.5e0) AS n_info, round(max(nearest), 5) AS max, round(median(nearest), 5) AS median FROM {near} WHERE {_PAIRS} GROUP BY ALL)
+  LEFT JOIN hit_rows USING (own, grp))"""
+
+
+_CROSS = _cross("near", "splits")
 
 
 @query("c8_cross_split_matrix", f"{_SPLITS}, {_CROSS} SELECT * FROM cross_rows")
@@ -392,7 +403,7 @@ _TAMPERED = """sp AS (SELECT * REPLACE (CASE WHEN h % 3 = 0 THEN '' ELSE exclude
     "i3_tampered_audit",
     f"""{_SPLITS}, {_TAMPERED}, sh2 AS (SELECT p.query, p.corr, b.split AS grp, a.split AS own, row_number() OVER (PARTITION BY p.query, b.split ORDER BY p.coarse DESC, p.target) AS k FROM allpairs p
       JOIN sp a ON a.id = p.query JOIN sp b ON b.id = p.target WHERE b.split IN ('train', 'val') AND a.split IN ('val', 'test', 'external_test')),
-    near2 AS (SELECT query, own, grp, max(corr) AS nearest FROM sh2 WHERE k <= {SHORTLIST} GROUP BY ALL), {_CROSS.replace('FROM near ', 'FROM near2 ')}, {_CHECKS}""",
+    near2 AS (SELECT query, own, grp, max(corr) AS nearest FROM sh2 WHERE k <= {SHORTLIST} GROUP BY ALL), {_cross('near2', 'sp')}, {_CHECKS}""",
 )
 def _(s, d):
     """The audit of a split table that was tampered with: it fails, and says where."""
@@ -426,15 +437,14 @@ def _(s, d):
 @query(
     "d8_cluster_report",
     f"""{_CLUSTERS}, c AS (SELECT cluster_id, count(*) AS n, count(DISTINCT label) AS labels FROM members GROUP BY cluster_id), e AS (SELECT count(*) AS n FROM stills GROUP BY sha256),
-    l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY coarse DESC, target) AS k FROM allpairs) WHERE k <= {SHORTLIST} AND corr >= {_NEAR})
+    l AS (SELECT * FROM allpairs WHERE corr >= {_NEAR})
     SELECT count(*) AS n_clusters, count(*) FILTER (n > 1) AS n_multi, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS images_in_multi, max(n) AS largest, count(*) FILTER (labels > 1) AS n_conflicts,
       (SELECT count(*) FILTER (n > 1) FROM e) AS exact_groups, (SELECT sum(n - 1)::BIGINT FROM e) AS extra_copies, (SELECT count(*) FROM l) AS n_links,
       (SELECT count(*) FILTER (via_transform) FROM l) AS links_via_transform, (SELECT round(min(corr), 6) FROM l) AS min_link FROM c""",
 )
 def _(s, d):
     rows = materialize(members(s, d), "members")
-    links = top_matches(rows, rows, SHORTLIST, same_set=True).where(F.col("corr") >= NEAR)
-    return sp.cluster_report(rows, links).withColumn("min_link", F.round("min_link", 6))
+    return sp.cluster_report(rows, NEAR).withColumn("min_link", F.round("min_link", 6))
 
 
 @query("d8_cluster_sizes", f"{_CLUSTERS} SELECT size, count(*) AS clusters FROM (SELECT count(*) AS size FROM members GROUP BY cluster_id) GROUP BY size")
