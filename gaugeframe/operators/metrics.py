@@ -166,6 +166,17 @@ def resampled_counts(df: DataFrame, threshold: float, resamples: int, seed: int
     return part.groupBy("b").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn", "steps", "below")))
 
 
+def _by_metric(values: dict[str, Column], name: str) -> Column:
+    """A row for each of the seven metrics: metric and its value."""
+    return F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), values[k].cast("double").alias(name)) for k in BOOTSTRAPPED)))
+
+
+def point_metrics(df: DataFrame, threshold: float) -> DataFrame:
+    """metric and point of the seven metrics."""
+    wide = classification_metrics(df, threshold).crossJoin(F.broadcast(ranking_metrics(df)))
+    return wide.select(_by_metric({k: F.col(k) for k in BOOTSTRAPPED}, "point"))
+
+
 def bootstrap(df: DataFrame, threshold: float, resamples: int, level: float = 0.95, seed: int = 0) -> DataFrame:
     """metric, point, low, high, resamples, skipped of the seven metrics by the Poisson bootstrap; single-class resamples are skipped and counted."""
     each = resampled_counts(df, threshold, resamples, seed)
@@ -176,13 +187,10 @@ def bootstrap(df: DataFrame, threshold: float, resamples: int, level: float = 0.
         "average_precision": F.col("steps") / pos, "roc_auc": 1 - F.col("below") / pos / neg, "precision": _ratio(tp, tp + fp, 0.0), "recall": tp / pos, "f1": f1,
         "macro_f1": (f1 + f0) / 2, "accuracy": (tp + tn) / (pos + neg),
     }
-    long = lambda rows: F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(m).alias("k"), rows[m].cast("double").alias("v")) for m in BOOTSTRAPPED)))).alias("metric", "v")
     tail = (1 - level) / 2
-    used = each.where((pos > 0) & (neg > 0)).select(long(values))
+    used = each.where((pos > 0) & (neg > 0)).select(_by_metric(values, "v"))
     spread = used.groupBy("metric").agg(F.percentile("v", tail).alias("low"), F.percentile("v", 1 - tail).alias("high"), F.count("*").alias("resamples"))
-    point = classification_metrics(df, threshold).crossJoin(F.broadcast(ranking_metrics(df)))
-    point = point.select(long({m: F.col(m) for m in BOOTSTRAPPED})).withColumnRenamed("v", "point")
-    return point.join(F.broadcast(spread), "metric", "left").select(
+    return point_metrics(df, threshold).join(F.broadcast(spread), "metric", "left").select(
         "metric", "point", "low", "high", F.coalesce("resamples", F.lit(0)).alias("resamples"), (F.lit(resamples) - F.coalesce("resamples", F.lit(0))).alias("skipped")
     )
 

@@ -9,7 +9,7 @@ from gaugeframe.functions import scores as sc
 from gaugeframe.functions.arrays import bin_index
 from gaugeframe.operators import metrics as m
 from gaugeframe.plans.bindings import BAND, HISTORY, LOGITS, PREDICTIONS, TEMPERATURE, THRESHOLD, history, logits, predictions
-from gaugeframe.operators.evaluation import audit_of, evaluate_once, latest_run, release
+from gaugeframe.operators.evaluation import evaluate_once, latest_run, release, store_audit
 from gaugeframe.operators.ranking import exact_quantiles
 from gaugeframe.plans.registry import query
 from gaugeframe.sources.scratch import materialize, scratch_path
@@ -150,7 +150,7 @@ def _(s, d):
   UNION ALL SELECT 'average_precision', round({_AP}, 9) FROM curve UNION ALL SELECT 'roc_auc', round({_AUC}, 9) FROM curve""")
 def _(s, d):
     """The point values of the bootstrap's metrics."""
-    return m.bootstrap(logits(s, d), THRESHOLD, 2).select("metric", F.round("point", 9).alias("point"))
+    return m.point_metrics(logits(s, d), THRESHOLD).select("metric", F.round("point", 9).alias("point"))
 
 
 @query(
@@ -451,9 +451,52 @@ def _(s, d):
 @query("i15_evaluate_once", f"{L}, {_BY_SPLIT}, b AS (SELECT split, count(*) FILTER (p >= {LO} AND p < {HI}) AS reviewed, count(*) AS n FROM logits GROUP BY split) SELECT split, n, reviewed, {_METRICS} FROM counts JOIN b USING (split) WHERE split <> 'val'")
 def _(s, d):
     """Both test sets at the chosen point; refused without a passed audit, on other rows than the audited, and a second time."""
-    rows = materialize(logits(s, d).where("split != 'val'"), "held-out")
-    audit = audit_of(rows, passed=True)
-    return evaluate_once(rows, audit, scratch_path(s, "run"), THRESHOLD, *BAND)
+    return _evaluated(s, d)[0]
+
+
+def _evaluated(s, d):
+    """The metrics and the folder of the one evaluation of the test rows, against the audit that was stored for them."""
+    rows, folder = materialize(logits(s, d).where("split != 'val'"), "held-out"), scratch_path(s, "run")
+    return evaluate_once(rows, store_audit(rows, folder), folder, THRESHOLD, *BAND, edges=tuple(EDGES)), folder
+
+
+def _per_metric(part: str, key: str, columns: list[str], table: str) -> str:
+    return " UNION ALL ".join(f"SELECT split, '{part}' AS part, {key} AS key, '{c}' AS metric, round({c}::DOUBLE, 6) AS value FROM {table}" for c in columns)
+
+
+_CORRECT = f"(p >= {T}) = (label = 1)"
+
+
+@query("i15_results", f"""{L}, t AS (SELECT *, {_CORRECT} AS right_ FROM logits WHERE split <> 'val'), {_BUCKETS},
+  size AS (SELECT split, count(*) AS n, sum(label) AS n_defective FROM t GROUP BY split),
+  k AS (SELECT split, (count(*) FILTER (p >= {T} AND label = 1))::DOUBLE AS tp, (count(*) FILTER (p >= {T} AND label = 0))::DOUBLE AS fp, (count(*) FILTER (p < {T} AND label = 0))::DOUBLE AS tn,
+    (count(*) FILTER (p < {T} AND label = 1))::DOUBLE AS fn FROM t GROUP BY split),
+  conf AS (SELECT *, round(tn / (tn + fp), 4) AS tn_rate, round(fp / (tn + fp), 4) AS fp_rate, round(fn / (tp + fn), 4) AS fn_rate, round(tp / (tp + fn), 4) AS tp_rate FROM k),
+  half AS (SELECT split, (count(*) FILTER (p >= 0.5e0 AND label = 1))::DOUBLE AS tp, (count(*) FILTER (p >= 0.5e0 AND label = 0))::DOUBLE AS fp, (count(*) FILTER (p < 0.5e0 AND label = 0))::DOUBLE AS tn,
+    (count(*) FILTER (p < 0.5e0 AND label = 1))::DOUBLE AS fn FROM t GROUP BY split), ref AS (SELECT split, {_METRICS} FROM half),
+  pt AS (SELECT split, {_METRICS} FROM k),
+  band AS (SELECT split, count(*) AS n, count(*) FILTER (p >= {LO} AND p < {HI}) AS reviewed, count(*) FILTER (p >= {LO} AND p < {HI}) / count(*)::DOUBLE AS review_share, count(*) FILTER (NOT right_) AS errors,
+    count(*) FILTER (NOT right_ AND p >= {LO} AND p < {HI}) AS errors_caught, count(*) FILTER (NOT right_ AND NOT (p >= {LO} AND p < {HI})) AS auto_errors,
+    count(*) FILTER (label = 1 AND p < {LO}) AS missed_auto_passed, count(*) FILTER (label = 0 AND p >= {HI}) AS alarms_auto_rejected FROM t GROUP BY split),
+  bk AS (SELECT split, lo, count(*) AS n, sum(label) AS n_defective, count(*) FILTER (NOT right_) AS errors, count(*) FILTER (NOT right_ AND label = 1) AS missed, count(*) FILTER (NOT right_ AND label = 0) AS false_alarms,
+    round(count(*) FILTER (NOT right_) / count(*)::DOUBLE, 4) AS error_rate FROM t JOIN b ON similarity >= lo AND (hi IS NULL OR similarity < hi) GROUP BY split, lo)
+  {_per_metric('size', "''", ['n', 'n_defective'], 'size')} UNION ALL {_per_metric('at_operating_threshold', "''", ['precision', 'recall', 'f1', 'macro_f1', 'accuracy'], 'pt')}
+  UNION ALL {_per_metric('at_0.5_reference', "''", ['precision', 'recall', 'f1', 'macro_f1', 'accuracy'], 'ref')}
+  UNION ALL {_per_metric('confusion', "''", ['tp', 'fp', 'tn', 'fn', 'tn_rate', 'fp_rate', 'fn_rate', 'tp_rate'], 'conf')}
+  UNION ALL {_per_metric('review_band', "''", ['n', 'reviewed', 'review_share', 'errors', 'errors_caught', 'auto_errors', 'missed_auto_passed', 'alarms_auto_rejected'], 'band')}
+  UNION ALL {_per_metric('by_similarity_to_train', 'lo::VARCHAR', ['n', 'n_defective', 'errors', 'missed', 'false_alarms', 'error_rate'], 'bk')}""")
+def _(s, d):
+    """The stored results of the one evaluation, as long rows (what SQL can say of them: without ranking metrics and the brightness probe)."""
+    rows = s.read.parquet(_evaluated(s, d)[1] + "/test_results")
+    rows = rows.where("part not like 'brightness%' and metric not in ('average_precision', 'roc_auc')")
+    return rows.select("split", "part", "key", "metric", F.round("value", 6).alias("value"))
+
+
+@query("i15_intervals")
+def _(s, d):
+    """The stored bootstrap intervals, ranking metrics and brightness probe of the one evaluation."""
+    rows = s.read.parquet(_evaluated(s, d)[1] + "/test_results")
+    return rows.where("part like 'brightness%' or low is not null or metric in ('average_precision', 'roc_auc')")
 
 
 @query("i16_brightness_probe", f"""{P}, b AS (SELECT label, correct, p, round(brightness, 4) AS br FROM predictions), c AS (SELECT quantile_cont(br, [0.25e0, 0.5e0, 0.75e0]) AS cuts FROM b),

@@ -289,16 +289,47 @@ def test_saturated_scores_and_scores_outside_the_unit_interval(spark):
 
 
 def test_one_evaluation(spark, tmp_path):
-    rows = spark.createDataFrame([(f"i{k}", k % 2, 0.9 if k % 2 else 0.1, "test" if k < 20 else "external_test") for k in range(40)], "id string, label int, p double, split string")
-    audit = ev.audit_of(rows, passed=True)
+    rows = spark.createDataFrame([(f"i{k}", k % 2, 0.9 if k % 2 else 0.1, "test" if k < 20 else "external_test", 0.9 + k % 10 / 100) for k in range(40)], "id string, label int, p double, split string, similarity double")
     folder = f"file://{tmp_path}/run"
+    audit = ev.store_audit(rows, folder)
+    once = lambda r, a=audit, t=0.5, **more: ev.evaluate_once(r, a, folder, t, 0.3, 0.7, resamples=20, **more)
     with pytest.raises(ValueError, match="did not pass"):
-        ev.evaluate_once(rows, ev.audit_of(rows, passed=False), folder, 0.5, 0.3, 0.7)
+        once(rows, ev.audit_of(rows, passed=False))
     with pytest.raises(ValueError, match="differ"):
-        ev.evaluate_once(rows.where("id != 'i3'"), audit, folder, 0.5, 0.3, 0.7)
-    assert {r.split: r.f1 for r in ev.evaluate_once(rows, audit, folder, 0.5, 0.3, 0.7).collect()} == {"test": 1.0, "external_test": 1.0}
+        once(rows.where("id != 'i3'"))
+    assert not list(tmp_path.glob("run/TEST_*"))  # a refusal claims nothing
+    assert {r.split: r.f1 for r in once(rows).collect()} == {"test": 1.0, "external_test": 1.0}
     with pytest.raises(ValueError, match="used once"):
-        ev.evaluate_once(rows, audit, folder, 0.5, 0.3, 0.7)
+        once(rows, resume=True)
+    results = {(r.split, r.part, r.key, r.metric): r for r in spark.read.parquet(f"{folder}/test_results").collect()}
+    assert results["test", "size", "", "n"].value == 20 and results["test", "at_operating_threshold", "", "roc_auc"].low == 1.0
+    assert results["test", "by_similarity_to_train", "0.95", "n"].value == 4 and results["test", "review_band", "", "reviewed"].value == 0
+    assert spark.read.parquet(f"{folder}/test_predictions").where("correct").count() == 40
+
+
+def test_an_evaluation_is_claimed_before_it_runs(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"i{k}", k % 2, k / 40, "test") for k in range(40)], "id string, label int, p double, split string")
+    folder = f"file://{tmp_path}/run"
+    audit = ev.store_audit(rows, folder)
+    broken = monkeypatch.context()
+    with broken as b:
+        b.setattr(ev, "evaluation_parts", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ev.evaluate_once(rows, audit, folder, 0.5, 0.3, 0.7)
+    with pytest.raises(ValueError, match="claimed"):
+        ev.evaluate_once(rows, audit, folder, 0.5, 0.3, 0.7)  # as a second run meanwhile would find it
+    with pytest.raises(ValueError, match="other"):
+        ev.evaluate_once(rows, audit, folder, 0.6, 0.3, 0.7, resume=True)
+    assert ev.evaluate_once(rows, audit, folder, 0.5, 0.3, 0.7, resamples=20, resume=True).first().n == 40
+
+
+def test_stored_audit_finds_what_is_wrong(spark, tmp_path):
+    rows = [("a", 0, 0.1, "test"), ("b", 1, 0.9, "test"), ("c", 0, 0.2, "external_test"), ("d", 1, 0.8, "external_test")]
+    kinds = "id string, label int, p double, split string"
+    good = ev.store_audit(spark.createDataFrame(rows, kinds), f"file://{tmp_path}/1").collect()
+    twice = ev.store_audit(spark.createDataFrame([*rows, ("a", 0, 0.1, "external_test")], kinds), f"file://{tmp_path}/2").collect()
+    single = ev.store_audit(spark.createDataFrame(rows[:3], kinds), f"file://{tmp_path}/3").collect()
+    assert all(r.passed for r in good) and not any(r.passed for r in (*twice, *single))
 
 
 def test_release_is_written_once(spark, tmp_path):
