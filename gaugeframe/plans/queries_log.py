@@ -10,7 +10,7 @@ from gaugeframe.plans.bindings import BAND, PARTS, PREDICTIONS, REQUEST_LOG, THR
 from gaugeframe.plans.fixtures import write_images
 from gaugeframe.plans.registry import query
 from gaugeframe.sources import images as im
-from gaugeframe.sources.scratch import scratch_path
+from gaugeframe.sources.scratch import materialize, scratch_path
 from gaugeframe.streaming import monitor as mo
 
 W = f"WITH {REQUEST_LOG}"
@@ -26,7 +26,7 @@ _J1 = f"{W} SELECT {_DAY} AS start, method, route, status, count(*) AS n FROM re
 
 @query("j1_request_counters", _J1)
 def _(s, d):
-    return mo.run(mo.request_counts(stream(s, d)), "complete", "requests")
+    return mo.run(mo.request_counts(stream(s, d)), "update", "requests", ["start", "method", "route", "status"])
 
 
 @query("j1_request_counters_batch", _J1)
@@ -68,7 +68,7 @@ def _(s, d):
 
 @query("j4_drift_alarm", f"{W} SELECT {_DAY} AS start, count(*) AS n, round(count(*) FILTER (needs_review) / count(*)::DOUBLE, 6) AS review_share, count(*) FILTER (needs_review) / count(*)::DOUBLE > 0.4e0 * 1.2e0 AS alarm FROM request_log GROUP BY 1")
 def _(s, d):
-    return mo.run(mo.drift_alarm(stream(s, d), 0.4, 1.2), "complete", "drift")
+    return mo.run(mo.drift_alarm(stream(s, d), 0.4, 1.2), "update", "drift", ["start"])
 
 
 @query(
@@ -77,7 +77,23 @@ def _(s, d):
     SELECT start, count(*) AS n, round(count(*) FILTER (needs_review) / count(*)::DOUBLE, 6) AS review_share, count(*) FILTER (needs_review) / count(*)::DOUBLE > 0.4e0 * 1.2e0 AS alarm FROM e GROUP BY 1""",
 )
 def _(s, d):
-    return mo.run(mo.drift_alarm(stream(s, d), 0.4, 1.2, "12 hours"), "complete", "drift-sliding")
+    return mo.run(mo.drift_alarm(stream(s, d), 0.4, 1.2, "12 hours"), "update", "drift-sliding", ["start"])
+
+
+_BINS = 20
+_SHARES = "list_transform(range(0, 20), lambda k: (len(list_filter({b}, lambda x: x = k)) + 0.5e0) / (len({b}) + 10e0))"
+_CURVE = "list_transform(range(0, 20), lambda k: len(list_filter({b}, lambda x: x <= k)) / len({b})::DOUBLE)"
+
+
+@query("j4_score_shift", f"""{W}, r AS (SELECT {_DAY} AS start, least(floor(p * 20), 19)::INTEGER AS b, model_version FROM request_log), base AS (SELECT list(b) AS bb FROM r WHERE model_version = 'v1'),
+  g AS (SELECT start, list(b) AS own FROM r WHERE model_version = 'v2' GROUP BY start),
+  s AS (SELECT start, len(own) AS n, list_zip({_SHARES.format(b='own')}, {_SHARES.format(b='bb')}) AS z, list_zip({_CURVE.format(b='own')}, {_CURVE.format(b='bb')}) AS c FROM g, base),
+  t AS (SELECT start, n, list_sum(list_transform(z, lambda x: (x[1] - x[2]) * ln(x[1] / x[2]))) AS psi, list_max(list_transform(c, lambda x: abs(x[1] - x[2]))) AS distance FROM s)
+  SELECT start, n, round(psi, 6) AS psi, round(distance, 6) AS distance, psi > 0.2e0 AS alarm FROM t""")
+def _(s, d):
+    """The new model's scores of each day against all scores of the old one."""
+    base = materialize(mo.score_baseline(request_log(s, d).where("model_version = 'v1'"), _BINS), "baseline")
+    return mo.run(mo.score_shift(stream(s, d).where("model_version = 'v2'"), base, "1 day", bins=_BINS), "update", "shift", ["start"])
 
 
 @query("j5_burst_flags", f"{W} SELECT request_id, count(*) OVER (PARTITION BY caller ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW) > 3 AS burst FROM request_log")

@@ -2,8 +2,8 @@
 
 The aggregates are plain DataFrame functions, so a stream and its batch twin
 share them.  ``run`` drives a stream over all data that is there and returns the
-written result: append keeps each closed window once, complete rewrites the
-(bounded) result with every batch.
+written result: append keeps each closed window once, update the last row of each
+window, complete rewrites the (bounded) result with every batch.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,16 +35,36 @@ def read_events(spark: SparkSession, sf_dir: str, max_files: int = 1000) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{sf_dir}/events.parque[t]")
 
 
-def run(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Process all data that is there and return what the stream has written."""
-    spark, out = df.sparkSession, scratch_path(df.sparkSession, name)
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True)
+def run(df: DataFrame, mode: str, name: str, keys: list[str] | None = None, *, out: str | None = None, state: str | None = None) -> DataFrame:
+    """Process all data that is there and return what the stream has written.
+
+    ``append`` keeps each closed window once.  ``update`` writes the changed rows of each batch to a folder of that batch's number, which a
+    repeated batch replaces, and returns the last row of each of the ``keys``: the watermark frees the state of closed windows.  ``complete``
+    rewrites the (bounded) result with every batch.  ``out`` and ``state`` name the folders of a stream that goes on later.
+    """
+    spark = df.sparkSession
+    out, state = out or scratch_path(spark, name), state or scratch_path(spark, f"{name}-state")
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
+    elif mode == "update":
+        query = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")).start()
     else:
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    written = spark.read.schema(df.schema if mode != "update" else f"{_ddl(df)}, batch long").parquet(out)
+    return latest(written, keys or []) if mode == "update" else written
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def latest(written: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the last batch for each of the keys, of rows with a column ``batch``."""
+    rest = [c for c in written.columns if c not in (*keys, "batch")]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return last.select(*keys, "_row.*").select(*(c for c in written.columns if c != "batch"))
 
 
 def windowed(log: DataFrame, length: str, *keys: str, slide: str | None = None) -> DataFrame:
@@ -75,6 +95,36 @@ def drift_alarm(log: DataFrame, baseline: float, factor: float, slide: str | Non
     return g.select(F.col("window.start").alias("start"), "n", F.round(share, 6).alias("review_share"), (share > baseline * factor).alias("alarm"))
 
 
+def score_bins(log: DataFrame, bins: int) -> list[Column]:
+    """Counts of the score p in equal-width bins over 0 to 1 (the last one closed): a sketch of the scores that merges by addition."""
+    at = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))
+    return [F.count_if(at == k).alias(f"b{k}") for k in range(bins)]
+
+
+def score_baseline(log: DataFrame, bins: int = 20) -> DataFrame:
+    """One row: the counts of a reference period, to hold later windows against."""
+    return log.agg(*score_bins(log, bins))
+
+
+def score_shift(log: DataFrame, baseline: DataFrame, length: str, *, bins: int = 20, most: float = 0.2, slide: str | None = None, least_rows: int = 1) -> DataFrame:
+    """start, n, psi, distance and alarm of each window: how far its scores lie from the baseline's.
+
+    psi is the sum of (q - b) ln(q / b) over the bins' shares (half a row is added to every bin, so none is empty), distance the largest
+    difference of the two distribution curves at a bin's end.  The alarm needs ``least_rows`` rows and a psi above ``most``.
+    """
+    g = windowed(log, length, slide=slide).agg(F.count("p").alias("n"), *score_bins(log, bins))
+    base = baseline.select(F.array(*(F.col(f"b{k}") for k in range(bins))).alias("_base"))
+    rows = g.crossJoin(F.broadcast(base)).withColumn("_own", F.array(*(F.col(f"b{k}") for k in range(bins))))  # the baseline is one row
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    share = lambda c: F.transform(c, lambda x: (x + 0.5) / (total(F.col(c)) + 0.5 * bins))
+    psi = F.aggregate(F.zip_with(share("_own"), share("_base"), lambda q, b: (q - b) * F.ln(q / b)), F.lit(0.0), lambda s, x: s + x)
+    step = F.zip_with("_own", "_base", lambda x, y: x / total(F.col("_own")) - y / total(F.col("_base")))
+    curve = F.aggregate(step, F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("most")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.greatest(s["most"], F.abs(s["at"] + x)).alias("most")))
+    rows = rows.withColumns({"psi": psi, "distance": curve["most"]})
+    alarm = (F.col("n") >= least_rows) & (F.col("psi") > most)
+    return rows.select(F.col("window.start").alias("start"), "n", F.round("psi", 6).alias("psi"), F.round("distance", 6).alias("distance"), alarm.alias("alarm"))
+
+
 def error_counts(log: DataFrame, errors: DataFrame) -> DataFrame:
     """Rows of each error code of the dimension table (error, status)."""
     return log.join(errors, "status").groupBy("error").agg(F.count("*").alias("n"))
