@@ -7,7 +7,9 @@ a re-read, never a recomputation, and the planner sees a real size.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -16,8 +18,14 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Paths written in each open scope, the innermost last.
-_scopes: list[list[str]] = []
+class _Open(threading.local):
+    """Paths written in each scope that this thread has open, the innermost last."""
+
+    def __init__(self):
+        self.scopes: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,8 +50,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a reader of the written table (schema given, so an empty table reads back too)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _open.scopes:
+        _open.scopes[-1].append(path)
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.written_path = path
@@ -80,18 +88,25 @@ def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFra
         kept.append(df.written_path)
         return df
 
-    _scopes.append(own)
+    _open.scopes.append(own)
     try:
         yield keep
     finally:
-        _scopes.pop()
-    if _scopes:
-        _scopes[-1].extend(kept)
+        _open.scopes.pop()
+    if _open.scopes:
+        _open.scopes[-1].extend(kept)
     for path in own:
         if path not in kept:
             _delete(spark, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no live DataFrame needs: it does so when the driver's JVM collects its garbage, which a
+    driver with memory to spare may not do before a long operator ends."""
+    gc.collect()  # Python's references first
+    spark._jvm.System.gc()
+
+
 def written_side(df: DataFrame, name: str, max_values: int, values: Column | None = None) -> DataFrame:
     """Write one side of a join and mark it for broadcast when it holds at most ``max_values`` numbers.
 
