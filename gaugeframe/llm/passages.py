@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.llm import _text
 from gaugeframe.operators.graph import connected_components
-from gaugeframe.sources.scratch import materialize, scratch_scope, written_side
+from gaugeframe.sources.scratch import materialize, release, scratch_scope, written_side
 
 SHINGLE_WORDS = 5
 LEAST_WORDS = 5
@@ -293,6 +293,7 @@ def _equal_runs(docs: DataFrame, least: int) -> DataFrame:
     """Runs of overlapping pieces of equal words that several documents hold, kept and removed ones apart."""
     twice = _pieces(docs, least).groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
     twice = materialize(twice, "equal-pieces")
+    release(docs.sparkSession)
     again = _pieces(docs, least, key_filter(twice)).join(twice.hint("merge"), "key")
     hits = every = materialize(again.withColumn("removed", F.col("doc_id") != F.col("low")), "equal-hits")
     # cuts near a run's ends may be those of some documents only; what they add inside a removed run is not kept
@@ -309,7 +310,10 @@ def _equal_runs(docs: DataFrame, least: int) -> DataFrame:
         F.min("first").alias("first"), F.max("last").alias("last"), F.min("start").alias("start"), F.max("until").alias("until"),
         F.min("key").alias("cluster"), F.min("low").alias("keep_doc"), F.min_by("key", "first").alias("first_key"), F.max_by("key", "last").alias("last_key"),
     )
-    return _extended(docs, every, materialize(runs, "equal-runs"))
+    runs = materialize(runs, "equal-runs")
+    del again, hits
+    release(docs.sparkSession)
+    return _extended(docs, every, runs)
 
 
 def _linked(rows: DataFrame, percent: int) -> DataFrame:
@@ -376,8 +380,10 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, least_run_words: in
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     with scratch_scope(docs.sparkSession) as keep:
         out = keep(materialize(_repeated_paragraphs(docs, percent, least_run_words), "repeated-paragraphs"))
+    release(docs.sparkSession)
     with scratch_scope(docs.sparkSession) as keep:
         runs = keep(materialize(_equal_runs(docs, least_run_words), "repeated-runs"))
+    release(docs.sparkSession)
     runs = runs.withColumn("paragraph", F.lit(None).cast("int")).withColumn("words", F.col("last") - F.col("first"))
     return out.unionByName(runs.select(*out.columns)).select(
         "doc_id", "paragraph", F.col("start").alias("start_char"), F.col("until").alias("end_char"), F.col("words").alias("n_words"),
@@ -389,10 +395,12 @@ def _repeated_paragraphs(docs: DataFrame, percent: int, least_run_words: int) ->
     """The paragraphs of runs whose clusters several documents hold: doc_id, paragraph, start, until, words, cluster, keep_doc, removed."""
     kinds = _paragraphs(docs, "bands").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
     kinds = materialize(kinds, "paragraph-classes")
+    release(docs.sparkSession)
 
     met = kinds.select(F.explode(F.array(*(F.col(f"b{i}") for i in range(BANDS)))).alias("band")).groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(met, "paragraph-buckets")
     rows = materialize(_members(kinds, key_filter(met, "band")).join(met.hint("merge"), "band"), "paragraph-members")
+    release(docs.sparkSession)
     needed = rows.select("key").distinct()
     sets = _paragraphs(docs, "sets", key_filter(rows)).join(needed.hint("merge"), "key").groupBy("key").agg(F.min("set").alias("set"))
     tiles = F.ceil(F.col("n") / TILE).cast("long")
@@ -405,6 +413,8 @@ def _repeated_paragraphs(docs: DataFrame, percent: int, least_run_words: int) ->
     many = near.join(materialize(wide, "wide-clusters").hint("merge"), "component").select(F.col("id").alias("key"), F.col("component").alias("cluster"))
     alone = kinds.where("low < high").join(near.hint("merge"), kinds["key"] == near["id"], "left_anti").select("key", F.col("key").alias("cluster"))
     shared = materialize(many.unionByName(alone), "repeated-classes")
+    del tiled, sets, many, alone
+    release(docs.sparkSession)
 
     found = _paragraphs(docs, "places", key_filter(shared)).join(shared.hint("merge"), "key")
     own = Window.partitionBy("doc_id").orderBy("paragraph")
