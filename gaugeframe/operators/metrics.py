@@ -380,7 +380,7 @@ def shortcut_table(df: DataFrame, features: list[str]) -> DataFrame:
     stacked = df.select("label", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))).alias("s")).select("label", "s.feature", "s.v")
     one = lambda agg, k: agg(F.when(F.col("label") == k, F.col("v")))
     moments = stacked.groupBy("feature").agg(one(F.avg, 1).alias("m1"), one(F.avg, 0).alias("m0"), one(F.var_samp, 1).alias("v1"), one(F.var_samp, 0).alias("v0"))
-    ranked = stacked.join(average_ranks(stacked, "v", ["feature"]), ["feature", "v"])
+    ranked = stacked.join(average_ranks(stacked, "v", ["feature"]).hint("merge"), ["feature", "v"])
     n1, n0 = F.sum("label"), F.sum(1 - F.col("label"))
     auc = ranked.groupBy("feature").agg(((F.sum(F.when(F.col("label") == 1, F.col("rank"))) - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auc"))
     d = (F.col("m1") - F.col("m0")) / F.sqrt((F.col("v1") + F.col("v0")) / 2)

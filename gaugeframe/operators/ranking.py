@@ -42,11 +42,6 @@ def running_totals(df: DataFrame, group: list[str], order: list[Column | str], v
     return _by_range(df, group, order, {n: F.sum(v) for n, v in values.items()}, before)
 
 
-def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """``running_totals`` of one value."""
-    return running_totals(df, group, order, {out: value})
-
-
 def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
     """For each group the array ``quantiles`` of linearly interpolated quantiles; nulls don't count, a group of nulls has none.
 

@@ -103,7 +103,7 @@ def _(s, d):
 
 @query("j5_rate_limit")
 def _(s, d):
-    return mo.run(mo.rate_limit(stream(s, d), 86_400, 3), "append", "limited")
+    return mo.rate_limit(stream(s, d), 86_400, 3, "limited")
 
 
 @query("j5_rate_limit_batch")
@@ -118,7 +118,7 @@ def _(s, d):
 
 @query("j6_failed_auth_throttle")
 def _(s, d):
-    return mo.run(mo.rate_limit(stream(s, d).where("status = 401"), 604_800, 1), "append", "throttled")
+    return mo.rate_limit(stream(s, d).where("status = 401"), 604_800, 1, "throttled")
 
 
 _ERRORS = "errors(error, status) AS (VALUES " + ", ".join(f"('{e}', {c})" for e, c in inv.ERROR_STATUS.items()) + ")"

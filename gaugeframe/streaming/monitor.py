@@ -12,17 +12,15 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeframe.functions.scores import decide, sigmoid
 from gaugeframe.operators.ranking import exact_quantiles
-from gaugeframe.sources.scratch import scratch_path
+from gaugeframe.sources.scratch import drop_written, materialize_observed, scratch_path
 
-LATE = "1 hour"
+LATE, LATE_SECONDS = "1 hour", 3600
 # Bounds of the service's histograms.
 LATENCY_BOUNDS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 INFERENCE_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
@@ -155,55 +153,87 @@ def _limited(ids: np.ndarray, times: np.ndarray, accepted: list[float], seconds:
     return ok, retry
 
 
-def rate_limit(log: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """request_id, caller, allowed and retry_after (whole seconds, at least 1; 0 for allowed ones) by a moving window over each caller's accepted requests.
+def _rate_limited(rows: DataFrame, seconds: int, limit: int, accepted: DataFrame | None = None) -> DataFrame:
+    """kind, request_id, caller, t, allowed, retry_after: a row of kind 1 for each request, and of kind 2 for each accepted time that still counts.
 
-    A rejected request is not recorded.  The state of a caller is the list of its at most ``limit`` accepted times in the window; it
-    expires with the watermark, so the state grows with active callers only.  The rule is sequential in a caller's requests: of those
-    of one micro-batch a task holds two numbers each while it puts them in order.
+    Spark sorts each caller's requests outside memory, behind the times that were ``accepted`` before (caller, t); a task streams them with a
+    caller's accepted times, at most ``limit``, as its only state.
     """
+    asked = rows.where("caller is not null").select(F.lit(1).alias("kind"), F.col("request_id").cast("long").alias("request_id"), F.col("caller").cast("long").alias("caller"), F.unix_micros("ts").alias("t"))
+    if accepted is not None:
+        asked = asked.unionByName(accepted.select(F.lit(0).alias("kind"), F.lit(None).cast("long").alias("request_id"), "caller", "t"))
+    asked = asked.repartition("caller").sortWithinPartitions("caller", "kind", "t", "request_id")
+    names = ["kind", "request_id", "caller", "t", "allowed", "retry_after"]
 
-    def hits(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        accepted = list(state.get[0]) if state.exists else []
-        parts = [(b.request_id.to_numpy(), b.ts.astype("datetime64[us, UTC]" if b.ts.dt.tz is not None else "datetime64[us]").astype("int64").to_numpy() / 1e6) for b in batches]
-        ids, times = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        del parts
-        order = np.lexsort((ids, times))
-        ids, times = ids[order], times[order]
-        ok, retry = _limited(ids, times, accepted, seconds, limit)
-        state.update((accepted,))
-        state.setTimeoutTimestamp(int(max(times[-1] + seconds, state.getCurrentWatermarkMs() / 1000 + 1) * 1000))
-        for at in range(0, len(ids), 10_000):
-            part = slice(at, at + 10_000)
-            yield pd.DataFrame({"request_id": ids[part], "caller": key[0], "allowed": ok[part], "retry_after": retry[part]})
-
-    return log.withWatermark("ts", LATE).select("caller", "request_id", "ts").groupBy("caller").applyInPandasWithState(
-        hits, "request_id long, caller long, allowed boolean, retry_after double", "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caller, held = None, []
 
+        def left():
+            """The times of the caller that was streamed last."""
+            n = len(held)
+            columns = [np.full(n, 2, np.int32), None, np.full(n, caller or 0), np.round(np.array(held, float) * 1e6).astype(np.int64), None, None]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-def rate_limit_batch(log: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """As ``rate_limit`` on a batch table: Spark sorts each caller's requests, a task streams them with the accepted times as its only state."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        caller, accepted = None, []
         for batch in batches:
-            callers, ids = batch.column("caller").to_numpy(), batch.column("request_id").to_numpy()
-            times = batch.column("t").to_numpy() / 1e6
+            if not batch.num_rows:
+                continue
+            kind, callers, t = (batch.column(c).to_numpy() for c in ("kind", "caller", "t"))
+            ids = batch.column("request_id").fill_null(0).to_numpy()
             ok, retry = np.zeros(len(ids), bool), np.zeros(len(ids))
-            edges = [0, *(np.flatnonzero(callers[1:] != callers[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
+            cut = np.flatnonzero((callers[1:] != callers[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)], strict=True):
                 if callers[a] != caller:
-                    caller, accepted = callers[a], []
-                ok[a:b], retry[a:b] = _limited(ids[a:b], times[a:b], accepted, seconds, limit)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, callers, ok, retry)], ["request_id", "caller", "allowed", "retry_after"])
+                    if held:
+                        yield left()
+                    caller, held = int(callers[a]), []
+                if kind[a] == 0:
+                    held.extend((t[a:b] / 1e6).tolist())
+                else:
+                    ok[a:b], retry[a:b] = _limited(ids[a:b], t[a:b] / 1e6, held, seconds, limit)
+            own = kind == 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (kind, ids, callers, t, ok, retry)], names)
+        if held:
+            yield left()
+
+    return asked.mapInArrow(run, "kind int, request_id long, caller long, t long, allowed boolean, retry_after double")
+
+
+DECIDED = ["request_id", "caller", "allowed", "retry_after"]
+
 
-    rows = log.where("caller is not null").select(F.col("caller").cast("long"), F.col("request_id").cast("long"), F.unix_micros("ts").alias("t"))
-    rows = rows.repartition("caller").sortWithinPartitions("caller", "t", "request_id")
-    return rows.mapInArrow(run, "request_id long, caller long, allowed boolean, retry_after double")
+def rate_limit(log: DataFrame, seconds: int, limit: int, name: str, *, out: str | None = None, state: str | None = None) -> DataFrame:
+    """request_id, caller, allowed and retry_after (whole seconds, at least 1; 0 for allowed ones) by a moving window over each caller's accepted requests.
+
+    A rejected request is not recorded.  Each micro-batch is sorted and streamed (``_rate_limited``), so no caller's requests are held; the
+    accepted times that still count go from batch to batch as a table.  Decisions and times are written to folders of the batch's number, so a
+    batch that is repeated finds the times of the one before it and replaces its own.  Times older than the window before the watermark
+    (an hour behind the latest request) go, so the table grows with active callers only.  ``out`` and ``state`` name the folders of a
+    stream that goes on later.
+    """
+    spark = log.sparkSession
+    out, state = out or scratch_path(spark, name), state or scratch_path(spark, f"{name}-state")
+    times = "caller long, t long"
+
+    def batch(rows: DataFrame, number: int) -> None:
+        before = spark.read.schema(times).parquet(f"{state}/times/batch={number - 1}") if number else None
+        decided, seen = materialize_observed(_rate_limited(rows, seconds, limit, before), "decided", F.max("t").alias("t"))
+        decided.where("kind = 1").select(*DECIDED).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        still = decided.where("kind = 2").select("caller", "t")
+        if before is not None:  # callers without a request in this batch
+            still = still.unionByName(before.join(decided.where("kind = 1").select("caller").distinct().hint("merge"), "caller", "left_anti"))
+        if seen["t"] is not None:
+            still = still.where(F.col("t") > seen["t"] - (seconds + LATE_SECONDS) * 1_000_000)
+        still.write.mode("overwrite").parquet(f"{state}/times/batch={number}")
+        drop_written(decided)
+
+    log.writeStream.foreachBatch(batch).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("request_id long, caller long, allowed boolean, retry_after double, batch long").parquet(out).drop("batch")
+
+
+def rate_limit_batch(log: DataFrame, seconds: int, limit: int) -> DataFrame:
+    """As ``rate_limit`` on a batch table."""
+    return _rate_limited(log, seconds, limit).where("kind = 1").select(*DECIDED)
 
 
 def judge_stream(files: DataFrame, judge: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Streams against hand-made rows."""
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -11,15 +12,51 @@ from gaugeframe.streaming import monitor as mo
 
 def test_rate_limit(spark):
     t = datetime(2024, 1, 1)
-    rows = [(1, 7, t), (2, 7, t + timedelta(seconds=10)), (3, 7, t + timedelta(seconds=20)), (4, 8, t + timedelta(seconds=20)), (5, 7, t + timedelta(seconds=61))]
+    rows = [(1, 7, t), (2, 7, t + timedelta(seconds=10)), (3, 7, t + timedelta(seconds=20)), (4, 8, t + timedelta(seconds=20)), (5, 7, t + timedelta(seconds=61)), (6, None, t)]
     path = scratch_path(spark, "limit")
     spark.createDataFrame(rows, "request_id long, caller long, ts timestamp").write.parquet(path)
     log = spark.readStream.schema("request_id long, caller long, ts timestamp").parquet(path)
-    got = {r.request_id: (r.allowed, r.retry_after) for r in mo.run(mo.rate_limit(log, 60, 2), "append", "t").collect()}
+    got = {r.request_id: (r.allowed, r.retry_after) for r in mo.rate_limit(log, 60, 2, "t").collect()}
     assert {k: v[0] for k, v in got.items()} == {1: True, 2: True, 3: False, 4: True, 5: True}
     assert got[3][1] == 40.0
 
 
+def _plain_limit(rows, seconds, limit):
+    """allowed and retry_after of each request, one after the other."""
+    held, out = {}, {}
+    for i, caller, ts in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[2], r[0])):
+        own = held.setdefault(caller, [])
+        own[:] = [x for x in own if (ts - x).total_seconds() < seconds]
+        out[i] = (len(own) < limit, 0.0 if len(own) < limit else max(1, -(-((own[0] - ts).total_seconds() + seconds) // 1)))
+        if len(own) < limit:
+            own.append(ts)
+    return out
+
+
+def test_rate_limit_over_batches_and_a_restart(spark):
+    """One caller has a third of all requests; the stream stops and goes on from its checkpoint, and equals the batch twin row by row."""
+    r, t = random.Random(3), datetime(2024, 1, 1)
+    rows = [(i, 1 if i % 3 == 0 else r.randrange(2, 12), t + timedelta(seconds=i * 7 + r.randrange(5), microseconds=r.randrange(10**6))) for i in range(600)]
+    kinds = "request_id long, caller long, ts timestamp"
+    path, out, state = (scratch_path(spark, n) for n in ("log", "out", "state"))
+    parts = [rows[i : i + 100] for i in range(0, 600, 100)]
+    log = _log(spark, parts[:3], path, kinds)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        assert mo.rate_limit(log, 120, 4, "t", out=out, state=state).count() == 300
+        for i, part in enumerate(parts[3:], 3):
+            spark.createDataFrame(part, kinds).coalesce(1).write.parquet(f"{path}/{i}")
+        got = {x.request_id: (x.allowed, x.retry_after) for x in mo.rate_limit(log, 120, 4, "t", out=out, state=state).collect()}
+        whole = {x.request_id: (x.allowed, x.retry_after) for x in mo.rate_limit_batch(spark.read.option("recursiveFileLookup", True).parquet(path), 120, 4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == whole == _plain_limit(rows, 120, 4)
+    assert 0 < sum(not ok for ok, _ in got.values()) < 600
+    kept = spark.read.parquet(f"{state}/times")
+    last = kept.where(F.col("batch") == kept.agg(F.max("batch")).first()[0])
+    assert last.groupBy("caller").count().agg(F.max("count")).first()[0] <= 4
+
+
 def test_histogram_is_cumulative(spark):
     log = spark.createDataFrame([(0.004,), (0.02,), (3.0,)], "seconds double").withColumn("route", F.lit("r"))
     r = mo.histogram(log, "seconds", (0.01, 0.025, 1.0), "route").first()
