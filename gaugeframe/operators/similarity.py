@@ -64,47 +64,214 @@ def _packed(df: DataFrame, *columns: str, side: int) -> DataFrame:
     return rows.mapInArrow(run, f"id long{kinds}, coarse binary")
 
 
+def _best_of(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, maps: list, k: int, same_set: bool) -> Iterator[tuple]:
+    """query, target, coarse of the k best rows of ``y`` for each row of ``x`` (9 places, ties to the smaller id), by strips of 256 queries."""
+    for at in range(0, len(x), 256):
+        mine = own[at : at + 256]
+        best = np.round(np.max([x[at : at + 256][:, m] @ y.T for m in maps], axis=0), 9)
+        if same_set:
+            best[mine[:, None] == ids[None, :]] = -2.0
+        n = min(k, best.shape[1])
+        floor = np.partition(best, best.shape[1] - n, axis=1)[:, best.shape[1] - n]
+        r, c = np.nonzero((best >= floor[:, None]) & (best > -2.0))
+        order = np.lexsort((ids[c], -best[r, c], r))
+        r, c = r[order], c[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < n
+        yield mine[r[keep]], ids[c[keep]], best[r[keep], c[keep]]
+
+
+FOUND = "query long, grp string, target long, coarse double"
+
+
+def _found(parts: list[tuple]) -> pd.DataFrame:
+    """(query, grp, target, coarse) pieces as one frame."""
+    frames = [pd.DataFrame({"query": q, "grp": grp, "target": t, "coarse": c}) for grp, (q, t, c) in parts]
+    return pd.concat(frames) if frames else pd.DataFrame({"query": [], "grp": [], "target": [], "coarse": []}).astype({"query": "int64", "grp": "object", "target": "int64", "coarse": "float64"})
+
+
+def _rows(pdf: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(pdf.coarse), float).reshape(len(pdf), -1)
+
+
+def _k_best(met: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query", "grp").orderBy(F.desc("coarse"), "target")
+    return met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+
+
 def shortlist(query: DataFrame, target: DataFrame, k: int, *, same_set: bool, side: int = 8) -> DataFrame:
     """query, grp, target, coarse: for each query and each group of targets (column ``grp``) the k best by coarse correlation.
 
-    Correlations count to 9 places, ties go to the smaller id.
+    Correlations count to 9 places, ties go to the smaller id.  Up to ``BLOCK_ROWS`` targets meet every query in one pass; more go
+    through an index of cells that leaves out what can't be among the k best (``cell_index``).
     """
     maps = orientation_maps(side // 2)
     q, many = materialize_observed(_packed(query, side=side), "coarse-queries", F.count(F.lit(1)).alias("n"))
     t, much = materialize_observed(_packed(target, "grp", side=side), "coarse-targets", F.count(F.lit(1)).alias("n"))
-    nq, nt = (max(1, -(-x["n"] // BLOCK_ROWS)) for x in (many, much))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select(F.lit(0).alias("kind"), "id", F.lit(None).cast("string").alias("grp"), "coarse", block(nq).alias("i"), every(nt).alias("j"))
-    right = t.select(F.lit(1).alias("kind"), "id", "grp", "coarse", every(nq).alias("i"), block(nt).alias("j"))
+    if much["n"] > BLOCK_ROWS:
+        index = cell_index(t, much["n"], maps)
+        near = materialize(_k_best(_visited(q, index, nearest_cells(q, index, k + same_set, maps), k, maps, same_set), k), "nearest-cells")
+        far = _visited(q, index, cells_in_reach(q, index, near, k, maps, same_set), k, maps, same_set)
+        return _k_best(near.unionByName(far).distinct(), k)
+    nq = max(1, -(-many["n"] // BLOCK_ROWS))
+    left = q.select(F.lit(0).alias("kind"), "id", F.lit(None).cast("string").alias("grp"), "coarse", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("i"))
+    right = t.select(F.lit(1).alias("kind"), "id", "grp", "coarse", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query": [], "grp": [], "target": [], "coarse": []}).astype({"query": "int64", "grp": "object", "target": "int64", "coarse": "float64"})]
         a, rest = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
-        if not len(a) or not len(rest):
-            return out[0]
-        x = np.frombuffer(b"".join(a.coarse), float).reshape(len(a), -1)
-        for grp, b in rest.groupby("grp", dropna=False, sort=True):
-            y = np.frombuffer(b"".join(b.coarse), float).reshape(len(b), -1).T
-            ids = b.id.to_numpy()
-            for at in range(0, len(x), 256):
-                own = a.id.to_numpy()[at : at + 256]
-                best = np.round(np.max([x[at : at + 256][:, m] @ y for m in maps], axis=0), 9)
-                if same_set:
-                    best[own[:, None] == ids[None, :]] = -2.0
-                n = min(k, best.shape[1])
-                floor = np.partition(best, best.shape[1] - n, axis=1)[:, best.shape[1] - n]
-                r, c = np.nonzero((best >= floor[:, None]) & (best > -2.0))
-                order = np.lexsort((ids[c], -best[r, c], r))
-                r, c = r[order], c[order]
-                first = np.searchsorted(r, r)
-                keep = np.arange(len(r)) - first < n
-                out.append(pd.DataFrame({"query": own[r[keep]], "grp": grp, "target": ids[c[keep]], "coarse": best[r[keep], c[keep]]}))
-        return pd.concat(out[1:] or out)
-
-    met = left.unionByName(right).groupBy("i", "j").applyInPandas(tile, "query long, grp string, target long, coarse double")
-    order = Window.partitionBy("query", "grp").orderBy(F.desc("coarse"), "target")
-    return met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+        parts = []
+        if len(a) and len(rest):
+            own, x = a.id.to_numpy(), _rows(a)
+            for grp, b in rest.groupby("grp", dropna=False, sort=True):
+                parts += [(grp, best) for best in _best_of(own, x, b.id.to_numpy(), _rows(b), maps, k, same_set)]
+        return _found(parts)
+
+    return _k_best(left.unionByName(right).groupBy("i").applyInPandas(tile, FOUND), k)
+
+
+#: Cells of the index at most; their centres (16 numbers each) travel in a broadcast.
+MOST_CELLS = 2048
+
+
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length 1 (or 0) and their lengths before."""
+    length = np.linalg.norm(x, axis=1)
+    return x / np.maximum(length, 1e-12)[:, None], length
+
+
+def _apart(x: np.ndarray, centres: np.ndarray, maps: list) -> np.ndarray:
+    """Distances of rows to centres, the least over the orientations: a metric between thumbnails up to turns and flips."""
+    square = (x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :]
+    return np.sqrt(np.maximum(square - 2 * np.max([x[:, m] @ centres.T for m in maps], axis=0), 0.0))
+
+
+def cell_index(t: DataFrame, n: int, maps: list) -> dict:
+    """Targets (id, grp, coarse) in cells around centres drawn from them: ``rows`` with cell and bin, ``sizes`` and ``reach`` of each cell.
+
+    Every target lies in the cell of its nearest centre and nowhere else.  A bin holds about ``BLOCK_ROWS`` rows: several cells, or a part of one.
+    """
+    count = int(min(MOST_CELLS, max(1, n**0.5)))
+    drawn = t.orderBy(F.xxhash64("id", F.coalesce("grp", F.lit("")))).limit(count).select("coarse").collect()  # MOST_CELLS rows at most
+    centres = _unit(np.stack([np.frombuffer(r["coarse"], float) for r in drawn]))[0]
+    shared = t.sparkSession.sparkContext.broadcast(centres)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x, _ = _unit(np.frombuffer(b"".join(part.column("coarse").to_pylist()), float).reshape(part.num_rows, -1))
+                far = _apart(x, shared.value, maps)
+                cell = far.argmin(axis=1)
+                yield part.append_column("cell", pa.array(cell.astype(np.int32))).append_column("far", pa.array(far[np.arange(len(cell)), cell]))
+
+    rows = materialize(t.mapInArrow(place, "id long, grp string, coarse binary, cell int, far double"), "cells-of-targets")
+    seen = rows.groupBy("cell", "grp").agg(F.count("*").alias("n"), F.max("far").alias("reach")).collect()  # a row for each cell and group
+    sizes: dict[str | None, np.ndarray] = {}
+    reach = np.zeros(len(centres))
+    for r in seen:
+        sizes.setdefault(r["grp"], np.zeros(len(centres), np.int64))[r["cell"]] = r["n"]
+        reach[r["cell"]] = max(reach[r["cell"]], r["reach"])
+    total = sum(sizes.values())
+    first, parts, filled = [], [], 0  # a cell's first bin, and how many it has
+    bins = 0
+    for n_cell in total.tolist():
+        if filled + n_cell > BLOCK_ROWS and filled:
+            bins, filled = bins + 1, 0
+        split = max(1, -(-n_cell // BLOCK_ROWS))
+        first.append(bins)
+        parts.append(split)
+        if split > 1:
+            bins, filled = bins + split, 0
+        else:
+            filled += n_cell
+    lookup = F.array(*(F.lit(b) for b in first)), F.array(*(F.lit(p) for p in parts))
+    at = F.col("cell") + 1
+    rows = rows.withColumn("bin", F.element_at(lookup[0], at) + F.pmod(F.xxhash64("id"), F.element_at(lookup[1], at)).cast("int"))
+    return {"rows": rows, "sizes": sizes, "reach": reach, "shared": shared, "first": np.array(first), "parts": np.array(parts)}
+
+
+def _visits(q: DataFrame, index: dict, choose) -> DataFrame:
+    """id, coarse, cell: the cells that each query goes to, by ``choose(row number, distances to the centres)``, a flag for each cell."""
+    maps, shared = index["maps"], index["shared"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x, length = _unit(np.frombuffer(b"".join(part.column("coarse").to_pylist()), float).reshape(part.num_rows, -1))
+                go = choose(_apart(x, shared.value, maps), length, part)
+                cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(go.sum(1))]).astype(np.int32)), pa.array(np.nonzero(go)[1].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("coarse"), cells], ["id", "coarse", "cells"])
+
+    return q.mapInArrow(run, "id long, coarse binary, cells array<int>")
+
+
+def nearest_cells(q: DataFrame, index: dict, k: int, maps: list) -> DataFrame:
+    """For each query its nearest cells that hold ``k`` rows of each group together (all cells of smaller groups)."""
+    index["maps"] = maps
+    sizes = list(index["sizes"].values())
+
+    def choose(far, length, part):
+        order = far.argsort(axis=1, kind="stable")
+        go = np.zeros(far.shape, bool)
+        for n in sizes:
+            before = np.cumsum(n[order], axis=1) - n[order]
+            go[np.arange(len(far))[:, None], order] |= (before < k) & (n[order] > 0)
+        return go
+
+    return _visits(q, index, choose)
+
+
+def cells_in_reach(q: DataFrame, index: dict, near: DataFrame, k: int, maps: list, same_set: bool) -> DataFrame:
+    """For each query the cells beyond its nearest that may hold one of its k best.
+
+    A row y of a cell with centre c is at least d(x, c) - reach(c) from x, and, since y is no nearer to any other centre, at least
+    (d(x, c) - d(x, c')) / 2 for the centre c' nearest to x.  With a distance of at least b the correlation is at most |x| (1 - b * b / 2),
+    or 0; cells where that lies below the k-th best found so far are left out.
+    """
+    first = nearest_cells(q, index, k + same_set, maps).select("id", F.col("cells").alias("seen"))
+    floor = near.groupBy("query", "grp").agg(F.count("*").alias("n"), F.min("coarse").alias("least"))
+    floor = floor.groupBy(F.col("query").alias("id")).agg(F.count("*").alias("groups"), F.min(F.when(F.col("n") < k, -2.0).otherwise(F.col("least"))).alias("least"))
+    groups, reach = len(index["sizes"]), index["reach"]
+
+    def choose(far, length, part):
+        least = np.where(part.column("groups").fill_null(0).to_numpy(zero_copy_only=False) < groups, -2.0, part.column("least").fill_null(-2.0).to_numpy(zero_copy_only=False))
+        bound = np.maximum(np.maximum(far - reach[None, :], (far - far.min(axis=1, keepdims=True)) / 2), 0.0)
+        most = length[:, None] * np.maximum(1 - bound * bound / 2, 0.0)
+        go = most + 1e-8 >= least[:, None]
+        for r, cells in enumerate(part.column("seen").to_pylist()):
+            go[r, cells] = False
+        return go
+
+    rows = q.join(first.hint("merge"), "id").join(floor.hint("merge"), "id", "left").select("id", "coarse", "seen", "groups", "least")
+    return _visits(rows, index, choose)
+
+
+def _visited(q: DataFrame, index: dict, visits: DataFrame, k: int, maps: list, same_set: bool) -> DataFrame:
+    """query, grp, target, coarse of the k best of each query in each bin that it goes to, among the rows of its cells."""
+    first, parts = (F.array(*(F.lit(int(v)) for v in index[c])) for c in ("first", "parts"))
+    bins = F.flatten(F.transform("cells", lambda c: F.transform(F.sequence(F.lit(0), F.element_at(parts, c + 1) - 1), lambda p: F.struct((F.element_at(first, c + 1) + p).alias("bin"), c.alias("cell")))))
+    goes = visits.select("id", "coarse", F.explode(bins).alias("b")).groupBy("id", "b.bin").agg(F.first("coarse").alias("coarse"), F.collect_list("b.cell").alias("cells"))
+    goes = materialize(goes, "visits")
+    blocks = goes.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n"))
+    blocks = materialize(blocks, "visited-bins")
+    none = F.lit(None).cast("int")
+    left = goes.join(blocks.hint("merge"), "bin").select(F.lit(0).alias("kind"), "id", F.lit(None).cast("string").alias("grp"), "coarse", none.alias("cell"), "cells", "bin", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("i"))
+    right = index["rows"].join(blocks.hint("merge"), "bin").select(F.lit(1).alias("kind"), "id", "grp", "coarse", "cell", F.lit(None).cast("array<int>").alias("cells"), "bin", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, rest = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
+        found = []
+        if len(a) and len(rest):
+            own, x = a.id.to_numpy(), _rows(a)
+            size = a.cells.str.len().to_numpy()
+            who, cell = np.repeat(np.arange(len(a)), size), np.concatenate(a.cells.to_numpy())
+            for (c, grp), b in rest.groupby(["cell", "grp"], dropna=False, sort=True):
+                go = who[cell == c]
+                found += [(grp, best) for best in _best_of(own[go], x[go], b.id.to_numpy(), _rows(b), maps, k, same_set)]
+        out = _found(found).sort_values(["query", "grp", "coarse", "target"], ascending=[True, True, False, True])
+        return out.groupby(["query", "grp"], dropna=False, sort=False).head(k)
+
+    return left.unionByName(right).groupBy("bin", "i").applyInPandas(tile, FOUND)
 
 
 def fine_scores(pairs: DataFrame, query: DataFrame, target: DataFrame, side: int = 8) -> DataFrame:
