@@ -1,6 +1,9 @@
 """The corpus pipeline: each stage reads what its predecessor kept and writes what the next one reads.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+
+Defined cases, for every stage: an empty table gives an empty result; columns beyond those of documents are dropped, whatever their names;
+texts are read whole, of any length; rows are rows, so repeated rows are treated alike and stay or go together.
 """
 
 from __future__ import annotations
@@ -22,13 +25,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go.
+
+    A null or empty text has the bias as its score, a null doc_id is scored like any other; rows of one doc_id are judged each by its own text.
+    """
     machine = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return without_toxic(spark, docs.select(*COLUMNS), machine)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays.
+
+    Documents without words (null, empty, white space) are near nothing and stay, and so do rows without a doc_id; rows of one doc_id
+    stay or go together.
+    """
     with scratch_scope(spark) as keep:
         found = near_duplicate_components(spark, docs, shingle_words=5, percent=80)
         gone = keep(written_side(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-copies", BROADCAST_VALUES))
@@ -36,7 +46,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat across documents stay in one of them; every document stays, with what is left of its text."""
+    """Passages that repeat across documents stay in one of them; every document stays, with what is left of its text.
+
+    The smallest doc_id keeps a passage.  A null text stays null, an empty one empty; repetition inside a document is left, rows of one
+    doc_id count as one document, those without a doc_id are left as they are.  n_chars follows the text where it was cut.
+    """
     docs = docs.select(*COLUMNS)
     with scratch_scope(spark) as keep:
         cuts = keep(removed_spans(repeated_passages(docs)))
@@ -44,12 +58,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn with the probabilities that meet the target weights of sources, languages and forms."""
+    """Documents are drawn with the probabilities that meet the target weights of sources, languages and forms.
+
+    A null source or language is a value of its own; a null or empty text counts as one token of the shortest form; the draw follows from
+    the doc_id, so rows of one doc_id are drawn together.
+    """
     return mix_documents(docs.select(*COLUMNS)).where("selected").select(*COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's token count and digests of its ids and of its decoded text."""
+    """Every document's token count and digests of its ids and of its decoded text; a null text counts as empty, a null doc_id stays null."""
     return coded_digests(encode_documents(spark, docs, piece_model(), decode=True))
 
 

@@ -231,3 +231,17 @@ def test_long_and_empty_conversations(spark):
     (back,) = chat.read_packs(chat.pack_conversations(df)).collect()
     assert list(back.texts) == [t for *_, t in rows]
     assert chat.read_packs(chat.pack_conversations(df.limit(0))).count() == 0
+
+
+def test_rows_of_one_id_and_repeated_rows(spark, library):
+    """Repeated rows are encoded each; among documents of one id the order of texts tells which is next."""
+    rows = [(4, "one text"), (4, "another text, rather longer than it"), (4, "one text"), (2, "first of all"), (9, "the last document of the table")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    coded = sorted((r.doc_id, tuple(r.ids), r.decoded) for r in piece_bpe.encode_documents(spark, df, piece_model(), decode=True).collect())
+    assert coded == sorted((i, tuple(library.encode(t)), t) for i, t in rows)
+    want, order = [], sorted(rows)
+    for (i, t), (_, nxt) in zip(order, [*order[1:], order[0]]):
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        want.append((i, len(t), fp.spell(fp.sketch([t])[0]), hashlib.sha256(edited.encode()).hexdigest()))
+    got = [(r.doc_id, r.n_chars, r.fingerprint, r.edited_sha256) for r in fp.fingerprints_with_edits(df).collect()]
+    assert sorted(got) == sorted(want)

@@ -382,3 +382,11 @@ def test_other_queries(spark):
     assert sorted(mixed.doc_id) == sorted(docs.doc_id) and mixed.deviation.max() < mixing.TOLERANCE
     scores = queries.op10_toxicity(spark, SF).toPandas()
     assert sorted(scores.doc_id) == sorted(docs.doc_id) and scores.score.between(0, 1).all()
+
+
+def test_very_long_texts_in_shards(spark):
+    rows = [(i, "w" * 2000 + str(i)) for i in range(60)] + [(100, "é" * 3_000_000), (101, "é" * 3_000_000), (102, "z" * 5_000_000)]
+    out = sharding.pack_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=5).toPandas()
+    size = dict(zip(out.doc_id, out["size"]))
+    assert len(out) == 63 and size[100] == 6_000_008 and size[102] == 5_000_008
+    assert out[out.doc_id.isin([100, 101])].shard.nunique() == 1 and out[out.doc_id.isin([100, 102])].shard.nunique() == 2
