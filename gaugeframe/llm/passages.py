@@ -184,84 +184,106 @@ def _members(kinds: DataFrame, wanted: Broadcast) -> DataFrame:
     return kinds.mapInArrow(run, "key long, low long, high long, band long")
 
 
+def _cut_pieces(column: pa.Array, least: int) -> dict[str, np.ndarray] | None:
+    """Pieces of texts between winnowed cuts, of at least ``least`` words: first and end word, text and key of each, and the words they are made of."""
+    data, offsets = _text.flat(column)
+    small = _text.lower(data)
+    start, end, bounds = _text.words(small, offsets)
+    if len(start) <= PIECE_WINDOW:
+        return None
+    hashed = _text.span_hashes(small, start, end)
+    pair = _text.mix(hashed[:-1] ^ (hashed[1:] * np.uint64(3)))
+    windows = np.lib.stride_tricks.sliding_window_view(pair, PIECE_WINDOW)
+    at = np.arange(len(windows))
+    of = np.searchsorted(bounds, at, side="right") - 1
+    inside = at + PIECE_WINDOW < bounds[of + 1]  # a window sees one text only
+    cut = np.unique((at + PIECE_WINDOW - 1 - windows[:, ::-1].argmin(axis=1))[inside])
+    first = cut + 1
+    stop = np.searchsorted(first, first + least)
+    first, stop = first[stop < len(first)], stop[stop < len(first)]
+    last = (cut + 1)[stop]
+    text = np.searchsorted(bounds, first, side="right") - 1
+    use = last <= bounds[text + 1]
+    first, last, text = first[use], last[use], text[use]
+    if not len(first):
+        return None
+    up, down = _text.powers(len(hashed) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * up[: len(hashed)])])
+    key = _text.mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
+    return {"first": first, "last": last, "text": text, "key": key, "start": start, "end": end, "bounds": bounds, "hashed": hashed, "data": data, "offsets": offsets}
+
+
+def _points(data: np.ndarray) -> np.ndarray:
+    """The code points before each byte."""
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+
+
 def _pieces(docs: DataFrame, least: int, wanted: Broadcast | None = None) -> DataFrame:
-    """Pieces of whole texts between winnowed cuts, of at least ``least`` words: doc_id and key; with the filter ``wanted`` only keys
+    """The pieces of whole texts (``_cut_pieces``): doc_id and key; with the filter ``wanted`` only keys
     that it lets through, and their first and end word and code point."""
     names = ["doc_id", "key"] if wanted is None else ["doc_id", "key", "first", "last", "start", "until"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _text.chunks(batch, "text"):
-                data, offsets = _text.flat(part.column("text"))
-                small = _text.lower(data)
-                start, end, bounds = _text.words(small, offsets)
-                if len(start) <= PIECE_WINDOW:
+                cut = _cut_pieces(part.column("text"), least)
+                if cut is None:
                     continue
-                hashed = _text.span_hashes(small, start, end)
-                pair = _text.mix(hashed[:-1] ^ (hashed[1:] * np.uint64(3)))
-                windows = np.lib.stride_tricks.sliding_window_view(pair, PIECE_WINDOW)
-                at = np.arange(len(windows))
-                of = np.searchsorted(bounds, at, side="right") - 1
-                inside = at + PIECE_WINDOW < bounds[of + 1]  # a window sees one text only
-                cut = np.unique((at + PIECE_WINDOW - 1 - windows[:, ::-1].argmin(axis=1))[inside])
-                first = cut + 1
-                stop = np.searchsorted(first, first + least)
-                first, stop = first[stop < len(first)], stop[stop < len(first)]
-                last = (cut + 1)[stop]
-                text = np.searchsorted(bounds, first, side="right") - 1
-                use = last <= bounds[text + 1]
-                first, last, text = first[use], last[use], text[use]
-                if not len(first):
-                    continue
-                up, down = _text.powers(len(hashed) + 1)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * up[: len(hashed)])])
-                key = _text.mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)).view(np.int64)
+                first, last, text, key = (cut[c] for c in ("first", "last", "text", "key"))
                 columns = []
                 if wanted is not None:
                     use = _wanted(key, wanted)
                     first, last, text, key = first[use], last[use], text[use], key[use]
-                    point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                    origin = point[offsets[text]]
-                    ints = (first - bounds[text], last - bounds[text], point[start[first]] - origin, point[end[last - 1]] - origin)
+                    point = _points(cut["data"])
+                    origin, before = point[cut["offsets"][text]], cut["bounds"][text]
+                    ints = (first - before, last - before, point[cut["start"][first]] - origin, point[cut["end"][last - 1]] - origin)
                     columns = [pa.array(x.astype(np.int32)) for x in ints]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), pa.array(key), *columns], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long" + ("" if wanted is None else ", first int, last int, start int, until int"))
 
 
-def _sides(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """For the ends (doc_id, run, key, left, at) of runs: hashes of the up to ``REACH`` words before (left) or after them, nearest
-    first, and the code points that a run extended by so many words reaches to."""
-    names = ["doc_id", "run", "key", "left", "words", "points"]
-    per = ends.groupBy(F.col("doc_id").alias("end_id")).agg(F.collect_list(F.struct("run", "key", "left", "at")).alias("ends"))
-    rows = docs.join(written_side(per, "run-ends", BROADCAST_VALUES, 1 + 4 * F.size("ends")), F.col("doc_id") == F.col("end_id"))
+def _sides(docs: DataFrame, ends: DataFrame, least: int) -> DataFrame:
+    """For the ends (doc_id, run, key, left, at; a written table) of runs: hashes of the up to ``REACH`` words before (left) or after them,
+    nearest first, and the code points that a run extended by so many words reaches to.
+
+    Texts are cut into pieces once more, and a task hands on only the sides of pieces that the filter of the ends lets through; the exact
+    join follows, so no text is shuffled.
+    """
+    names = ["doc_id", "key", "left", "at", "words", "points"]
+    mark = F.shiftleft("doc_id", 1).bitwiseOR(F.col("left").cast("long"))
+    asked = key_filter(ends.select(F.col("key").bitwiseXOR(mark).alias("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _text.chunks(batch, "text"):
-                data, offsets = _text.flat(part.column("text"))
-                small = _text.lower(data)
-                start, end, bounds = _text.words(small, offsets)
-                hashed = (_text.span_hashes(small, start, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                size = np.diff(np.asarray(part.column("ends").offsets))
-                number, key, left, at = (x.to_numpy(zero_copy_only=False) for x in part.column("ends").flatten().flatten())
-                of = np.repeat(np.arange(len(size)), size)
-                left, at = left.astype(bool), bounds[of] + at.astype(np.int64)
-                n = np.clip(np.where(left, at - bounds[of], bounds[of + 1] - at), 0, REACH)
-                each = np.concatenate([[0], np.cumsum(n)])
-                back, own = np.repeat(left, n), np.repeat(at, n)
-                step = np.arange(each[-1]) - np.repeat(each[:-1], n)
-                word = np.where(back, own - 1 - step, own + step)
-                place = np.where(back, point[start[word]], point[end[word]]) - np.repeat(point[offsets[of]], n)
-                lists = [pa.ListArray.from_arrays(pa.array(each.astype(np.int32)), pa.array(v)) for v in (hashed[word], place.astype(np.int32))]
-                ids = part.column("doc_id").take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number), pa.array(key), pa.array(left), *lists], names)
-
-    return rows.select("doc_id", "text", "ends").mapInArrow(run, "doc_id long, run long, key long, left boolean, words array<int>, points array<int>")
-
-
-def _extended(docs: DataFrame, hits: DataFrame, runs: DataFrame) -> DataFrame:
+                cut = _cut_pieces(part.column("text"), least)
+                if cut is None:
+                    continue
+                start, end, bounds, text, key = (cut[c] for c in ("start", "end", "bounds", "text", "key"))
+                ids = part.column("doc_id").to_numpy()[text]
+                short = (cut["hashed"] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                point = None
+                for left, place in ((True, cut["first"]), (False, cut["last"])):
+                    use = _wanted(key ^ (ids << 1 | int(left)), asked)
+                    if not use.any():
+                        continue
+                    point = _points(cut["data"]) if point is None else point
+                    at, of = place[use], text[use]
+                    n = np.clip(at - bounds[of] if left else bounds[of + 1] - at, 0, REACH)
+                    each = np.concatenate([[0], np.cumsum(n)])
+                    step = np.arange(each[-1]) - np.repeat(each[:-1], n)
+                    word = np.repeat(at, n) + (-1 - step if left else step)
+                    reached = point[start[word] if left else end[word]] - np.repeat(point[cut["offsets"][of]], n)
+                    lists = [pa.ListArray.from_arrays(pa.array(each.astype(np.int32)), pa.array(v)) for v in (short[word], reached.astype(np.int32))]
+                    columns = [pa.array(ids[use]), pa.array(key[use]), pa.array(np.full(len(at), left)), pa.array((at - bounds[of]).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, *lists], names)
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, left boolean, at int, words array<int>, points array<int>")
+    return found.join(ends.hint("merge"), ["doc_id", "key", "left", "at"]).select("doc_id", "run", "key", "left", "words", "points")
+
+
+def _extended(docs: DataFrame, hits: DataFrame, runs: DataFrame, least: int) -> DataFrame:
     """``runs`` with the equal words on both sides: a removed run those that the keeper of its outermost piece has there too, a kept
     run those that the first document (by id) from which the piece is removed has there."""
     runs = runs.withColumn("run", 2 * F.col("run") + F.col("removed").cast("long"))  # one number for each run of a document
@@ -275,7 +297,9 @@ def _extended(docs: DataFrame, hits: DataFrame, runs: DataFrame) -> DataFrame:
     others = first.join(asked.hint("merge"), ["key", "removed"]).select(
         "s.doc_id", (-1 - F.col("removed").cast("long")).alias("run"), "key", "left", F.when(F.col("left"), F.col("s.first")).otherwise(F.col("s.last")).alias("at")
     )
-    both = materialize(_sides(docs, ends.drop("removed").unionByName(others)), "run-sides")
+    ends = materialize(ends.drop("removed").unionByName(others).distinct(), "run-ends")
+    both = materialize(_sides(docs, ends, least), "run-sides")
+    release(docs.sparkSession)
     own = both.where("run >= 0").withColumn("other", -1 - (1 - F.col("run") % 2))
     met = own.join(both.where("run < 0").select("key", "left", F.col("run").alias("other"), F.col("words").alias("others")).hint("merge"), ["key", "left", "other"])
     differ = F.array_position(F.zip_with("words", "others", lambda x, y: x.eqNullSafe(y)), False)
@@ -313,7 +337,7 @@ def _equal_runs(docs: DataFrame, least: int) -> DataFrame:
     runs = materialize(runs, "equal-runs")
     del again, hits
     release(docs.sparkSession)
-    return _extended(docs, every, runs)
+    return _extended(docs, every, runs, least)
 
 
 def _linked(rows: DataFrame, percent: int) -> DataFrame:
