@@ -144,7 +144,7 @@ def brute_trie(rows):
     return out
 
 
-@pytest.mark.parametrize("cells", [1, 7, 40, 1 << 20])
+@pytest.mark.parametrize("cells", [1, 40])
 def test_trie_against_brute_force(spark, cells):
     rows = odd_turns(cells, [*range(0, 130), 400, -3, -20, 10**12])
     rows += [(c, t, "user", "the same words") for c in range(500, 540) for t in range(3)] + [(700, t, "user", f"{t % 3}") for t in range(90)]
