@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gaugeframe.functions.arrays import bin_index
 from gaugeframe.functions.scores import logit, sigmoid
 from gaugeframe.operators.ranking import exact_quantiles, running_totals
-from gaugeframe.sources.scratch import drop_written, materialize
+from gaugeframe.sources.scratch import drop_written, materialize, materialize_observed
 
 #: Distinct scores that one task of the bootstrap draws weights for at a time.
 CELLS = 1024
@@ -123,18 +123,49 @@ def spearman_by(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 BOOTSTRAPPED = ("average_precision", "roc_auc", "precision", "recall", "f1", "macro_f1", "accuracy")
 
 
-def _drawn(cells: pd.DataFrame, block: int, resamples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Poisson weights (cells x resamples) of the positives and negatives of a block; equal whenever the block is drawn again."""
-    rng = np.random.Generator(np.random.PCG64(zlib.crc32(f"{seed}|{block}".encode())))
-    return tuple(rng.poisson(cells[c].to_numpy()[:, None], (len(cells), resamples)) for c in ("pos", "neg"))
+def _rng(*key: int | str) -> np.random.Generator:
+    """The generator of one node or block; equal whenever it is asked for again."""
+    return np.random.Generator(np.random.PCG64(zlib.crc32("|".join(map(str, key)).encode())))
+
+
+def _dealt(path: pd.DataFrame, resamples: int, seed: int) -> np.ndarray:
+    """How many of each resample's draws fall into one block: from the root of the tree of blocks on, a node deals its draws to its
+    two halves by a binomial over their rows.  ``path`` holds the nodes above the block: level, node, rows, left_rows, went_right."""
+    path = path.sort_values("level", ascending=False)
+    draws = np.full(resamples, path["rows"].iloc[0], np.int64)
+    for level, node, rows, left, right in path[["level", "node", "rows", "left_rows", "went_right"]].itertuples(index=False):
+        if level:
+            to_left = _rng(seed, "node", level, node).binomial(draws, left / rows)
+            draws = draws - to_left if right else to_left
+    return draws
+
+
+def _drawn(cells: pd.DataFrame, block: int, draws: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The draws of a block dealt to its cells (cells x resamples), positives and negatives; equal whenever the block is drawn again."""
+    counts = np.concatenate([cells["pos"].to_numpy(), cells["neg"].to_numpy()]).astype(float)
+    weights = _rng(seed, "block", block).multinomial(draws, counts / counts.sum()).T
+    return weights[: len(cells)], weights[len(cells) :]
+
+
+def _paths(cells: DataFrame) -> DataFrame:
+    """For each block the nodes of the binary tree over all blocks that lie above it, level 0 being the block itself."""
+    sizes, seen = materialize_observed(cells.groupBy("block").agg(F.sum(F.col("pos") + F.col("neg")).alias("n")), "bootstrap-blocks", F.max("block").alias("last"))
+    levels = F.sequence(F.lit(0), F.lit(int(seen["last"] or 0).bit_length()))
+    above = sizes.select("block", "n", F.explode(levels).alias("level")).select("block", "n", "level", F.expr("shiftright(block, level)").alias("node"))
+    nodes = materialize(above.groupBy("level", "node").agg(F.sum("n").alias("rows")), "bootstrap-nodes")
+    left = nodes.where("node % 2 = 0").select((F.col("level") + 1).alias("level"), (F.col("node") / 2).cast("long").alias("node"), F.col("rows").alias("left_rows"))
+    path = above.drop("n").join(nodes.hint("merge"), ["level", "node"]).join(left.hint("merge"), ["level", "node"], "left")
+    went_right = (F.col("level") > 0) & (F.expr("shiftright(block, level - 1)") % 2 == 1)
+    return path.select("block", "level", "node", "rows", F.coalesce("left_rows", F.lit(0)).alias("left_rows"), went_right.alias("went_right"))
 
 
 def resampled_counts(df: DataFrame, threshold: float, resamples: int, seed: int = 0) -> DataFrame:
     """For each resample b: tp, fp, tn, fn at the threshold and the sums ``steps`` and ``below`` of the two ranking metrics.
 
-    Rows are first counted by distinct score and label; a resample gives each count c a Poisson(c) weight, as if each of its rows
-    had a Poisson(1) weight of its own, so rows are never multiplied.  Scores lie in blocks of ``CELLS`` in descending order: one
-    pass sums the weights of a block, a second adds the totals of the blocks before and draws the same weights again.
+    Each resample draws exactly as many rows as there are, with replacement, yet rows are never multiplied: they are counted by distinct
+    score and label, the counts lie in blocks of ``CELLS`` scores in descending order, and a resample's draws are dealt down a binary tree
+    over the blocks (binomials) and to the counts of a block (a multinomial), by generators that follow from seed and place.  One pass
+    sums the draws of a block, a second adds the totals of the blocks before and draws the same again.
     """
     from gaugeframe.operators.ranking import distributed_rank
 
@@ -142,18 +173,20 @@ def resampled_counts(df: DataFrame, threshold: float, resamples: int, seed: int
     placed = distributed_rank(each.withColumn("down", -F.col("p")), [], ["down"], "at")
     cells = materialize(placed.select(F.floor(F.col("at") / CELLS).alias("block"), "at", "p", "pos", "neg"), "bootstrap-cells")
 
-    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pos, neg = _drawn(pdf.sort_values("at"), key[0], resamples, seed)
-        return pd.DataFrame({"block": key[0], "b": np.arange(resamples), "pos": pos.sum(0), "neg": neg.sum(0)})
+    def sums(key: tuple, pdf: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        draws = _dealt(path, resamples, seed)
+        pos, neg = _drawn(pdf.sort_values("at"), key[0], draws, seed)
+        return pd.DataFrame({"block": key[0], "b": np.arange(resamples), "draws": draws, "pos": pos.sum(0), "neg": neg.sum(0)})
 
-    blocks = cells.groupBy("block").applyInPandas(sums, "block long, b int, pos long, neg long")
+    dealt = cells.groupBy("block").cogroup(_paths(cells).groupBy("block"))
+    blocks = dealt.applyInPandas(sums, "block long, b int, draws long, pos long, neg long")
     ahead = Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select("block", "b", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("pos", "neg")))
+    before = blocks.select("block", "b", "draws", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("pos", "neg")))
     before = materialize(before, "bootstrap-before")
 
     def metrics(key: tuple, pdf: pd.DataFrame, off: pd.DataFrame) -> pd.DataFrame:
         pdf, off = pdf.sort_values("at"), off.sort_values("b")
-        pos, neg = _drawn(pdf, key[0], resamples, seed)
+        pos, neg = _drawn(pdf, key[0], off["draws"].to_numpy(), seed)
         tp, fp = pos.cumsum(0) + off.pos.to_numpy(), neg.cumsum(0) + off.neg.to_numpy()
         hit = (pdf.p.to_numpy() >= threshold)[:, None]
         flagged = tp + fp
@@ -178,7 +211,7 @@ def point_metrics(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, threshold: float, resamples: int, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """metric, point, low, high, resamples, skipped of the seven metrics by the Poisson bootstrap; single-class resamples are skipped and counted."""
+    """metric, point, low, high, resamples, skipped of the seven metrics by the bootstrap (as many draws as rows); single-class resamples are skipped and counted."""
     each = resampled_counts(df, threshold, resamples, seed)
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     pos, neg = tp + fn, tn + fp

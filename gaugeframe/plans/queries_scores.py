@@ -141,7 +141,7 @@ def _(s, d):
 
 @query("d18_bootstrap")
 def _(s, d):
-    """Seven metrics, 1,000 resamples (numpy's Poisson draws are not SQL; tests hold them against a plain bootstrap)."""
+    """Seven metrics, 1,000 resamples (numpy's binomial draws are not SQL; tests hold them against a plain bootstrap)."""
     return m.bootstrap(logits(s, d), THRESHOLD, 1000)
 
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,13 +256,15 @@ def test_bootstrap_blocks_are_one_curve(spark, monkeypatch):
     monkeypatch.setattr(m, "CELLS", 7)
     rows = m.resampled_counts(df, 0.5, 3).toPandas()
     cells = sorted(((r.p, r.label) for r in df.collect()), reverse=True)
+    paths = m._paths(spark.createDataFrame([(i // 7, 1, 0) for i in range(50)], "block long, pos long, neg long")).toPandas()
+    dealt = [m._dealt(paths[paths.block == block], 3, 0) for block in range(8)]
+    assert (np.sum(dealt, axis=0) == 50).all() and len({tuple(x) for x in dealt}) > 1
+    assert (rows.tp + rows.fp + rows.tn + rows.fn == 50).all()  # as many draws as rows, in every resample
     for b in range(3):
         tp = fp = steps = below = 0.0
         for at in range(0, 50, 7):
-            import pandas as pd
-
             pdf = pd.DataFrame({"pos": [y for _, y in cells[at : at + 7]], "neg": [1 - y for _, y in cells[at : at + 7]]})
-            pos, neg = (w[:, b] for w in m._drawn(pdf, at // 7, 3, 0))
+            pos, neg = (w[:, b] for w in m._drawn(pdf, at // 7, dealt[at // 7], 0))
             for x, y in zip(pos, neg):
                 tp, fp = tp + x, fp + y
                 steps += x * tp / (tp + fp) if tp + fp else 0
@@ -461,3 +464,22 @@ def test_hub_joins_are_two_plain_shuffles(spark):
     plan = graph._pointed(edges, edges.groupBy("u").agg(F.min("v").alias("m")))._jdf.queryExecution().executedPlan().toString()
     join = plan[plan.index("SortMergeJoin") :]
     assert join.count("Exchange hashpartitioning(k#") == 2
+
+
+def test_bootstrap_draws_are_those_with_replacement(spark, monkeypatch):
+    """Over many resamples a row is drawn once on average with the variance of n draws, and two rows of far blocks exclude each other a little."""
+    monkeypatch.setattr(m, "CELLS", 4)
+    paths = m._paths(spark.createDataFrame([(i // 4, int(i % 3 == 0), int(i % 3 > 0)) for i in range(30)], "block long, pos long, neg long")).toPandas()
+    drawn = []
+    for block in range(8):
+        own = pd.DataFrame({"pos": [int(i % 3 == 0) for i in range(30) if i // 4 == block], "neg": [int(i % 3 > 0) for i in range(30) if i // 4 == block]})
+        pos, neg = m._drawn(own, block, m._dealt(paths[paths.block == block], 20_000, 5), 5)
+        drawn.extend(pos + neg)
+    drawn = np.array(drawn)
+    assert (drawn.sum(0) == 30).all() and np.abs(drawn.mean(1) - 1).max() < 0.05
+    cov = np.cov(drawn)
+    assert np.abs(np.diag(cov) - 29 / 30).max() < 0.06 and np.abs(cov - np.diag(np.diag(cov)) + (1 - np.eye(30)) / 30).max() < 0.05
+
+
+def test_bootstrap_of_no_rows(spark):
+    assert m.resampled_counts(spark.createDataFrame([], "id string, label int, p double"), 0.5, 3).count() == 0
