@@ -58,9 +58,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn with the probabilities that meet the target weights of sources, languages and forms.
+    """Documents are drawn with the probabilities that meet the target weights of sources, languages and topics.
 
-    A null source or language is a value of its own; a null or empty text counts as one token of the shortest form; the draw follows from
+    A null source or language is a value of its own; a null or empty text counts as one token without a topic; the draw follows from
     the doc_id, so rows of one doc_id are drawn together.
     """
     return mix_documents(docs.select(*COLUMNS)).where("selected").select(*COLUMNS)

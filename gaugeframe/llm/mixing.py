@@ -10,17 +10,27 @@ selected when a uniform number from the MD5 of its id is below its probability,
 so the choice repeats.
 
 Targets are shares per value of a margin; by default a margin's token shares to
-the power ``temper``, which lifts small sources, languages and topics.  Where no
-topic column exists, the ``form`` of the text stands for it: short, medium or long.
-
-Text is read twice, for the cells' sums and for the documents' rows, without a
+the power ``temper``, which lifts small sources, languages and topics.
+
+A document's topic is that of ``topic_col`` where one is named, else it is taken
+from the text: its distinct lower-cased words are hashed with signs into ``DIMS``
+sums, of unit length; the mean of the document's language is taken off, so that a
+topic is what sets texts of one language apart, and the nearest of ``TOPICS``
+directions, found by spherical k-means over all documents, is the topic.  The
+start is the best of ``RESTARTS`` on the ``START`` documents of smallest hash, each
+of the ``STEPS`` rounds that follow reads the vectors of all documents; vectors are whole numbers, so their
+sums and the topics don't depend on the order of tasks.
+
+Text is read twice, for the vectors and for the documents' rows, without a
 shuffle of texts.  The cells are sums, a few numbers for each combination that
 occurs; a table of at most ``CELLS_IN_TASK`` of them is raked in one Arrow task,
 a larger one by the same steps as joins, a round to a written table.
 
 Defined cases: null source or lang is a value of its own; a null or empty text
-has no tokens and counts as one; a null id draws from the MD5 of the empty
-string; repeated rows are chosen alike; an empty table gives an empty result.
+has no tokens and counts as one, its topic is ``none``, as is that of a text whose
+vector is its language's mean; equally near topics go to the smaller number;
+languages beyond the ``LANGS`` most frequent share one mean; a null id draws from
+the MD5 of the empty string; repeated rows are chosen alike; an empty table gives an empty result.
 Targets that contradict each other (a margin's values that occur with too few of
 another's) can't all be met: after ``ROUNDS`` rounds the last weights stand, and
 ``deviation`` says how far the worst margin's sum is from its target (relative;
@@ -38,13 +48,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.llm import _text
 from gaugeframe.sources.scratch import drop_written, materialize, materialize_observed
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS, TOLERANCE = 200, 1e-4
 TEMPER = 0.5
 SHARE = 0.75
-FORM_WORDS = (150, 800)
+#: Topics taken from texts: their number, the numbers of a vector and their unit, rounds, documents that the start is chosen from.
+TOPICS, DIMS, UNIT, STEPS, START = 8, 64, 4096, 6, 2048
+RESTARTS = 12
+#: Languages with a mean of their own.
+LANGS = 1000
 CELLS_IN_TASK = 200_000
 CELL_BROADCAST_ROWS = 200_000
 RESULTS = ("_tokens", "_source", "_lang", "_topic", "weight", "probability", "deviation", "selected")
@@ -55,12 +70,154 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
 
 
-def with_cells(docs: DataFrame, topic_col: str | None = None) -> DataFrame:
-    """``docs`` with ``_tokens`` and the margin columns ``_source``, ``_lang``, ``_topic`` (no nulls)."""
-    docs = docs.withColumn("_tokens", token_count(F.col("text").cast("string")))
-    form = F.when(F.col("_tokens") < FORM_WORDS[0], "short").when(F.col("_tokens") < FORM_WORDS[1], "medium").otherwise("long")
+def text_vectors(column: pa.Array) -> np.ndarray:
+    """Vectors (texts x DIMS, int16) of the distinct lower-cased words of each whole text; zero for texts without words."""
+    data, offsets = _text.flat(column)
+    data = _text.lower(data)
+    start, end, bounds = _text.words(data, offsets)
+    value, bounds = _text.distinct(_text.span_hashes(data, start, end), bounds)
+    n = len(bounds) - 1
+    place = np.repeat(np.arange(n), np.diff(bounds)) * DIMS + (value % np.uint64(DIMS)).astype(np.int64)
+    sign = np.where(value >> np.uint64(63), 1.0, -1.0)
+    v = np.bincount(place, weights=sign, minlength=n * DIMS).reshape(n, DIMS)
+    length = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.rint(np.divide(v, length, out=np.zeros(v.shape), where=length > 0) * UNIT).astype(np.int16)
+
+
+class Topics:
+    """Means of the languages (the value ``*`` for all others) and directions of the topics."""
+
+    def __init__(self, means: dict[str, np.ndarray], centres: np.ndarray):
+        self.means, self.centres = means, centres
+
+    def centred(self, vectors: np.ndarray, lang: list[str]) -> np.ndarray:
+        """Whole numbers left when the language's mean is taken off; zero stays for texts without words."""
+        mean = np.stack([self.means.get(x, self.means["*"]) for x in lang]) if lang else np.zeros((0, DIMS), np.int64)
+        return np.where(vectors.any(1)[:, None], vectors.astype(np.int64) - mean, 0)
+
+    def of(self, centred: np.ndarray) -> np.ndarray:
+        """Numbers of the nearest topics, -1 for zero vectors."""
+        if not len(self.centres):
+            return np.full(len(centred), -1)
+        return np.where(centred.any(1), (centred @ self.centres.T).argmax(1), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows as whole numbers of length ``UNIT``, so that products with vectors are exact."""
+    length = np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    return np.rint(np.divide(x, length, out=np.zeros(x.shape), where=length > 0) * UNIT).astype(np.int64)
+
+
+def _started(points: np.ndarray, k: int) -> np.ndarray:
+    """Up to ``k`` directions that fit ``points`` best, of ``RESTARTS`` runs: k-means++ with fixed draws, then rounds on these points."""
+    points = _unit(points[points.any(1)])
+    best, least = np.zeros((0, DIMS), np.int64), np.inf
+    for seed in range(RESTARTS if len(points) else 0):
+        rng, chosen = np.random.Generator(np.random.PCG64(seed)), []
+        far = np.ones(len(points))
+        while len(chosen) < k and far.sum() > 1e-6:
+            at = int(np.searchsorted(np.cumsum(far), rng.random() * far.sum(), side="right").clip(0, len(points) - 1))
+            chosen.append(points[at])
+            far = np.minimum(far, np.maximum(0.0, 1.0 - points @ points[at] / UNIT**2))
+        centres = np.stack(chosen)
+        for _ in range(STEPS):
+            topic = (points @ centres.T).argmax(1)
+            sums = np.stack([points[topic == t].sum(0) for t in range(len(centres))])
+            centres = np.where(sums.any(1)[:, None], _unit(sums), centres)
+        off = -float((points @ centres.T).max(1).sum())
+        if off < least:
+            best, least = centres, off
+    return best
+
+
+def _vector_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str]]:
+    vectors = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, DIMS)
+    return vectors, batch.column("_lang").to_pylist()
+
+
+def _sums(vectors: DataFrame, fitted: Topics) -> np.ndarray:
+    """Summed vectors of each topic's documents (topics x DIMS); a task hands on no more than one row for each."""
+    k = len(fitted.centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, DIMS), np.int64)
+        for batch in batches:
+            own = fitted.centred(*_vector_rows(batch))
+            topic = fitted.of(own)
+            for t in range(k):
+                total[t] += own[topic == t].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k), DIMS)), pa.array(np.tile(np.arange(DIMS), k)), pa.array(total.ravel())], ["k", "d", "s"])
+
+    out = np.zeros((k, DIMS), np.int64)
+    for r in vectors.select("_lang", "v").mapInArrow(run, "k long, d long, s long").groupBy("k", "d").agg(F.sum("s").alias("s")).collect():  # k * DIMS rows
+        out[r["k"], r["d"]] = r["s"]
+    return out
+
+
+def fit_topics(vectors: DataFrame, topics: int = TOPICS) -> Topics:
+    """Topics of a written table of ``_lang`` and ``v``."""
+    worded = vectors.where(F.exists("v", lambda x: x != 0))
+    parts = [F.sum(F.col("v")[i].cast("long")).alias(f"s{i}") for i in range(DIMS)]
+    each = worded.groupBy("_lang").agg(F.count("*").alias("n"), *parts).orderBy(F.desc("n"), "_lang").limit(LANGS)
+    every = worded.agg(F.count("*").alias("n"), *parts).select(F.lit("*").alias("_lang"), "n", *(f"s{i}" for i in range(DIMS)))
+    means = {r["_lang"]: np.array([round((r[f"s{i}"] or 0) / max(1, r["n"])) for i in range(DIMS)], np.int64) for r in each.unionByName(every).collect()}  # LANGS + 1 rows
+    fitted = Topics(means, np.zeros((0, DIMS), np.int64))
+    first = worded.orderBy(F.xxhash64("v", "_lang"), "v", "_lang").limit(START).select("_lang", "v").collect()  # START rows
+    if first:
+        fitted.centres = _started(fitted.centred(np.array([r["v"] for r in first], np.int16), [r["_lang"] for r in first]), topics)
+    for _ in range(STEPS if len(fitted.centres) else 0):
+        sums = _sums(vectors, fitted)
+        new = np.where(sums.any(1)[:, None], _unit(sums), fitted.centres)
+        if (new == fitted.centres).all():
+            break
+        fitted.centres = new
+    return fitted
+
+
+def _named(topic: np.ndarray) -> pa.Array:
+    return pa.array([f"topic {t}" if t >= 0 else "none" for t in topic.tolist()], pa.string())
+
+
+def _vectors(docs: DataFrame) -> DataFrame:
+    """A written table of _tokens, _source, _lang and v of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.chunks(batch, "text"):
+                v = text_vectors(part.column("text"))
+                found = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, DIMS, dtype=np.int32)), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_tokens", "_source", "_lang")), found], ["_tokens", "_source", "_lang", "v"])
+
+    rows = docs.select("_tokens", "_source", "_lang", F.col("text").cast("string").alias("text"))
+    return materialize(rows.mapInArrow(run, "_tokens long, _source string, _lang string, v array<smallint>"), "topic-vectors")
+
+
+def _with_vector_topics(vectors: DataFrame, fitted: Topics) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topic = _named(fitted.of(fitted.centred(*_vector_rows(batch))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_tokens", "_source", "_lang")), topic], ["_tokens", "_source", "_lang", "_topic"])
+
+    return vectors.mapInArrow(run, "_tokens long, _source string, _lang string, _topic string")
+
+
+def with_text_topics(docs: DataFrame, fitted: Topics) -> DataFrame:
+    """``docs`` (with ``_lang``) with ``_topic`` from the text, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.chunks(batch, "text"):
+                topic = _named(fitted.of(fitted.centred(text_vectors(part.column("text")), part.column("_lang").to_pylist())))
+                yield pa.RecordBatch.from_arrays([*part.columns, topic], [*part.schema.names, "_topic"])
+
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_topic string"]))
+
+
+def with_margins(docs: DataFrame, topic_col: str | None = None) -> DataFrame:
+    """``docs`` with ``_tokens`` and the columns ``_source``, ``_lang`` and, from ``topic_col``, ``_topic`` (no nulls)."""
     value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    return docs.withColumns({"_source": value("source"), "_lang": value("lang"), "_topic": value(topic_col) if topic_col else form})
+    named = {"_source": value("source"), "_lang": value("lang")} | ({"_topic": value(topic_col)} if topic_col else {})
+    return docs.withColumns({"_tokens": token_count(F.col("text").cast("string"))} | named)
 
 
 def with_targets(cells: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
@@ -179,10 +336,11 @@ def _constant(cells: DataFrame, wanted: float) -> float:
 
 
 def mixing_weights(
-    docs: DataFrame, *, share: float = SHARE, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None, topic_col: str | None = None, cells_in_task: int = CELLS_IN_TASK
+    placed: DataFrame, *, share: float = SHARE, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None, cells_in_task: int = CELLS_IN_TASK
 ) -> DataFrame:
-    """A written table of cells: _source, _lang, _topic, weight, probability and deviation, hinted for its join."""
-    sums = with_cells(docs, topic_col).groupBy(*(F.col(f"_{m}").alias(m) for m in MARGINS)).agg(F.sum("_tokens").alias("tokens"))
+    """A written table of cells: _source, _lang, _topic, weight, probability and deviation, hinted for its join; ``placed`` holds the
+    margin columns and ``_tokens`` of each document."""
+    sums = placed.groupBy(*(F.col(f"_{m}").alias(m) for m in MARGINS)).agg(F.sum("_tokens").alias("tokens"))
     cells, seen = materialize_observed(with_targets(sums, targets), "cells", F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
     if seen["n"] <= cells_in_task:
         out = _in_one_task(cells, share, temper)
@@ -198,9 +356,16 @@ def draw(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, *, topic_col: str | None = None, topics: int = TOPICS, **options) -> DataFrame:
     """``docs`` with ``_tokens``, the margin columns, ``weight``, ``probability``, ``deviation`` and ``selected``."""
-    docs = docs.drop(*RESULTS)
-    cells = mixing_weights(docs, **options)
-    placed = with_cells(docs, options.get("topic_col")).join(cells, [f"_{m}" for m in MARGINS])
+    placed = with_margins(docs.drop(*RESULTS) if topic_col not in RESULTS else docs.drop(*(c for c in RESULTS if c != topic_col)), topic_col)
+    if topic_col:
+        cells = mixing_weights(placed, **options)
+    else:
+        vectors = _vectors(placed)
+        fitted = fit_topics(vectors, topics)
+        cells = mixing_weights(_with_vector_topics(vectors, fitted), **options)
+        drop_written(vectors)
+        placed = with_text_topics(placed, fitted)
+    placed = placed.join(cells, [f"_{m}" for m in MARGINS])
     return placed.withColumn("selected", draw(F.col("doc_id")) < F.col("probability"))

@@ -151,9 +151,9 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their raked weights, calibrated probabilities and the choice; the form of the text is the third margin."""
+    """All documents with their raked weights, calibrated probabilities and the choice; topics are taken from the texts."""
     mixed = mix_documents(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("form"), F.col("_tokens").alias("n_tokens"), "weight", "probability", "deviation", "selected")
+    return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "probability", "deviation", "selected")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,8 @@ WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS tex
 c AS (SELECT conv_id, {_crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
 b AS (SELECT c.conv_id, o.i, o.t, o.text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.i <= c.h
   UNION ALL SELECT c.conv_id, o.i, o.t, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > c.h),
-p AS (SELECT c.conv_id, list(b.t ORDER BY b.i) FILTER (b.t IS NOT NULL) AS path, list(len(regexp_extract_all(b.text, '[^ 	-]+')) ORDER BY b.i) FILTER (b.t IS NOT NULL) AS w
+p AS (SELECT c.conv_id, list(b.t ORDER BY b.i) FILTER (b.t IS NOT NULL) AS path, list(len(regexp_extract_all(b.text, '[^ 	-
+]+')) ORDER BY b.i) FILTER (b.t IS NOT NULL) AS w
   FROM c LEFT JOIN b ON b.conv_id = c.conv_id GROUP BY c.conv_id),
 m AS (SELECT conv_id, coalesce(path, []) AS path, coalesce(w, []) AS w FROM p),
 x AS (SELECT conv_id, path, w, unnest(range(0, len(path) + 1)) AS d FROM m),
@@ -230,8 +231,10 @@ WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coales
 many AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
     unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM src),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i, substr(role, 1, 1) AS initial FROM many),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
-    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM o),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM o),
 said AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
     count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
 go AS (

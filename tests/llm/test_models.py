@@ -8,6 +8,8 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -127,7 +129,9 @@ def mixed(spark):
 
 def test_raked_margins(spark, mixed):
     rows, df = mixed
-    got = mixing.mix_documents(df.withColumn("probability", F.lit("clash")).withColumn("_topic", F.lit(0)).withColumn("goal_lang", F.lit(0)), share=0.6).toPandas()
+    n_words = F.size(F.split("text", " "))
+    df = df.withColumn("kind", F.when(n_words < 150, "short").when(n_words < 800, "medium").otherwise("long"))
+    got = mixing.mix_documents(df.withColumn("probability", F.lit("clash")).withColumn("_topic", F.lit(0)).withColumn("goal_lang", F.lit(0)), share=0.6, topic_col="kind").toPandas()
     w = got["weight"] * got["_tokens"]
     for c in ("_source", "_lang", "_topic"):
         share = w.groupby(got[c]).sum() / w.sum()
@@ -180,6 +184,41 @@ def test_targets_and_contradictions(spark, monkeypatch, cells_in_task):
     assert (gone[gone.source == "b"].weight == 0).all() and not gone[gone.source == "b"].selected.any()
 
 
+def topical(n=900, seed=4):
+    """Texts of common words and some of one of three subjects, in two languages of other words; subjects are of unequal size."""
+    r, rows, kinds = random.Random(seed), [], []
+    for i in range(n):
+        kind, lang = r.choice("aaaaabbbc"), r.choice(["en", "en", "de"])
+        words = [f"{lang}{r.randrange(60)}" for _ in range(40)] + [f"{kind}{r.randrange(25)}" for _ in range(25)]
+        rows.append((i, " ".join(r.sample(words, len(words))), lang, r.choice("xxy")))
+        kinds.append(kind)
+    return rows, kinds
+
+
+def test_topics_come_from_the_texts(spark):
+    rows, kinds = topical()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix_documents(df.repartition(5), topics=3).toPandas().sort_values("doc_id")
+    seen = pd.crosstab(got["_topic"].to_numpy(), np.array(kinds))
+    assert seen.to_numpy().max(0).sum() / len(rows) > 0.97 and seen.shape == (3, 3)  # a topic is a subject, in either language
+    w, goal = (got.weight * got["_tokens"]).groupby(got["_topic"]).sum(), got.groupby("_topic")["_tokens"].sum() ** 0.5
+    assert np.allclose(w / w.sum(), goal / goal.sum(), atol=1e-3) and got.deviation.max() < mixing.TOLERANCE
+    again = mixing.mix_documents(df.repartition(2, "text"), topics=3).toPandas().sort_values("doc_id")
+    assert list(again["_topic"]) == list(got["_topic"]) and list(again.selected) == list(got.selected)  # whatever the partitions
+
+
+def test_topics_against_a_plain_assignment(spark):
+    rows, _ = topical(120)
+    df = spark.createDataFrame([*rows, (500, None, "en", "x"), (501, " ", None, "x")], "doc_id long, text string, lang string, source string")
+    placed = mixing.with_margins(df)
+    fitted = mixing.fit_topics(mixing._vectors(placed), 4)
+    for r in mixing.with_text_topics(placed, fitted).collect():
+        v = mixing.text_vectors(pa.array([r.text]))[0].astype(int)
+        mean = fitted.means.get("=" + r.lang if r.lang else "null", fitted.means["*"])
+        want = "none" if not (r.text or "").split() else f"topic {max(range(4), key=lambda t: (int((v - mean) @ fitted.centres[t]), -t))}"
+        assert r["_topic"] == want
+
+
 def test_constant_is_exact():
     r = np.random.default_rng(2)
     tokens, weight = r.integers(1, 500, 200).astype(float), r.exponential(size=200)
