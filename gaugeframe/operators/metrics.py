@@ -254,7 +254,9 @@ def quartile_errors(df: DataFrame, value: str = "brightness") -> DataFrame:
 def reliability_bins(df: DataFrame, bins: int) -> DataFrame:
     """Equal-width bins (empty ones too): n, mean p, share of positives."""
     inner = [i / bins for i in range(1, bins)]
-    g = df.groupBy(bin_index(F.col("p"), inner).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("label").alias("share"))
+    # a bin that can't be null: else the join's null filter is pushed below the grouping and computes p once for each edge
+    at = F.coalesce(bin_index(F.col("p"), inner), F.lit(-1)).alias("bin")
+    g = df.groupBy(at).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("label").alias("share"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(F.broadcast(g), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean_p", F.lit(0.0)).alias("mean_p"), F.coalesce("share", F.lit(0.0)).alias("share"))
 

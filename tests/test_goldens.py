@@ -483,3 +483,11 @@ def test_bootstrap_draws_are_those_with_replacement(spark, monkeypatch):
 
 def test_bootstrap_of_no_rows(spark):
     assert m.resampled_counts(spark.createDataFrame([], "id string, label int, p double"), 0.5, 3).count() == 0
+
+
+def test_the_bins_of_the_calibration_error_compute_a_score_once(spark):
+    from gaugeframe.plans.registry import QUERIES
+    from gaugeframe.plans import queries_scores  # noqa: F401
+
+    plan = QUERIES["d25_ece"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("md5(") == 1
