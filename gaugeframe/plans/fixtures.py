@@ -67,4 +67,6 @@ def write_images(df: DataFrame, folder: str, scale: int = 8) -> DataFrame:
                 names.append(name)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string())], ["id", "name"])
 
-    return materialize(df.select("id", F.col("fine").cast("array<double>")).mapInArrow(run, "id long, name string"), "images")
+    rows = df.select("id", F.col("fine").cast("array<double>"))
+    rows = rows.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "id")  # drawing takes longer than reading, and a table may lie in one file
+    return materialize(rows.mapInArrow(run, "id long, name string"), "images")

@@ -243,11 +243,9 @@ def _(s, d):
 
 
 def arriving(s, d):
-    """The image folder as a stream of files, a request of several files for each class folder, and its schema."""
+    """The image folder as a stream of files, a request of several files for each class folder, and the folder."""
     folder = image_folder(s, d)
-    schema = s.read.format("binaryFile").load(folder + "/train/def_front").schema
-    files = s.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 200).load(folder)
-    return folder, files.select(im.rel_path(folder), "content")
+    return folder, im.stream_files(s, folder).select(im.rel_path(folder), "content")
 
 
 @query("j8_arriving_files")

@@ -11,6 +11,7 @@ import json
 import subprocess
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -24,6 +25,9 @@ from gaugeframe.sources.pixels import ImageError, decode, read_header
 # Channel statistics of the model's input.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
+# What Spark's binaryFile source gives for a file.
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     """rel_path, size_bytes of every file below the folder (contents are not read)."""
@@ -31,6 +35,31 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(rel_path(folder), F.col("length").alias("size_bytes"))
 
 
+def stream_files(spark: SparkSession, folder: str, max_files: int = 50_000) -> DataFrame:
+    """The files below the folder as a stream of at most ``max_files`` files a micro-batch.
+
+    A micro-batch costs a listing, a plan and three logs whatever it holds, so it must hold many files; tasks read at most 128 MB each, so its
+    size does not show in their memory.  All names that are listed are kept for the batches after, else each batch goes through them again.
+    """
+    reader = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", True)
+    return reader.option("maxFilesPerTrigger", max_files).option("maxCachedFiles", 2**31 - 1).load(folder)
+
+
+@contextmanager
+def many_small_files(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark checks a stream's files in four tasks a core instead of one task a file (up to 10,000 for each micro-batch), and reads up
+    to 512 files or 128 MB in a task instead of 32 files."""
+    wanted = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism), "spark.sql.files.openCostInBytes": str(256 << 10)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def rel_path(folder: str, column: str = "path"):
     tail = folder.rstrip("/").rsplit("/", 1)[-1]
     return F.regexp_extract(column, f"/{tail}/(.*)$", 1).alias("rel_path")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions.scores import decide, sigmoid
 from gaugeframe.operators.ranking import exact_quantiles
+from gaugeframe.sources.images import many_small_files
 from gaugeframe.sources.scratch import drop_written, materialize_observed, scratch_path
 
 LATE, LATE_SECONDS = "1 hour", 3600
@@ -237,10 +238,14 @@ def rate_limit_batch(log: DataFrame, seconds: int, limit: int) -> DataFrame:
 
 
 def judge_stream(files: DataFrame, judge: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """The rows that ``judge`` makes of the files as they arrive, written once each: a batch has a folder of its own, which a repeated batch replaces."""
+    """The rows that ``judge`` makes of the files as they arrive, written once each: a batch has a folder of its own, which a repeated batch replaces.
+
+    While the stream runs, Spark lists and reads many small files in a task (``many_small_files``); a batch's rows are put together in few files.
+    """
     spark, out = files.sparkSession, scratch_path(files.sparkSession, name)
-    sink = lambda rows, number: judge(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
-    files.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    sink = lambda rows, number: judge(rows).hint("rebalance").write.mode("overwrite").parquet(f"{out}/batch={number}")
+    with many_small_files(spark):
+        files.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 

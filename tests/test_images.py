@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeframe.plans.fixtures import bmp, png
+from gaugeframe.plans import queries_log
+from gaugeframe.plans.fixtures import bmp, png, write_images
 from gaugeframe.sources import images as im
 from gaugeframe.sources import pixels as px
+from gaugeframe.sources.scratch import scratch_path
 from gaugeframe.streaming import monitor as mo
 
 
@@ -213,3 +215,42 @@ def test_a_corrupt_file_refuses_its_request_only(spark, tmp_path):
         if r.accepted:
             z = scorer(im.input_tensor(picture(40, 40, seed=int(r.rel_path[0])), 8)[None])[0]
             assert abs(r.p - 1 / (1 + np.exp(-z))) < 1e-9 and r["index"] == [x for x in range(9) if x % 3 == r.request].index(int(r.rel_path[0]))
+
+
+def _last_job(spark):
+    """The number of a job that is run now."""
+    spark.sparkContext.setJobGroup("mark", "mark")
+    spark.range(1).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return max(spark.sparkContext.statusTracker().getJobIdsForGroup("mark"))
+
+
+def test_arriving_files_share_batches_and_tasks(spark, tmp_path):
+    """312 files come in one micro-batch, and neither their listing nor their reading takes a task for each; the session keeps its settings."""
+    rows = [(i, [float((7 * i + k) % 11) for k in range(64)], i % 2) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    keys = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    _, files = queries_log.arriving(spark, str(tmp_path))
+    first = _last_job(spark)
+    judged = mo.judge_stream(files, lambda rows: rows.select("rel_path", F.length("content").alias("n")), "test-many")
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in range(first + 1, _last_job(spark)) for s in tracker.getJobInfo(job).stageIds}
+    assert 0 < sum(tracker.getStageInfo(s).numTasks for s in stages) < 100
+    assert judged.select("rel_path").distinct().count() == judged.count() == 312
+    assert judged.select("batch").distinct().count() == 1 and len(judged.inputFiles()) == 1
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_the_settings_come_back_after_a_failure(spark):
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with pytest.raises(ZeroDivisionError), im.many_small_files(spark):
+        assert spark.conf.get("spark.sql.files.openCostInBytes") != before
+        raise ZeroDivisionError
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_a_table_in_one_file_is_drawn_by_many_tasks(spark):
+    rows = spark.createDataFrame([(i, [float((i + k) % 5) for k in range(64)]) for i in range(60)], "id long, fine array<double>").coalesce(1)
+    written = write_images(rows, scratch_path(spark, "test-drawn"))
+    assert len(written.inputFiles()) > 4 and written.select("id").distinct().count() == written.count() == 60
